@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+import numpy as np
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, quality
+from vigil.llm import bpe, packing, quality, toxicity, unigram, warc
 from vigil.llm.session import table
 
 
@@ -18,6 +21,40 @@ def _vocabulary(name: str) -> bytes:
         return f.read()
 
 
+def unigram_pieces() -> list[tuple[str, float]]:
+    """Pieces and scores of the SentencePiece file, without its control and byte pieces."""
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    return [(model.id_to_piece(i), model.get_score(i)) for i in ids]
+
+
+def packing_encoder(ranks_text: bytes, end: int = 1, special: str = "<|endoftext|>"):
+    """Makes, in each worker, the encoder of texts: the ids of byte_bpe_50k.json, which has the same vocabulary as
+    these ranks and one special token after them, then the end id."""
+    import public_tokenizers
+
+    pattern = public_tokenizers.PATTERN
+
+    def make():
+        return _ends(ranks_text, pattern, end, special)
+
+    return make
+
+
+@lru_cache(maxsize=1)
+def _ends(ranks_text: bytes, pattern: str, end: int, special: str):
+    ranks = bpe.read_ranks(ranks_text)
+    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={special: len(ranks)})
+
+    def to_ids(text: str) -> np.ndarray:
+        return np.append(encoding.encode_to_numpy(text, allowed_special="all"), np.uint32(end))
+
+    return to_ids
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,9 +66,30 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(docs, quality.references(docs))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_counts(table(spark, sf_dir, "documents"), unigram_pieces())
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(packing.tokenised(table(spark, sf_dir, "documents"), packing_encoder(_vocabulary("byte_bpe_50k.tiktoken"))))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(table(spark, sf_dir, "pages"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op5_quality": op5_quality,
+    "op7_token_counts": op7_token_counts,
+    "op8_packing": op8_packing,
+    "op9_warc": op9_warc,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
