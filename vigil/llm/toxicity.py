@@ -4,7 +4,7 @@ Small transducers read the words of a clause: insults, threats, targets, negatio
 composition is built lazily and runs as a pair of deterministic automata, one from the left (negation in scope,
 reported speech, a target just before) and one from the right (a target just behind). A matched insult or threat
 is emitted with these marks; a clause scores its strongest match, not its words one by one, and a document the
-strongest clause of each kind.
+strongest few clauses of each kind.
 
 Weights come from labelled documents: the insult lexicon holds words and word beginnings by their share in toxic
 documents, shrunk towards the base rate; what the marks do to a match is a ridge logistic regression that is
@@ -31,14 +31,14 @@ from vigil.llm import words as wd
 TARGETS = "you your yours yourself he him his she her they them their these those du dich dir dein deine ihr euch sie er tu te toi ton ta tes vous votre vos il elle ils elles usted ustedes ti tus su sus ellos ellas él ella".split()
 NEGATIONS = "not no never none neither nor without isn aren wasn don doesn didn nicht kein keine nie niemals ohne pas jamais aucun sans nunca jamás ningún sin".split()
 REPORTS = "said says say wrote writes called calls quoted told claimed reported sagt sagte schrieb nannte behauptete dit disait écrit appelé dice dijo escribió llamó".split()
-THREATS = "kill hurt destroy beat shoot stab burn murder die töten umbringen schlagen verletzen vernichten tuer frapper détruire brûler mourir matar golpear destruir quemar morir".split()
+THREATS = "kill hurt destroy beat shoot stab burn murder töten umbringen schlagen verletzen vernichten tuer frapper détruire brûler mourir matar golpear destruir quemar morir".split()
 
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;|\n]|[\"“”«»]")
 BREAK, OTHER, TARGET, NEGATE, REPORT, QUOTE = range(6)
 _CLASS = {**dict.fromkeys(".!?;|\n", BREAK), **dict.fromkeys("\"“”«»", QUOTE), **dict.fromkeys(TARGETS, TARGET), **dict.fromkeys(NEGATIONS, NEGATE), **dict.fromkeys(REPORTS, REPORT)}
 KINDS = ("insult", "insult at a target", "insult negated", "insult reported", "threat", "threat at a target", "threat negated", "threat reported")
-PRIOR = np.array([-3.0, 1.5, 1.7, 0.8, 0.8, 0.3, 0.8, 0.1, 0.1])
+PRIOR = np.array([-3.0, 1.2, 1.4, 0.8, 0.8, 0.3, 0.8, 0.1, 0.1])
 
 
 @dataclass(frozen=True)
@@ -48,9 +48,11 @@ class Settings:
     #: Entries of the lexicon at most, the best supported first.
     lexicon: int = 50_000
     min_toxic: int = 3
-    prefixes: tuple[int, ...] = (4, 5, 6)
-    shrink: float = 4.0
-    ridge: float = 4.0
+    prefixes: tuple[int, ...] = (4, 5, 6, 7, 8)
+    #: Clauses of each kind that add up, the strongest first; so long texts do not gather chance matches.
+    clauses: int = 4
+    shrink: float = 2.0
+    ridge: float = 0.5
     reject: float = 0.7
 
 
@@ -117,13 +119,13 @@ class Grammar:
         return out
 
     def vector(self, text: str, toxic: int | None = None) -> np.ndarray | None:
-        """The strongest match of each of KINDS over all clauses; None if nothing matches."""
+        """For each of KINDS, the strongest clauses that match it, added up; None if nothing matches."""
         text = text.lower()
         words = set(_WORD.findall(text))
         hits, threats = self.hits(words), words & _THREATS
         if not hits and not threats:
             return None
-        out, clause = np.zeros(len(KINDS)), []
+        out, clause = [[] for _ in KINDS], []
         for token in _TOKEN.findall(text):
             if token in ".!?;|\n":
                 self._clause(clause, hits, toxic, out)
@@ -131,12 +133,14 @@ class Grammar:
             else:
                 clause.append(token)
         self._clause(clause, hits, toxic, out)
-        return out if out.any() else None
+        sums = np.array([sum(sorted(x)[-self.settings.clauses :]) for x in out])
+        return sums if sums.any() else None
 
     def _clause(self, clause, hits, toxic, out) -> None:
         if not any(t in hits or t in _THREATS for t in clause):
             return
         classes = [_CLASS.get(t, OTHER) for t in clause]
+        best = [0.0] * len(KINDS)
         behind = _RIGHT.run(reversed(classes))[::-1]
         for token, before, after in zip(clause, _LEFT.run(classes), behind):
             if token in hits:
@@ -147,7 +151,10 @@ class Grammar:
                 continue
             negated, reported, quoted, near = before
             kind += 3 if reported or quoted else 2 if negated else 1 if near or after else 0
-            out[kind] = max(out[kind], weight)
+            best[kind] = max(best[kind], weight)
+        for kind, weight in enumerate(best):
+            if weight:
+                out[kind].append(weight)
 
 
 _THREATS = set(THREATS)
