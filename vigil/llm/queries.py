@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, packing, quality, toxicity, unigram, warc
+from vigil.llm import bpe, embeddings, packing, quality, toxicity, unigram, warc
 from vigil.llm.session import table
 
 
@@ -66,6 +66,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(docs, quality.references(docs))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"), unigram_pieces())
 
@@ -86,6 +90,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op5_quality": op5_quality,
+    "op6_embeddings": op6_embeddings,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
