@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, embeddings, packing, quality, toxicity, unigram, warc
+from vigil.llm import bpe, embeddings, packing, quality, substrings, toxicity, unigram, warc
 from vigil.llm.session import table
 
 
@@ -61,6 +61,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.measured(docs, quality.references(docs))
@@ -89,6 +93,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_substrings": op3_substrings,
     "op5_quality": op5_quality,
     "op6_embeddings": op6_embeddings,
     "op7_token_counts": op7_token_counts,
