@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, embeddings, packing, quality, substrings, toxicity, unigram, warc
+from vigil.llm import bpe, embeddings, jaccard, packing, quality, substrings, toxicity, unigram, warc
 from vigil.llm.session import table
 
 
@@ -31,7 +31,7 @@ def unigram_pieces() -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in ids]
 
 
-def packing_encoder(ranks_text: bytes, end: int = 1, special: str = "<|endoftext|>"):
+def encoder_for_packing(ranks_text: bytes, end: int = 1, special: str = "<|endoftext|>"):
     """Makes, in each worker, the encoder of texts: the ids of byte_bpe_50k.json, which has the same vocabulary as
     these ranks and one special token after them, then the end id."""
     import public_tokenizers
@@ -65,6 +65,10 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.measured(docs, quality.references(docs))
@@ -78,8 +82,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"), unigram_pieces())
 
 
+def packed_documents(docs: DataFrame) -> DataFrame:
+    return packing.packed(packing.tokenised(docs, encoder_for_packing(_vocabulary("byte_bpe_50k.tiktoken"))))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(packing.tokenised(table(spark, sf_dir, "documents"), packing_encoder(_vocabulary("byte_bpe_50k.tiktoken"))))
+    return packed_documents(table(spark, sf_dir, "documents"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +102,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_substrings": op3_substrings,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_quality": op5_quality,
     "op6_embeddings": op6_embeddings,
     "op7_token_counts": op7_token_counts,
