@@ -58,24 +58,19 @@ def _join(cosine: float, dim: int):
     def rows(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         ids, weight = np.asarray(group["id"]), np.asarray(group["weight"])
-        x = np.asarray(group["vec"].combine_chunks().flatten()).reshape(-1, dim) if group.num_rows else np.zeros((0, dim))
+        x = _unit(group["vec"].combine_chunks(), dim)
         own, guest = np.asarray(group["own"]), np.asarray(group["guest"])
         first, second = group["first"][0].as_py(), group["second"][0].as_py()
         visitors = group["visitors"][0].as_py()
         left = np.flatnonzero(~guest & (own == first)) if visitors else np.flatnonzero(own == first)
         right = np.flatnonzero(guest) if visitors else np.flatnonzero(own == second)
-        linked = np.zeros((len(ids), len(ids)), bool)
-        hit = x[left] @ x[right].T >= cosine
-        linked[np.ix_(left, right)] = hit
-        linked |= linked.T
-        np.fill_diagonal(linked, False)
-        n = linked @ weight
-        rank = np.argsort(ids, kind="stable")
-        roots = ids[rank][graphs.local_roots(linked[np.ix_(rank, rank)])]
-        back = np.empty(len(ids), np.int64)
-        back[rank] = roots
+        i, j = np.nonzero(x[left] @ x[right].T >= cosine)
+        i, j = left[i], right[j]
+        use = i < j if not visitors and first == second else slice(None)
+        i, j = i[use], j[use]
+        n = (np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))).astype(np.int64)
         some = n > 0
-        return pa.table({"id": ids[some], "n": n[some], "root": back[some]})
+        return pa.table({"id": ids[some], "n": n[some], "root": graphs.local_roots(ids, i, j)[some]})
 
     return rows
 
@@ -83,7 +78,9 @@ def _join(cosine: float, dim: int):
 def near_duplicates(vectors: DataFrame, settings: Settings = Settings(), vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept."""
     r = float(np.sqrt(2 - 2 * settings.cosine))
-    every = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("vec"))
+    single = vectors.schema[embedding].dataType.simpleString() == "array<float>"
+    kind = "array<float>" if single else "array<double>"
+    every = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast(kind).alias("vec"))
     finite = ~F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = every.filter(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & finite & F.exists("vec", lambda v: v != 0))
     common = usable.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
@@ -101,17 +98,15 @@ def near_duplicates(vectors: DataFrame, settings: Settings = Settings(), vec_id:
             x = _unit(batch.column("vec"), dim)
             d = _to_pivots(x, pivots)
             home = d.argmin(axis=1)
-            vec = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dim), pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("weight"), vec, pa.array(home.astype(np.int32)), pa.array(d[np.arange(len(x)), home])], ["id", "weight", "vec", "cell", "d"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("weight"), batch.column("vec"), pa.array(home.astype(np.int32)), pa.array(d[np.arange(len(x)), home])], ["id", "weight", "vec", "cell", "d"])
 
-    at_home = written(alike.mapInArrow(homes, "id long, weight long, vec array<double>, cell int, d double"), "cells")
+    at_home = written(alike.mapInArrow(homes, f"id long, weight long, vec {kind}, cell int, d double"), "cells")
     cells = {c.cell: c for c in at_home.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("radius")).collect()}
     size = np.array([cells[i].n if i in cells else 0 for i in range(len(pivots))])
     radius = np.array([cells[i].radius if i in cells else -np.inf for i in range(len(pivots))])
 
     def reach(batch):
-        x = np.asarray(batch.column("vec").flatten()).reshape(-1, dim)
-        return _visits(x, np.asarray(batch.column("cell")), pivots, between, radius, r)
+        return _visits(_unit(batch.column("vec"), dim), np.asarray(batch.column("cell")), pivots, between, radius, r)
 
     def counts(batches):
         for batch in batches:

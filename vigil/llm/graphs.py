@@ -20,17 +20,21 @@ def block_pairs(df: DataFrame, size: str, by: str, block: int) -> DataFrame:
     return out.withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other")).drop("other")
 
 
-def local_roots(linked: np.ndarray) -> np.ndarray:
-    """Index of the first row of each row's connected part, from a boolean adjacency matrix."""
-    n = len(linked)
-    root = np.arange(n)
+def local_roots(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each row, the smallest id that the pairs (left, right) of row numbers lead to."""
+    rank = np.argsort(ids, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[rank] = np.arange(len(ids))
+    parent = np.arange(len(ids))
+    a, b = place[left], place[right]
     while True:
-        near = np.where(linked, root[None, :], n).min(axis=1) if n else root
-        new = np.minimum(root, near)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
+        ra, rb = parent[a], parent[b]
+        apart = ra != rb
+        if not apart.any():
+            return ids[rank[parent]][place]
+        np.minimum.at(parent, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
 
 
 def components(edges: DataFrame) -> DataFrame:

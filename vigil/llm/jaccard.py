@@ -126,23 +126,6 @@ def _in_blocks(group: pa.Table):
     return np.flatnonzero(own == first), np.flatnonzero(own == second), first == second
 
 
-def _roots(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """For each row, the smallest id that its links lead to: union by smaller id, with path halving."""
-    rank = np.argsort(ids, kind="stable")
-    place = np.empty(len(ids), np.int64)
-    place[rank] = np.arange(len(ids))
-    parent = np.arange(len(ids))
-    a, b = place[left], place[right]
-    while True:
-        ra, rb = parent[a], parent[b]
-        apart = ra != rb
-        if not apart.any():
-            return ids[rank[parent]][place]
-        np.minimum.at(parent, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
-        while (parent[parent] != parent).any():
-            parent = parent[parent]
-
-
 def _bucket(s: Settings):
     """Candidates of one pair of blocks of a bucket, as a root per document."""
 
@@ -157,7 +140,7 @@ def _bucket(s: Settings):
             use = ids[i] < ids[j] if same else ids[i] != ids[j]
             pairs.append((i[use], j[use]))
         i, j = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, int),) * 2
-        root = _roots(ids, i, j)
+        root = graphs.local_roots(ids, i, j)
         some = root != ids
         return pa.table({"a": ids[some], "b": root[some]})
 
@@ -197,7 +180,7 @@ def _verify(s: Settings):
             link_j.append(j)
         i, j = (np.concatenate(x) if x else np.zeros(0, int) for x in (link_i, link_j))
         n = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
-        root, some = _roots(ids, i, j), n > 0
+        root, some = graphs.local_roots(ids, i, j), n > 0
         return pa.table({"id": ids[some], "n": n[some].astype(np.int64), "root": root[some]})
 
     return rows
