@@ -211,7 +211,7 @@ def kept(docs: DataFrame, refs: References, text: str = "text", rules: Rules = R
 
     def rows(batches):
         for batch in batches:
-            for part in wd.slices(batch.append_column("\0text", batch.column(text)), "\0text", 1 << 20):
+            for part in wd.slices(batch.append_column("\1text", batch.column(text)), "\1text", 1 << 20):
                 view = pa.RecordBatch.from_arrays([part.column(part.num_columns - 1)], ["text"])
                 yield part.select(list(range(part.num_columns - 1))).filter(pa.array(_measures(view, refs, rules)["kept"]))
 

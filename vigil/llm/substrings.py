@@ -10,7 +10,7 @@ The repeated anchors are passed around as a Bloom filter of bounded size. False
 filter is small for the corpus, only cost extra windows; they never change the result. Of equal windows in one
 slice of a task, only the earliest is sent on, so a passage that a third of all documents share sends a few rows.
 
-Hashes of windows have 128 bits. Null and empty texts have no words. doc_id names the document: rows that repeat
+Hashes of windows have 96 bits. Null and empty texts have no words. doc_id names the document: rows that repeat
 an id count as the same document, and a null id as the smallest. Ties cannot occur otherwise.
 """
 
@@ -141,29 +141,29 @@ def without_repeats(docs: DataFrame, finish, schema: str, settings: Settings = S
                 lead = np.ones(len(one), bool)
                 lead[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
                 row, start = row[lead], start[lead]
-                yield pa.RecordBatch.from_arrays([pa.array(one[lead].view(np.int64)), pa.array(two[lead].view(np.int64)), part.column("doc_id").take(pa.array(row)), pa.array((start - first[row]).astype(np.int32))], ["one", "two", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(one[lead].view(np.int64)), pa.array((two[lead] >> np.uint64(32)).astype(np.uint32).view(np.int32)), part.column("doc_id").take(pa.array(row)), pa.array((start - first[row]).astype(np.int32))], ["one", "two", "doc_id", "at"])
 
-    firsts = view.mapInArrow(windows, f"one long, two long, doc_id {id_kind}, at int").groupBy("one", "two").agg(F.min(F.struct("doc_id", "at")).alias("f")).groupBy(F.col("f.doc_id").alias("_first_id")).agg(F.collect_list("f.at").alias("_first_at"))
+    firsts = view.mapInArrow(windows, f"one long, two int, doc_id {id_kind}, at int").groupBy("one", "two").agg(F.min(F.struct("doc_id", "at")).alias("f")).groupBy(F.col("f.doc_id").alias("\1first_id")).agg(F.collect_list("f.at").alias("\1first_at"))
 
     def marked(batches):
         filter_ = sent.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at_text = pa.RecordBatch.from_arrays([batch.column("_text")], ["text"])
+            at_text = pa.RecordBatch.from_arrays([batch.column(text).cast(pa.string())], ["text"])
             done = 0
             for view_part in wd.slices(at_text, "text", 1 << 20):
                 part = batch.slice(done, view_part.num_rows)
                 done += view_part.num_rows
                 data, seg, first, word = _words(view_part)
                 start = _candidates(word, seg.doc, first, filter_, s)[2]
-                lists = part.column("_first_at")
+                lists = part.column("\1first_at")
                 row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)) if not lists.null_count else [len(x) if x is not None else 0 for x in lists.to_pylist()])
                 keep = first[row] + np.asarray(lists.flatten()).astype(np.int64)
                 removed = wd.covered(np.setdiff1d(start, keep), s.window, len(word))
                 yield finish(part, data, seg, first, removed)
 
-    joined = docs.withColumn("_text", F.col(text).cast("string")).withColumn("_id", F.col(doc_id)).join(firsts, F.col("_id").eqNullSafe(F.col("_first_id")), "left").drop("_first_id")
+    joined = docs.join(firsts, F.col(doc_id).eqNullSafe(F.col("\1first_id")), "left").drop("\1first_id")
     return joined.mapInArrow(marked, schema)
 
 
@@ -178,10 +178,10 @@ def digests(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc
     def finish(part, data, seg, first, removed):
         n_removed = wd.sums_per_doc(removed, first)
         sha = []
-        for i, t in enumerate(part.column("_text").to_pylist()):
+        for i, t in enumerate(part.column(text).cast(pa.string()).to_pylist()):
             kept = b" ".join((t or "").encode().split()) if not n_removed[i] else _kept_words(data, seg, first, removed, i)
             sha.append(hashlib.sha256(kept).hexdigest())
-        return pa.RecordBatch.from_arrays([part.column("_id"), pa.array(np.diff(first)), pa.array(n_removed), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+        return pa.RecordBatch.from_arrays([part.column(doc_id), pa.array(np.diff(first)), pa.array(n_removed), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return without_repeats(docs.select(doc_id, text), finish, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string", settings, doc_id, text)
@@ -194,7 +194,7 @@ def removed_from(docs: DataFrame, settings: Settings = Settings(), doc_id: str =
 
     def finish(part, data, seg, first, removed):
         n_removed = wd.sums_per_doc(removed, first)
-        texts = [t if not n_removed[i] else _kept_words(data, seg, first, removed, i).decode() for i, t in enumerate(part.column("_text").to_pylist())]
+        texts = [t if not n_removed[i] else _kept_words(data, seg, first, removed, i).decode() for i, t in enumerate(part.column(text).cast(pa.string()).to_pylist())]
         columns = {n: part.column(n) for n in names} | {text: pa.array(texts, pa.string())}
         if n_chars:
             kind = part.schema.field(n_chars).type
