@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, embeddings, jaccard, packing, quality, substrings, toxicity, unigram, warc
+from vigil.llm import bpe, ctw, embeddings, jaccard, packing, quality, substrings, toxicity, unigram, warc
 from vigil.llm.session import table
 
 
@@ -61,6 +61,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scored(table(spark, sf_dir, "documents"))
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
@@ -101,6 +105,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_ctw": op2_ctw,
     "op3_substrings": op3_substrings,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_quality": op5_quality,
