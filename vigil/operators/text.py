@@ -19,7 +19,8 @@ def shingles(rows: DataFrame, text: str, n: int = 3) -> DataFrame:
 
 def bands(rows: DataFrame, seeds: int = 32, per_band: int = 4) -> DataFrame:
     """(band, signature) rows of each note: MinHash by the smallest SHA-256 under each seed."""
-    sig = F.array(*(F.array_min(F.transform("shingles", lambda s, k=k: F.substring(F.sha2(F.concat(F.lit(f"{k}:"), s), 256), 1, 16))) for k in range(seeds)))
+    hashed = lambda seed: lambda s: F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), s), 256), 1, 16)
+    sig = F.array(*(F.array_min(F.transform("shingles", hashed(k))) for k in range(seeds)))
     made = rows.filter(F.size("shingles") > 0).withColumn("sig", sig)
     grouped = F.transform(F.sequence(F.lit(0), F.lit(seeds // per_band - 1)), lambda b: F.array_join(F.slice("sig", b * per_band + 1, per_band), "|"))
     return made.select("*", F.posexplode(grouped).alias("band", "signature")).drop("sig", "shingles")

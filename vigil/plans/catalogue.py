@@ -11,7 +11,10 @@ from vigil.functions import scalars, stats
 from vigil.operators import indicators as ind
 from vigil.operators import intake, privacy, sampling, scoring, text
 from vigil.plans import adapters as a
+from vigil.plans import shared
 from vigil.policy import DEFAULT
+from vigil.sources import files
+from vigil.streaming import incremental
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -487,3 +490,58 @@ def timeliness(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = (F.unix_timestamp(F.lit("1997-01-01 00:00:00")) - F.col("latest")) / 86400.0
     ladder = F.when(days.isNull(), 1.0).when(days <= 0, 0.0).when(days <= 7, 0.15).when(days <= 30, 0.5).otherwise(1.0)
     return a.entities(spark, sf_dir).join(latest, "entity_id", "left").select("entity_id", ladder.alias("lag_penalty"))
+
+
+# --- files, streams, note similarity, evidence traces ---
+
+_TEXT_COLUMNS = ["case_ref", "source_row", "severity_raw", "opened_raw", "note_raw", "flag_raw", "amount_raw", "analyst_raw"]
+_BACK = f"WITH {a.RAW} SELECT severity_raw, count(*) AS n, count(DISTINCT note_raw) AS n_notes, sum(source_row) AS row_sum FROM raw GROUP BY severity_raw"
+
+
+def _summary(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("severity_raw").agg(F.count("*").alias("n"), F.countDistinct("note_raw").alias("n_notes"), F.sum(F.col("source_row").cast("long")).alias("row_sum"))
+
+
+@query(_BACK)
+def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The submission written as CSV and scanned back as text."""
+    path = shared.folder(spark)
+    a.raw_submission(spark, sf_dir).write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return _summary(files.good(files.read_csv(spark, path, _TEXT_COLUMNS)))
+
+
+@query(_BACK)
+def ndjson_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The submission written as JSON lines and scanned back as text."""
+    path = shared.folder(spark)
+    a.raw_submission(spark, sf_dir).write.json(path)
+    return _summary(files.good(files.read_ndjson(spark, path, _TEXT_COLUMNS)))
+
+
+@query("SELECT user_id % 100 AS entity_id, count(*) AS n_alerts, count(*) FILTER (event_type = 'error') AS n_errors, round(sum(value), 2) AS total FROM events GROUP BY 1")
+def streamed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-entity activity kept up by a stream over the events, in four files."""
+    path = shared.folder(spark)
+    a.table(spark, sf_dir, "events").repartition(4, "event_id").write.parquet(path)
+    return incremental.maintained(spark, path, shared.folder(spark)).withColumn("total", F.round("total", 2))
+
+
+_SHINGLED = f"WITH w AS (SELECT source, doc_id, {_WORDS} AS w FROM documents), sh AS (SELECT source, doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) AS sh FROM w WHERE len(w) >= 3), mh AS (SELECT source, doc_id, k, min(substr(sha256(k || ':' || s), 1, 16)) AS m FROM (SELECT source, doc_id, unnest(sh) AS s FROM sh) CROSS JOIN (SELECT unnest(range(0, 32)) AS k) GROUP BY ALL), bd AS (SELECT source, doc_id, k // 4 AS band, string_agg(m, '|' ORDER BY k) AS signature FROM mh GROUP BY ALL)"
+
+
+@query(f"{_SHINGLED}, b AS (SELECT source AS entity, band, signature, count(*) AS n_notes, min(doc_id) AS anchor FROM bd GROUP BY ALL HAVING count(*) > 1) SELECT entity, anchor, count(*) AS n_bands, max(n_notes) AS n_notes FROM b GROUP BY ALL")
+def note_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets of similar notes within an entity, by anchor note."""
+    rows = a.table(spark, sf_dir, "documents").select(F.col("source").alias("entity"), "doc_id", "text")
+    found = text.templates(text.bands(text.shingles(rows, "text").drop("text")), "entity", "doc_id")
+    return found.groupBy("entity", "anchor").agg(F.count("*").alias("n_bands"), F.max("n_notes").alias("n_notes"))
+
+
+@query(f"{FDR}, top AS (SELECT entity_id FROM f WHERE indicator = 'eg06' AND effect > 1) SELECT entity_id, count(*) AS n_evidence, count(*) FILTER (o.o_orderkey IS NULL) AS n_unresolved FROM top JOIN c USING (entity_id) LEFT JOIN orders o ON CAST(split_part(case_id, '-', 1) AS BIGINT) = o.o_orderkey WHERE severity = 'CRITICAL' AND closed_s IS NOT NULL AND escalation_level IS NULL GROUP BY entity_id")
+def evidence_traceability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every evidence id of the raised entities leads to a record."""
+    top = effects(spark, sf_dir).filter("indicator = 'eg06' and effect > 1").select("entity_id")
+    rows = year_cases(spark, sf_dir).filter("severity = 'CRITICAL' and closed_s is not null and escalation_level is null").join(top, "entity_id")
+    known = a.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.lit(True).alias("hit"))
+    traced = rows.withColumn("k", F.substring_index("case_id", "-", 1).cast("long")).join(known, "k", "left")
+    return traced.groupBy("entity_id").agg(F.count("*").alias("n_evidence"), F.count(F.when(F.col("hit").isNull(), 1)).alias("n_unresolved"))
