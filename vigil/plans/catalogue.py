@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions import scalars, stats
 from vigil.operators import indicators as ind
-from vigil.operators import intake, privacy, sampling, scoring, text
+from vigil.operators import anomaly, intake, privacy, sampling, scoring, text
 from vigil.plans import adapters as a
 from vigil.plans import shared
 from vigil.policy import DEFAULT
@@ -545,3 +545,110 @@ def evidence_traceability(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = a.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.lit(True).alias("hit"))
     traced = rows.withColumn("k", F.substring_index("case_id", "-", 1).cast("long")).join(known, "k", "left")
     return traced.groupBy("entity_id").agg(F.count("*").alias("n_evidence"), F.count(F.when(F.col("hit").isNull(), 1)).alias("n_unresolved"))
+
+
+# --- drill-down, assessability, estimates, outliers ---
+
+
+def _targeted_sql() -> str:
+    sql = ORACLE_SQL["targeted_sample"]
+    cut = sql.rindex(" SELECT entity_id, case_id, risk")
+    return f"{sql[:cut]}, s AS ({sql[cut:].strip()})"
+
+
+@query(f"{_targeted_sql()}, y AS (SELECT s.*, CASE WHEN bool_or(disposition = 'TRUE_POSITIVE') THEN 1 ELSE 0 END AS y FROM s JOIN c USING (entity_id, case_id) GROUP BY ALL), n AS (SELECT count(*) AS big FROM p) SELECT count(*) AS n_sample, any_value(big) AS n_population, round(sum(y / pi) / any_value(big), 5) AS prevalence, round(sqrt(sum((1 - pi) / (pi * pi) * y)) / any_value(big), 5) AS standard_error FROM y, n")
+def ht_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Horvitz-Thompson prevalence of true positives among cases with risk, from the targeted sample."""
+    pool = risks(spark, sf_dir)
+    sample = sampling.proportional(pool, 100)
+    verdicts = year_cases(spark, sf_dir).groupBy("entity_id", "case_id").agg(F.max((F.col("disposition") == "TRUE_POSITIVE").cast("int")).alias("y"))
+    size = pool.filter("risk > 0").agg(F.count("*").alias("big"))
+    rows = sample.withColumn("pi", F.round("pi", 8)).join(verdicts, ["entity_id", "case_id"]).crossJoin(F.broadcast(size))  # one row
+    big = F.first("big")
+    return rows.agg(F.count("*").alias("n_sample"), big.alias("n_population"), F.round(F.sum(F.col("y") / F.col("pi")) / big, 5).alias("prevalence"), F.round(F.sqrt(F.sum((1 - F.col("pi")) / (F.col("pi") * F.col("pi")) * F.col("y"))) / big, 5).alias("standard_error"))
+
+
+@query(f"WITH {YEAR}, u AS (SELECT entity_id, case_id, max(severity) AS stratum FROM c GROUP BY ALL) SELECT entity_id, case_id, stratum FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('s|' || entity_id || '|' || case_id), case_id) AS r FROM u) WHERE r <= 15")
+def control_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """15 control cases of each stratum by hash order."""
+    frame = risks(spark, sf_dir).withColumnRenamed("severity", "stratum")
+    take = frame.groupBy("stratum").agg(F.count("*").alias("size")).withColumn("take", F.lit(15))
+    return sampling.controls(frame, take, "s").select("entity_id", "case_id", "stratum")
+
+
+@query(f"WITH {a.ENTITIES}, {YEAR}, n AS (SELECT entities.entity_id, count(case_id) AS n_cases, count(closed_s) AS n_closed, count(escalation_level) AS n_levels FROM entities LEFT JOIN c USING (entity_id) GROUP BY entities.entity_id) SELECT entity_id, d.dimension, CASE WHEN n_cases = 0 OR need = 0 THEN 'NOT_ASSESSABLE' WHEN want = 0 THEN 'PARTIAL' ELSE 'ASSESSABLE' END AS state FROM (SELECT entity_id, n_cases, unnest([{{'dimension': 'closure', 'need': n_closed, 'want': n_closed}}, {{'dimension': 'escalation', 'need': n_cases, 'want': n_levels}}]) AS d FROM n), LATERAL (SELECT d.need AS need, d.want AS want)")
+def assessability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each entity's evidence can support: required fields decide, optional ones only lower."""
+    n = a.entities(spark, sf_dir).select("entity_id").join(year_cases(spark, sf_dir), "entity_id", "left").groupBy("entity_id").agg(F.count("case_id").alias("n_cases"), F.count("closed_s").alias("n_closed"), F.count("escalation_level").alias("n_levels"))
+    need = F.array(F.struct(F.lit("closure").alias("dimension"), F.col("n_closed").alias("need"), F.col("n_closed").alias("want")), F.struct(F.lit("escalation").alias("dimension"), F.col("n_cases").alias("need"), F.col("n_levels").alias("want")))
+    state = F.when((F.col("n_cases") == 0) | (F.col("need") == 0), "NOT_ASSESSABLE").when(F.col("want") == 0, "PARTIAL").otherwise("ASSESSABLE")
+    return n.select("entity_id", "n_cases", F.inline(need)).select("entity_id", "dimension", state.alias("state"))
+
+
+@query(f"WITH {a.RAW} SELECT 'opened' AS column_name, round(avg(CASE WHEN regexp_matches(opened_raw, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 1 ELSE 0 END), 6) AS timestamp_share, round(avg(CASE WHEN regexp_matches(opened_raw, '^[0-9]+$') THEN 1 ELSE 0 END), 6) AS number_share FROM raw UNION ALL SELECT 'amount', round(avg(CASE WHEN regexp_matches(amount_raw, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 1 ELSE 0 END), 6), round(avg(CASE WHEN regexp_matches(amount_raw, '^[0-9]+$') THEN 1 ELSE 0 END), 6) FROM raw")
+def value_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each column's values by shape, over whole columns in one pass."""
+    raw = a.raw_submission(spark, sf_dir)
+    share = lambda c, p: F.round(F.avg(F.col(c).rlike(p).cast("int")), 6)
+    rows = [F.struct(F.lit(n).alias("column_name"), share(c, r"^\d{4}-\d{2}-\d{2}").alias("timestamp_share"), share(c, r"^\d+$").alias("number_share")) for n, c in (("opened", "opened_raw"), ("amount", "amount_raw"))]
+    return raw.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+
+
+@query(f"WITH {a.ENTITIES}, {YEAR}, {peer_sql(VALUES['eg01'], -1)} SELECT entity_id, round(med - 2 * 1.4826 * mad, 4) AS clear_value, round(med + 2 * (value - med), 4) AS doubled_value FROM e WHERE n_peers >= 8 AND mad > 0")
+def counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closure time at which an entity would no longer stand out, and a deviation twice its own."""
+    e = baselined(spark, sf_dir, "eg01", -1).filter((F.col("n_peers") >= DEFAULT.min_peers) & (F.col("mad") > 0))
+    return e.select("entity_id", F.round(F.col("median") - DEFAULT.ramp_z0 * 1.4826 * F.col("mad"), 4).alias("clear_value"), F.round(F.col("median") + 2 * (F.col("value") - F.col("median")), 4).alias("doubled_value"))
+
+
+@query(f"{FDR} SELECT entity_id, count(*) FILTER (survives AND effect > 2) AS n_raised, count(*) FILTER (NOT survives AND effect > 2) AS n_suppressed, count(*) FILTER (effect <= 2) AS n_quiet FROM f GROUP BY entity_id")
+def why_not_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each entity's indicators by why they raised nothing."""
+    f = scoring.false_discovery(effects(spark, sf_dir))
+    adverse = F.col("effect") > DEFAULT.ramp_z0
+    n = lambda c: F.count(F.when(c, 1))
+    return f.groupBy("entity_id").agg(n(F.col("survives") & adverse).alias("n_raised"), n(~F.col("survives") & adverse).alias("n_suppressed"), n(~adverse).alias("n_quiet"))
+
+
+def _feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = a.table(spark, sf_dir, "embeddings")
+    rows = F.array(*(F.struct(F.lit(f"f{i}").alias("feature"), F.col("embedding")[i].cast("double").alias("value")) for i in range(4)))
+    return e.select(F.col("vec_id").alias("entity_id"), F.col("label").alias("cohort"), F.lit(1).alias("n"), F.lit(1).alias("sign"), F.inline(rows))
+
+
+@query("""WITH x AS (SELECT vec_id AS entity_id, label AS cohort, 'f' || i AS feature, CAST(embedding[i + 1] AS DOUBLE) AS value FROM embeddings CROSS JOIN (SELECT unnest(range(0, 4)) AS i)),
+ p AS (SELECT a.entity_id, a.feature, a.value, b.value AS peer FROM x a JOIN x b ON a.cohort = b.cohort AND a.feature = b.feature AND a.entity_id <> b.entity_id),
+ m AS (SELECT entity_id, feature, any_value(value) AS value, median(peer) AS med FROM p GROUP BY ALL),
+ d AS (SELECT p.entity_id, p.feature, median(abs(peer - med)) AS mad FROM p JOIN m USING (entity_id, feature) GROUP BY ALL),
+ e AS (SELECT *, round((value - med) / CASE WHEN mad > 0 THEN 1.4826 * mad ELSE greatest(0.1 * abs(med), 1.0) END, 5) AS effect FROM m JOIN d USING (entity_id, feature))
+ SELECT entity_id, feature, effect FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY abs(effect) DESC, feature) AS r FROM e) WHERE r <= 2""")
+def feature_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two features in which each vector differs most from its peers, in robust units."""
+    e = stats.peer_baseline(_feature_rows(spark, sf_dir), by=["feature"]).filter("median is not null")
+    unit = F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).otherwise(F.greatest(0.1 * F.abs("median"), F.lit(1.0)))
+    e = e.withColumn("effect", F.round((F.col("value") - F.col("median")) / unit, 5))
+    w = Window.partitionBy("entity_id").orderBy(F.abs("effect").desc(), "feature")
+    return e.withColumn("r", F.row_number().over(w)).filter("r <= 2").select("entity_id", "feature", "effect")
+
+
+@query()
+def outlier_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leave-one-out isolation scores of entities from their closure time and thin-note share."""
+    v = indicator_values(spark, sf_dir)
+    rows = v["eg01"].select("entity_id", F.col("value").alias("closure")).join(v["eg02"].select("entity_id", F.col("value").alias("thin")), "entity_id", "full_outer").join(a.entities(spark, sf_dir).select("entity_id", "cohort"), "entity_id")
+    return anomaly.isolation(rows, ["closure", "thin"])
+
+
+@query()
+def rank_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far entity ranks move when scores vary."""
+    scores = yearly(spark, sf_dir).filter("year = 1996").select("entity_id", "score")
+    return anomaly.rank_intervals(scores)
+
+
+@query("WITH r AS (SELECT o_orderkey % 40 AS run_id, min(o_orderdate) AS a, max(o_orderdate) AS b, count(*) FILTER (o_orderpriority LIKE '1%') AS n_findings FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1) SELECT run_id, n_findings FROM r WHERE a <= TIMESTAMP '1996-01-01' AND b >= TIMESTAMP '1996-12-31'")
+def runs_with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs whose window holds the asked period, with their finding counts."""
+    o = a.table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'")
+    r = o.groupBy((F.col("o_orderkey") % 40).alias("run_id")).agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"), F.count(F.when(F.col("o_orderpriority").startswith("1"), 1)).alias("n_findings"))
+    return r.filter((F.col("a") <= F.lit("1996-01-01").cast("timestamp")) & (F.col("b") >= F.lit("1996-12-31").cast("timestamp"))).select("run_id", "n_findings")
