@@ -111,7 +111,7 @@ class Grammar:
             try:
                 found = kept[w]
             except KeyError:
-                if len(kept) > 500_000:
+                if len(kept) > 150_000:
                     kept.clear()
                 found = kept[w] = self._counts(w)
             if found is not None:
@@ -179,13 +179,14 @@ def _feature_rows(settings: Settings):
             keys = list(n)
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([pos[k] for k in keys], pa.int64()), pa.array([n[k] for k in keys], pa.int64())], ["feature", "pos", "n"])
 
-        for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+        parts = (part for batch in batches for part in wd.slices(batch, "text"))
+        for part in parts:
+            for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
                 found = {f for w in set(_WORD.findall((text or "").lower())) for f in features_of(w, settings.prefixes)}
                 n.update(found)
                 if toxic:
                     pos.update(found)
-                if len(n) > 300_000:
+                if len(n) > 100_000:
                     yield out()
                     pos.clear(), n.clear()
         if n:
@@ -207,7 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 1, settings: Settings =
     grammar = Grammar({r.feature: (r.pos, r.n) for r in entries}, rate, settings)
 
     def vectors(batches):
-        for batch in batches:
+        parts = (part for batch in batches for part in wd.slices(batch, "text"))
+        for batch in parts:
             found = [(grammar.vector(t or "", y), y) for t, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([None if x is None else x.tolist() for x, _ in found], pa.list_(pa.float64())), pa.array([y for _, y in found], pa.int32())], ["x", "y"])
 
@@ -255,7 +257,9 @@ def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def rows(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            keep = [model.score(t or "") < model.grammar.settings.reject for t in batch.column(at).cast(pa.string()).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for view in wd.slices(pa.RecordBatch.from_arrays([batch.column(at).cast(pa.string())], ["text"]), "text"):
+                keep = [model.score(t or "") < model.grammar.settings.reject for t in view.column("text").to_pylist()]
+                yield batch.slice(0, len(keep)).filter(pa.array(keep, pa.bool_()))
+                batch = batch.slice(len(keep))
 
     return docs.mapInArrow(rows, docs.schema)
