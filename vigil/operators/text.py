@@ -6,24 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def shingles(rows: DataFrame, text: str, n: int = 3) -> DataFrame:
-    """rows with the set of n-word shingles of lower-case [a-z0-9]+ words."""
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once: a lambda variable is not copied into every place that uses it."""
+    return F.transform(F.array(value), f)[0]
 
+
+def _shingled(text: str, n: int) -> Column:
     def made(w: Column) -> Column:
         out = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
         return F.when(F.size(w) >= n, F.array_distinct(out)).otherwise(F.array().cast("array<string>"))
 
-    # the words as a lambda variable: else every shingle would split the text again
-    return rows.withColumn("shingles", F.transform(F.array(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))), made)[0])
+    return _bound(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), made)
 
 
-def bands(rows: DataFrame, seeds: int = 32, per_band: int = 4) -> DataFrame:
-    """(band, signature) rows of each note: MinHash by the smallest SHA-256 under each seed."""
+def bands(rows: DataFrame, text: str, n: int = 3, seeds: int = 32, per_band: int = 4) -> DataFrame:
+    """(band, signature) rows of each note, without its text: MinHash of the n-word shingles of lower-case
+    [a-z0-9]+ words by the smallest SHA-256 under each seed. Notes without a shingle have none."""
     hashed = lambda seed: lambda s: F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), s), 256), 1, 16)
-    sig = F.array(*(F.array_min(F.transform("shingles", hashed(k))) for k in range(seeds)))
-    made = rows.filter(F.size("shingles") > 0).withColumn("sig", sig)
-    grouped = F.transform(F.sequence(F.lit(0), F.lit(seeds // per_band - 1)), lambda b: F.array_join(F.slice("sig", b * per_band + 1, per_band), "|"))
-    return made.select("*", F.posexplode(grouped).alias("band", "signature")).drop("sig", "shingles")
+    signed = lambda sh: F.array(*(F.array_min(F.transform(sh, hashed(k))) for k in range(seeds)))
+    grouped = lambda sig: F.transform(F.sequence(F.lit(0), F.lit(seeds // per_band - 1)), lambda b: F.array_join(F.slice(sig, b * per_band + 1, per_band), "|"))
+    made = _bound(_shingled(text, n), lambda sh: F.when(F.size(sh) > 0, _bound(signed(sh), grouped)))
+    return rows.select(*(c for c in rows.columns if c != text), F.posexplode(made).alias("band", "signature"))
 
 
 def templates(notes: DataFrame, entity: str, note: str) -> DataFrame:

@@ -78,7 +78,7 @@ for _name in VALUES:
 
 def baselined(spark: SparkSession, sf_dir: str, name: str, sign: int) -> DataFrame:
     values = indicator_values(spark, sf_dir)[name].join(a.entities(spark, sf_dir), "entity_id").withColumn("sign", F.lit(sign))
-    return stats.peer_baseline(values)
+    return stats.peer_baseline(shared.kept(values))
 
 
 def peer_sql(values: str, sign: int) -> str:
@@ -107,7 +107,7 @@ def effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = indicator_values(spark, sf_dir)
     named = [values[k].select("entity_id", "value", "n", F.lit(k).alias("indicator"), F.lit(FAMILIES[k]).alias("family"), F.lit(sign).alias("sign")) for k, sign in SIGNS.items()]
     rows = reduce(DataFrame.unionByName, named).join(a.entities(spark, sf_dir), "entity_id")
-    out = stats.peer_baseline(rows, by=["indicator"]).filter("effect is not null")
+    out = stats.peer_baseline(shared.kept(rows), by=["indicator"]).filter("effect is not null")
     out = out.select("entity_id", "indicator", "family", F.round("effect", 4).alias("effect"), F.least(F.lit(1.0), F.col("n") / DEFAULT.full_confidence_n).alias("confidence"))
     return out
 
@@ -533,7 +533,7 @@ _SHINGLED = f"WITH w AS (SELECT source, doc_id, {_WORDS} AS w FROM documents), s
 def note_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buckets of similar notes within an entity, by anchor note."""
     rows = a.table(spark, sf_dir, "documents").select(F.col("source").alias("entity"), "doc_id", "text")
-    found = text.templates(text.bands(text.shingles(rows, "text").drop("text")), "entity", "doc_id")
+    found = text.templates(text.bands(rows, "text"), "entity", "doc_id")
     return found.groupBy("entity", "anchor").agg(F.count("*").alias("n_bands"), F.max("n_notes").alias("n_notes"))
 
 

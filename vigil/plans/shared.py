@@ -1,14 +1,21 @@
-"""Where derived files go."""
+"""Where derived files go, and small results that several parts of a plan use."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; one of this machine's only where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vigil-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written once and read again: what follows uses rows per entity many times and must not rescan evidence."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
