@@ -652,3 +652,48 @@ def runs_with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = a.table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'")
     r = o.groupBy((F.col("o_orderkey") % 40).alias("run_id")).agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"), F.count(F.when(F.col("o_orderpriority").startswith("1"), 1)).alias("n_findings"))
     return r.filter((F.col("a") <= F.lit("1996-01-01").cast("timestamp")) & (F.col("b") >= F.lit("1996-12-31").cast("timestamp"))).select("run_id", "n_findings")
+
+
+# --- projections and checks over submissions ---
+
+
+@query(f"WITH {a.RAW}, h AS (SELECT ['case_ref', 'severity_raw', 'note_raw'] AS headers), p AS (SELECT * FROM (VALUES ('cases', ['case_ref', 'severity_raw', 'opened_raw']), ('notes', ['note_raw', 'author']), ('assets', ['asset_id'])) AS t(block, sources)) SELECT block, round(len(list_intersect(headers, sources)) / len(sources), 6) AS share, len(list_intersect(headers, sources)) / len(sources) >= 0.5 AS matched, (SELECT count(*) FROM raw) AS n_rows FROM h CROSS JOIN p")
+def profile_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the submission's filled columns fit each vendor profile; a half is the floor."""
+    raw = a.raw_submission(spark, sf_dir)
+    profiles = {"cases": ["case_ref", "severity_raw", "opened_raw"], "notes": ["note_raw", "author"], "assets": ["asset_id"]}
+    columns = ["case_ref", "severity_raw", "note_raw"]
+    filled = raw.agg(F.count("*").alias("n_rows"), F.array_compact(F.array(*(F.when(F.count(c) > 0, c) for c in columns))).alias("headers"))
+    blocks = F.array(*(F.struct(F.lit(k).alias("block"), F.array(*map(F.lit, v)).alias("sources")) for k, v in profiles.items()))
+    share = F.size(F.array_intersect("headers", "sources")) / F.size("sources")
+    return filled.select("n_rows", "headers", F.inline(blocks)).select("block", F.round(share, 6).alias("share"), (share >= 0.5).alias("matched"), "n_rows")
+
+
+@query(f"WITH {a.CASES}, s AS (SELECT entity_id, year, min(created_s) AS ps, max(created_s) AS pe, count(*) AS version FROM cases GROUP BY ALL) SELECT entity_id, max_by(year, (version, year)) AS year, max(version) AS version FROM s WHERE ps <= epoch(TIMESTAMP '1997-06-30') AND pe >= epoch(TIMESTAMP '1996-01-01') GROUP BY entity_id")
+def covering_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The submission of the highest version among those that overlap a period."""
+    s = a.cases(spark, sf_dir).groupBy("entity_id", "year").agg(F.min("created_s").alias("ps"), F.max("created_s").alias("pe"), F.count("*").alias("version"))
+    hit = s.filter((F.col("ps") <= F.unix_timestamp(F.lit("1997-06-30 00:00:00"))) & (F.col("pe") >= F.unix_timestamp(F.lit("1996-01-01 00:00:00"))))
+    return hit.groupBy("entity_id").agg(F.max_by("year", F.struct("version", "year")).alias("year"), F.max("version").alias("version"))
+
+
+@query(f"WITH {a.ENTITIES}, {YEAR}, v AS ({VALUES['eg02']} UNION ALL {VALUES['eg08']}) SELECT entity_id, round(sum(value * n) / sum(n), 6) AS weighted, sum(n) AS n FROM v GROUP BY entity_id")
+def weighted_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures weighted by their populations."""
+    v = indicator_values(spark, sf_dir)
+    rows = v["eg02"].select("entity_id", "value", "n").unionByName(v["eg08"].select("entity_id", "value", "n"))
+    return rows.groupBy("entity_id").agg(F.round(F.sum(F.col("value") * F.col("n")) / F.sum("n"), 6).alias("weighted"), F.sum("n").alias("n"))
+
+
+@query("SELECT l_suppkey AS entity_id, l_linenumber AS slot, count(*) AS n, count(DISTINCT l_orderkey) AS n_records, round(avg(l_quantity), 4) AS mean FROM lineitem GROUP BY ALL")
+def evidence_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, distinct records and means by entity and slot."""
+    return a.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("entity_id"), F.col("l_linenumber").alias("slot")).agg(F.count("*").alias("n"), F.countDistinct("l_orderkey").alias("n_records"), F.round(F.avg("l_quantity"), 4).alias("mean"))
+
+
+@query(f"WITH {a.RAW} SELECT analyst_raw, CASE WHEN lower(analyst_raw) LIKE 'user%' THEN 'human' WHEN lower(analyst_raw) IN ('soar', 'bot') THEN 'automation' ELSE 'unknown' END AS actor_type, count(*) AS n FROM raw GROUP BY ALL")
+def actor_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether analysts look like people or automation; always inferred."""
+    c = F.lower("analyst_raw")
+    kind = F.when(c.startswith("user"), "human").when(c.isin("soar", "bot"), "automation").otherwise("unknown")
+    return a.raw_submission(spark, sf_dir).groupBy("analyst_raw", kind.alias("actor_type")).agg(F.count("*").alias("n"))
