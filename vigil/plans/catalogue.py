@@ -697,3 +697,31 @@ def actor_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.lower("analyst_raw")
     kind = F.when(c.startswith("user"), "human").when(c.isin("soar", "bot"), "automation").otherwise("unknown")
     return a.raw_submission(spark, sf_dir).groupBy("analyst_raw", kind.alias("actor_type")).agg(F.count("*").alias("n"))
+
+
+DIMENSIONS = {"eg01": "investigation", "eg02": "investigation", "eg06": "escalation", "eg08": "timeliness", "eg09": "timeliness"}
+_DIM = "CASE indicator " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DIMENSIONS.items()) + " END"
+_DIMENSION_SQL = f"{FDR}, dm AS (SELECT entity_id, {_DIM} AS dimension, family, max(CASE WHEN survives THEN greatest(0.0, least(1.0, (effect - 2.0) / 3.0)) * confidence ELSE 0.0 END) AS score FROM f GROUP BY ALL), ds AS (SELECT entity_id, dimension, round(1 - exp(sum(ln(1 - 0.6 * least(score, 0.6)))), 4) AS score FROM dm GROUP BY ALL)"
+
+
+def _dimension_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = scoring.false_discovery(effects(spark, sf_dir))
+    dimension = F.create_map(*(F.lit(x) for kv in DIMENSIONS.items() for x in kv))[F.col("indicator")]
+    signal = F.when(F.col("survives"), scoring.ramp(F.col("effect")) * F.col("confidence")).otherwise(0.0)
+    family = f.groupBy("entity_id", dimension.alias("dimension"), "family").agg(F.max(signal).alias("s"))
+    return family.groupBy("entity_id", "dimension").agg(F.round(1 - F.exp(F.sum(F.log(1 - 0.6 * F.least("s", F.lit(DEFAULT.family_cap))))), 4).alias("score"))
+
+
+@query(f"{_DIMENSION_SQL} SELECT * FROM ds")
+def dimension_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capped noisy-or over families in each dimension."""
+    return _dimension_scores(spark, sf_dir)
+
+
+@query(f"{_DIMENSION_SQL}, w AS (SELECT *, CASE dimension WHEN 'investigation' THEN 0.5 WHEN 'escalation' THEN 0.3 ELSE 0.2 END AS w FROM ds) SELECT entity_id, round(sum(w * score) / sum(w), 4) AS priority, round(count(*) / 3.0, 4) AS measurable_share, count(*) / 3.0 >= 0.5 AS published FROM w GROUP BY entity_id")
+def audit_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted mean over scored dimensions; withheld where too few can be measured."""
+    w = F.when(F.col("dimension") == "investigation", 0.5).when(F.col("dimension") == "escalation", 0.3).otherwise(0.2)
+    rows = _dimension_scores(spark, sf_dir).withColumn("w", w)
+    share = F.count("*") / 3.0
+    return rows.groupBy("entity_id").agg(F.round(F.sum(F.col("w") * F.col("score")) / F.sum("w"), 4).alias("priority"), F.round(share, 4).alias("measurable_share"), (share >= 0.5).alias("published"))
