@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, ctw, embeddings, jaccard, packing, quality, substrings, toxicity, unigram, warc
+from vigil.llm import bpe, ctw_text, embeddings, jaccard, packing, quality, substrings, toxicity, unigram, warc
 from vigil.llm.session import table
 
 
@@ -62,7 +62,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw.scored(table(spark, sf_dir, "documents"))
+    return ctw_text.scored(table(spark, sf_dir, "documents"))
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
