@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.policy import DEFAULT, Policy
@@ -112,3 +112,29 @@ def ns06(daily: DataFrame, min_peers: int = 3, surge: float = 1.5) -> DataFrame:
     rows = per.join(totals, "day").withColumn("peer_mean", (F.col("total") - F.col("activity")) / (F.col("n_all") - 1)).filter(F.col("n_all") > min_peers)
     shocked = rows.filter((F.col("peer_mean") >= F.greatest(F.lit(1.0), surge * F.col("middle"))) & (F.col("activity") <= 0.5 * F.col("middle")))
     return _measured(shocked, F.avg(F.col("peer_mean") - F.col("activity")))
+
+
+def ns06_prior(daily: DataFrame, min_peers: int = 3, surge: float = 1.5) -> DataFrame:
+    """Mean gap, as a share of the peer mean, on days when peers surge above the median of all earlier peer values (on
+    the first day, of that day's) and the entity stays at or below half of it.
+
+    Medians without the entity's own values come from day-level counts of values, summed over earlier days, less the
+    entity's own: entities are never paired.
+    """
+    per = daily.groupBy("entity_id", "day").agg(F.sum("activity").alias("activity"))
+    totals = per.groupBy("day").agg(F.sum("activity").alias("total"), F.count("*").alias("n_all"))
+    first = per.agg(F.min("day").alias("first"))
+    days = per.select("day").distinct().crossJoin(F.broadcast(first))  # one row
+    counts = per.groupBy(F.col("day").alias("before"), F.col("activity").alias("v")).agg(F.count("*").alias("c"))
+    earlier = (F.col("before") < F.col("day")) | ((F.col("day") == F.col("first")) & (F.col("before") == F.col("day")))
+    upto = days.join(F.broadcast(counts), earlier).groupBy("day", "first", "v").agg(F.sum("c").alias("c"))
+    summed = upto.withColumn("c", F.sum("c").over(Window.partitionBy("day").orderBy("v")))
+    known = summed.groupBy("day", "first").agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("known"), F.max("c").alias("n_known"))
+    past = Window.partitionBy("entity_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    rows = per.withColumn("own", F.collect_list("activity").over(past)).join(F.broadcast(known), "day").join(F.broadcast(totals), "day")
+    rows = rows.withColumn("own", F.when(F.col("day") == F.col("first"), F.array("activity")).otherwise(F.col("own"))).withColumn("k", F.col("n_known") - F.size("own"))
+    ranked = lambda k: f"filter(known, x -> x.c - size(filter(own, o -> o <= x.v)) >= {k})[0].v"
+    rows = rows.filter(F.col("n_all") > min_peers).withColumn("base", (F.expr(ranked("floor((k + 1) / 2)")) + F.expr(ranked("floor(k / 2) + 1"))) / 2)
+    rows = rows.withColumn("peer_mean", (F.col("total") - F.col("activity")) / (F.col("n_all") - 1))
+    shocked = rows.filter((F.col("peer_mean") >= F.greatest(F.lit(1.0), surge * F.col("base"))) & (F.col("activity") <= F.greatest(F.lit(0.0), 0.5 * F.col("base"))))
+    return _measured(shocked, F.avg((F.col("peer_mean") - F.col("activity")) / F.greatest("peer_mean", F.lit(1.0))))

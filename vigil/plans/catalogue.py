@@ -216,6 +216,18 @@ def ns06_shock_nonresponse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ind.ns06(grid(spark, sf_dir, "entity_id"), surge=1.0))
 
 
+@query(f"WITH {grid_sql('entity_id, asset_id, criticality')}, x AS (SELECT entity_id, asset_id, count(*) AS days, count(*) FILTER (activity = 0) AS silent, avg(activity) AS m, max(criticality) AS c FROM g GROUP BY ALL) SELECT entity_id, round(avg(silent / days), 6) AS value, count(*) AS n FROM x WHERE days >= 3 AND c >= 3 AND silent >= greatest(3, days // 2) AND m > 0 GROUP BY entity_id")
+def ns01_silent_all_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NS-01 over the alerts of all categories."""
+    return _rounded(ind.ns01(grid(spark, sf_dir, "entity_id", "asset_id", "criticality")))
+
+
+@query(f"WITH {grid_sql('entity_id')}, t AS (SELECT day, sum(activity) AS s, count(*) AS k FROM g GROUP BY day), p AS (SELECT x.entity_id, x.day, median(y.activity) AS base FROM g x JOIN g y ON y.entity_id <> x.entity_id AND (y.day < x.day OR (y.day = x.day AND x.day = (SELECT min(day) FROM g))) GROUP BY ALL), x AS (SELECT entity_id, activity, (s - activity) / (k - 1) AS pm, base FROM g JOIN t USING (day) JOIN p USING (entity_id, day) WHERE k > 3) SELECT entity_id, round(avg((pm - activity) / greatest(pm, 1.0)), 6) AS value, count(*) AS n FROM x WHERE pm >= greatest(1.0, 1.5 * base) AND activity <= greatest(0.0, 0.5 * base) GROUP BY entity_id")
+def ns06_prior_shocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NS-06 against the peers' earlier days."""
+    return _rounded(ind.ns06_prior(grid(spark, sf_dir, "entity_id")))
+
+
 # fixed values of the vocabularies, as SQL
 _MISSING = ", ".join(f"'{x}'" for x in scalars.MISSING)
 _SEVERITY = "CASE lower(trim(severity_raw)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in scalars.SEVERITIES.items()) + " END"
