@@ -4,7 +4,9 @@ import random
 import statistics
 from collections import defaultdict
 
+from vigil.functions import stats
 from vigil.operators import indicators as ind
+from vigil.plans import catalogue
 
 
 def plain_ns06(rows, surge=1.5):
@@ -40,3 +42,24 @@ def test_ns06_equals_plain(spark):
     rows = [(e, d, rnd.choice([0, 1, 2, 3, 8, 20]) * (3 if d % 4 == 3 and e % 5 else 1)) for e in range(12) for d in range(14)]
     got = {r.entity_id: (round(r.value, 9), r.n) for r in ind.ns06_prior(daily(spark, rows)).collect()}
     assert got and got == plain_ns06(rows)
+
+
+def test_peer_deviations_equal_pairs(spark):
+    rnd = random.Random(5)
+    rows = [(g * 100 + i, g, float(rnd.randrange(6))) for g, n in enumerate((1, 2, 3, 8, 9, 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "entity_id long, cohort long, value double")
+    got = {r.entity_id: (r.median, r.mad) for r in stats.peer_deviations(df, ["cohort"]).collect()}
+    want = {}
+    for e, g, _ in rows:
+        peers = [x for k, h, x in rows if h == g and k != e]
+        if peers:
+            m = statistics.median(peers)
+            want[e] = (m, statistics.median(abs(x - m) for x in peers))
+    assert got == want
+
+
+def test_attributions_see_the_last_component(spark, tmp_path):
+    rows = [(i, i % 2, [float((i * 7 + j * 3) % 5) + (500.0 if i == 4 and j == 63 else 0.0) for j in range(64)]) for i in range(20)]
+    spark.createDataFrame(rows, "vec_id long, label long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [r.feature for r in catalogue.QUERIES["all_feature_attributions"](spark, str(tmp_path)).filter("entity_id = 4").collect()]
+    assert len(got) == 5 and "f63" in got

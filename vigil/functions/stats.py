@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.policy import DEFAULT, Policy
@@ -25,3 +25,28 @@ def peer_baseline(values: DataFrame, policy: Policy = DEFAULT, by: list[str] | N
     scale = F.coalesce(zero(F.when(F.col("n_peers") >= policy.min_peers, 1.4826 * F.col("mad"))), zero((F.col("q")[1] - F.col("q")[0]) / 1.349), zero(F.col("sd")))
     shrunk = (F.col("n") * F.col("value") + policy.shrink_k * F.col("mean")) / (F.col("n") + policy.shrink_k)
     return out.withColumns({"scale": scale, "shrunk": shrunk, "percentile": F.col("below") / F.col("n_peers") * 100, "thin": F.coalesce(F.col("n_peers"), F.lit(0)) < policy.min_peers}).withColumn("effect", F.round(F.col("sign") * (F.col("shrunk") - F.col("median")) / F.col("scale"), 6))
+
+
+def peer_deviations(values: DataFrame, by: list[str]) -> DataFrame:
+    """(entity_id, value, columns by) -> each row with the median of its peers without itself and the median of their
+    distances to it.
+
+    No pairs: leaving one row out of a ranked group moves the middle by at most one rank, so the three values around
+    the middle are enough. The peers' median takes at most three values in a group; distances are ranked for each.
+    """
+    rows = values.filter(F.col("value").isNotNull() & ~F.isnan("value")).dropna(subset=by)
+    first = _without_own(rows, by, "value", "median").filter("median is not null")
+    centres = first.select(*by, F.col("median").alias("centre")).distinct()
+    spread = first.join(centres, by).withColumn("away", F.abs(F.col("value") - F.col("centre")))
+    return _without_own(spread, [*by, "centre"], "away", "mad").filter("centre = median").drop("centre", "away")
+
+
+def _without_own(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Adds the median of the other rows' value in each group; null where there are none."""
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(value, "entity_id"))).withColumn("_k", F.count("*").over(Window.partitionBy(*by)))
+    at = lambda k: F.max(F.when(F.col("_r") == k, F.col(value)))
+    low, high = F.floor(F.col("_k") / 2), F.floor((F.col("_k") - 1) / 2) + 1  # middle ranks of k - 1 values
+    middle = ranked.groupBy(*by).agg(at(low).alias("_l0"), at(low + 1).alias("_l1"), at(high).alias("_h0"), at(high + 1).alias("_h1"))
+    pick = lambda k, same, next_: F.when(F.col("_r") <= k, F.col(next_)).otherwise(F.col(same))
+    out = ranked.join(middle, by).withColumn(name, F.when(F.col("_k") > 1, (pick(low, "_l0", "_l1") + pick(high, "_h0", "_h1")) / 2))
+    return out.drop("_r", "_k", "_l0", "_l1", "_h0", "_h1")

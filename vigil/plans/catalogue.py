@@ -643,6 +643,22 @@ def feature_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("r", F.row_number().over(w)).filter("r <= 2").select("entity_id", "feature", "effect")
 
 
+@query("""WITH x AS (SELECT vec_id AS entity_id, label AS cohort, 'f' || i AS feature, CAST(embedding[i + 1] AS DOUBLE) AS value FROM (SELECT *, unnest(range(0, len(embedding))) AS i FROM embeddings)),
+ p AS (SELECT a.entity_id, a.feature, a.value, b.value AS peer FROM x a JOIN x b ON a.cohort = b.cohort AND a.feature = b.feature AND a.entity_id <> b.entity_id),
+ m AS (SELECT entity_id, feature, any_value(value) AS value, median(peer) AS med FROM p GROUP BY ALL),
+ d AS (SELECT p.entity_id, p.feature, median(abs(peer - med)) AS mad FROM p JOIN m USING (entity_id, feature) GROUP BY ALL),
+ e AS (SELECT *, round((value - med) / CASE WHEN mad > 0 THEN 1.4826 * mad ELSE greatest(0.1 * abs(med), 1.0) END, 5) AS effect FROM m JOIN d USING (entity_id, feature))
+ SELECT entity_id, feature, effect FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY abs(effect) DESC, feature) AS r FROM e) WHERE r <= 5""")
+def all_feature_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five features, of all, in which each vector differs most from its peers, in robust units."""
+    rows = a.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("entity_id"), F.col("label").alias("cohort"), F.posexplode("embedding").alias("i", "x"))
+    e = stats.peer_deviations(rows.select("entity_id", "cohort", F.concat(F.lit("f"), "i").alias("feature"), F.col("x").cast("double").alias("value")), ["cohort", "feature"])
+    unit = F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).otherwise(F.greatest(0.1 * F.abs("median"), F.lit(1.0)))
+    e = e.withColumn("effect", F.round((F.col("value") - F.col("median")) / unit, 5))
+    w = Window.partitionBy("entity_id").orderBy(F.abs("effect").desc(), "feature")
+    return e.withColumn("r", F.row_number().over(w)).filter("r <= 5").select("entity_id", "feature", "effect")
+
+
 @query()
 def outlier_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leave-one-out isolation scores of entities from their closure time and thin-note share."""
