@@ -2,10 +2,13 @@
 
 import random
 import statistics
-from collections import defaultdict
+from collections import Counter, defaultdict
+
+import pytest
 
 from vigil.functions import stats
 from vigil.operators import indicators as ind
+from vigil.operators import sampling
 from vigil.plans import catalogue
 
 
@@ -63,3 +66,39 @@ def test_attributions_see_the_last_component(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, label long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = [r.feature for r in catalogue.QUERIES["all_feature_attributions"](spark, str(tmp_path)).filter("entity_id = 4").collect()]
     assert len(got) == 5 and "f63" in got
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_samples_are_capped_and_disjoint(spark):
+    population, targeted, controls = catalogue.samples(spark, SF, n=80, n_controls=40, per_analyst=2)
+    t, c = targeted.collect(), controls.collect()
+    assert t and max(Counter(r.analyst for r in t if r.analyst is not None).values()) <= 2 and all(r.risk > 0 for r in t)
+    assert not {(r.entity_id, r.case_id) for r in t} & {(r.entity_id, r.case_id) for r in c}
+    assert len(c) == 40 and sum(1 / r.pi for r in c) == pytest.approx(population.count() - len(t))
+    assert all(n == take for (_, take), n in Counter((r.stratum, r["take"]) for r in c).items())
+
+
+def test_unknown_severities_stay_in_the_frame(spark):
+    cases = spark.createDataFrame([("e", str(i), s) for i, s in enumerate(["HIGH", None, "ODD", "LOW"])], "entity_id string, case_id string, severity string")
+    got = {(r.case_id, r.stratum) for r in sampling.complement(cases, cases.filter("case_id = '3'"), ["HIGH", "LOW"]).collect()}
+    assert got == {("0", "HIGH"), ("1", "UNKNOWN"), ("2", "UNKNOWN")}
+
+
+def test_estimate_by_hand(spark):
+    targeted = spark.createDataFrame([(0.5, 1.0), (1.0, 1.0)], "pi double, y double")
+    chosen = spark.createDataFrame([("A", 2, 10, 0.2, 1.0), ("A", 2, 10, 0.2, 0.0), ("B", 1, 4, 0.25, 1.0)], "stratum string, take long, n_stratum long, pi double, y double")
+    r = sampling.estimate(targeted, chosen, spark.range(100)).first()
+    half = 1.959964 * (2 + 100 * 0.8 * 0.5 / 2 + 12) ** 0.5 / 100
+    assert (r.n_sampled, r.n_population, r.prevalence) == (5, 100, 0.12)
+    assert (r.low, r.high) == (pytest.approx(max(0, 0.12 - half), abs=1e-6), pytest.approx(0.12 + half, abs=1e-6))
+
+
+def test_evidence_counts_lead_back_to_the_values(spark):
+    n = {(r.indicator, r.entity_id): r.n_rows for r in catalogue.QUERIES["evidence_hashes"](spark, SF).collect()}
+    assert {k for k, _ in n} == {"eg01", "eg02", "eg06", "eg08", "eg09", "eg11"}
+    values = catalogue.indicator_values(spark, SF)
+    assert all(n[("eg01", r.entity_id)] == r.n for r in values["eg01"].collect())
+    for k in ("eg02", "eg06", "eg08"):
+        assert all(n.get((k, r.entity_id), 0) == pytest.approx(r.value * r.n) for r in values[k].collect())

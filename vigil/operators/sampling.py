@@ -49,3 +49,28 @@ def controls(frame: DataFrame, take: DataFrame, seed: str) -> DataFrame:
     w = Window.partitionBy("stratum").orderBy(F.sha2(F.concat_ws("|", F.lit(seed), "entity_id", "case_id"), 256), "case_id")
     rows = frame.join(F.broadcast(take.withColumnRenamed("size", "n_stratum")), "stratum").withColumn("_r", F.row_number().over(w)).filter("_r <= take")
     return rows.withColumn("pi", F.col("take") / F.col("n_stratum")).drop("_r")
+
+
+def complement(population: DataFrame, targeted: DataFrame, strata: list[str]) -> DataFrame:
+    """The control frame: cases that are not targeted, by severity; other and unknown severities form one stratum more."""
+    rest = population.join(targeted.select("entity_id", "case_id").distinct(), ["entity_id", "case_id"], "left_anti")
+    return rest.withColumn("stratum", F.when(F.col("severity").isin(strata), F.col("severity")).otherwise("UNKNOWN"))
+
+
+def estimate(targeted: DataFrame, chosen: DataFrame, population: DataFrame) -> DataFrame:
+    """Horvitz-Thompson prevalence of y over targeted cases (pi, y) and controls (stratum, take, n_stratum, pi, y).
+
+    The variance of targeted cases is that of independent draws; each stratum has that of simple random sampling,
+    or of independent draws if it gave one case. The 95 percent interval and the estimate stay within 0 and 1.
+    """
+    apart = (1 - F.col("pi")) / (F.col("pi") * F.col("pi")) * F.col("y")
+    drawn = targeted.agg(F.sum(F.col("y") / F.col("pi")).alias("total"), F.sum(apart).alias("variance"), F.count("*").alias("k"))
+    n, big = F.first("take"), F.first("n_stratum")
+    simple = F.when(n == 1, F.sum(apart)).otherwise(big * big * (1 - n / big) * F.var_samp("y") / n)
+    by_stratum = chosen.groupBy("stratum").agg(F.sum(F.col("y") / F.col("pi")).alias("total"), simple.alias("variance"), F.count("*").alias("k")).drop("stratum")
+    both = drawn.unionByName(by_stratum).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "variance", "k")))
+    rows = both.crossJoin(F.broadcast(population.agg(F.count("*").alias("n_population"))))  # one row each
+    inside = lambda c: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), 6)
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("total") / F.col("n_population")))
+    half = 1.959964 * F.sqrt("variance") / F.col("n_population")
+    return rows.filter("k > 0").select(F.col("k").alias("n_sampled"), "n_population", inside(p).alias("prevalence"), inside(p - half).alias("low"), inside(p + half).alias("high"))

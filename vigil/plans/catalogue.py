@@ -174,10 +174,7 @@ def eg06_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH v AS (SELECT o_custkey % 100 AS entity_id, o_orderkey AS k, 1 AS s, sha256(o_orderpriority || '|' || o_orderstatus) AS h FROM orders UNION ALL SELECT o_custkey % 100, o_orderkey, 2, sha256((CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderpriority END) || '|' || o_orderstatus) FROM orders), g AS (SELECT entity_id, k, count(DISTINCT h) AS nh, count(DISTINCT s) AS ns FROM v GROUP BY ALL) SELECT entity_id, round(avg(CASE WHEN nh > 1 THEN 1 ELSE 0 END), 6) AS value, count(*) AS n FROM g GROUP BY entity_id HAVING max(ns) >= 2")
 def eg11_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of records whose hash changed between two submissions."""
-    o = a.table(spark, sf_dir, "orders")
-    hashed = lambda p, s: o.select((F.col("o_custkey") % 100).alias("entity_id"), F.col("o_orderkey").alias("record_key"), F.lit(s).alias("submission"), F.sha2(F.concat_ws("|", p, "o_orderstatus"), 256).alias("record_hash"))
-    changed = F.when(F.col("o_orderkey") % 10 == 0, "X").otherwise(F.col("o_orderpriority"))
-    return _rounded(ind.eg11(hashed(F.col("o_orderpriority"), 1).unionByName(hashed(changed, 2))))
+    return _rounded(ind.eg11(versions(spark, sf_dir)))
 
 
 def grid(spark: SparkSession, sf_dir: str, *keys: str, category: str | None = None) -> DataFrame:
@@ -659,6 +656,83 @@ def all_feature_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("r", F.row_number().over(w)).filter("r <= 5").select("entity_id", "feature", "effect")
 
 
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(indicator, entity_id, row_id): the rows behind each value; for EG-02 those whose note is thin."""
+    c = year_cases(spark, sf_dir)
+    severe, closed, d = F.col("severity").isin(*ind.SEVERE), F.col("closed_s").isNotNull(), ind.duration()
+    sla = F.create_map(*(F.lit(x) for kv in DEFAULT.sla_s.items() for x in kv))[F.col("severity")]
+    dismissed = c.filter(severe & F.col("disposition").isin("FALSE_POSITIVE", "SUPPRESSED")).join(notes(spark, sf_dir), "note_ref", "left")
+    near = (F.col("closed_s") > F.col("boundary_s") - DEFAULT.boundary_hours * 3600) & (F.col("closed_s") <= F.col("boundary_s"))
+    rows = {
+        "eg01": c.filter(severe & closed & d.isNotNull()),
+        "eg02": dismissed.filter(F.coalesce(F.col("note_chars"), F.lit(0)) < DEFAULT.thin_note_chars),
+        "eg06": c.filter((F.col("severity") == "CRITICAL") & closed & F.col("escalation_level").isNull()).join(c.filter("escalated").select("entity_id", "case_id").distinct(), ["entity_id", "case_id"], "left_anti"),
+        "eg08": c.filter(closed & d.between(DEFAULT.sla_band * sla, sla)),
+        "eg09": c.filter(closed).join(boundaries(spark, sf_dir), "entity_id").filter(near),
+    }
+    return reduce(DataFrame.unionByName, (x.select(F.lit(k).alias("indicator"), "entity_id", F.col("case_id").alias("row_id")) for k, x in rows.items()))
+
+
+@query(f"""WITH {a.ENTITIES}, {YEAR}, e AS (SELECT DISTINCT entity_id, case_id FROM c WHERE escalated),
+ r AS (SELECT 'eg01' AS indicator, entity_id, case_id AS row_id FROM c WHERE severity IN ('HIGH', 'CRITICAL') AND closed_s IS NOT NULL AND d IS NOT NULL
+ UNION ALL SELECT 'eg02', entity_id, case_id FROM c LEFT JOIN documents ON note_ref = doc_id WHERE severity IN ('HIGH', 'CRITICAL') AND disposition IN ('FALSE_POSITIVE', 'SUPPRESSED') AND coalesce(length(text), 0) < 20
+ UNION ALL SELECT 'eg06', entity_id, case_id FROM c ANTI JOIN e USING (entity_id, case_id) WHERE severity = 'CRITICAL' AND closed_s IS NOT NULL AND escalation_level IS NULL
+ UNION ALL SELECT 'eg08', entity_id, case_id FROM c WHERE closed_s IS NOT NULL AND d BETWEEN 0.9 * CASE severity WHEN 'CRITICAL' THEN 900 WHEN 'HIGH' THEN 3600 WHEN 'MEDIUM' THEN 14400 ELSE 43200 END AND CASE severity WHEN 'CRITICAL' THEN 900 WHEN 'HIGH' THEN 3600 WHEN 'MEDIUM' THEN 14400 ELSE 43200 END
+ UNION ALL SELECT 'eg09', entity_id, case_id FROM c JOIN entities USING (entity_id) WHERE closed_s > epoch(TIMESTAMP '1997-01-01') - 172800 AND closed_s <= epoch(TIMESTAMP '1997-01-01')
+ UNION ALL SELECT 'eg11', o_custkey % 100, CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 10 = 0 AND o_orderpriority <> 'X')
+ SELECT indicator, entity_id, count(*) AS n_rows, sha256(string_agg(row_id, ',' ORDER BY row_id)) AS ids_hash FROM r GROUP BY ALL""")
+def evidence_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows behind each of the six indicators' values, as a count and a hash of their sorted ids."""
+    changed = versions(spark, sf_dir).groupBy("entity_id", "record_key").agg(F.countDistinct("record_hash").alias("h")).filter("h > 1")
+    rows = evidence(spark, sf_dir).unionByName(changed.select(F.lit("eg11").alias("indicator"), "entity_id", F.col("record_key").cast("string").alias("row_id")))
+    return rows.groupBy("indicator", "entity_id").agg(F.count("*").alias("n_rows"), F.sha2(F.array_join(F.array_sort(F.collect_list("row_id")), ","), 256).alias("ids_hash"))
+
+
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = a.table(spark, sf_dir, "orders")
+    hashed = lambda p, s: o.select((F.col("o_custkey") % 100).alias("entity_id"), F.col("o_orderkey").alias("record_key"), F.lit(s).alias("submission"), F.sha2(F.concat_ws("|", p, "o_orderstatus"), 256).alias("record_hash"))
+    changed = F.when(F.col("o_orderkey") % 10 == 0, "X").otherwise(F.col("o_orderpriority"))
+    return hashed(F.col("o_orderpriority"), 1).unionByName(hashed(changed, 2))
+
+
+def finding_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases with the sum of confidence times adverse effect over the findings whose evidence they are, in millionths."""
+    found = scoring.false_discovery(effects(spark, sf_dir)).filter(F.col("survives") & (scoring.ramp(F.col("effect")) > 0))
+    weight = found.select("entity_id", "indicator", (F.col("confidence") * F.greatest(F.lit(0.0), F.col("effect"))).alias("w"))
+    risk = evidence(spark, sf_dir).distinct().join(weight, ["entity_id", "indicator"]).groupBy("entity_id", F.col("row_id").alias("case_id")).agg(F.round(F.sum("w") * 1_000_000).cast("long").alias("risk"))
+    cases = year_cases(spark, sf_dir).groupBy("entity_id", "case_id").agg(F.min("analyst").alias("analyst"), F.max("severity").alias("severity"))
+    return shared.kept(cases.join(risk, ["entity_id", "case_id"], "left").withColumn("risk", F.coalesce("risk", F.lit(0).cast("long"))))
+
+
+def samples(spark: SparkSession, sf_dir: str, n: int = 100, n_controls: int = 60, per_analyst: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Population, targeted cases and controls."""
+    population = finding_risks(spark, sf_dir)
+    targeted = shared.kept(sampling.capped(sampling.proportional(population, n), per_analyst))
+    frame = sampling.complement(population, targeted, list(DEFAULT.sla_s))
+    take = sampling.allocation(frame.groupBy("stratum").agg(F.count("*").alias("size")), n_controls)
+    return population, targeted, sampling.controls(frame, take, "s")
+
+
+@query()
+def capped_targeted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases drawn in proportion to the risk of their findings, at most three of an analyst."""
+    return samples(spark, sf_dir)[1].select("entity_id", "case_id", "analyst", "risk", F.round("pi", 8).alias("pi"))
+
+
+@query()
+def complement_control_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Controls of each severity among the cases that were not targeted, in largest-remainder numbers."""
+    return samples(spark, sf_dir)[2].select("entity_id", "case_id", "stratum", "take", "n_stratum", F.round("pi", 8).alias("pi"))
+
+
+@query()
+def stratified_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prevalence of cases with findings from both samples, with an interval."""
+    population, targeted, controls = samples(spark, sf_dir)
+    y = (F.col("risk") > 0).cast("double")
+    return sampling.estimate(targeted.withColumn("y", y), controls.withColumn("y", y), population)
+
+
 @query()
 def outlier_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leave-one-out isolation scores of entities from their closure time and thin-note share."""
