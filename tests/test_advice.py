@@ -1,5 +1,6 @@
 """Whole definitions of indicators, attributions, samples and intervals, against plain versions."""
 
+import inspect
 import random
 import statistics
 from collections import Counter, defaultdict
@@ -8,7 +9,7 @@ import pytest
 
 from vigil.functions import stats
 from vigil.operators import indicators as ind
-from vigil.operators import sampling
+from vigil.operators import anomaly, sampling
 from vigil.plans import catalogue
 
 
@@ -102,3 +103,15 @@ def test_evidence_counts_lead_back_to_the_values(spark):
     assert all(n[("eg01", r.entity_id)] == r.n for r in values["eg01"].collect())
     for k in ("eg02", "eg06", "eg08"):
         assert all(n.get((k, r.entity_id), 0) == pytest.approx(r.value * r.n) for r in values[k].collect())
+
+
+def test_intervals_hold_the_point_rank(spark):
+    # equal scores all have rank 1, but their draws spread
+    df = spark.createDataFrame([(i, 1.0) for i in range(40)], "entity_id long, score double")
+    assert all(r.low == 1 and r.high >= 1 for r in anomaly.rank_intervals(df).collect())
+
+
+def test_defaults_are_those_of_the_survey():
+    signature = lambda f: {k: p.default for k, p in inspect.signature(f).parameters.items()}
+    assert (signature(anomaly.isolation)["trees"], signature(anomaly.isolation)["sample"]) == (100, 256)
+    assert signature(anomaly.rank_intervals)["draws"] == 400

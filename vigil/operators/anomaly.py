@@ -27,7 +27,7 @@ def _rest(n: int) -> float:
     return 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 1 else 0.0
 
 
-def isolation(rows: DataFrame, features: list[str], trees: int = 50, sample: int = 64, seed: int = 42) -> DataFrame:
+def isolation(rows: DataFrame, features: list[str], trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
     """(cohort, entity_id, features) -> score of each target against its peers without itself, and confidence.
 
     Each target is one group with its cohort, so targets spread over the cluster. Fewer than two peers or missing
@@ -52,11 +52,15 @@ def isolation(rows: DataFrame, features: list[str], trees: int = 50, sample: int
     return pairs.groupBy("entity_id").applyInPandas(score, "entity_id long, score double, confidence double")
 
 
-def rank_intervals(scores: DataFrame, draws: int = 100, spread: float = 0.15, seed: str = "r") -> DataFrame:
-    """Fifth and ninety-fifth percentile of each entity's rank when scores vary; normals come from hashes."""
+def rank_intervals(scores: DataFrame, draws: int = 400, spread: float = 0.15, seed: str = "r") -> DataFrame:
+    """Fifth and ninety-fifth percentile of each entity's rank when scores vary, widened to hold the rank of its score;
+    normals come from hashes."""
     n = scores.sparkSession.range(draws).select(F.col("id").alias("draw"))
     u = lambda k: (F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(f"{seed}{k}"), "entity_id", "draw"), 256), 1, 12), 16, 10).cast("double") + 1) / (16.0**12 + 1)
     normal = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * np.pi * u(2))
     drawn = scores.crossJoin(F.broadcast(n)).withColumn("drawn", F.col("score") * F.greatest(1 + spread * normal, F.lit(0.05)))
     ranked = drawn.withColumn("r", F.rank().over(Window.partitionBy("draw").orderBy(F.desc("drawn"))))
-    return ranked.groupBy("entity_id").agg(F.expr("percentile_disc(0.05) within group (order by r)").cast("long").alias("low"), F.expr("percentile_disc(0.95) within group (order by r)").cast("long").alias("high"))
+    spans = ranked.groupBy("entity_id").agg(F.expr("percentile_disc(0.05) within group (order by r)").cast("long").alias("low"), F.expr("percentile_disc(0.95) within group (order by r)").cast("long").alias("high"))
+    above = scores.groupBy("score").agg(F.count("*").alias("k")).withColumn("point", 1 + F.coalesce(F.sum("k").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each score
+    own = scores.join(above.select("score", "point"), "score").select("entity_id", "point")
+    return spans.join(own, "entity_id", "left").select("entity_id", F.least("low", "point").alias("low"), F.greatest("high", "point").alias("high"))
