@@ -286,7 +286,7 @@ def test_quality_tells_junk_from_clean(spark, docs):
 # --- op6 ---
 
 
-@pytest.mark.parametrize("settings", [embeddings.Settings(per_pivot=20, block=16), embeddings.Settings()])
+@pytest.mark.parametrize("settings", [embeddings.Settings(per_pivot=20, block=16), embeddings.Settings(per_pivot=4, fan=3, block=5), embeddings.Settings()])
 def test_embeddings_equal_plain(spark, settings):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 8))
@@ -303,6 +303,41 @@ def test_embeddings_equal_plain(spark, settings):
     assert got == {i: (int(near[i].sum()), int(label[i]), bool(label[i] == i)) for i in range(len(x))} | {i: (0, i, True) for i in range(900, 905)}
 
 
+def plain_links(rows, cosine=0.95):
+    """Brute force over rows (id, vector); rows of equal position in the result."""
+    unit = [None if v is None or any(x is None or not math.isfinite(x) for x in v) or not any(v) else np.array(v) / np.linalg.norm(v) for _, v in rows]
+    n, near = len(rows), [[] for _ in rows]
+    for i in range(n):
+        for j in range(n):
+            a, b = unit[i], unit[j]
+            if i != j and a is not None and b is not None and rows[i][0] is not None and rows[j][0] is not None and len(a) == len(b) and a @ b >= cosine:
+                near[i].append(j)
+    out = []
+    for i in range(n):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        ids = [rows[j][0] for j in seen if rows[j][0] is not None]
+        out.append((rows[i][0], len(near[i]), min(ids) if ids else None, bool(ids) and min(ids) == rows[i][0] or rows[i][0] is None))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_embeddings_of_several_lengths_and_repeated_ids(spark, kind):
+    rng = np.random.default_rng(5)
+    rows = [(1, [1.0, 0.0, 0.01]), (2, [1.0, 0.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 2.0]), (5, [0.0, 1.0, 0.0]), (5, [1.0, 0.0, 0.02]), (5, [3.0, 0.0, 0.06]), (6, []), (None, [1.0, 0.0, 0.0]), (7, None), (8, [math.inf, 1.0])]
+    rows += [(int(10 + i % 30), [float(x) for x in rng.normal(size=2 + i % 3)]) for i in range(60)]
+    if kind == "string":
+        rows = [(None if i is None else f"v{i:03d}", v) for i, v in rows]
+    df = spark.createDataFrame([(i, v, "clash") for i, v in rows], f"vec_id {kind}, embedding array<double>, key string")
+    for settings in (embeddings.Settings(), embeddings.Settings(per_pivot=3, fan=2, block=4)):
+        got = sorted((tuple(r) for r in embeddings.near_duplicates(df, settings).collect()), key=repr)
+        assert got == plain_links(rows)
+
+
 def test_no_embeddings(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embeddings.near_duplicates(df).count() == 0

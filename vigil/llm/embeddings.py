@@ -1,15 +1,17 @@
 """Near duplicates among embeddings: an exact range join in the metric of directions.
 
-Unit vectors whose cosine is at least c lie at most r = sqrt(2 - 2c) apart. Pivots, a bounded sample, cut space
-into cells by nearest pivot. By the triangle inequality a vector can only reach into another cell if it lies
-within r of the plane between the two pivots, and within r of the cell's radius around its pivot; it is copied to
-those cells. A pair across two cells is looked at in the cell of the smaller number only, so every pair is seen
-at most once. Cells join independently and large ones in blocks. Equal vectors count as one with a weight.
-
-Null and zero vectors, those with null or non-finite components, and those whose length is not the most frequent
-one link with nothing. Repeated rows are vectors of their own. Null ids form components like any other row that
-links with nothing. In data without structure most vectors lie near many planes; then copying, not a cap, is the
-price of exactness.
+Unit vectors whose cosine is at least c lie at most r = sqrt(2 - 2c) apart. Pivots cut a set of vectors into cells by
+nearest pivot. By the triangle inequality a vector can only reach into another cell if it lies within r of the plane
+between the two pivots, and within r of the cell's radius around its pivot; it is copied to those cells as a guest.
+A pair of home vectors of two cells is looked at in the cell of the smaller number only, so every pair is seen at
+most once. Cells that are still large are cut again by pivots of their own, and their guests are copied to all parts
+that they can reach. What is left joins independently, in blocks. Equal vectors count as one with a weight.
+
+Vectors are compared with vectors of their own length only: each length begins as a cell of its own. Null and zero
+vectors and those with null or non-finite components link with nothing. vec_id may have any type that can be ordered;
+it need not be unique: each row is a vector of its own, and rows that repeat an id are linked by their own vectors.
+Null ids link with nothing. Empty tables give no rows, and other columns are not read. In data without structure
+most vectors lie near many planes; then copying, not a cap, is the price of exactness.
 """
 
 from __future__ import annotations
@@ -28,114 +30,180 @@ from vigil.llm.session import written
 @dataclass(frozen=True)
 class Settings:
     cosine: float = 0.95
-    #: Vectors for each pivot, and pivots at most.
-    per_pivot: int = 1500
-    pivots: int = 512
+    #: Home vectors for each pivot; a cell of twice as many or more is cut again.
+    per_pivot: int = 4096
+    #: Pivots of one cell at most, all pivots of one level at most (they pass through the driver), and levels.
+    fan: int = 256
+    pivots: int = 32_768
+    levels: int = 3
     block: int = 2048
 
 
-def _unit(column: pa.Array, dim: int) -> np.ndarray:
-    x = np.asarray(column.flatten().cast(pa.float64())).reshape(-1, dim)
+@dataclass(frozen=True)
+class Cut:
+    """How one cell is cut: pivots, distances between them, and (once known) radii of the parts' home vectors."""
+
+    pivots: np.ndarray
+    between: np.ndarray
+    radius: np.ndarray
+
+
+def _unit(column: pa.Array) -> np.ndarray:
+    x = np.asarray(column.flatten().cast(pa.float64())).reshape(len(column), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0))
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * (x @ y.T), 0))
 
 
-def _visits(x: np.ndarray, home: np.ndarray, pivots: np.ndarray, between: np.ndarray, radius: np.ndarray, r: float) -> np.ndarray:
-    """Which cells of smaller number each vector may have neighbours in."""
-    d = _to_pivots(x, pivots)
-    own = d[np.arange(len(x)), home][:, None]
-    slack = r + 1e-6
-    near_plane = d**2 - own**2 <= 2 * slack * between[home]
-    return near_plane & (d <= radius[None, :] + slack) & (np.arange(len(pivots))[None, :] < home[:, None])
+def _visits(x: np.ndarray, guest: np.ndarray, cut: Cut, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest pivot of each vector, and the parts that it must be copied to: those of smaller number for home
+    vectors, all for guests."""
+    d = _distance(x, cut.pivots)
+    home = d.argmin(axis=1)
+    own, slack = d[np.arange(len(x)), home][:, None], r + 1e-6
+    near = (d**2 - own**2 <= 2 * slack * cut.between[home]) & (d <= cut.radius[None, :] + slack)
+    return home, near & (guest[:, None] | (np.arange(d.shape[1])[None, :] < home[:, None]))
 
 
-def _join(cosine: float, dim: int):
+def _join(cosine: float):
     """Links among the rows of one pair of blocks: per row, the weight of its links and a root to connect with."""
 
     def rows(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        ids, weight = np.asarray(group["id"]), np.asarray(group["weight"])
-        x = _unit(group["vec"].combine_chunks(), dim)
-        own, guest = np.asarray(group["own"]), np.asarray(group["guest"])
-        first, second = group["first"][0].as_py(), group["second"][0].as_py()
-        visitors = group["visitors"][0].as_py()
-        left = np.flatnonzero(~guest & (own == first)) if visitors else np.flatnonzero(own == first)
-        right = np.flatnonzero(guest) if visitors else np.flatnonzero(own == second)
+        key, weight = np.asarray(group["key"]), np.asarray(group["weight"])
+        x, own, guest = _unit(group["vec"].combine_chunks()), np.asarray(group["own"]), np.asarray(group["guest"])
+        first, second, visited = (group[c][0].as_py() for c in ("first", "second", "visited"))
+        left = np.flatnonzero(~guest & (own == first)) if visited else np.flatnonzero(own == first)
+        right = np.flatnonzero(guest) if visited else np.flatnonzero(own == second)
         i, j = np.nonzero(x[left] @ x[right].T >= cosine)
         i, j = left[i], right[j]
-        use = i < j if not visitors and first == second else slice(None)
+        use = i < j if not visited and first == second else slice(None)
         i, j = i[use], j[use]
-        n = (np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))).astype(np.int64)
+        n = (np.bincount(i, weight[j], len(key)) + np.bincount(j, weight[i], len(key))).astype(np.int64)
         some = n > 0
-        return pa.table({"id": ids[some], "n": n[some], "root": graphs.local_roots(ids, i, j)[some]})
+        return pa.table({"key": key[some], "n": n[some], "root": graphs.local_roots(key, i, j)[some]})
 
     return rows
 
 
+def _by_cell(batches, cuts: dict[int, Cut]):
+    """(cell's cut, rows of the cell in a batch); rows of other cells with None."""
+    for batch in batches:
+        cell = np.asarray(batch.column("cell"))
+        for one in np.unique(cell):
+            rows = batch.filter(pa.array(cell == one))
+            for at in range(0, rows.num_rows, 512) if one in cuts else [0]:
+                yield cuts.get(one), rows.slice(at, 512) if one in cuts else rows
+
+
+def _cut_cells(rows: DataFrame, big: dict[int, int], first_cell: int, r: float, s: Settings) -> tuple[DataFrame, int]:
+    """rows with the cells of big (cell -> home vectors) cut into parts, whose numbers begin at first_cell."""
+    spark = rows.sparkSession
+    fan = {c: min(s.fan, n // s.per_pivot, s.pivots // len(big)) for c, n in big.items()}
+    part = lambda c: min(1.0, 4 * fan[c] / big[c])
+    ticket = F.pmod(F.xxhash64("key", F.lit("pivot")), F.lit(1 << 30))
+    shares = spark.createDataFrame([(c, int(part(c) * (1 << 30))) for c in big], "cell long, share long")
+    drawn = rows.filter(~F.col("guest")).join(F.broadcast(shares), "cell").filter(ticket < F.col("share"))
+    vectors: dict[int, list] = {c: [] for c in big}
+    for row in drawn.select("cell", "vec", ticket.alias("t"), "key").orderBy("cell", "t", "key").toLocalIterator():  # some 4 x pivots
+        if len(vectors[row.cell]) < max(fan[row.cell], 1):
+            vectors[row.cell].append(row.vec)
+    cuts, start = {}, {}
+    for c, v in vectors.items():
+        if len(v) > 1:
+            x = np.array(v, float)
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            cuts[c], start[c] = Cut(x, _distance(x, x), np.full(len(x), np.inf)), first_cell
+            first_cell += len(x)
+    sent = spark.sparkContext.broadcast(cuts)
+
+    def radii(batches):
+        most = {c: np.full(len(cut.pivots), -np.inf) for c, cut in sent.value.items()}
+        for cut, part_ in _by_cell(batches, sent.value):
+            if cut is not None and part_.num_rows:
+                d = _distance(_unit(part_.column("vec")), cut.pivots)
+                home = d.argmin(axis=1)
+                np.maximum.at(most[part_.column("cell")[0].as_py()], home, d[np.arange(len(d)), home])
+        for c, x in most.items():
+            keep = np.flatnonzero(np.isfinite(x))
+            yield pa.RecordBatch.from_arrays([pa.array([c] * len(keep), pa.int64()), pa.array(keep), pa.array(x[keep])], ["cell", "part", "radius"])
+
+    found = rows.filter(~F.col("guest")).filter(F.col("cell").isin(list(cuts)) if len(cuts) < 500 else F.lit(True)).select("cell", "vec").mapInArrow(radii, "cell long, part long, radius double").groupBy("cell", "part").agg(F.max("radius").alias("radius"))
+    for cut in cuts.values():
+        cut.radius[:] = -np.inf
+    for row in found.toLocalIterator():  # a number for each pivot
+        cuts[row.cell].radius[row.part] = row.radius
+    known = spark.sparkContext.broadcast((cuts, start))
+
+    names = ["cell", "key", "weight", "vec", "guest"]
+
+    def moved(batches):
+        cuts_, start_ = known.value
+        for cut, rows_ in _by_cell(batches, cuts_):
+            if cut is None or not rows_.num_rows:
+                yield pa.RecordBatch.from_arrays(rows_.columns, names)
+                continue
+            guest = np.asarray(rows_.column("guest").to_numpy(zero_copy_only=False))
+            home, copies = _visits(_unit(rows_.column("vec")), guest, cut, r)
+            base = start_[rows_.column("cell")[0].as_py()]
+            row, cell = np.nonzero(copies)
+            stay = np.flatnonzero(~guest)
+            for at, to, is_guest in ((stay, home[stay], False), (row, cell, True)):
+                yield pa.RecordBatch.from_arrays([pa.array(base + to, pa.int64()), *(rows_.column(c).take(pa.array(at)) for c in ("key", "weight", "vec")), pa.array(np.full(len(at), is_guest))], names)
+
+    return written(rows.mapInArrow(moved, rows.schema), "cells"), first_cell
+
+
+def _homes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("cell").agg(F.count(F.when(~F.col("guest"), 1)).alias("n_home"), F.count(F.when(F.col("guest"), 1)).alias("n_guest"))
+
+
+def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Rows dealt so that home vectors of a cell meet each other once, and each meets every guest once."""
+    sizes = _homes(rows).filter("n_home > 0")
+    n = lambda c: F.greatest(F.ceil(F.col(c) / block), F.lit(1)).cast("int")
+    base = rows.join(sizes, "cell")
+    deal = lambda k: F.pmod(F.xxhash64("key"), k).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
+    home, guest = base.filter(~F.col("guest")), base.filter("guest")
+    inner = graphs.block_pairs(home.filter("n_home > 1"), "n_home", "key", block).withColumn("visited", F.lit(False))
+    hosts = home.filter("n_guest > 0").withColumn("own", deal(n("n_home"))).withColumn("first", F.col("own")).withColumn("second", each(n("n_guest"))).withColumn("visited", F.lit(True))
+    guests = guest.withColumn("own", deal(n("n_guest"))).withColumn("second", F.col("own")).withColumn("first", each(n("n_home"))).withColumn("visited", F.lit(True))
+    return inner.unionByName(hosts).unionByName(guests).drop("n_home", "n_guest")
+
+
 def near_duplicates(vectors: DataFrame, settings: Settings = Settings(), vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept."""
-    r = float(np.sqrt(2 - 2 * settings.cosine))
+    s, r = settings, float(np.sqrt(2 - 2 * settings.cosine))
     single = vectors.schema[embedding].dataType.simpleString() == "array<float>"
-    kind = "array<float>" if single else "array<double>"
-    every = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast(kind).alias("vec"))
+    every = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<float>" if single else "array<double>").alias("vec"))
     finite = ~F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = every.filter(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & finite & F.exists("vec", lambda v: v != 0))
-    common = usable.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim = common[0].dim if common else 1
-    usable = usable.filter(F.size("vec") == dim)
-    alike = written(usable.groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")), "vectors")
-    total = alike.count()
-    sample = alike.orderBy(F.xxhash64("id")).limit(max(1, min(settings.pivots, total // settings.per_pivot))).collect()
-    pivots = np.array([row.vec for row in sample], float).reshape(-1, dim)
-    pivots = pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
-    between = _to_pivots(pivots, pivots)
-
-    def homes(batches):
-        for batch in batches:
-            x = _unit(batch.column("vec"), dim)
-            d = _to_pivots(x, pivots)
-            home = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("weight"), batch.column("vec"), pa.array(home.astype(np.int32)), pa.array(d[np.arange(len(x)), home])], ["id", "weight", "vec", "cell", "d"])
-
-    at_home = written(alike.mapInArrow(homes, f"id long, weight long, vec {kind}, cell int, d double"), "cells")
-    cells = {c.cell: c for c in at_home.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("radius")).collect()}
-    size = np.array([cells[i].n if i in cells else 0 for i in range(len(pivots))])
-    radius = np.array([cells[i].radius if i in cells else -np.inf for i in range(len(pivots))])
-
-    def reach(batch):
-        return _visits(_unit(batch.column("vec"), dim), np.asarray(batch.column("cell")), pivots, between, radius, r)
-
-    def counts(batches):
-        for batch in batches:
-            n = reach(batch).sum(axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n.astype(np.int64))], ["cell", "n"])
-
-    def visits(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                row, cell = np.nonzero(reach(part))
-                yield part.take(pa.array(row)).set_column(3, "cell", pa.array(cell.astype(np.int32)))
-
-    guests = {c.cell: c.n for c in at_home.mapInArrow(counts, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
-    by_cell = lambda values: F.element_at(F.array(*(F.lit(int(v)) for v in values)), F.col("cell") + 1)
-    blocks = -(-size // settings.block)
-    guest_blocks = np.array([-(-guests.get(i, 0) // settings.block) for i in range(len(pivots))])
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1))).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    base = at_home.select("id", "weight", "vec", "cell")
-    inner = graphs.block_pairs(base.withColumn("size", by_cell(size)), "size", "id", settings.block).drop("size").withColumns({"guest": F.lit(False), "visitors": F.lit(False)})
-    hosts = base.filter(by_cell(guest_blocks) > 0).withColumn("own", deal(by_cell(blocks))).withColumn("first", F.col("own")).withColumn("second", each(by_cell(guest_blocks))).withColumn("guest", F.lit(False))
-    visitors = at_home.mapInArrow(visits, at_home.schema).drop("d").withColumn("own", deal(by_cell(guest_blocks))).withColumn("second", F.col("own")).withColumn("first", each(by_cell(blocks))).withColumn("guest", F.lit(True))
-    outer = hosts.unionByName(visitors).withColumn("visitors", F.lit(True))
-    found = inner.unionByName(outer).groupBy("cell", "first", "second", "visitors").applyInArrow(_join(settings.cosine, dim), "id long, n long, root long")
+    alike = usable.groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
+    alike = written(alike.withColumn("key", F.monotonically_increasing_id()), "vectors")
+    rows = alike.select(F.size("vec").cast("long").alias("cell"), "key", "weight", "vec", F.lit(False).alias("guest"))
+    first_cell = 1 << 32
+    for _ in range(s.levels):
+        big = {c.cell: c.n_home for c in _homes(rows).filter(F.col("n_home") >= 2 * s.per_pivot).orderBy(F.desc("n_home"), "cell").limit(s.pivots // 2).collect()}
+        if not big:
+            break
+        rows, cells = _cut_cells(rows, big, first_cell, r, s)
+        if cells == first_cell:
+            break
+        first_cell = cells
+    found = _in_blocks(rows, s.block).groupBy("cell", "first", "second", "visited").applyInArrow(_join(s.cosine), "key long, n long, root long")
     found = written(found, "links")
-    links = found.groupBy("id").agg(F.sum("n").alias("n"))
-    parts = graphs.components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    rep = alike.select("vec", "weight", "id").join(links, "id", "left").join(parts, "id", "left")
+    links = found.groupBy("key").agg(F.sum("n").alias("n"))
+    parts = graphs.components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("key"), F.col("component_id").alias("top"))
+    linked = alike.select("key", "id").join(parts, "key")
+    least = linked.groupBy("top").agg(F.min("id").alias("component_id"))
+    linked = linked.join(least, "top").select("key", "component_id")
+    rep = alike.join(links, "key", "left").join(linked, "key", "left")
     rep = rep.select("vec", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    out = every.join(rep, "vec", "left").select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id"))
+    named = every.filter(F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).join(rep, "vec", "left")
+    bare = every.filter(F.col("vec_id").isNull() | F.col("vec").isNull()).select("vec_id", "vec", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = named.unionByName(bare)
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
