@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -426,6 +427,74 @@ def test_windows_hold_the_mixture():
     assert places == list(range(8200))
 
 
+def plain_round_robin(totals, weights, window):
+    """Deficit round-robin played window by window: tokens that each queue has given by the end of each window."""
+    given, credit, out = [0] * len(totals), [Fraction(0)] * len(totals), []
+    while any(g < t for g, t in zip(given, totals)):
+        live = [w if g < t else 0 for w, g, t in zip(weights, given, totals)]
+        if not sum(live):
+            live = [int(g < t) for g, t in zip(given, totals)]
+        if out and live != last:  # noqa: F821
+            credit = [Fraction(0)] * len(totals)
+        last = live  # noqa: F841
+        for q, w in enumerate(live):
+            credit[q] += Fraction(w * window, sum(live))
+            take = min(int(credit[q]), totals[q] - given[q])
+            credit[q] -= take
+            given[q] += take
+        out.append(list(given))
+    return out
+
+
+@pytest.mark.parametrize("weights", [[1, 3, 7], [5, 1, 0], [2, 2, 2]])
+def test_windows_equal_the_plain_round_robin(weights):
+    totals, window = [5000, 3000, 777], 400
+    schedule = packing.Schedule(totals, weights, window)
+    for w, given in enumerate(plain_round_robin(totals, weights, window), 1):
+        assert schedule.given(w) == given
+
+
+def test_many_sources_with_weights(spark):
+    """More sources than queues: all levels keep every token, and each window holds the weighted sources' shares."""
+    rows = [(i, f"{i} " * (20 + i % 7), "en", f"s{i % 90}", 1) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    byte_ids = lambda: lambda text: np.frombuffer(text.encode() + b"\1", np.uint8).astype(np.uint32)
+    tokens = packing.tokenised(df, byte_ids)
+    ids = {r[0]: byte_ids()(r[1]) for r in rows}
+    source = {r[0]: r[3] for r in rows}
+    for weights, temper in ((None, None), (None, 0.5), ({f"s{i}": 1 + i for i in range(80)}, None)):
+        got = packing.packed(tokens, weights, window_sequences=4, temper=temper, top=5, in_group=4).collect()
+        check_pieces(got, ids)
+        window = 4 * 2048
+        share = Counter()
+        for r in got:
+            if (r.sequence_id * 2048) // window == 0:
+                share[source[r.doc_id]] += r.length
+        if weights:  # the top queues are those of the largest of the weighted sources
+            totals = Counter()
+            for i, x in ids.items():
+                totals[source[i]] += len(x)
+            first = sorted(weights, key=lambda k: (-totals[k], k))[:5]
+            for k in first:
+                assert abs(share[k] - min(totals[k], window * weights[k] / sum(weights.values()))) <= 1
+
+
+def test_windows_of_the_query_hold_its_mixture(spark, docs):
+    rows = queries.op8_packing(spark, "/root/testdata/sf0.001").collect()
+    source = {r.doc_id: r.source for r in docs.collect()}
+    totals, places = Counter(), defaultdict(list)
+    for r in rows:
+        totals[source[r.doc_id]] += r.length
+        places[source[r.doc_id]].append((r.sequence_id * 2048 + r.offset, r.length))
+    names = sorted(totals, key=lambda k: (-totals[k], k))
+    weights = [max(1, round(1000 * totals[k] ** queries.MIXTURE_POWER)) for k in names]
+    assert len(set(weights)) > 1
+    for w, given in enumerate(plain_round_robin([totals[k] for k in names], weights, 2048 * 64), 1):
+        end = sum(given)
+        for k, g in zip(names, given):
+            assert sum(min(n, max(0, end - at)) for at, n in places[k]) == g
+
+
 # --- op9 ---
 
 

@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from vigil.llm import words as wd
 from vigil.llm.session import written
 
-REST = "\0rest"
-#: A join side of at most so many rows of three numbers and a name is broadcast; a larger one is shuffled.
+#: A join side of at most so many rows is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 100_000
+#: Sources with a queue of their own at the top; each of the groups that share the last queue holds some so many.
+TOP, IN_GROUP = 255, 64
 
 
 @dataclass
@@ -59,7 +60,7 @@ class Schedule:
 
     def _at(self, w: int) -> tuple[list[int], int]:
         if (known := self.ends.get(w)) is None:
-            if len(self.ends) > 50_000:
+            if len(self.ends) * len(self.totals) > 4_000_000:
                 self.ends.clear()
             given = self.given(w)
             known = self.ends[w] = (given, sum(given))
@@ -111,32 +112,68 @@ def tokenised(docs: DataFrame, encode: Callable[[], Callable[[str], np.ndarray]]
     return written(view.mapInArrow(rows, f"doc_id {kind}, part long, source string, before long, n long, wide boolean, ids binary"), "packing-tokens")
 
 
-def packed(tokens: DataFrame, weights: dict[str, int] | None = None, length: int = 2048, window_sequences: int = 64, max_queues: int = 256) -> DataFrame:
-    """Pieces of the documents of tokenised(). weights: target tokens of each source in proportion; without them
-    the sources' own sizes. The largest max_queues - 1 sources (all that have weights come first) get queues of
-    their own, all others share one more. Null sources count as the empty name; repeated rows are documents of
-    their own; an empty table gives no pieces."""
+def packed(tokens: DataFrame, weights: dict[str, int] | None = None, length: int = 2048, window_sequences: int = 64, temper: float | None = None, top: int = TOP, in_group: int = IN_GROUP) -> DataFrame:
+    """Pieces of the documents of tokenised().
+
+    weights: target tokens of each source in proportion (others get none until these have run dry); without them the
+    sources' sizes, or, with temper, their sizes to that power. The top largest sources (those with weights first)
+    have queues of their own. All others share one queue more, which is filled by the same round-robin over groups of
+    sources, and each group by the same over its sources; a queue's weight is the sum of its sources' weights. So there
+    is no limit on the number of sources. The driver holds a number for each queue of the two upper levels.
+
+    Null sources count as the empty name; repeated rows are documents of their own; an empty table gives no pieces.
+    """
+    window = length * window_sequences
     sums = written(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "packing-sums")
     by_source = sums.groupBy("source").agg(F.sum("n").alias("n"))
+    if weights is None:
+        own = F.col("n") if temper is None else F.greatest(F.lit(1), F.round(1000 * F.pow(F.col("n"), F.lit(temper)))).cast("long")
+    else:
+        own = F.coalesce(F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(int(v)))))[F.col("source")], F.lit(0)) if weights else F.lit(0)
     named = F.col("source").isin(list(weights or {}))
-    largest = by_source.orderBy(named.desc(), F.desc("n"), "source").limit(max_queues - 1).collect()
+    by_source = by_source.withColumn("weight", own.cast("long"))
+    largest = by_source.orderBy(named.desc(), F.desc("n"), "source").limit(top).collect()
     queues = {r.source: i for i, r in enumerate(largest)}
-    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    totals = [r.n for r in largest] + [total - sum(r.n for r in largest)]
-    shares = totals if weights is None else [weights.get(r.source, 0) for r in largest] + [0]
-    schedule = Schedule(totals, shares, length * window_sequences)
-    number = F.create_map(*(x for name, i in queues.items() for x in (F.lit(name), F.lit(i)))) if queues else F.create_map(F.lit(""), F.lit(0))
-    order = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.withColumn("queue", F.coalesce(number[F.col("source")], F.lit(len(queues)))).withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))).select("part", "source", "queue", "base")
+    rest = by_source.filter(~F.col("source").isin(list(queues))) if queues else by_source
+    n_groups = max(1, -(-rest.count() // in_group))
+    rest = rest.withColumn("group", F.pmod(F.xxhash64("source"), F.lit(n_groups)).cast("int"))
+    shared = {r.group: r for r in rest.groupBy("group").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).collect()}
+    groups = [shared[g] for g in sorted(shared)]
+    upper = Schedule([r.n for r in largest] + [sum(r.n for r in groups)], [r.weight for r in largest] + [sum(r.weight for r in groups)], window)
+    middle = Schedule([r.n for r in groups], [r.weight for r in groups], window)
+    place_of_group = {g: i for i, g in enumerate(sorted(shared))}
+    leaf = Window.partitionBy("group")
+    listed = lambda c: F.array_sort(F.collect_list(F.struct("source", c)).over(leaf))[c].alias(f"{c}s")
+    within = rest.select("source", "group", (F.row_number().over(leaf.orderBy("source")) - 1).alias("at"), listed("n"), listed("weight"))
+    order = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.create_map(*(x for name, i in queues.items() for x in (F.lit(name), F.lit(i)))) if queues else F.create_map(F.lit(""), F.lit(None).cast("int"))
+    bases = sums.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n").withColumn("queue", number[F.col("source")]).join(within, "source", "left")
     if sums.count() <= BROADCAST_ROWS:
         bases = F.broadcast(bases)
 
     def rows(batches):
+        leaves: dict[int, Schedule] = {}
+
+        def places(queue, group, at, ns, ws, start, n):
+            """(offset in the document, length, place in the whole stream), through the levels."""
+            if queue is not None:
+                yield from upper.spans(queue, start, n)
+                return
+            if group not in leaves:
+                if len(leaves) > 64:
+                    leaves.clear()
+                leaves[group] = Schedule(ns, ws, window)
+            for a, m, x in leaves[group].spans(at, start, n):
+                for b, k, y in middle.spans(place_of_group[group], x, m):
+                    for c, j, z in upper.spans(len(upper.totals) - 1, y, k):
+                        yield a + b + c, j, z
+
         for batch in batches:
             out = []
-            for doc, base, before, n, queue, wide, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "base", "before", "n", "queue", "wide", "ids"))):
+            names = ("doc_id", "base", "before", "n", "queue", "group", "at", "ns", "weights", "wide", "ids")
+            for doc, base, before, n, queue, group, at, ns, ws, wide, ids in zip(*(batch.column(c).to_pylist() for c in names)):
                 raw = np.frombuffer(ids, "<u4" if wide else "<u2").astype("<u4")
-                for start, size, place in schedule.spans(queue, base + before, n):
+                for start, size, place in places(queue, group, at, ns, ws, base + before, n):
                     while size:
                         used = min(size, length - place % length)
                         out.append((doc, start, used, zlib.crc32(raw[start : start + used].tobytes()), n, place // length, place % length))
