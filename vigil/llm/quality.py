@@ -6,8 +6,14 @@ all documents, by Jensen-Shannon distance; the closest language counts, so a wro
 Short texts scatter widely around their language. So a distance counts only from a least length on, and the
 threshold is raised by what chance adds at the text's length.
 
-Null and empty texts: no words; they fail the length rule. Null languages are left out of the references.
-Repeated rows are judged alike. Columns of the input are passed on or dropped, never renamed.
+A language with too little text in the corpus has no reference. Documents tagged with such a language are judged by
+the base rules only, as foreign references would say nothing about them; documents of all other languages, and those
+without a tag, are judged by the closest reference. With no reference at all the base rules alone decide.
+
+Null and empty texts: no words; they fail the length rule. Null languages are left out of the references. Of equally
+common words the one of smaller hash is taken. Repeated rows are judged alike. Very long texts are judged whole, one
+at a time. Columns of the input are passed on or dropped, never renamed; a table without a language column is judged
+as one without tags.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm import words as wd
+from vigil.llm.session import written
 
 SYMBOLS = b"#*$%&|<>"
 #: Classes of characters: letters, digits, blanks, line feeds, full stops, commas, other marks, other ASCII,
@@ -102,6 +109,8 @@ class References:
     vocabulary: np.ndarray
     chars: np.ndarray
     words: np.ndarray
+    #: Languages of the corpus that have too little text for a reference.
+    rare: tuple[str, ...] = ()
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> References:
@@ -111,7 +120,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", rules: R
         .mapInArrow(_count_rows, "lang string, kind int, key long, n long")
         .groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     )
-    # one aggregation serves the totals and the ranking; both are small after their own partial steps
+    counts = written(counts, "word-counts")  # one row per language and distinct word; ranked and added up below
     rank = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
     top = counts.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= rules.common_words)
     rows = top.collect()
@@ -131,7 +140,8 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", rules: R
     for i, name in enumerate(names):
         words[i, -1] = totals[name] - words[i].sum()
     scale = lambda m: m / np.maximum(m.sum(axis=1, keepdims=True), 1)
-    return References(vocabulary, scale(chars), scale(words))
+    seen = {r.lang for r in rows}
+    return References(vocabulary, scale(chars), scale(words), tuple(sorted(seen - set(names))))
 
 
 def _entropy(p: np.ndarray) -> np.ndarray:
@@ -149,6 +159,7 @@ def distances(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
 
 
 def _measures(part: pa.RecordBatch, refs: References, rules: Rules) -> dict[str, np.ndarray]:
+    """Measures of the rows of part (text, lang)."""
     data, at = wd.text_bytes(part.column("text"))
     n = len(at) - 1
     seg = wd.segments(data, at, _SPACE)
@@ -181,8 +192,9 @@ def _measures(part: pa.RecordBatch, refs: References, rules: Rules) -> dict[str,
         by_chars = distances(classes, refs.chars).min(axis=1)
         by_words = distances(common, refs.words).min(axis=1)
     chance = lambda bins, size: rules.slack * np.sqrt(bins / np.maximum(size, 1))
-    odd_chars = (n_chars >= rules.class_min_chars) & (by_chars > rules.class_distance + chance(N_CLASSES / 2, n_chars))
-    odd_words = (n_letter_words >= rules.word_min_words) & (by_words > rules.word_distance + chance(rules.common_words / 4, n_letter_words))
+    judged = np.array([x not in refs.rare for x in part.column("lang").to_pylist()], bool) if refs.rare else np.ones(n, bool)
+    odd_chars = judged & (n_chars >= rules.class_min_chars) & (by_chars > rules.class_distance + chance(N_CLASSES / 2, n_chars))
+    odd_words = judged & (n_letter_words >= rules.word_min_words) & (by_words > rules.word_distance + chance(rules.common_words / 4, n_letter_words))
     return {
         "n_words": n_words, "word_chars": wd.sums_per_doc(inside, at),
         "n_symbols": classes[:, 9:].sum(axis=1), "n_dup_lines": np.bincount(line_doc, minlength=n) - np.bincount(line_doc[kept_line], minlength=n),
@@ -193,7 +205,11 @@ def _measures(part: pa.RecordBatch, refs: References, rules: Rules) -> dict[str,
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
 
 
-def measured(docs: DataFrame, refs: References, text: str = "text", doc_id: str = "doc_id", rules: Rules = Rules()) -> DataFrame:
+def _tag(docs: DataFrame, lang: str):
+    return (F.col(lang) if lang in docs.columns else F.lit(None)).cast("string").alias("lang")
+
+
+def measured(docs: DataFrame, refs: References, text: str = "text", doc_id: str = "doc_id", rules: Rules = Rules(), lang: str = "lang") -> DataFrame:
     """One row per row of docs: its id and the measures."""
 
     def rows(batches):
@@ -203,16 +219,19 @@ def measured(docs: DataFrame, refs: References, text: str = "text", doc_id: str
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, m.values())], ["doc_id", *m])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(rows, f"doc_id {kind}, {MEASURES}")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), _tag(docs, lang)).mapInArrow(rows, f"doc_id {kind}, {MEASURES}")
 
 
-def kept(docs: DataFrame, refs: References, text: str = "text", rules: Rules = Rules()) -> DataFrame:
+def kept(docs: DataFrame, refs: References, text: str = "text", rules: Rules = Rules(), lang: str = "lang") -> DataFrame:
     """The rows of docs that pass, with all their columns; no join, so any column may be null or repeat."""
+    places = [docs.columns.index(text), docs.columns.index(lang) if lang in docs.columns else None]
 
     def rows(batches):
         for batch in batches:
-            for part in wd.slices(batch.append_column("\1text", batch.column(text)), "\1text", 1 << 20):
-                view = pa.RecordBatch.from_arrays([part.column(part.num_columns - 1)], ["text"])
-                yield part.select(list(range(part.num_columns - 1))).filter(pa.array(_measures(view, refs, rules)["kept"]))
+            tag = pa.nulls(batch.num_rows, pa.string()) if places[1] is None else batch.column(places[1]).cast(pa.string())
+            view, done = pa.RecordBatch.from_arrays([batch.column(places[0]).cast(pa.string()), tag], ["text", "lang"]), 0
+            for part in wd.slices(view, "text", 1 << 20):
+                yield batch.slice(done, part.num_rows).filter(pa.array(_measures(part, refs, rules)["kept"]))
+                done += part.num_rows
 
     return docs.mapInArrow(rows, docs.schema)
