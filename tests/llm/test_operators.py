@@ -1,12 +1,17 @@
 """Each operator against a plain version on small tables, and on odd and empty tables."""
 
+import base64
+import gzip
 import hashlib
+import html
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -562,28 +567,122 @@ def test_windows_of_the_query_hold_its_mixture(spark, docs):
 # --- op9 ---
 
 
-def test_warc_links_and_digests(spark):
+class PlainPage(HTMLParser):
+    """Text, title, language and links by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.out, self.links, self.title, self.lang, self.hidden, self.in_title = [], [], None, None, 0, False
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(reversed(attrs))
+        if tag in warc.HIDDEN:
+            self.out.append(" ")
+            self.hidden += 1
+        if tag in warc.BLOCKS:
+            self.out.append("\n")
+        self.in_title = tag == "title" and self.title is None
+        if self.in_title:
+            self.title = ""
+        if tag == "html" and self.lang is None:
+            self.lang = attrs.get("lang")
+        if tag == "a" and (href := " ".join((attrs.get("href") or "").split())) and href not in self.links:
+            self.links.append(href)
+
+    handle_startendtag = handle_starttag
+
+    def handle_endtag(self, tag):
+        if tag in warc.HIDDEN:
+            self.hidden -= 1
+        elif tag in warc.BLOCKS:
+            self.out.append("\n")
+        self.in_title = False
+
+    def handle_comment(self, data):
+        self.out.append(" ")
+
+    def text_of(self, raw):
+        if not self.hidden:
+            self.out.append(raw)
+            if self.in_title:
+                self.title += raw
+
+    def handle_data(self, data):
+        self.text_of(data)
+
+    def handle_entityref(self, name):
+        self.text_of(f"&{name};")
+
+    def handle_charref(self, name):
+        self.text_of(f"&#{name};")
+
+
+def plain_page(page):
+    p = PlainPage()
+    p.feed(page)
+    p.close()
+    text = re.sub(r"\s*\n\s*", "\n", re.sub("[ \t\r\f\v\xa0]+", " ", html.unescape("".join(p.out)))).strip()
+    return text, p.title and " ".join(html.unescape(p.title).split()), p.lang, p.links
+
+
+def sha1_32(data):
+    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def test_warc_equals_the_library_parser(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    rows = warc.derivatives(pages).collect()
-    assert len(rows) == 2 * pages.count()
-    source = {r.page_id: r for r in pages.collect()}
-    for r in rows:
-        made = warc.response(r.page_id, source[r.page_id].url, source[r.page_id].html, "1970-01-01T00:00:00Z")
-        assert r.refers_to == made["record_id"] and r.source_payload_digest == warc.digest(source[r.page_id].html.encode())
-        assert r.block_digest == warc.digest(r.block.encode()) and r.content_length == len(r.block.encode())
-        head, _, block = bytes(r.record).partition(b"\r\n\r\n")
-        assert block == r.block.encode() + b"\r\n\r\n" and f"WARC-Refers-To: {r.refers_to}".encode() in head
-        if r.record_type == "metadata":
-            assert f"http-Content-Length: {len(made['body'])}" in r.block
-        else:
-            assert "<" not in re.sub(r"<(?![a-z/!])", "", r.block) or "&lt;" in source[r.page_id].html
+    rows = defaultdict(dict)
+    for r in queries.op9_warc(spark, "/root/testdata/sf0.001").collect():
+        rows[r.page_id][r.record_type] = r
+    assert len(rows) == pages.count()
+    sources = {r.page_id: r for r in warc.responses(pages).collect()}
+    assert len({r.record_id for r in sources.values()}) == len(sources)
+    for p in pages.collect():
+        text, title, lang, links = plain_page(p.html)
+        one, two, source, body = rows[p.page_id]["metadata"], rows[p.page_id]["conversion"], sources[p.page_id], p.html.encode()
+        assert bytes(source.body) == body and source.payload_digest == sha1_32(body) and source.target_uri == p.url
+        assert two.block == text
+        fields = [x.split(": ", 1) for x in one.block.split("\r\n")[:-1]]
+        assert [v for k, v in fields if k == "title"] == ([title] if title is not None else [])
+        assert [v for k, v in fields if k == "language"] == ([lang] if lang else [])
+        assert [v for k, v in fields if k == "outlink"] == links
+        assert ["http-Content-Length", str(len(body))] in fields
+        for r in (one, two):
+            assert r.refers_to == source.record_id and r.source_payload_digest == sha1_32(body) and r.refers_to_target_uri == p.url
+            assert r.block_digest == sha1_32(r.block.encode()) and r.content_length == len(r.block.encode())
+            head, _, block = bytes(r.record).partition(b"\r\n\r\n")
+            assert block == r.block.encode() + b"\r\n\r\n" and f"WARC-Refers-To: {r.refers_to}".encode() in head
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_warc_files_keep_the_sources_own_ids_and_digests(spark, tmp_path, packed):
+    pages = [{"record_id": f"<urn:uuid:{i}>", "target_uri": f"http://a/{i}" if i else None, "date": f"2026-01-0{i + 1}T00:00:00Z", "http_header": f"HTTP/1.1 200 OK\r\nX-Own: {i}\r\n\r\n".encode(), "body": f"<title>t{i}</title><p>WARC/1.1 body {i}</p>".encode(), "payload_digest": f"sha1:OWN{i}"} for i in range(5)]
+    data = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" + b"".join(map(warc.response_bytes, pages))
+    (tmp_path / "a.warc").write_bytes(gzip.compress(data) if packed else data)
+    source = warc.read_responses(spark, str(tmp_path))
+    assert [(r.record_id, r.target_uri, bytes(r.body)) for r in source.orderBy("page_id").collect()] == [(p["record_id"], p["target_uri"], p["body"]) for p in pages]
+    for r in warc.derivatives(source).collect():
+        p = pages[r.page_id]
+        assert (r.refers_to, r.refers_to_date, r.source_payload_digest, r.refers_to_target_uri) == (p["record_id"], p["date"], p["payload_digest"], p["target_uri"])
+        assert r.record_type == "conversion" or f"http-X-Own: {r.page_id}\r\ntitle: t{r.page_id}\r\n" in r.block
+    assert list(warc.parse(data[:-30])) == list(warc.parse(data))[:-1]
 
 
 def test_warc_text_and_odd(spark):
     assert warc.plain_text("<p>a<b>b</b> &amp; c</p><script>var x='</p>'</script><!-- no -->d") == "ab & c\nd"
     assert warc.plain_text("<" * 5000) == "<" * 5000
-    df = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", "x" * 100_000)], "page_id long, url string, html string")
-    assert warc.derivatives(df).count() == 6 and warc.derivatives(df.limit(0)).count() == 0
+    assert warc.read_page("<a title='x>y' href=\"u>v\">t</a> 1 < 2 <b")[0::3] == ("t 1 < 2 <b", ["u>v"])
+    df = spark.createDataFrame([(1, None, None, "c"), (None, "u", "", "c"), (2, "u", "x" * 100_000, "c"), (2, "u", "x" * 100_000, "c")], "page_id long, url string, html string, record_id string")
+    got = warc.derivatives(warc.responses(df)).collect()
+    assert len(got) == 8 and len({r.record_id for r in got}) == 6 and warc.derivatives(warc.responses(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("piece", ["<a href", "<a href='", "<title>", "<html lang=", "<!--", "<script>", "<p", "<a x=\"'>", "</script", "= ", "<a href=\"x\" ", "&#"])
+def test_hostile_markup_takes_linear_time(piece):
+    page = piece * (1_000_000 // len(piece))
+    start = time.process_time()
+    warc.read_page(page)
+    assert time.process_time() - start < 5
 
 
 # --- op10 ---

@@ -99,7 +99,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derivatives(table(spark, sf_dir, "pages"))
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

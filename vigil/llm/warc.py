@@ -1,32 +1,38 @@
-"""WARC derivatives of crawled pages: linked metadata records and plain-text conversion records.
+"""WARC derivatives: linked metadata records and plain-text conversion records of response records.
 
-Each page is a response record: a record id that follows from page and address, the HTTP header and body, and
-SHA-1 digests of block and payload. Each response yields a metadata record (the source's HTTP header, title,
-language and links as warc-fields) and a conversion record (the text of the page). Both refer to the response by
-its record id and carry its address, date and payload digest.
+A response has a record id, an address, a date, an HTTP header and a body. responses() makes them of crawled pages,
+with ids that follow from page and address; read_responses() reads them from WARC files with the ids, headers, dates
+and digests that stand there. derivatives() gives each response a metadata record (the source's HTTP header, title,
+language and links as warc-fields) and a conversion record (the text of the page). Both refer to the response by its
+record id and carry its address, date and payload digest; the digest is the source's own where it states one.
 
-Null html counts as an empty body and null addresses as none; repeated rows give equal records. One page is held
-at a time; no shuffle is needed.
+Markup is read forward once, tag by tag; whatever is never closed ends the reading, so hostile and very long pages
+take linear time. Null html counts as an empty body and null addresses as none; null dates are written as the date of
+the run's parameter. Repeated rows give equal records. Columns beside those named are not read, so their names may
+clash. An empty table gives no records. One page is held at a time; no shuffle is needed.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html as entities
 import re
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BLOCK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|nav|header|footer|main|aside|blockquote|pre|form|title|head|body|html)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<(?:a|area)\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Elements whose content is not text; elements that end a line.
+HIDDEN = {"script", "style", "noscript", "template"}
+BLOCKS = set("p div br hr li ul ol dl dt dd h1 h2 h3 h4 h5 h6 tr td th table article section nav header footer main aside blockquote pre form title head body html".split())
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+_INSIDE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')|>")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in [*HIDDEN, "title"]}
 _SPACE, _LINES = re.compile(r"[ \t\r\f\v\xa0]+"), re.compile(r"\s*\n\s*")
 _NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "warc-derivatives")
 
@@ -39,16 +45,86 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMES, chr(0).join(map(str, parts)))}>"
 
 
-def plain_text(page: str) -> str:
-    """Visible text; block elements end lines. Each pattern reads forward only, so long pages take linear time."""
-    page = _TAG.sub("", _BLOCK.sub("\n", _DROPPED.sub(" ", page)))
-    return _LINES.sub("\n", _SPACE.sub(" ", entities.unescape(page))).strip()
-
-
 def one_line(text: str) -> str:
     return " ".join(text.split())
 
 
+def _tags(page: str) -> Iterator[tuple[str, int, int, str, bool]]:
+    """("text" or "tag", begin, end, name, closing) from left to right. Comments and hidden elements are passed over;
+    a tag, comment or hidden element that is never closed hides the rest."""
+    at = 0
+    while (start := page.find("<", at)) >= 0:
+        following = page[start + 1 : start + 2]
+        if not (following.isascii() and following.isalpha()) and following not in ("/", "!", "?"):
+            yield "text", at, start + 1, "", False
+            at = start + 1
+            continue
+        if at < start:
+            yield "text", at, start, "", False
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            if end < 0:
+                return
+            yield "tag", start, end + 3, "!--", False
+            at = end + 3
+            continue
+        place = start + 1
+        while (m := _INSIDE.search(page, place)) and m[0] != ">":
+            place = m.end()
+        if not m:
+            yield "text", start, len(page), "", False  # no tag ends from here on
+            return
+        found = _NAME.match(page, start + 1)
+        name, closing = (found[1].lower(), found[0][0] == "/") if found else ("", False)
+        at = m.end()
+        yield "tag", start, at, name, closing
+        if name in HIDDEN and not closing:
+            shut = _CLOSE[name].search(page, at)
+            if not shut:
+                return
+            at = shut.end()
+    if at < len(page):
+        yield "text", at, len(page), "", False
+
+
+def attributes(tag: str) -> dict[str, str]:
+    """Attributes of one tag, in lower case; of repeated ones the first."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(tag, 1):
+        out.setdefault(m[1].lower(), entities.unescape(next((x for x in m.groups()[1:] if x is not None), "")))
+    return out
+
+
+def read_page(page: str) -> tuple[str, str | None, str | None, list[str]]:
+    """Text, title, language and links of a page."""
+    pieces, links, title, lang, opened = [], {}, None, None, None
+    for kind, begin, end, name, closing in _tags(page):
+        if kind == "text":
+            pieces.append(page[begin:end])
+            continue
+        if name == "!--":
+            pieces.append(" ")
+        elif name in HIDDEN and not closing:
+            pieces.append(" ")
+        elif name in BLOCKS:
+            pieces.append("\n")
+        if name == "title" and not closing and opened is None:
+            opened = len(pieces)
+        elif name == "title" and closing and opened is not None and title is None:
+            title = one_line(entities.unescape("".join(pieces[opened:])))
+        elif name == "html" and not closing and lang is None:
+            lang = attributes(page[begin:end]).get("lang")
+        elif name in ("a", "area") and not closing and (href := one_line(attributes(page[begin:end]).get("href", ""))):
+            links[href] = None
+    text = _LINES.sub("\n", _SPACE.sub(" ", entities.unescape("".join(pieces)))).strip()
+    return text, title, lang and lang.strip().lower(), list(links)
+
+
+def plain_text(page: str) -> str:
+    """Visible text; block elements end lines."""
+    return read_page(page)[0]
+
+
 def http_header(body: bytes) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
 
@@ -61,18 +137,15 @@ def response(page_id: object, url: str | None, html: str | None, date: str) -> d
 
 def derive(source: dict[str, object]) -> list[dict[str, object]]:
     """The metadata and the conversion record of one response."""
-    page = bytes(source["body"]).decode("utf-8", "replace")
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    links = dict.fromkeys(one_line(entities.unescape(a or b or c)) for a, b, c in _LINK.findall(_DROPPED.sub(" ", page)))
-    lines = [f"http-{line}" for line in bytes(source["http_header"]).decode("latin-1").split("\r\n") if ":" in line]
-    lines += [f"title: {one_line(entities.unescape(title[1]))}"] if title else []
-    lines += [f"language: {lang[1].lower()}"] if lang else []
-    lines += [f"outlink: {x}" for x in links if x]
-    text = plain_text(page)
+    text, title, lang, links = read_page(bytes(source["body"] or b"").decode("utf-8", "replace"))
+    lines = [f"http-{one_line(line)}" for line in bytes(source["http_header"] or b"").decode("latin-1").split("\r\n") if ":" in line]
+    lines += [f"title: {title}"] if title is not None else []
+    lines += [f"language: {one_line(lang)}"] if lang else []
+    lines += [f"outlink: {x}" for x in links]
     out = []
     for kind, content, block in (("metadata", "application/warc-fields", "".join(f"{x}\r\n" for x in lines)), ("conversion", "text/plain; charset=utf-8", text)):
-        raw = block.encode()
-        out.append({"record_type": kind, "record_id": record_id(kind, source["record_id"]), "refers_to": source["record_id"], "refers_to_target_uri": source["target_uri"], "refers_to_date": source["date"], "source_payload_digest": source["payload_digest"], "content_type": content, "content_length": len(raw), "block_digest": digest(raw), "block": block})
+        raw = block.encode("utf-8", "replace")
+        out.append({"record_type": kind, "record_id": record_id(kind, source["record_id"]), "refers_to": source["record_id"], "refers_to_target_uri": source["target_uri"], "refers_to_date": source["date"], "source_payload_digest": source["payload_digest"] or digest(bytes(source["body"] or b"")), "content_type": content, "content_length": len(raw), "block_digest": digest(raw), "block": raw.decode()})
     return out
 
 
@@ -80,25 +153,104 @@ def to_bytes(record: dict[str, object]) -> bytes:
     """A record as it stands in a WARC file."""
     head = [f"WARC-Type: {record['record_type']}", f"WARC-Record-ID: {record['record_id']}", f"WARC-Date: {record['refers_to_date']}", f"WARC-Refers-To: {record['refers_to']}", f"WARC-Refers-To-Date: {record['refers_to_date']}"]
     if record["refers_to_target_uri"] is not None:
-        head += [f"WARC-Target-URI: {record['refers_to_target_uri']}", f"WARC-Refers-To-Target-URI: {record['refers_to_target_uri']}"]
+        uri = one_line(str(record["refers_to_target_uri"]))
+        head += [f"WARC-Target-URI: {uri}", f"WARC-Refers-To-Target-URI: {uri}"]
     head += [f"WARC-Source-Payload-Digest: {record['source_payload_digest']}", f"WARC-Block-Digest: {record['block_digest']}", f"Content-Type: {record['content_type']}", f"Content-Length: {record['content_length']}"]
     return ("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + str(record["block"]).encode() + b"\r\n\r\n"
 
 
+def response_bytes(source: dict[str, object]) -> bytes:
+    """A response record as it stands in a WARC file."""
+    block = bytes(source["http_header"]) + bytes(source["body"])
+    head = ["WARC-Type: response", f"WARC-Record-ID: {source['record_id']}", f"WARC-Date: {source['date']}"]
+    head += [f"WARC-Target-URI: {one_line(str(source['target_uri']))}"] if source["target_uri"] is not None else []
+    head += [f"WARC-Payload-Digest: {source['payload_digest']}", f"WARC-Block-Digest: {digest(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return ("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def parse(data: bytes) -> Iterator[dict[str, object]]:
+    """Response records of the bytes of a WARC file, gzipped or not. A record that is cut off ends the reading."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    at = data.find(b"WARC/1.")
+    while at >= 0:
+        stop = data.find(b"\r\n\r\n", at)
+        if stop < 0:
+            return
+        head = {}
+        for line in data[at:stop].decode("utf-8", "replace").split("\r\n")[1:]:
+            name, colon, value = line.partition(":")
+            if colon:
+                head.setdefault(name.strip().lower(), value.strip())
+        size = head.get("content-length", "")
+        if not size.isdigit() or stop + 4 + int(size) > len(data):
+            return
+        block = data[stop + 4 : stop + 4 + int(size)]
+        if head.get("warc-type", "").lower() == "response" and "warc-record-id" in head:
+            cut = block.find(b"\r\n\r\n")
+            header, body = (block[: cut + 4], block[cut + 4 :]) if cut >= 0 else (b"", block)
+            yield {"record_id": head["warc-record-id"], "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "http_header": header, "body": body, "payload_digest": head.get("warc-payload-digest")}
+        at = data.find(b"WARC/1.", stop + 4 + int(size))
+
+
+_SOURCE = {"record_id": pa.string(), "target_uri": pa.string(), "date": pa.string(), "http_header": pa.binary(), "body": pa.binary(), "payload_digest": pa.string()}
 _FIELDS = {"record_type": pa.string(), "record_id": pa.string(), "refers_to": pa.string(), "refers_to_target_uri": pa.string(), "refers_to_date": pa.string(), "source_payload_digest": pa.string(), "content_type": pa.string(), "content_length": pa.int64(), "block_digest": pa.string(), "block": pa.string()}
+SOURCE = "record_id string, target_uri string, date string, http_header binary, body binary, payload_digest string"
 
 
-def derivatives(pages: DataFrame, date: str = "1970-01-01T00:00:00Z", page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Two records per page: its id, the record's headers, its block, and the whole record as bytes."""
+def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z", page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """Response records of crawled pages: page_id and the columns of SOURCE."""
 
     def rows(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                out = [(i, r) for i, u, h in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html"))) for r in derive(response(i, u, h, date))]
+                made = [response(i, u, h, date) for i, u, h in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html")))]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), *(pa.array([r[k] for r in made], kind) for k, kind in _SOURCE.items())], ["page_id", *_SOURCE])
+
+    kind = pages.schema[page_id].dataType.simpleString()
+    return pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")).mapInArrow(rows, f"page_id {kind}, {SOURCE}")
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """Response records of the WARC files below a path. A file is read by one task, so it must fit one, as crawls do that
+    write files of 1 GB; page_id is the record's number in its file."""
+
+    def rows(batches):
+        for batch in batches:
+            for content in batch.column("content"):
+                part: list[dict] = []
+                number = 0
+                for record in parse(content.as_py()):
+                    part.append(record)
+                    if len(part) == 64:
+                        yield made(part, number)
+                        number, part = number + len(part), []
+                yield made(part, number)
+
+    def made(part, number):
+        return pa.RecordBatch.from_arrays([pa.array(range(number, number + len(part)), pa.int64()), *(pa.array([r[k] for r in part], kind) for k, kind in _SOURCE.items())], ["page_id", *_SOURCE])
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(rows, f"page_id long, {SOURCE}")
+
+
+def derivatives(sources: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """Two records per row of responses() or read_responses(): page_id, the record's headers, its block, and the whole
+    record as bytes. date stands for dates that the source does not give."""
+
+    def rows(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                out = []
+                for page, *values in zip(*(part.column(c).to_pylist() for c in ("page_id", *_SOURCE))):
+                    source = dict(zip(_SOURCE, values))
+                    source["date"] = source["date"] or date
+                    out += [(page, r) for r in derive(source)]
                 columns = [pa.array([i for i, _ in out], part.schema.field("page_id").type), *(pa.array([r[k] for _, r in out], kind) for k, kind in _FIELDS.items()), pa.array([to_bytes(r) for _, r in out], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["page_id", *_FIELDS, "record"])
 
-    kind = pages.schema[page_id].dataType.simpleString()
+    kind = sources.schema["page_id"].dataType.simpleString()
     schema = ", ".join(f"{k} {'long' if k == 'content_length' else 'string'}" for k in _FIELDS)
-    return pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")).mapInArrow(rows, f"page_id {kind}, {schema}, record binary")
+    return sources.select("page_id", *_SOURCE).mapInArrow(rows, f"page_id {kind}, {schema}, record binary")
