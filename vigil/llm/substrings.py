@@ -10,8 +10,10 @@ The repeated anchors are passed around as a Bloom filter of bounded size. False
 filter is small for the corpus, only cost extra windows; they never change the result. Of equal windows in one
 slice of a task, only the earliest is sent on, so a passage that a third of all documents share sends a few rows.
 
-Hashes of windows have 96 bits. Null and empty texts have no words. doc_id names the document: rows that repeat
-an id count as the same document, and a null id as the smallest. Ties cannot occur otherwise.
+Hashes of windows have 96 bits. Null and empty texts have no words. doc_id may have any type that can be ordered and
+names the document: rows that repeat an id count as the same document, so what stands at the same place in them is not
+a repeat. A row without an id has no place in the order: it keeps all its words and takes none from others. Very long
+texts are held one at a time; an empty table gives no rows, and other columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,7 +129,7 @@ def _filter(docs: DataFrame, s: Settings) -> np.ndarray:
 def without_repeats(docs: DataFrame, finish, schema: str, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs joined with what to remove. finish(batch, removed words per row) makes the rows of the result."""
     s, id_kind = settings, docs.schema[doc_id].dataType.simpleString()
-    view = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    view = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
     sent = docs.sparkSession.sparkContext.broadcast(_filter(view, s))
 
     def windows(batches):
@@ -136,7 +139,8 @@ def without_repeats(docs: DataFrame, finish, schema: str, settings: Settings = S
                 _, seg, first, word = _words(part)
                 one, two, start = _candidates(word, seg.doc, first, filter_, s)
                 row = seg.doc[start]
-                order = np.lexsort((start - first[row], np.asarray(part.column("doc_id").fill_null(np.iinfo(np.int64).min))[row], two, one))
+                rank = np.asarray(pc.rank(part.column("doc_id"), tiebreaker="dense")).astype(np.int64)
+                order = np.lexsort((start - first[row], rank[row], two, one))
                 one, two, start, row = one[order], two[order], start[order], row[order]
                 lead = np.ones(len(one), bool)
                 lead[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
@@ -160,10 +164,16 @@ def without_repeats(docs: DataFrame, finish, schema: str, settings: Settings = S
                 lists = part.column("\1first_at")
                 row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)) if not lists.null_count else [len(x) if x is not None else 0 for x in lists.to_pylist()])
                 keep = first[row] + np.asarray(lists.flatten()).astype(np.int64)
-                removed = wd.covered(np.setdiff1d(start, keep), s.window, len(word))
+                gone = np.setdiff1d(start, keep)
+                ids = part.column(doc_id)
+                if ids.null_count:
+                    gone = gone[np.asarray(pc.is_valid(ids).to_numpy(zero_copy_only=False))[seg.doc[gone]]]
+                removed = wd.covered(gone, s.window, len(word))
                 yield finish(part, data, seg, first, removed)
 
-    joined = docs.join(firsts, F.col(doc_id).eqNullSafe(F.col("\1first_id")), "left").drop("\1first_id")
+    named, bare = docs.filter(F.col(doc_id).isNotNull()), docs.filter(F.col(doc_id).isNull())
+    joined = named.join(firsts, F.col(doc_id) == F.col("\1first_id"), "left").drop("\1first_id")
+    joined = joined.unionByName(bare.withColumn("\1first_at", F.lit(None).cast("array<int>")))
     return joined.mapInArrow(marked, schema)
 
 
