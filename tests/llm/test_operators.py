@@ -18,6 +18,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
 from vigil.llm import bpe, ctw, embeddings, graphs, jaccard, packing, quality, queries, substrings, toxicity, unigram, warc
@@ -177,10 +178,21 @@ def test_cover_aligns_all_shifts():
             assert any((a + d) % s.period in s.cover and (b + d) % s.period in s.cover for d in range(s.period))
 
 
-def test_substrings_on_odd_and_empty(odd_docs, no_docs):
-    unique = odd_docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    rows = sorted((r.doc_id, r.text) for r in unique.collect())
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.digests(unique).collect()} == plain_repeats(rows)
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_substrings_on_odd_and_empty(odd_docs, no_docs, kind):
+    """Null ids keep all words; rows that repeat an id are the same document."""
+    name = lambda i: i if kind == "long" else f"d{i:05d}"
+    df = odd_docs if kind == "long" else odd_docs.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), F.format_string("d%05d", "doc_id")))
+    rows = sorted({(r.doc_id, r.text) for r in odd_docs.filter("doc_id is not null").collect()}, key=lambda r: r[0])
+    wanted = {name(i): v for i, v in plain_repeats(rows).items()}
+    got = substrings.digests(df).collect()
+    assert len(got) == odd_docs.count()
+    bare = {sha: (len(w), 0) for w in [split(r.text) for r in odd_docs.filter("doc_id is null").collect()] for sha in [hashlib.sha256(" ".join(w).encode()).hexdigest()]}
+    for r in got:
+        if r.doc_id is None:
+            assert bare[r.kept_sha256] == (r.n_words, r.n_removed)
+        else:
+            assert (r.n_words, r.n_removed, r.kept_sha256) == wanted[r.doc_id]
     kept = substrings.removed_from(odd_docs, n_chars="n_chars").collect()
     assert len(kept) == odd_docs.count() and kept[0].asDict().keys() == odd_docs.first().asDict().keys()
     assert substrings.digests(no_docs).count() == 0
@@ -225,7 +237,7 @@ def test_jaccard_equals_plain(docs, block):
     assert got == plain_jaccard(rows)
 
 
-def test_jaccard_on_odd_and_empty(odd_docs, no_docs):
+def test_jaccard_on_odd_and_empty(spark, odd_docs, no_docs):
     got = jaccard.joined(odd_docs).collect()
     assert len(got) == odd_docs.count()
     rows = {r.doc_id: r.text for r in odd_docs.filter("doc_id is not null").collect()}
@@ -234,6 +246,34 @@ def test_jaccard_on_odd_and_empty(odd_docs, no_docs):
     kept = jaccard.one_of_each(odd_docs)
     assert {r.doc_id for r in kept.collect()} == {d for d, w in wanted.items() if w[2] == d} | {None}
     assert jaccard.joined(no_docs).count() == 0 and jaccard.one_of_each(no_docs).count() == 0
+    with pytest.raises(TypeError, match="doc_id"):
+        jaccard.joined(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_jaccard_takes_one_text_of_a_repeated_id(spark):
+    texts = [" ".join(f"w{i}x{j}" for i in range(30)) for j in range(6)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0]), (3, texts[1]), (4, texts[2])]
+    seen = set()
+    for parts in (1, 3, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        seen.add(tuple(sorted((r.doc_id, r.n_links, r.class_id) for r in jaccard.joined(df).collect())))
+    assert len(seen) == 1 and seen <= {tuple(sorted([(1, 1, 1), (1, 1, 1), (a, 1, 1), (b, 0, b), (4, 0, 4)])) for a, b in ((2, 3), (3, 2))}
+
+
+def test_jaccard_of_a_large_group(spark):
+    """Near copies that meet in most buckets, in many blocks: every link is found once."""
+    rng = random.Random(3)
+    base = [f"w{rng.random()}" for _ in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"c{rng.random()}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (256, 7):
+        got = {r.doc_id: (r.n_shingles, r.n_links, r.class_id) for r in jaccard.joined(df, jaccard.Settings(block=block)).collect()}
+        assert got == plain_jaccard(rows)
 
 
 def test_components_of_long_chains(spark):

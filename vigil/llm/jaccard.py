@@ -4,15 +4,19 @@ Documents are sets of their five-word shingles (a shorter text is one shingle).
 class with one representative; only representatives are joined.
 
 Candidates share a band of MinHash values: 32 bands of 4 values, so a pair at the threshold of 0.8 is missed with
-probability (1 - 0.8**4)**32 < 1e-7. Within a bucket, pairs compare their 128 values in steps. After each step
-the posterior of the Jaccard similarity (uniform prior, the values seen so far) gives the probability of reaching
-the threshold; a pair goes once that is below the tolerance. The step at which a count of equal values is too low
-is tabled beforehand. What survives connects candidates into groups, and within a group every pair whose values
-survive is verified exactly on the sets. Buckets and groups of any size are cut into blocks; tasks give counts
-and roots per document, never rows per pair.
-
-Null and empty texts have no shingles and link with nothing. doc_id names a document: rows that repeat an id must
-repeat the text; null ids link with nothing.
+probability (1 - 0.8**4)**32 < 1e-7. A pair belongs to the bucket of the first band that it shares; wherever else it
+meets it goes as soon as an earlier band turns out equal. Within its bucket it compares its 128 values in steps. After
+each step the posterior of the Jaccard similarity (uniform prior, the values seen so far) gives the probability of
+reaching the threshold; a pair goes once that is below the tolerance. The step at which a count of equal values is too
+low is tabled beforehand. Documents with a surviving pair take their sets to that pair's bucket, and there all pairs
+whose values survive are verified exactly. So work follows the buckets, not the groups that candidates connect.
+Buckets of any size are cut into blocks; tasks give counts and roots per document, never rows per pair.
+
+Null and empty texts have no shingles and link with nothing. doc_id is a whole number (any other type is refused) and
+names a document: of rows that repeat an id with other texts, one text stands for all (that of the smallest hash, so
+the choice does not depend on partitioning); null ids link with nothing. Pairs exactly at the threshold are links.
+Very long texts are held whole, a block of documents at a time. Empty tables give no rows, and other columns may have
+any names.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm import graphs
 from vigil.llm import words as wd
-from vigil.llm.session import written
+from vigil.llm.session import whole_ids, written
 
 
 @dataclass(frozen=True)
@@ -39,7 +43,7 @@ class Settings:
     #: Values compared at a time; a pair goes when reaching the threshold is less likely than the tolerance.
     step: int = 16
     tolerance: float = 1e-6
-    block: int = 1024
+    block: int = 256
 
     @property
     def values(self) -> int:
@@ -102,15 +106,20 @@ def least_matches(threshold: float, values: int, step: int, tolerance: float) ->
     return np.array(out)
 
 
-def _survivors(a: np.ndarray, b: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of the rows of a and b whose values are equal often enough at every step."""
+def _survivors(a: np.ndarray, b: np.ndarray, band: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of the rows of a and b whose values are equal often enough at every step, and whose first equal
+    band is this one."""
     least = least_matches(s.threshold, s.values, s.step, s.tolerance)
     left, right = np.arange(len(a)).repeat(len(b)), np.tile(np.arange(len(b)), len(a))
     same = np.zeros(len(left), np.int32)
     for k, bound in enumerate(least):
         cols = slice(k * s.step, (k + 1) * s.step)
-        same += (a[left, cols] == b[right, cols]).sum(axis=1, dtype=np.int32)
+        equal = a[left, cols] == b[right, cols]
+        same += equal.sum(axis=1, dtype=np.int32)
         go = same >= bound
+        earlier = min(max(band * s.rows - k * s.step, 0), s.step)
+        if earlier:
+            go &= ~equal[:, :earlier].reshape(len(equal), earlier // s.rows, s.rows).all(axis=2).any(axis=1)
         left, right, same = left[go], right[go], same[go]
     return left, right
 
@@ -127,32 +136,30 @@ def _in_blocks(group: pa.Table):
 
 
 def _bucket(s: Settings):
-    """Candidates of one pair of blocks of a bucket, as a root per document."""
+    """Documents of one pair of blocks of a bucket that have a candidate there."""
 
     def rows(group: pa.Table) -> pa.Table:
-        ids, sig = np.asarray(group["id"]), _signatures(group["sig"])
+        ids, sig, band = np.asarray(group["id"]), _signatures(group["sig"]), group["band"][0].as_py()
         left, right, same = _in_blocks(group)
-        pairs = []
+        some = np.zeros(len(ids), bool)
         for start in range(0, len(left), 64):
             rows_ = left[start : start + 64]
-            i, j = _survivors(sig[rows_], sig[right], s)
+            i, j = _survivors(sig[rows_], sig[right], band, s)
             i, j = rows_[i], right[j]
             use = ids[i] < ids[j] if same else ids[i] != ids[j]
-            pairs.append((i[use], j[use]))
-        i, j = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, int),) * 2
-        root = graphs.local_roots(ids, i, j)
-        some = root != ids
-        return pa.table({"a": ids[some], "b": root[some]})
+            some[i[use]] = some[j[use]] = True
+        n = int(some.sum())
+        return pa.table({"bucket": pa.array([group["bucket"][0].as_py()] * n, pa.int64()), "band": pa.array([band] * n, pa.int32()), "id": ids[some]})
 
     return rows
 
 
 def _verify(s: Settings):
-    """Exact links among one pair of blocks of a group: weights of links, and a root, per document."""
+    """Exact links among one pair of blocks of a bucket: weights of links, and a root, per document."""
 
     def rows(group: pa.Table) -> pa.Table:
         ids, weight, sig = np.asarray(group["id"]), np.asarray(group["weight"]), _signatures(group["sig"])
-        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
+        sets, band = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()], group["band"][0].as_py()
         size = np.array([len(x) for x in sets])
         left, right, same = _in_blocks(group)
         every, code = np.unique(np.concatenate(sets), return_inverse=True)
@@ -163,7 +170,7 @@ def _verify(s: Settings):
         right_code = np.concatenate([code[begin[r] : begin[r + 1]] for r in right]) if len(right) else np.zeros(0, int)
         right_begin = np.concatenate([[0], np.cumsum(right_size)])
         for r in left:
-            i, j = _survivors(sig[r : r + 1], sig[right], s)
+            i, j = _survivors(sig[r : r + 1], sig[right], band, s)
             if not len(j):
                 continue
             own = code[begin[r] : begin[r + 1]]
@@ -190,6 +197,7 @@ def joined(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_
     """One row per document: doc_id, n_shingles, copy_of (smallest id with an equal set), n_links (other documents
     at the threshold or above, copies included) and class_id (smallest id reachable by links)."""
     s = settings
+    whole_ids(docs, doc_id)
     view = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
 
     def signed(batches):
@@ -204,7 +212,7 @@ def joined(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_
                 n = np.diff(np.append(first, len(key)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(n.astype(np.int32)), pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "one", "two", "n", "sig"])
 
-    sets = written(view.mapInArrow(signed, "id long, one long, two long, n int, sig binary").dropDuplicates(["id"]), "sets")
+    sets = written(view.mapInArrow(signed, "id long, one long, two long, n int, sig binary").groupBy("id").agg(F.min(F.struct("one", "two", "n", "sig")).alias("s")).select("id", "s.*"), "sets")
     alike = ["one", "two", "n"]
     reps = written(sets.groupBy(*alike).agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("sig").alias("sig")), "representatives")
 
@@ -214,27 +222,29 @@ def joined(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_
             band = np.zeros((len(sig), s.bands), np.uint64)
             for j in range(s.rows):
                 band = wd.mix(band * wd._STEP + sig[:, j :: s.rows].astype(np.uint64) + np.arange(s.bands, dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("id")), s.bands)), pa.array(band.ravel().view(np.int64))], ["id", "bucket"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("id")), s.bands)), pa.array(band.ravel().view(np.int64)), pa.array(np.tile(np.arange(s.bands, dtype=np.int32), len(sig)))], ["id", "bucket", "band"])
 
-    bands = written(reps.select("id", "sig").mapInArrow(banded, "id long, bucket long"), "bands")
+    bands = written(reps.select("id", "sig").mapInArrow(banded, "id long, bucket long, band int"), "bands")
     shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = bands.join(shared, "bucket").join(reps.select("id", "sig"), "id")
     pairs = graphs.block_pairs(members, "size", "id", s.block)
-    groups = written(graphs.components(pairs.groupBy("bucket", "first", "second").applyInArrow(_bucket(s), "a long, b long")), "groups")
+    met = pairs.groupBy("bucket", "first", "second").applyInArrow(_bucket(s), "bucket long, band int, id long")
+    taking = written(met.distinct(), "candidates")
 
     def with_sets(batches):
         for batch in batches:
             for part in wd.slices(batch, "text", 1 << 20):
                 key, doc = _shingles(part, s.words)
                 begin = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                one = np.array([wd.mix(key[begin[i] : begin[i + 1]]).sum(dtype=np.uint64) for i in range(part.num_rows)], np.uint64)
                 made = pa.array([key[begin[i] : begin[i + 1]].tobytes() for i in range(part.num_rows)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("component_id"), made], ["id", "component_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(one.view(np.int64)), made], ["id", "one", "shingles"])
 
-    chosen = view.withColumnRenamed("doc_id", "id")
-    held = chosen.join(groups, "id").mapInArrow(with_sets, "id long, component_id long, shingles binary").dropDuplicates(["id"])
-    sizes = groups.groupBy("component_id").agg(F.count("*").alias("size"))
-    held = held.join(reps.select("id", "weight", "sig"), "id").join(sizes, "component_id")
-    checked = graphs.block_pairs(held, "size", "id", s.block).groupBy("component_id", "first", "second").applyInArrow(_verify(s), "id long, n long, root long")
+    chosen = view.withColumnRenamed("doc_id", "id").join(taking.select("id").distinct(), "id")
+    held = chosen.mapInArrow(with_sets, "id long, one long, shingles binary").join(reps.select("id", "one", "weight", "sig"), ["id", "one"]).dropDuplicates(["id"]).drop("one")
+    sizes = taking.groupBy("bucket").agg(F.count("*").alias("size"))
+    held = taking.join(held, "id").join(sizes, "bucket")
+    checked = graphs.block_pairs(held, "size", "id", s.block).groupBy("bucket", "first", "second").applyInArrow(_verify(s), "id long, n long, root long")
     links = written(checked, "links")
     parts = graphs.components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
     n_links = links.groupBy("id").agg(F.sum("n").alias("n_linked"))
