@@ -745,6 +745,54 @@ def test_toxicity_marks_change_the_kind():
     assert grammar.vector("nothing here") is None and grammar.vector("idiot", 1)[0] < grammar.vector("idiot")[0]
 
 
+def plain_vector(grammar, text):
+    """The grammar by looking around each match: no automata, no memo."""
+    s, out = grammar.settings, [[] for _ in toxicity.KINDS]
+    for clause in re.split(r"[.!?;|\n]", text.lower()):
+        tokens = [t for t in re.findall(r"[^\W\d_]+|[\"“”«»]", clause)]
+        best = [0.0] * len(out)
+        for i, t in enumerate(tokens):
+            entries = [grammar.lexicon[f] for f in [t, *(t[:k] + "*" for k in s.prefixes if len(t) > k)] if f in grammar.lexicon]
+            target = any(x in toxicity.TARGETS for x in tokens[max(0, i - 4) : i]) or any(x in toxicity.TARGETS for x in tokens[i + 1 : i + 4])
+            if entries:
+                odds = []
+                for pos, n in entries:
+                    p = (pos + s.shrink * grammar.rate) / (n + s.shrink)
+                    odds.append((math.log(p / (1 - p)) if 0.5 < p < 1 else 0.0, (pos, n)))
+                kind, weight = 0, max(odds)[0]
+            elif t in toxicity.THREATS:
+                kind, weight = 4, 0.4 + 0.3 * any(x in toxicity.INTENTS for x in tokens[max(0, i - 4) : i]) + 0.3 * target
+            else:
+                continue
+            reported = any(x in toxicity.REPORTS for x in tokens[:i]) or sum(x in "\"“”«»" for x in tokens[:i]) % 2
+            negated = any(x in toxicity.NEGATIONS for x in tokens[max(0, i - 3) : i])
+            kind += 3 if reported else 2 if negated else 1 if target else 0
+            best[kind] = max(best[kind], weight)
+        for kind, weight in enumerate(best):
+            if weight:
+                out[kind].append(weight)
+    return [sum(sorted(x)[-s.clauses :]) for x in out]
+
+
+def test_toxicity_equals_plain():
+    rng = random.Random(11)
+    lexicon = {"idiot": (50, 52), "stup*": (8, 9), "awfu*": (5, 7), "awfulness": (9, 9), "dull": (2, 4)}
+    grammar = toxicity.Grammar(lexicon, 0.1, toxicity.Settings())
+    words = ["idiot", "stupidity", "awful", "awfulness", "dull", *toxicity.TARGETS[:4], *toxicity.NEGATIONS[:3], *toxicity.REPORTS[:3], *toxicity.THREATS[:4], *toxicity.INTENTS[:4], "the", "house", "was", '"', ".", "!", "\n", "7", "Idiot"]
+    for _ in range(3000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))
+        got = grammar.vector(text)
+        wanted = plain_vector(grammar, text)
+        assert (got is None and not any(wanted)) or got == pytest.approx(wanted)
+
+
+def test_a_threat_is_more_than_a_word():
+    grammar = toxicity.Grammar({}, 0.1, toxicity.Settings())
+    total = lambda text: grammar.vector(text).sum()
+    assert total("they burn wood") == pytest.approx(0.7) and total("a fire can burn wood") == pytest.approx(0.4)
+    assert total("we will burn wood") == pytest.approx(0.7) and total("we will burn your house") == pytest.approx(1.0)
+
+
 def test_toxicity_on_odd_and_empty(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(odd_docs, labels)

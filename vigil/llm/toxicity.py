@@ -2,16 +2,20 @@
 
 Small transducers read the words of a clause: insults, threats, targets, negation and reported speech. Their
 composition is built lazily and runs as a pair of deterministic automata, one from the left (negation in scope,
-reported speech, a target just before) and one from the right (a target just behind). A matched insult or threat
-is emitted with these marks; a clause scores its strongest match, not its words one by one, and a document the
-strongest few clauses of each kind.
+reported speech, a stated intent or a target just before) and one from the right (a target just behind). A threat is
+a pattern of several words: intent, then a verb of harm, then a target; the verb alone weighs 0.4, intent and target
+0.3 each. A matched insult or threat is emitted with its marks; a clause scores its strongest match, not its words one
+by one, and a document the strongest few clauses of each kind.
 
 Weights come from labelled documents: the insult lexicon holds words and word beginnings by their share in toxic
 documents, shrunk towards the base rate; what the marks do to a match is a ridge logistic regression that is
-pulled towards given values. For a labelled document its own label is taken out of the lexicon's counts first.
+pulled towards given values. For a labelled document its own label is taken out of the lexicon's counts first. The
+lexicon has no limit of its own; the bound on labelled rows bounds it.
 
 Null and empty texts score as texts without a match. Null ids never train and are not held out. Null labels are
-left out; where a document has several, the highest counts. Repeated rows score alike.
+left out; where a document has several, the highest counts. Repeated rows score alike. Very long texts are read
+whole, a few at a time. Empty tables give no rows; without labels nothing is rejected. Other columns may have any
+names and are passed on or dropped.
 """
 
 from __future__ import annotations
@@ -32,11 +36,12 @@ TARGETS = "you your yours yourself he him his she her they them their these thos
 NEGATIONS = "not no never none neither nor without isn aren wasn don doesn didn nicht kein keine nie niemals ohne pas jamais aucun sans nunca jamás ningún sin".split()
 REPORTS = "said says say wrote writes called calls quoted told claimed reported sagt sagte schrieb nannte behauptete dit disait écrit appelé dice dijo escribió llamó".split()
 THREATS = "kill hurt destroy beat shoot stab burn murder töten umbringen schlagen verletzen vernichten tuer frapper détruire brûler mourir matar golpear destruir quemar morir".split()
+INTENTS = "will ll gonna going shall must should want werde werden wollen muss sollte vais veux dois devrait voy quiero debe debería".split()
 
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;|\n]|[\"“”«»]")
-BREAK, OTHER, TARGET, NEGATE, REPORT, QUOTE = range(6)
-_CLASS = {**dict.fromkeys(".!?;|\n", BREAK), **dict.fromkeys("\"“”«»", QUOTE), **dict.fromkeys(TARGETS, TARGET), **dict.fromkeys(NEGATIONS, NEGATE), **dict.fromkeys(REPORTS, REPORT)}
+BREAK, OTHER, TARGET, NEGATE, REPORT, QUOTE, INTENT = range(7)
+_CLASS = {**dict.fromkeys(".!?;|\n", BREAK), **dict.fromkeys("\"“”«»", QUOTE), **dict.fromkeys(INTENTS, INTENT), **dict.fromkeys(TARGETS, TARGET), **dict.fromkeys(NEGATIONS, NEGATE), **dict.fromkeys(REPORTS, REPORT)}
 KINDS = ("insult", "insult at a target", "insult negated", "insult reported", "threat", "threat at a target", "threat negated", "threat reported")
 PRIOR = np.array([-3.0, 1.2, 1.4, 0.8, 0.8, 0.3, 0.8, 0.1, 0.1])
 
@@ -45,11 +50,10 @@ PRIOR = np.array([-3.0, 1.2, 1.4, 0.8, 0.8, 0.3, 0.8, 0.1, 0.1])
 class Settings:
     #: Labelled rows that train at most; those of the smallest hashes are taken.
     labelled_rows: int = 40_000
-    #: Entries of the lexicon at most, the best supported first.
-    lexicon: int = 50_000
     min_toxic: int = 3
     prefixes: tuple[int, ...] = (4, 5, 6, 7, 8)
-    #: Clauses of each kind that add up, the strongest first; so long texts do not gather chance matches.
+    #: Clauses of each kind that add up, the strongest first: part of the score, so that a long text does not gather
+    #: chance matches (one in some hundred clauses of clean text holds a weak entry).
     clauses: int = 4
     shrink: float = 2.0
     ridge: float = 0.5
@@ -74,16 +78,16 @@ class Automaton:
 
 
 def _left(state, c):
-    """(words for which a negation still holds, reported, in quotes, words since a target)."""
-    negated, reported, quoted, near = state
-    return (3 if c == NEGATE else max(0, negated - 1), reported or c == REPORT, quoted != (c == QUOTE), 4 if c == TARGET else max(0, near - 1))
+    """(words for which a negation still holds, reported, in quotes, words since a target, words since an intent)."""
+    negated, reported, quoted, near, intent = state
+    return (3 if c == NEGATE else max(0, negated - 1), reported or c == REPORT, quoted != (c == QUOTE), 4 if c == TARGET else max(0, near - 1), 4 if c == INTENT else max(0, intent - 1))
 
 
 def _right(near, c):
     return 3 if c == TARGET else max(0, near - 1)
 
 
-_LEFT, _RIGHT = Automaton((0, False, False, 0), _left), Automaton(0, _right)
+_LEFT, _RIGHT = Automaton((0, False, False, 0, 0), _left), Automaton(0, _right)
 
 
 def features_of(word: str, prefixes: tuple[int, ...]) -> list[str]:
@@ -111,7 +115,7 @@ class Grammar:
             try:
                 found = kept[w]
             except KeyError:
-                if len(kept) > 150_000:
+                if len(kept) > 60_000:
                     kept.clear()
                 found = kept[w] = self._counts(w)
             if found is not None:
@@ -143,13 +147,13 @@ class Grammar:
         best = [0.0] * len(KINDS)
         behind = _RIGHT.run(reversed(classes))[::-1]
         for token, before, after in zip(clause, _LEFT.run(classes), behind):
+            negated, reported, quoted, near, intent = before
             if token in hits:
                 kind, weight = 0, self.weight(hits[token], toxic)
             elif token in _THREATS:
-                kind, weight = 4, 1.0
+                kind, weight = 4, 0.4 + 0.3 * (intent > 0) + 0.3 * (near > 0 or after > 0)
             else:
                 continue
-            negated, reported, quoted, near = before
             kind += 3 if reported or quoted else 2 if negated else 1 if near or after else 0
             best[kind] = max(best[kind], weight)
         for kind, weight in enumerate(best):
@@ -179,7 +183,7 @@ def _feature_rows(settings: Settings):
             keys = list(n)
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([pos[k] for k in keys], pa.int64()), pa.array([n[k] for k in keys], pa.int64())], ["feature", "pos", "n"])
 
-        parts = (part for batch in batches for part in wd.slices(batch, "text"))
+        parts = (part for batch in batches for part in wd.slices(batch, "text", 1 << 20))
         for part in parts:
             for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
                 found = {f for w in set(_WORD.findall((text or "").lower())) for f in features_of(w, settings.prefixes)}
@@ -204,11 +208,11 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 1, settings: Settings =
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     rate = min(max(toxic / n, 0.01), 0.3) if n else 0.1
     counted = rows.mapInArrow(_feature_rows(settings), "feature string, pos long, n long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    entries = counted.filter((F.col("pos") >= settings.min_toxic) & (F.col("pos") * 2 > F.col("n"))).orderBy(F.desc("pos"), "feature").limit(settings.lexicon).collect()
+    entries = counted.filter((F.col("pos") >= settings.min_toxic) & (F.col("pos") * 2 > F.col("n"))).collect()  # a bounded sample's entries
     grammar = Grammar({r.feature: (r.pos, r.n) for r in entries}, rate, settings)
 
     def vectors(batches):
-        parts = (part for batch in batches for part in wd.slices(batch, "text"))
+        parts = (part for batch in batches for part in wd.slices(batch, "text", 1 << 20))
         for batch in parts:
             found = [(grammar.vector(t or "", y), y) for t, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([None if x is None else x.tolist() for x, _ in found], pa.list_(pa.float64())), pa.array([y for _, y in found], pa.int32())], ["x", "y"])
@@ -242,7 +246,7 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
 
     def rows(batches):
         for batch in batches:
-            for part in wd.slices(batch, "text"):
+            for part in wd.slices(batch, "text", 1 << 20):
                 score = [model.score(t or "") for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score, pa.float64()), pa.array([int(s >= model.grammar.settings.reject) for s in score], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
@@ -257,7 +261,7 @@ def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def rows(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            for view in wd.slices(pa.RecordBatch.from_arrays([batch.column(at).cast(pa.string())], ["text"]), "text"):
+            for view in wd.slices(pa.RecordBatch.from_arrays([batch.column(at).cast(pa.string())], ["text"]), "text", 1 << 20):
                 keep = [model.score(t or "") < model.grammar.settings.reject for t in view.column("text").to_pylist()]
                 yield batch.slice(0, len(keep)).filter(pa.array(keep, pa.bool_()))
                 batch = batch.slice(len(keep))

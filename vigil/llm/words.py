@@ -42,7 +42,7 @@ def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd step modulo 2**64, and of its inverse, for n positions."""
-    size = 1 << max(21, int(n).bit_length())
+    size = 1 << max(20, int(n).bit_length())
     up, down = _grown(size)
     return up[:n], down[:n]
 
