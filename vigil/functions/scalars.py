@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 MISSING = ["", "-", "--", "n/a", "na", "null", "none", "nil", "nan", "undefined", "tbd"]
 TRUE_TOKENS = ["true", "t", "yes", "y", "1", "on"]
 FALSE_TOKENS = ["false", "f", "no", "n", "0", "off"]
-SEVERITIES = {"critical": "CRITICAL", "sev1": "CRITICAL", "p1": "CRITICAL", "urgent!": "CRITICAL", "high": "HIGH", "sev2": "HIGH", "p2": "HIGH", "medium": "MEDIUM", "moderate": "MEDIUM", "sev3": "MEDIUM", "p3": "MEDIUM", "low": "LOW", "informational": "LOW", "info": "LOW", "sev4": "LOW", "p4": "LOW"}
+SEVERITIES = {
+    "critical": "CRITICAL", "crit": "CRITICAL", "sev1": "CRITICAL", "p1": "CRITICAL",
+    "high": "HIGH", "major": "HIGH", "sev2": "HIGH", "p2": "HIGH",
+    "medium": "MEDIUM", "moderate": "MEDIUM", "warning": "MEDIUM", "sev3": "MEDIUM", "p3": "MEDIUM",
+    "low": "LOW", "minor": "LOW", "info": "LOW", "informational": "LOW", "sev4": "LOW", "p4": "LOW",
+}
 IPV4 = r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
 
 

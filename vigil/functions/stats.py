@@ -9,22 +9,30 @@ from vigil.policy import DEFAULT, Policy
 
 
 def peer_baseline(values: DataFrame, policy: Policy = DEFAULT, by: list[str] | None = None) -> DataFrame:
-    """(entity_id, cohort, value, n, sign), and columns by that keep measures apart -> leave-one-out peer statistics and effect size.
+    """(entity_id, cohort, value, n, sign), and columns by that keep measures apart -> leave-one-out peer statistics and
+    effect size.
 
-    Peers are paired within a cohort: the rows here are one per entity, so the pairs are few beside the evidence.
-    The median of peers comes first, then the median of their distances to it; both are exact.
+    Entities are never paired: leaving one out of a ranked cohort moves any rank by at most one, so the values at a few
+    ranks give the peers' median and Tukey hinges, and sums less the entity's own give their mean and deviation.
     """
-    by = by or []
-    own = ["entity_id", *by]
-    peers = values.filter("value is not null").select("cohort", *by, F.col("entity_id").alias("peer_id"), F.col("value").alias("peer"))
-    pairs = values.join(peers, ["cohort", *by]).filter("entity_id <> peer_id")
-    first = pairs.groupBy(*own).agg(F.expr("median(peer)").alias("median"), F.avg("peer").alias("mean"), F.stddev_samp("peer").alias("sd"), F.expr("percentile(peer, array(0.25, 0.75))").alias("q"), F.count("*").alias("n_peers"), F.sum(F.when(F.col("peer") < F.col("value"), 1.0).when(F.col("peer") == F.col("value"), 0.5).otherwise(0.0)).alias("below"))
-    spread = pairs.join(first.select(*own, "median"), own).groupBy(*own).agg(F.expr("median(abs(peer - median))").alias("mad"))
-    out = values.join(first, own, "left").join(spread, own, "left")
+    by = ["cohort", *(by or [])]
+    own = ["entity_id", *by[1:]]
+    rows = values.filter("value is not null").withColumn("value", F.col("value").cast("double"))
+    group = Window.partitionBy(*by)
+    first = _without_own(rows, by, "value", {"median": _middle(F.col("_k") - 1), "_low": _hinge(0), "_high": _hinge(1)}, keep=True)
+    first = first.withColumn("_m", F.avg("value").over(group)).withColumn("_d", F.col("value") - F.col("_m"))
+    p, s1, s2 = F.col("_k") - 1, F.sum("_d").over(group) - F.col("_d"), F.sum(F.col("_d") * F.col("_d")).over(group) - F.col("_d") * F.col("_d")
+    same = group.orderBy("value").rangeBetween(Window.currentRow, Window.currentRow)
+    first = first.withColumns({
+        "n_peers": F.when(p > 0, p), "mean": F.when(p > 0, F.col("_m") + s1 / p), "sd": F.when(p > 1, F.sqrt(F.greatest(F.lit(0.0), (s2 - s1 * s1 / p) / (p - 1)))),
+        "below": F.min("_r").over(same) - 1 + (F.count("*").over(same) - 1) / 2,
+    }).drop("_r", "_k", "_m", "_d")
+    out = _spread(first, by).unionByName(values.filter("value is null"), allowMissingColumns=True)
     zero = lambda c: F.when(c > 0, c)
-    scale = F.coalesce(zero(F.when(F.col("n_peers") >= policy.min_peers, 1.4826 * F.col("mad"))), zero((F.col("q")[1] - F.col("q")[0]) / 1.349), zero(F.col("sd")))
+    scale = F.coalesce(zero(F.when(F.col("n_peers") >= policy.min_peers, 1.4826 * F.col("mad"))), zero((F.col("_high") - F.col("_low")) / 1.349), zero(F.col("sd")))
     shrunk = (F.col("n") * F.col("value") + policy.shrink_k * F.col("mean")) / (F.col("n") + policy.shrink_k)
-    return out.withColumns({"scale": scale, "shrunk": shrunk, "percentile": F.col("below") / F.col("n_peers") * 100, "thin": F.coalesce(F.col("n_peers"), F.lit(0)) < policy.min_peers}).withColumn("effect", F.round(F.col("sign") * (F.col("shrunk") - F.col("median")) / F.col("scale"), 6))
+    out = out.withColumns({"scale": scale, "shrunk": shrunk, "percentile": F.col("below") / F.col("n_peers") * 100, "thin": F.coalesce(F.col("n_peers"), F.lit(0)) < policy.min_peers})
+    return out.withColumn("effect", F.round(F.col("sign") * (F.col("shrunk") - F.col("median")) / F.col("scale"), 6)).drop("_low", "_high")
 
 
 def peer_deviations(values: DataFrame, by: list[str]) -> DataFrame:
@@ -35,18 +43,35 @@ def peer_deviations(values: DataFrame, by: list[str]) -> DataFrame:
     the middle are enough. The peers' median takes at most three values in a group; distances are ranked for each.
     """
     rows = values.filter(F.col("value").isNotNull() & ~F.isnan("value")).dropna(subset=by)
-    first = _without_own(rows, by, "value", "median").filter("median is not null")
-    centres = first.select(*by, F.col("median").alias("centre")).distinct()
-    spread = first.join(centres, by).withColumn("away", F.abs(F.col("value") - F.col("centre")))
-    return _without_own(spread, [*by, "centre"], "away", "mad").filter("centre = median").drop("centre", "away")
-
-
-def _without_own(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Adds the median of the other rows' value in each group; null where there are none."""
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(value, "entity_id"))).withColumn("_k", F.count("*").over(Window.partitionBy(*by)))
-    at = lambda k: F.max(F.when(F.col("_r") == k, F.col(value)))
-    low, high = F.floor(F.col("_k") / 2), F.floor((F.col("_k") - 1) / 2) + 1  # middle ranks of k - 1 values
-    middle = ranked.groupBy(*by).agg(at(low).alias("_l0"), at(low + 1).alias("_l1"), at(high).alias("_h0"), at(high + 1).alias("_h1"))
-    pick = lambda k, same, next_: F.when(F.col("_r") <= k, F.col(next_)).otherwise(F.col(same))
-    out = ranked.join(middle, by).withColumn(name, F.when(F.col("_k") > 1, (pick(low, "_l0", "_l1") + pick(high, "_h0", "_h1")) / 2))
-    return out.drop("_r", "_k", "_l0", "_l1", "_h0", "_h1")
+    return _spread(_without_own(rows, by, "value", {"median": _middle(F.col("_k") - 1)}), by).filter("median is not null")
+
+
+def _spread(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Adds mad, the median of the other rows' distances to the row's own median. Medians take at most three values in
+    a group, so each row's distances are ranked for these; the grouping stays, so nothing is shuffled again."""
+    centres = F.collect_set("median").over(Window.partitionBy(*by))
+    each = rows.withColumn("_cs", centres).withColumn("_c", F.explode_outer("_cs")).drop("_cs").withColumn("_away", F.abs(F.col("value") - F.col("_c")))
+    found = _without_own(each, [*by, "_c"], "_away", {"mad": _middle(F.col("_k") - 1)})
+    return found.filter(F.col("_c").eqNullSafe(F.col("median"))).drop("_c", "_away")
+
+
+def _middle(n) -> tuple:
+    """The two ranks whose values give the median of n."""
+    return F.floor((n + 1) / 2), F.floor(n / 2) + 1
+
+
+def _hinge(upper: int) -> tuple:
+    """The two ranks among k - 1 peers whose values give a Tukey hinge: the median of the lower or upper half."""
+    p = F.col("_k") - 1
+    half = F.floor(p / 2)
+    return tuple(r + (p - half if upper else 0) for r in _middle(half))
+
+
+def _without_own(rows: DataFrame, by: list[str], value: str, wanted: dict[str, tuple], keep: bool = False) -> DataFrame:
+    """Adds means of two order statistics of the other rows' value in each group; null where there are none."""
+    group = Window.partitionBy(*by)
+    ranked = rows.withColumn("_r", F.row_number().over(group.orderBy(value, "entity_id"))).withColumn("_k", F.count("*").over(group))
+    at = lambda k: F.max(F.when(F.col("_r") == k, F.col(value))).over(group)
+    pick = lambda r: F.when(F.col("_r") <= r, at(r + 1)).otherwise(at(r))
+    out = ranked.withColumns({name: F.when((F.col("_k") > 1) & (pair[0] > 0), (pick(pair[0]) + pick(pair[1])) / 2) for name, pair in wanted.items()})
+    return out if keep else out.drop("_r", "_k")

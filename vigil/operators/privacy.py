@@ -45,7 +45,7 @@ def shingle_signature(text: Column, n: int = 5) -> Column:
     def signed(w: Column) -> Column:
         long = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
         shingles = F.when(F.size(w) >= n, long).otherwise(F.array(F.array_join(w, " ")))
-        return F.substring(F.sha2(F.array_join(F.array_sort(F.array_distinct(shingles)), "|"), 256), 1, 32)
+        return F.substring(F.sha2(F.array_join(F.sort_array(F.array_distinct(shingles)), "|"), 256), 1, 32)
 
     # the words as a lambda variable: else every shingle would split the text again
     return F.transform(F.array(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), F.lit(0))), signed)[0]

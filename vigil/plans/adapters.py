@@ -24,9 +24,13 @@ def _duration() -> Column:
     return F.floor(((F.col("l_partkey") * 7919 + F.col("l_orderkey") * 131) % 50000) * fast / 100).cast("long")
 
 
-def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as investigation cases. The key is not unique, as in real submissions."""
+def cases(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Order lines as investigation cases. The key is not unique, as in real submissions. start and end are days of a
+    half-open period; the filter stands on the stored column, so that files and row groups outside it are not read."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    if start and end:
+        kind = o.schema["o_orderdate"].dataType.simpleString()
+        o = o.filter((F.col("o_orderdate") >= F.lit(start).cast(kind)) & (F.col("o_orderdate") < F.date_add(F.lit(end), 1).cast(kind)))
     priority = F.substring("o_orderpriority", 1, 1)
     out = li.join(o, li.l_orderkey == o.o_orderkey).withColumn("d", _duration())
     created = F.col("o_orderdate").cast("timestamp")

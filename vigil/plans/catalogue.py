@@ -32,7 +32,7 @@ def query(sql: str | None = None):
 
 
 def year_cases(spark: SparkSession, sf_dir: str, year: int = 1996) -> DataFrame:
-    return ind.in_period(a.cases(spark, sf_dir), f"{year}-01-01", f"{year}-12-31")
+    return a.cases(spark, sf_dir, f"{year}-01-01", f"{year}-12-31")
 
 
 YEAR = a.CASES + ", c AS (SELECT *, CASE WHEN declared_s >= 0 THEN declared_s WHEN closed_s - created_s >= 0 THEN closed_s - created_s END AS d FROM cases WHERE created_s >= epoch(TIMESTAMP '1996-01-01') AND created_s < epoch(TIMESTAMP '1997-01-01'))"
@@ -54,10 +54,17 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.entities(spark, sf_dir).select("entity_id", stamp("1996-01-01 00:00:00").alias("start_s"), stamp("1997-01-01 00:00:00").alias("boundary_s"))
 
 
-def indicator_values(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Each execution-gap indicator over one scan of the year's cases."""
+def indicator_values(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    """Execution-gap indicators (all, or those named). Where several are asked for, the year's cases are written once
+    and read by each, so evidence is joined and scanned once."""
     c = year_cases(spark, sf_dir)
-    return {"eg01": ind.eg01(c), "eg02": ind.eg02(c, notes(spark, sf_dir)), "eg06": ind.eg06(c, c.filter("escalated")), "eg08": ind.eg08(c), "eg09": ind.eg09(c, boundaries(spark, sf_dir))}
+    if len(names) != 1:
+        c = shared.kept(c)
+    made = {
+        "eg01": lambda: ind.eg01(c), "eg02": lambda: ind.eg02(c, notes(spark, sf_dir)), "eg06": lambda: ind.eg06(c, c.filter("escalated")),
+        "eg08": lambda: ind.eg08(c), "eg09": lambda: ind.eg09(c, boundaries(spark, sf_dir)),
+    }
+    return {k: f() for k, f in made.items() if not names or k in names}
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -66,7 +73,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 def _value_query(name: str):
     def f(spark, sf_dir):
-        return _rounded(indicator_values(spark, sf_dir)[name])
+        return _rounded(indicator_values(spark, sf_dir, name)[name])
 
     f.__name__ = f"{name}_value"
     query(f"WITH {YEAR} SELECT entity_id, round(value, 6) AS value, n FROM ({VALUES[name]})")(f)
@@ -77,7 +84,7 @@ for _name in VALUES:
 
 
 def baselined(spark: SparkSession, sf_dir: str, name: str, sign: int) -> DataFrame:
-    values = indicator_values(spark, sf_dir)[name].join(a.entities(spark, sf_dir), "entity_id").withColumn("sign", F.lit(sign))
+    values = indicator_values(spark, sf_dir, name)[name].join(a.entities(spark, sf_dir), "entity_id").withColumn("sign", F.lit(sign))
     return stats.peer_baseline(shared.kept(values))
 
 
@@ -85,7 +92,7 @@ def peer_sql(values: str, sign: int) -> str:
     """The leave-one-out baseline by definition."""
     return f"""v AS (SELECT x.*, cohort FROM ({values}) x JOIN entities USING (entity_id)),
  p AS (SELECT a.entity_id, a.value, a.n, a.cohort, b.value AS peer FROM v a JOIN v b ON a.cohort = b.cohort AND a.entity_id <> b.entity_id AND b.value IS NOT NULL),
- m AS (SELECT entity_id, any_value(value) AS value, any_value(n) AS n, any_value(cohort) AS cohort, median(peer) AS med, avg(peer) AS mean, stddev_samp(peer) AS sd, quantile_cont(peer, 0.75) - quantile_cont(peer, 0.25) AS iqr, count(*) AS n_peers, sum(CASE WHEN peer < value THEN 1.0 WHEN peer = value THEN 0.5 ELSE 0 END) AS below FROM p GROUP BY entity_id),
+ m AS (SELECT entity_id, any_value(value) AS value, any_value(n) AS n, any_value(cohort) AS cohort, median(peer) AS med, avg(peer) AS mean, stddev_samp(peer) AS sd, list_aggregate(list_sort(list(peer))[(count(*) + 1) // 2 + 1:], 'median') - list_aggregate(list_sort(list(peer))[1:count(*) // 2], 'median') AS iqr, count(*) AS n_peers, sum(CASE WHEN peer < value THEN 1.0 WHEN peer = value THEN 0.5 ELSE 0 END) AS below FROM p GROUP BY entity_id),
  d AS (SELECT entity_id, median(abs(peer - med)) AS mad FROM p JOIN m USING (entity_id) GROUP BY entity_id),
  s AS (SELECT *, coalesce(CASE WHEN n_peers >= 8 AND mad > 0 THEN 1.4826 * mad END, CASE WHEN iqr > 0 THEN iqr / 1.349 END, CASE WHEN sd > 0 THEN sd END) AS scale FROM m JOIN d USING (entity_id)),
  e AS (SELECT *, round({sign} * ((n * value + 10.0 * mean) / (n + 10.0) - med) / scale, 6) AS effect FROM s)"""
@@ -227,7 +234,8 @@ def ns06_prior_shocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # fixed values of the vocabularies, as SQL
 _MISSING = ", ".join(f"'{x}'" for x in scalars.MISSING)
-_SEVERITY = "CASE lower(trim(severity_raw)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in scalars.SEVERITIES.items()) + " END"
+_SEVERITY = """CASE WHEN lower(trim(severity_raw)) IN ('critical', 'crit', 'sev1', 'p1') THEN 'CRITICAL' WHEN lower(trim(severity_raw)) IN ('high', 'major', 'sev2', 'p2') THEN 'HIGH'
+ WHEN lower(trim(severity_raw)) IN ('medium', 'moderate', 'warning', 'sev3', 'p3') THEN 'MEDIUM' WHEN lower(trim(severity_raw)) IN ('low', 'minor', 'info', 'informational', 'sev4', 'p4') THEN 'LOW' END"""
 _AMOUNT = "CASE WHEN lower(trim(amount_raw)) IN (" + _MISSING + ") THEN NULL ELSE try_cast(replace(trim(amount_raw), ',', '') AS DOUBLE) END"
 _NOTE = f"CASE WHEN lower(trim(note_raw)) IN ({_MISSING}) THEN NULL WHEN regexp_matches(trim(note_raw), '^[=+\\-@]') THEN chr(39) || trim(note_raw) ELSE trim(note_raw) END"
 _FLAG = "CASE WHEN lower(trim(flag_raw)) IN ('true', 't', 'yes', 'y', '1', 'on') THEN TRUE WHEN lower(trim(flag_raw)) IN ('false', 'f', 'no', 'n', '0', 'off') THEN FALSE END"
@@ -736,7 +744,7 @@ def stratified_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def outlier_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leave-one-out isolation scores of entities from their closure time and thin-note share."""
-    v = indicator_values(spark, sf_dir)
+    v = indicator_values(spark, sf_dir, "eg01", "eg02")
     rows = v["eg01"].select("entity_id", F.col("value").alias("closure")).join(v["eg02"].select("entity_id", F.col("value").alias("thin")), "entity_id", "full_outer").join(a.entities(spark, sf_dir).select("entity_id", "cohort"), "entity_id")
     return anomaly.isolation(rows, ["closure", "thin"])
 
@@ -782,7 +790,7 @@ def covering_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {a.ENTITIES}, {YEAR}, v AS ({VALUES['eg02']} UNION ALL {VALUES['eg08']}) SELECT entity_id, round(sum(value * n) / sum(n), 6) AS weighted, sum(n) AS n FROM v GROUP BY entity_id")
 def weighted_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures weighted by their populations."""
-    v = indicator_values(spark, sf_dir)
+    v = indicator_values(spark, sf_dir, "eg02", "eg08")
     rows = v["eg02"].select("entity_id", "value", "n").unionByName(v["eg08"].select("entity_id", "value", "n"))
     return rows.groupBy("entity_id").agg(F.round(F.sum(F.col("value") * F.col("n")) / F.sum("n"), 6).alias("weighted"), F.sum("n").alias("n"))
 
