@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 # Patterns of what notes must not carry, in the order of replacement.
 REDACTIONS = [
     ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+    ("IPV6", r"\b(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}\b"),
     ("IPV4", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"),
-    ("FQDN", r"\b(?:[a-z0-9-]+\.)+(?:com|org|net|local|corp|internal)\b"),
-    ("CVE", r"\bCVE-\d{4}-\d{4,7}\b"),
+    ("FQDN", r"(?i)\b(?:[A-Za-z0-9-]+\.)+(?:com|net|org|io|co\.in|gov\.in|local|lan|corp|int)\b"),
+    ("HOSTNAME", r"\b(?:HOST|SERVER|SRVR|DC|DB|WEB)-[A-Za-z0-9-]{2,}\b"),
+    ("URL", r"(?i)\b(?:https?|ftp)://[^\s]+"),
+    ("CVE", r"(?i)\bCVE-\d{4}-\d{4,7}\b"),
 ]
 
 
@@ -49,3 +52,35 @@ def shingle_signature(text: Column, n: int = 5) -> Column:
 
     # the words as a lambda variable: else every shingle would split the text again
     return F.transform(F.array(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), F.lit(0))), signed)[0]
+
+
+def redact_names(text: Column, names: Column) -> Column:
+    """Replaces declared names, longest first, wherever they stand."""
+    ordered = F.sort_array(F.transform(F.filter(names, lambda n: n != ""), lambda n: F.struct((-F.length(n)).alias("k"), n.alias("n"))))
+    return F.aggregate(ordered, text, lambda t, x: F.replace(t, x["n"], F.lit("[ASSET]")))
+
+
+def redacted(text: Column) -> Column:
+    for name, pattern in REDACTIONS:
+        text = F.regexp_replace(text, pattern, f"[{name}]")
+    return text
+
+
+def export_safe(rows: DataFrame) -> DataFrame:
+    """Every text column without control characters, redacted, and not readable as a formula."""
+
+    def safe(c: Column) -> Column:
+        t = redacted(F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", ""))
+        return F.when(t.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), t)).otherwise(t)
+
+    return rows.select(*(safe(F.col(f.name)).alias(f.name) if f.dataType.simpleString() == "string" else f.name for f in rows.schema))
+
+
+def note_store(cases: DataFrame, entity: str, key: str, note: str) -> tuple[DataFrame, DataFrame]:
+    """(cases with note_ref instead of the text, notes by note_ref: redacted text, lengths and signature). The reference
+    follows from entity, key and text, so loading the same row twice gives the same note."""
+    ref = F.when(F.col(note).isNotNull(), F.substring(F.sha2(F.concat_ws("|", entity, key, note), 256), 1, 32))
+    held = cases.withColumn("note_ref", ref)
+    words = F.size(F.filter(F.split(F.trim(note), r"\s+"), lambda w: w != ""))
+    notes = held.filter("note_ref is not null").select("note_ref", redacted(F.col(note)).alias("redacted_text"), F.char_length(note).alias("n_chars"), words.alias("n_words"), shingle_signature(F.col(note)).alias("signature"))
+    return held.drop(note), notes.dropDuplicates(["note_ref"])

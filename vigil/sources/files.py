@@ -50,3 +50,57 @@ def manifest_hash(spark: SparkSession, path: str) -> DataFrame:
 def append_evidence(df: DataFrame, path: str, partition: str = "entity_id") -> None:
     """Appends to the evidence table, clustered by its partition column so that each task writes few files."""
     df.repartition(partition).write.mode("append").option("compression", "zstd").partitionBy(partition).parquet(path)
+
+
+WRAPPERS = ["alerts", "cases", "rows", "data", "records"]
+
+
+def read_wrapped(spark: SparkSession, path: str, columns: list[str], multi_line: bool = True) -> DataFrame:
+    """Objects that hold their records in one of the usual lists, else in their largest list: every record is a row."""
+    whole = spark.read.json(path, multiLine=multi_line, primitivesAsString=True)
+    lists = [f.name for f in whole.schema if f.dataType.simpleString().startswith("array<struct")]
+    if not lists:
+        return whole.select(*(F.col(c) if c in whole.columns else F.lit(None).cast("string").alias(c) for c in columns))
+    named = [x for x in WRAPPERS if x in lists]
+    sizes = F.sort_array(F.array(*(F.struct(F.coalesce(F.size(x), F.lit(-1)).alias("n"), F.lit(x).alias("x")) for x in lists)), asc=False)[0]["x"]
+    chosen = F.coalesce(*(F.when(F.size(x) >= 0, x) for x in named), sizes)
+    parts = []
+    for x in lists:
+        row = whole.filter(chosen == x).select(F.explode(x).alias("r"))
+        known = {f.name for f in whole.schema[x].dataType.elementType}
+        parts.append(row.select(*(F.col(f"r.{c}").cast("string").alias(c) if c in known else F.lit(None).cast("string").alias(c) for c in columns)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def read_sql_dump(spark: SparkSession, path: str, table: str, columns: list[str]) -> DataFrame:
+    """Rows of a table's INSERT statements, one statement a line; nothing is executed. A row with another number of
+    values keeps its text in _corrupt."""
+    pattern = r"(?is)^\s*insert\s+into\s+[`\"]?(\w+)[`\"]?\s*\(([^)]*)\)\s*values\s*\((.*)\)\s*;?\s*$"
+    part = lambda i: F.regexp_extract("value", pattern, i)
+    rows = spark.read.text(path).select("value", part(1).alias("t"), F.transform(F.split(part(2), ","), lambda c: F.regexp_replace(F.trim(c), "[`\"]", "")).alias("names"), part(3).alias("v"))
+    cells = F.regexp_extract_all("v", F.lit(r"'((?:[^']|'')*)'|([^,'\s]+)"), F.lit(0))
+    plain = F.transform(cells, lambda c: F.when(F.upper(c) == "NULL", None).when(c.startswith("'"), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit("''"), F.lit("'"))).otherwise(c))
+    mine = rows.filter(F.lower("t") == table.lower()).withColumn("cells", plain).withColumn("fits", F.size("cells") == F.size("names"))
+    has = lambda c: F.array_contains("names", F.lit(c))
+    return mine.select(*(F.when(has(c), F.when(F.col("fits"), F.expr(f"cells[array_position(names, '{c}') - 1]"))).alias(c) for c in columns), F.when(~F.col("fits"), F.col("value")).alias(CORRUPT))
+
+
+def over_limits(spark: SparkSession, path: str, max_rows: int, max_columns: int, header: bool = True) -> DataFrame:
+    """Files below a path with more rows or columns than allowed: rows are counted by file, no file is held."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), (F.size(F.split("value", ",", -1))).alias("width"))
+    counted = lines.groupBy("file").agg((F.count("*") - int(header)).alias("n_rows"), F.max("width").alias("n_columns"))
+    return counted.withColumn("over", (F.col("n_rows") > max_rows) | (F.col("n_columns") > max_columns))
+
+
+def read_days(spark: SparkSession, path: str) -> DataFrame:
+    """A small reference table of days (date, name); lines that begin with # are comments."""
+    rows = spark.read.schema("date string, name string, scope string").csv(path, header=True, comment="#")
+    return F.broadcast(rows.select(F.to_date("date").alias("date"), "name"))
+
+
+def export(rows: DataFrame, path: str, kind: str) -> None:
+    """Flat files of one of the four kinds."""
+    {"csv": lambda w: w.csv(path, header=True, escape='"'), "json": lambda w: w.json(path), "ndjson": lambda w: w.json(path), "parquet": lambda w: w.option("compression", "zstd").parquet(path)}[kind](rows.write)

@@ -30,3 +30,25 @@ def maintained(spark: SparkSession, source: str, folder: str, files_per_batch: i
     query = features(rows).writeStream.outputMode("complete").option("checkpointLocation", f"{target}-state").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(last["path"])
+
+
+def intake_stream(spark: SparkSession, landing: str, folder: str, prepare, key: str = "submission_id") -> DataFrame:
+    """Runs the stream of landed Parquet files until all are read; returns the table it appends to.
+
+    A submission is taken once: batches leave out those that the table has, and each writes its own folder, so a
+    repeated batch overwrites itself. prepare turns rows into evidence, row for row."""
+    target, schema = f"{folder}/evidence-{uuid.uuid4().hex}", spark.read.parquet(landing).schema
+
+    def keep(batch: DataFrame, number: int) -> None:
+        done = [f"{target}/batch={n}" for n in written if n < number]
+        rows = batch.dropDuplicates([key, "source_row"])
+        if done:
+            rows = rows.join(spark.read.parquet(*done).select(key).distinct(), key, "left_anti")
+        prepare(rows).join(rows.select(key, "source_row"), "source_row").write.mode("overwrite").parquet(f"{target}/batch={number}")
+        written.add(number)
+
+    written: set[int] = set()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(landing)
+    query = stream.writeStream.option("checkpointLocation", f"{target}-state").foreachBatch(keep).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(*[f"{target}/batch={n}" for n in sorted(written)])
