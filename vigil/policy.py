@@ -23,6 +23,7 @@ class Policy:
     dq_weights: dict[str, float] = field(default_factory=lambda: {"completeness": 0.25, "validity": 0.20, "timeliness": 0.15, "consistency": 0.15, "uniqueness": 0.15, "mapping": 0.10})
     similarity: float = 0.82
     dts_floor: float = 0.20
+    min_measurable: float = 0.50
 
 
 DEFAULT = Policy()
