@@ -138,3 +138,20 @@ def ns06_prior(daily: DataFrame, min_peers: int = 3, surge: float = 1.5) -> Data
     rows = rows.withColumn("peer_mean", (F.col("total") - F.col("activity")) / (F.col("n_all") - 1))
     shocked = rows.filter((F.col("peer_mean") >= F.greatest(F.lit(1.0), surge * F.col("base"))) & (F.col("activity") <= F.greatest(F.lit(0.0), 0.5 * F.col("base"))))
     return _measured(shocked, F.avg((F.col("peer_mean") - F.col("activity")) / F.greatest("peer_mean", F.lit(1.0))))
+
+
+def ns03(slots: DataFrame, hours: DataFrame, holidays: DataFrame) -> DataFrame:
+    """(entity_id, slot, activity, maintenance) and declared (entity_id, open_hour, close_hour): share of slots inside the
+    declared hours of working days without activity or maintenance. Hours may run over midnight; entities that declared
+    none are not assessable and have no row."""
+    at, first, last = F.hour("slot"), F.col("open_hour"), F.col("close_hour")
+    inside = F.when(first < last, (at >= first) & (at < last)).otherwise((at >= first) | (at < last))
+    rows = slots.join(F.broadcast(hours.filter("open_hour is not null and close_hour is not null")), "entity_id").filter(inside & (F.weekday("slot") < 5))
+    rows = rows.withColumn("date", F.to_date("slot")).join(F.broadcast(holidays.select("date")), "date", "left_anti")
+    quiet = (F.col("activity") <= 0) & ~F.coalesce("maintenance", F.lit(False))
+    return _measured(rows, F.avg(quiet.cast("int")))
+
+
+def sparse_confidence(n):
+    """Confidence of a negative-space value: full from five observations on."""
+    return F.least(F.lit(1.0), n / 5)

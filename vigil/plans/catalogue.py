@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions import scalars, stats
 from vigil.operators import indicators as ind
-from vigil.operators import anomaly, intake, privacy, sampling, scoring, text
+from vigil.operators import anomaly, intake, privacy, sampling, scoring, text, trends
 from vigil.plans import adapters as a
 from vigil.plans import shared
 from vigil.policy import DEFAULT
@@ -549,8 +549,7 @@ _SHINGLED = f"WITH w AS (SELECT source, doc_id, {_WORDS} AS w FROM documents), s
 @query(f"{_SHINGLED}, b AS (SELECT source AS entity, band, signature, count(*) AS n_notes, min(doc_id) AS anchor FROM bd GROUP BY ALL HAVING count(*) > 1) SELECT entity, anchor, count(*) AS n_bands, max(n_notes) AS n_notes FROM b GROUP BY ALL")
 def note_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buckets of similar notes within an entity, by anchor note."""
-    rows = a.table(spark, sf_dir, "documents").select(F.col("source").alias("entity"), "doc_id", "text")
-    found = text.templates(text.bands(rows, "text"), "entity", "doc_id")
+    found = text.templates(trends.minhash_bands(a.table(spark, sf_dir, "documents"), "source", "doc_id", "text"), "entity", "note")
     return found.groupBy("entity", "anchor").agg(F.count("*").alias("n_bands"), F.max("n_notes").alias("n_notes"))
 
 
