@@ -96,7 +96,9 @@ def features_of(word: str, prefixes: tuple[int, ...]) -> list[str]:
 
 class Grammar:
     def __init__(self, lexicon: dict[str, tuple[int, int]], base_rate: float, settings: Settings):
-        self.lexicon, self.rate, self.settings, self.kept = lexicon, base_rate, settings, {}
+        self.lexicon, self.rate, self.settings = lexicon, base_rate, settings
+        self.kept: dict[str, tuple[int, int] | None] = {}
+        self.before: dict[str, tuple[int, int] | None] = {}
 
     def _counts(self, word: str) -> tuple[int, int] | None:
         """Toxic and all labelled documents of the entry that speaks most clearly for this word."""
@@ -110,14 +112,17 @@ class Grammar:
         return float(np.log(p / (1 - p))) if 0.5 < p < 1 else 0.0
 
     def hits(self, words: set[str]) -> dict[str, tuple[int, int]]:
-        out, kept = {}, self.kept
+        """Entries of the words that have one. Two generations of remembered words: frequent ones move on, rare ones go."""
+        out = {}
         for w in words:
-            try:
-                found = kept[w]
-            except KeyError:
-                if len(kept) > 60_000:
-                    kept.clear()
-                found = kept[w] = self._counts(w)
+            found = self.kept.get(w, self)
+            if found is self:
+                found = self.before.pop(w, self)
+                if found is self:
+                    found = self._counts(w)
+                if len(self.kept) >= 40_000:
+                    self.before, self.kept = self.kept, {}
+                self.kept[w] = found
             if found is not None:
                 out[w] = found
         return out
