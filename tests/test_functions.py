@@ -68,14 +68,14 @@ def test_corrupt_lines_are_kept(spark, tmp_path):
 
 
 def test_peer_baseline_leaves_one_out(spark):
-    values = [285.0, 300, 315, 330, 345, 360, 395, 410, 280, 45]
+    values = [7.0 * i * i % 211 + 400 for i in range(11)] + [20.0]
     df = spark.createDataFrame([(i, "c", float(v), 60, -1) for i, v in enumerate(values)], "entity_id int, cohort string, value double, n long, sign int")
     got = {r.entity_id: r for r in stats.peer_baseline(df).collect()}
     for i, v in enumerate(values):
         peers = [x for j, x in enumerate(values) if j != i]
         median = statistics.median(peers)
         assert got[i].median == median and got[i].mad == statistics.median(abs(x - median) for x in peers)
-    assert max(got.values(), key=lambda r: r.effect).entity_id == 9
+    assert max(got.values(), key=lambda r: r.effect).entity_id == 11
 
 
 def test_thin_cohort_keeps_an_effect(spark):
@@ -90,13 +90,20 @@ def test_false_discovery_by_hand(spark):
 
 
 def test_proportional_sampling(spark):
-    risk = {"ca1": 24, "ca2": 24, "ca3": 10, "ca4": 5, "ca5": 0, "ca6": 0}
-    df = spark.createDataFrame([("e", c, "x", r) for c, r in risk.items()], "entity_id string, case_id string, analyst string, risk long")
-    rows = sampling.proportional(df, 2).collect()
-    assert len(rows) == 2 and all(r.risk > 0 and abs(r.pi - min(1, 2 * r.risk / 63)) < 1e-12 for r in rows)
-    assert sampling.capped(df.filter("risk > 0"), 1).count() == 1
-    again = sampling.proportional(df.repartition(7), 2).collect()
-    assert sorted(r.case_id for r in again) == sorted(r.case_id for r in rows)
+    """Against the plain walk along cumulated risk, for several sizes."""
+    risk = {f"k{i}": (i * 37) % 23 for i in range(40)}
+    df = spark.createDataFrame([("e", k, f"a{int(k[1:]) % 4}", r) for k, r in risk.items()], "entity_id string, case_id string, analyst string, risk long")
+    order, whole = sorted((k for k in risk if risk[k]), key=lambda k: (-risk[k], k)), sum(risk.values())
+    for n in (3, 9):
+        wanted, at = set(), 0
+        for k in order:
+            if any(at <= (j + 0.5) * whole / n < at + risk[k] for j in range(n)):
+                wanted.add(k)
+            at += risk[k]
+        for parts in (1, 7):
+            rows = sampling.proportional(df.repartition(parts), n).collect()
+            assert {r.case_id for r in rows} == wanted and all(abs(r.pi - min(1, n * r.risk / whole)) < 1e-12 for r in rows)
+    assert sampling.capped(df, 2).count() == 8
 
 
 def test_controls_follow_the_allocation(spark):
@@ -104,3 +111,47 @@ def test_controls_follow_the_allocation(spark):
     take = sampling.allocation(df.groupBy("stratum").agg(F.count("*").alias("size")), 7)
     rows = sampling.controls(df, take, "s").collect()
     assert len(rows) == 7 and sum(1 / r.pi for r in rows) == 30.0
+
+
+def test_vocabularies_and_addresses(spark):
+    import ipaddress
+
+    assert cells(spark, ["re-opened", "Pending escalation", "odd", "-"], scalars.status) == ["REOPENED", "ESCALATED", None, None]
+    assert cells(spark, ["Explicit", "INFERRED", "guess"], lambda c: scalars.enum(c, scalars.LINK_TYPES)) == ["explicit", "inferred", None]
+    assert cells(spark, ["resolve", "re-open", "Owner changed"], scalars.event_type) == [None, "reopened", "assigned"]
+    texts = ["1.2.3.4", "01.2.3.4", "256.1.1.1", "::", "::1", "1::", "1::2::3", "fe80::1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "12345::", ":::", "g::1", "2001:db8::8:800:200c:417a", ":1", "1:", "abc", ""]
+
+    def valid(t):
+        try:
+            ipaddress.ip_address(t)
+            return True
+        except ValueError:
+            return False
+
+    assert cells(spark, texts, scalars.is_ip) == [valid(t) for t in texts]
+
+
+def test_mapping_stops_without_required_columns(spark):
+    import pytest
+
+    df = spark.createDataFrame([("1", " HIGH ")], "ref string, sev string")
+    rows, warnings = intake.apply_mapping(df, {"case_id": "ref", "severity": "sev", "owner": "gone"}, ["case_id", "severity", "owner"], ["case_id"])
+    assert rows.collect() == [("1", "HIGH", None)] and warnings == ["owner: no column gone"]
+    with pytest.raises(ValueError, match="owner"):
+        intake.apply_mapping(df, {"case_id": "ref"}, ["case_id", "owner"], ["owner"])
+
+
+def test_segments_split_again(spark):
+    from vigil.operators import trends
+
+    values = [0.2, 0.21, 0.2, 0.22] + [0.6, 0.61, 0.6, 0.59] + [0.9, 0.91, 0.9, 0.92]
+    df = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)] + [("flat", i, 0.5) for i in range(9)] + [("short", i, float(i)) for i in range(5)], "series string, period int, value double")
+    got = sorted((r.series, r.period, r.direction) for r in trends.segments(df).collect())
+    assert got == [("s", 4, "up"), ("s", 8, "up")]
+
+
+def test_normal_p(spark):
+    from vigil.operators import trends
+
+    df = spark.createDataFrame([(0.0,), (1.959964,), (-3.0,)], "z double")
+    assert [round(r.p, 4) for r in df.select(trends.normal_p("z").alias("p")).collect()] == [1.0, 0.05, 0.0027]
