@@ -6,7 +6,7 @@ import json
 import os
 import time
 
-HEADLINE = ["eg01_rapid_closure", "entity_scores", "eg02_value", "eg08_value", "ns02_absent_categories", "normalised_cases", "first_wins_dedup", "redacted_notes", "pseudonyms", "note_signatures", "targeted_sample", "entity_trend", "presence_snapshot", "policy_diff"]
+HEADLINE = ["eg01_rapid_closure", "entity_scores", "eg02_value", "eg08_value", "ns02_absent_categories", "normalised_cases", "first_wins_dedup", "redacted_notes", "pseudonyms", "note_signatures", "targeted_sample", "entity_trend", "presence_snapshot", "policy_diff", "note_similarity"]
 
 
 def main() -> None:

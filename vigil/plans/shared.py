@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; one of this machine's only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vigil-")
+    """A new folder below spark.checkpoint.dir; where that is unset, of the warehouse on a cluster, of this machine in
+    local mode, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        local = spark.sparkContext.master.startswith("local")
+        base = tempfile.mkdtemp(prefix="vigil-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/written"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
