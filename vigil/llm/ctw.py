@@ -52,9 +52,22 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - np.log(x * (x + 1) * (x + 2) * (x + 3))
 
 
+#: log gamma at whole numbers and a half, and at whole numbers from 1: most counts are small.
+_HALVES, _WHOLES = _lgamma(np.arange(1 << 14) + 0.5), _lgamma(np.arange(1 << 14) + 1.0)
+
+
+def _of_count(n: np.ndarray, known: np.ndarray, plus: float) -> np.ndarray:
+    """_lgamma(n + plus) of whole numbers n, from a table as far as it goes."""
+    at = n.astype(np.int64)
+    out = known.take(at, mode="clip")
+    large = np.flatnonzero(at >= len(known))
+    out[large] = _lgamma(n[large] + plus)
+    return out
+
+
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """log of the KT probability of a zeros and b ones."""
-    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1.0) - 2 * lgamma(0.5)
+    return _of_count(a, _HALVES, 0.5) + _of_count(b, _HALVES, 0.5) - _of_count(a + b, _WHOLES, 1.0) - 2 * lgamma(0.5)
 
 
 def grams(words: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:

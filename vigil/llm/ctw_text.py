@@ -60,9 +60,19 @@ def grams(texts: list, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return code[inside], np.repeat(np.arange(len(size)), size)
 
 
-def _sums(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key, inverse = np.unique(key, return_inverse=True)
-    return key, np.bincount(inverse, n, len(key))
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    first = np.flatnonzero(_starts(keys))
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def _summed(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray, list]:
+    """Sorted keys and sums of some runs of distinct sorted keys; and each run's places in them."""
+    every = _distinct(np.concatenate(keys))[0]
+    places, total = [np.searchsorted(every, k) for k in keys], np.zeros(len(every), np.int64)
+    for at, n in zip(places, counts):
+        total[at] += n
+    return every, total, places
 
 
 def _starts(x: np.ndarray) -> np.ndarray:
@@ -84,10 +94,13 @@ def _nodes(key: np.ndarray, k: int) -> np.ndarray:
 
 @dataclass
 class Layer:
-    """One depth: its sorted rows (context and symbol) and, for each of the eight decisions, each row's node, the
-    nodes' first rows, counts and log weights."""
+    """One depth: its sorted rows (context and symbol), the row above each, the grams whose tree ends here and their
+    rows; and, for each of the eight decisions, each row's node, the nodes' first rows, counts and log weights."""
 
     key: np.ndarray
+    up: np.ndarray | None
+    ended: np.ndarray
+    at: np.ndarray
     node: list[np.ndarray]
     first: list[np.ndarray]
     zeros: list[np.ndarray]
@@ -102,29 +115,30 @@ class Layer:
 
 def layers(gram: np.ndarray, count: np.ndarray, top: int, depth: int) -> list[Layer]:
     """The trees of some sorted grams from depth top down."""
-    out, parents, open_ = [], [], []
-    live = gram
+    out, open_ = [], []
+    live, index = gram, np.arange(len(gram))
     for d in range(top, depth + 1):
         if d > top:
             if not split.any():
                 break
-            live, count = live[split], count[split]
+            live, count, index = live[split], count[split], index[split]
             before = row[split]
         key, row = np.unique(at_depth(live, d), return_inverse=True)
         n = np.bincount(row, count, len(key))
-        layer = Layer(key, [], [], [], [], [])
+        layer = Layer(key, None, index, row, [], [], [], [], [])
+        differs = key[1:] ^ key[:-1]
         for k in range(8):
-            new = _starts(_nodes(key, k))
+            new = np.ones(len(key), bool)
+            new[1:] = differs >= U64(1 << (8 - k))  # another context or another beginning of the symbol
             first = np.flatnonzero(new)
             ones = np.add.reduceat(n * ((key >> U64(7 - k)) & U64(1)), first)
-            layer.node.append((np.cumsum(new) - 1).astype(np.int32))
+            layer.node.append(np.cumsum(new, dtype=np.int32) - np.int32(1))
             layer.first.append(first)
             layer.ones.append(ones)
             layer.zeros.append(np.add.reduceat(n, first) - ones)
-        if d > top:  # the row above each row
-            up = np.empty(len(key), np.int64)
-            up[row] = before
-            parents.append(up)
+        if d > top:
+            layer.up = np.empty(len(key), np.int32)
+            layer.up[row] = before
         # contexts that more than one full context reaches go on
         start = np.flatnonzero(_starts(live >> U64(64 - 8 * d))) if d else np.zeros(1, np.int64)
         ends = np.append(start[1:], len(live)) - 1
@@ -132,6 +146,7 @@ def layers(gram: np.ndarray, count: np.ndarray, top: int, depth: int) -> list[La
         more = np.zeros(len(key), bool)
         more[row] = split
         open_.append(more)
+        layer.ended, layer.at = index[~split], row[~split].astype(np.int32)
         out.append(layer)
     for i in range(len(out) - 1, -1, -1):
         layer = out[i]
@@ -139,55 +154,83 @@ def layers(gram: np.ndarray, count: np.ndarray, top: int, depth: int) -> list[La
             own = log_kt(layer.zeros[k], layer.ones[k])
             if i + 1 < len(out):
                 below = out[i + 1]
-                parent = layer.node[k][parents[i][below.first[k]]]
+                parent = layer.node[k][below.up[below.first[k]]]
                 children = np.bincount(parent, below.weighted[k], len(own))
                 own = np.where(open_[i][layer.first[k]], np.logaddexp(own, children) + np.log(0.5), own)
             layer.weighted.append(own)
     return out
 
 
-def log2_of(gram: np.ndarray, upper: list, trees: list[Layer], top: int) -> np.ndarray:
-    """log2 probability of each gram's byte in its context, in slices that bound memory."""
-    tables = [[layer.estimates(k) for k in range(8)] for layer in trees]
-    return np.concatenate([_log2_of(gram[i : i + 200_000], upper, trees, tables, top) for i in range(0, len(gram), 200_000)] or [np.zeros(0)])
+def _mix(state: list, found, own: np.ndarray, p: np.ndarray) -> None:
+    """One more depth; state: probability so far, weight left for what lies deeper, the deepest estimate found."""
+    mixed, left, last = state
+    weight = np.where(found, own, 0.0)
+    state[:] = mixed + left * weight * p, left * (1 - weight), np.where(found, p, last)
 
 
-def _log2_of(gram: np.ndarray, upper: list, trees: list[Layer], tables: list, top: int) -> np.ndarray:
-    short, back = np.unique(at_depth(gram, len(upper) - 1), return_inverse=True) if upper else (gram[:0], None)
-    shape = (8, len(short)) if upper else (8, len(gram))
-    mixed, left, last = np.zeros(shape), np.ones(shape), np.full(shape, 0.5)
-
-    def mix(k, rows, found, own, p):
-        weight = np.where(found, own, 0.0)
-        mixed[k, rows] += left[k, rows] * weight * p
-        left[k, rows] *= 1 - weight
-        last[k, rows] = np.where(found, p, last[k, rows])
-
+def _above(short: np.ndarray, upper: list) -> list[list]:
+    """States of the eight decisions after the levels above the trees, for contexts of their depth and symbols."""
+    states = [[np.zeros(len(short)), np.ones(len(short)), np.full(len(short), 0.5)] for _ in range(8)]
     for d, (nodes, own, one) in enumerate(upper):
         key = (short >> U64(8 * (len(upper) - d))) << U64(8) | short & U64(255) if d else short & U64(255)
         for k in range(8 if len(nodes) else 0):
             want = _nodes(key, k)
             at = np.minimum(np.searchsorted(nodes, want), len(nodes) - 1)
-            mix(k, slice(None), nodes[at] == want, own[at], np.where((key >> U64(7 - k)) & U64(1) == 1, one[at], 1 - one[at]))
-    if upper:
-        mixed, left, last = mixed[:, back], left[:, back], last[:, back]
-    rows = np.arange(len(gram))
+            _mix(states[k], nodes[at] == want, own[at], np.where((key >> U64(7 - k)) & U64(1) == 1, one[at], 1 - one[at]))
+    return states
+
+
+def log2_learnt(size: int, upper: list, trees: list[Layer]) -> np.ndarray:
+    """log2 probability in its context of each of the grams that the trees were built from: down from row to row."""
+    out = np.zeros(size)
+    key = trees[0].key
+    above = _above((key >> U64(16)) << U64(8) | key & U64(255), upper)
+    for k in range(8):
+        state = above[k]
+        for layer in trees:
+            if layer.up is not None:
+                state = [x[layer.up] for x in state]
+            own, one = layer.estimates(k)
+            node = layer.node[k]
+            p = one[node]
+            _mix(state, True, own[node], np.where((layer.key >> U64(7 - k)) & U64(1) == 1, p, 1 - p))
+            mixed, left, last = (x[layer.at] for x in state)
+            out[layer.ended] += np.log2(mixed + left * last)
+    return out
+
+
+def log2_of(gram: np.ndarray, upper: list, trees: list[Layer], top: int) -> np.ndarray:
+    """log2 probability of any grams' bytes in their contexts, in slices that bound memory."""
+    tables = [[layer.estimates(k) for k in range(8)] for layer in trees]
+    return np.concatenate([_log2_of(gram[i : i + 200_000], upper, trees, tables, top) for i in range(0, len(gram), 200_000)] or [np.zeros(0)])
+
+
+def _log2_of(gram: np.ndarray, upper: list, trees: list[Layer], tables: list, top: int) -> np.ndarray:
+    short, back = np.unique(at_depth(gram, top - 1), return_inverse=True)
+    mixed, left, last = (np.stack(x)[:, back] for x in zip(*_above(short, upper)))
+    out, rows = np.zeros(len(gram)), np.arange(len(gram))
     for d, (layer, table) in enumerate(zip(trees, tables), top):
         key = at_depth(gram[rows], d)
         right = np.searchsorted(layer.key, key)
         here, there = np.minimum(right, len(layer.key) - 1), np.maximum(right - 1, 0)
-        for k in range(8):
-            want = _nodes(key, k)
-            a, b = _nodes(layer.key[here], k) == want, _nodes(layer.key[there], k) == want
-            at, found = layer.node[k][np.where(a, here, there)], a | b
-            own, one = table[k]
-            mix(k, rows, found, own[at], np.where((key >> U64(7 - k)) & U64(1) == 1, one[at], 1 - one[at]))
-            if not k:
-                known = found
-        rows = rows[known]
+        off_here, off_there = key ^ layer.key[here], key ^ layer.key[there]
+        known = np.minimum(off_here, off_there) < U64(256)
+        if not known.all():  # contexts that end above
+            out[rows[~known]] = np.log2(mixed[:, ~known] + left[:, ~known] * last[:, ~known]).sum(axis=0)
+            rows, mixed, left, last = rows[known], mixed[:, known], left[:, known], last[:, known]
+            key, here, there, off_here, off_there = (x[known] for x in (key, here, there, off_here, off_there))
         if not len(rows):
             break
-    return np.log2(mixed + left * last).sum(axis=0)
+        for k in range(8):
+            bound = U64(1 << (8 - k))  # equal contexts, and equal first k bits of the symbol
+            a = off_here < bound
+            at = layer.node[k][np.where(a, here, there)]
+            own, one = table[k]
+            state = [mixed[k], left[k], last[k]]
+            _mix(state, a | (off_there < bound), own[at], np.where((key >> U64(7 - k)) & U64(1) == 1, one[at], 1 - one[at]))
+            mixed[k], left[k], last[k] = state
+    out[rows] = np.log2(mixed + left * last).sum(axis=0)
+    return out
 
 
 def _upper(rows) -> list:
@@ -205,7 +248,7 @@ def _upper(rows) -> list:
     return out
 
 
-def scored(docs: DataFrame, settings: Settings = Settings(depth=7, bucket_bytes=8 << 20), part_bytes: int = 4 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, settings: Settings = Settings(depth=7, bucket_bytes=16 << 20), part_bytes: int = 4 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ctw.scored, with contexts of up to 7 bytes (at least 3) across words."""
     s, kind = settings, docs.schema[doc_id].dataType.simpleString()
     if not CUT <= s.depth <= 7:
@@ -235,11 +278,11 @@ def scored(docs: DataFrame, settings: Settings = Settings(depth=7, bucket_bytes=
         for part, gram, row, hashes, seg in pieces(table):
             train = ~np.asarray(part.column("held_out").to_numpy(zero_copy_only=False))
             for keys, owner, to, sums in ((gram, row, code, n), (hashes, seg.doc, word, m)):
-                x, y = _sums(keys, train[owner])
-                to.append(x)
-                sums.append(y)
-        code, n = _sums(np.concatenate(code), np.concatenate(n))
-        word, m = _sums(np.concatenate(word), np.concatenate(m))
+                learns = train[owner]
+                (seen, times), (others, never) = _distinct(keys[learns]), _distinct(keys[~learns])
+                to += seen, others
+                sums += times, 0 * never
+        (code, n, _), (word, m, _) = _summed(code, n), _summed(word, m)
         (go, ga), (wo, wa) = dealt(code, code >> U64(64 - 8 * CUT)), dealt(word, word)
         out = {"part": [], "grams": [], "n": [], "words": [], "m": []}
         for p in range(parts):
@@ -249,61 +292,75 @@ def scored(docs: DataFrame, settings: Settings = Settings(depth=7, bucket_bytes=
                     out[c].append(x)
         return pa.table({"bucket": pa.array([key[0].as_py()] * len(out["part"]), pa.int32()), "part": pa.array(out["part"], pa.int32())} | {c: pa.array(out[c], pa.binary()) for c in ("grams", "n", "words", "m")})
 
-    packed = written(view.groupBy("bucket").applyInArrow(counted, "bucket int, part int, grams binary, n binary, words binary, m binary"), "packed-grams")
+    packed = view.groupBy("bucket").applyInArrow(counted, "bucket int, part int, grams binary, n binary, words binary, m binary")
+    # one row for each part: both passes over the parts read it as it lies, without another shuffle
+    packed = packed.repartition(max(1, -(-parts // 4)), "part").groupBy("part").agg(F.collect_list(F.struct("bucket", "grams", "n", "words", "m")).alias("of"))
+    packed = written(packed, "packed-grams")
+
+    def merged(of, keys, counts):
+        return _summed([unpack_sorted(x[keys]) for x in of], [unpack(x[counts], np.uint32) for x in of])
 
-    def merged(table, keys, counts):
-        each = [unpack_sorted(x) for x in table[keys].to_pylist()]
-        return each, *_sums(np.concatenate(each), np.concatenate([unpack(x, np.uint32) for x in table[counts].to_pylist()]))
+    def parts_of(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield batch.column("part")[i].as_py(), batch.column("of")[i].as_py()
 
-    def roots(key, table):
+    def roots(batches):
         """Sums for the parents of the trees' roots; and, without a context, the words' total and number."""
-        _, gram, n = merged(table, "grams", "n")
-        _, _, m = merged(table, "words", "m")
-        out = [(np.array([-1]), np.array([0]), np.array([m.sum()]), np.array([float((m > 0).sum())]), np.array([0.0]))]
-        if (n > 0).any():
-            layer = layers(gram[n > 0], n[n > 0], CUT, s.depth)[0]
-            for k in range(8):
-                node = _nodes(layer.key[layer.first[k]], k)
-                up, inverse = np.unique((node >> U64(16)) << U64(8) | node & U64(255), return_inverse=True)
-                out.append(((up >> U64(8)).astype(np.int64), (up & U64(255)).astype(np.int64), *(np.bincount(inverse, x[k], len(up)) for x in (layer.zeros, layer.ones, layer.weighted))))
-        columns = [np.concatenate(c) for c in zip(*out)]
-        return pa.table({c: pa.array(x, t) for c, x, t in zip(("context", "node", "zeros", "ones", "weighted"), columns, (pa.int32(), pa.int32(), *[pa.float64()] * 3))})
-
-    sums = packed.groupBy("part").applyInArrow(roots, "context int, node int, zeros double, ones double, weighted double")
+        for _, of in parts_of(batches):
+            gram, n, _ = merged(of, "grams", "n")
+            m = merged(of, "words", "m")[1]
+            out = [(np.array([-1]), np.array([0]), np.array([float(m.sum())]), np.array([float((m > 0).sum())]), np.array([0.0]))]
+            if (n > 0).any():
+                layer = layers(gram[n > 0], n[n > 0], CUT, s.depth)[0]
+                for k in range(8):
+                    node = _nodes(layer.key[layer.first[k]], k)
+                    up, inverse = np.unique((node >> U64(16)) << U64(8) | node & U64(255), return_inverse=True)
+                    out.append(((up >> U64(8)).astype(np.int64), (up & U64(255)).astype(np.int64), *(np.bincount(inverse, x[k], len(up)) for x in (layer.zeros, layer.ones, layer.weighted))))
+            columns = [np.concatenate(c) for c in zip(*out)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), *[pa.float64()] * 3))], ["context", "node", "zeros", "ones", "weighted"])
+
+    sums = packed.mapInArrow(roots, "context int, node int, zeros double, ones double, weighted double")
     found = sums.groupBy("context", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted"))).collect()
     upper = _upper([r for r in found if r.context >= 0])
     tokens = sum(int(r.zeros) for r in found if r.context < 0) + train_docs
     distinct = sum(int(r.ones) for r in found if r.context < 0) + (train_docs > 0)
 
-    def priced(key, table):
-        each, gram, n = merged(table, "grams", "n")
-        trees = layers(gram[n > 0], n[n > 0], CUT, s.depth) if (n > 0).any() else []
-        price = log2_of(gram, upper, trees, CUT).astype(np.float32)
-        words, word, m = merged(table, "words", "m")
-        return pa.table({"bucket": table["bucket"], "part": table["part"], "log2": pa.array([pack(price[np.searchsorted(gram, g)]) for g in each], pa.binary()), "m": pa.array([pack(m[np.searchsorted(word, w)].astype(np.uint64)) for w in words], pa.binary())})
-
-    prices = packed.groupBy("part").applyInArrow(priced, "bucket int, part int, log2 binary, m binary")
+    def priced(batches):
+        for part, of in parts_of(batches):
+            gram, n, places = merged(of, "grams", "n")
+            learnt, price = n > 0, np.zeros(len(gram), np.float32)
+            trees = layers(gram[learnt], n[learnt], CUT, s.depth) if learnt.any() else []
+            if trees:
+                price[learnt] = log2_learnt(learnt.sum(), upper, trees)
+            price[~learnt] = log2_of(gram[~learnt], upper, trees, CUT)
+            _, m, words = merged(of, "words", "m")
+            for x, at, w in zip(of, places, words):
+                yield pa.RecordBatch.from_arrays([pa.array([x["bucket"]], pa.int32()), pa.array([part], pa.int32()), pa.array([pack(price[at])], pa.binary()), pa.array([pack(m[w].astype(np.uint64))], pa.binary())], ["bucket", "part", "log2", "m"])
+
+    prices = packed.mapInArrow(priced, "bucket int, part int, log2 binary, m binary")
     base = lambda n: np.log10((n + 0.5) / (tokens + 0.5 * (distinct + 1)))
 
     def document_scores(key, texts, prices_):
         kept, code, word = [], [], []
         for part, gram, row, hashes, seg in pieces(texts):
-            g, gi = np.unique(gram, return_inverse=True)
+            g, place = np.unique(gram, return_inverse=True)
             code.append(g)
-            word.append(np.unique(hashes))
-            kept.append((part, g, gi.astype(np.int32), row.astype(np.int32), hashes, seg))
-        code, word = np.unique(np.concatenate(code)), np.unique(np.concatenate(word))
+            word.append(_distinct(hashes)[0])
+            kept.append((part, g, place.astype(np.int32), np.bincount(row, minlength=part.num_rows), hashes, seg))
+        code, word = (_distinct(np.concatenate(x))[0] for x in (code, word))
         (go, ga), (wo, wa) = dealt(code, code >> U64(64 - 8 * CUT)), dealt(word, word)
         log2, known = np.zeros(len(code)), np.zeros(len(word), np.int64)
         for p, x, m in zip(*(prices_[c].to_pylist() for c in ("part", "log2", "m"))):
             log2[go[ga[p] : ga[p + 1]]] = unpack(x, np.float32)
             known[wo[wa[p] : wa[p + 1]]] = unpack(m, U64)
         out = []
-        for part, g, gi, row, hashes, seg in kept:
+        for part, g, place, n_bytes, hashes, seg in kept:
             rows = part.num_rows
             total = lambda owner, x: np.bincount(owner, x, rows)  # noqa: B023, E731
             n = known[np.searchsorted(word, hashes)]
-            bits, n_bytes = total(row, log2[np.searchsorted(code, g)][gi]), np.bincount(row, minlength=rows)
+            price = log2[np.searchsorted(code, g)][place]
+            bits = np.add.reduceat(price, np.cumsum(n_bytes) - n_bytes)  # every text has a byte, its end
             made = {"held_out": part.column("held_out"), "n_tokens": np.bincount(seg.doc, minlength=rows) + 1, "n_known": (total(seg.doc, n > 0) + (train_docs > 0)).astype(np.int64), "train_tokens": np.full(rows, tokens), "base_score": total(seg.doc, base(n)) + base(train_docs), "score": bits * np.log10(2), "n_bytes": n_bytes, "bits_per_byte": -bits / n_bytes}
             out.append(pa.table({"doc_id": part.column("doc_id")} | made))
         return pa.concat_tables(out)
