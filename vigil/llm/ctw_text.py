@@ -248,7 +248,7 @@ def _upper(rows) -> list:
     return out
 
 
-def scored(docs: DataFrame, settings: Settings = Settings(depth=7, bucket_bytes=16 << 20), part_bytes: int = 4 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, settings: Settings = Settings(depth=7, bucket_bytes=12 << 20), part_bytes: int = 4 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ctw.scored, with contexts of up to 7 bytes (at least 3) across words."""
     s, kind = settings, docs.schema[doc_id].dataType.simpleString()
     if not CUT <= s.depth <= 7:
@@ -342,12 +342,10 @@ def scored(docs: DataFrame, settings: Settings = Settings(depth=7, bucket_bytes=
     base = lambda n: np.log10((n + 0.5) / (tokens + 0.5 * (distinct + 1)))
 
     def document_scores(key, texts, prices_):
-        kept, code, word = [], [], []
-        for part, gram, row, hashes, seg in pieces(texts):
-            g, place = np.unique(gram, return_inverse=True)
-            code.append(g)
+        code, word = [], []
+        for _, gram, _, hashes, _ in pieces(texts):
+            code.append(_distinct(gram)[0])
             word.append(_distinct(hashes)[0])
-            kept.append((part, g, place.astype(np.int32), np.bincount(row, minlength=part.num_rows), hashes, seg))
         code, word = (_distinct(np.concatenate(x))[0] for x in (code, word))
         (go, ga), (wo, wa) = dealt(code, code >> U64(64 - 8 * CUT)), dealt(word, word)
         log2, known = np.zeros(len(code)), np.zeros(len(word), np.int64)
@@ -355,12 +353,13 @@ def scored(docs: DataFrame, settings: Settings = Settings(depth=7, bucket_bytes=
             log2[go[ga[p] : ga[p + 1]]] = unpack(x, np.float32)
             known[wo[wa[p] : wa[p + 1]]] = unpack(m, U64)
         out = []
-        for part, g, place, n_bytes, hashes, seg in kept:
+        for part, gram, row, hashes, seg in pieces(texts):  # once more, so that no piece's grams are kept
             rows = part.num_rows
+            g, place = np.unique(gram, return_inverse=True)
             total = lambda owner, x: np.bincount(owner, x, rows)  # noqa: B023, E731
             n = known[np.searchsorted(word, hashes)]
             price = log2[np.searchsorted(code, g)][place]
-            bits = np.add.reduceat(price, np.cumsum(n_bytes) - n_bytes)  # every text has a byte, its end
+            bits, n_bytes = total(row, price), np.bincount(row, minlength=rows)
             made = {"held_out": part.column("held_out"), "n_tokens": np.bincount(seg.doc, minlength=rows) + 1, "n_known": (total(seg.doc, n > 0) + (train_docs > 0)).astype(np.int64), "train_tokens": np.full(rows, tokens), "base_score": total(seg.doc, base(n)) + base(train_docs), "score": bits * np.log10(2), "n_bytes": n_bytes, "bits_per_byte": -bits / n_bytes}
             out.append(pa.table({"doc_id": part.column("doc_id")} | made))
         return pa.concat_tables(out)
