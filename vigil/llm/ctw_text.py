@@ -3,7 +3,7 @@
 The texts, their normal form and the weighting are those of ctw; only the context differs. A gram (context and byte)
 is one number with the nearest byte of the context highest, so that the nodes of any depth are runs of sorted grams.
 Grams are counted by bucket of documents. Each bucket deals them out, packed, by their three nearest context bytes;
-each part builds its trees from the sums over all buckets and sends the prices back to the buckets in the order of
+they are written once, a row for each part, and each part builds its trees from the sums over all buckets and sends the prices back to the buckets in the order of
 their grams. The three upper levels pass through the driver; their number of contexts does not grow with the corpus.
 Word counts travel the same way, by 64-bit hash. Below a context that all its occurrences reach by the same bytes, all
 nodes have the same counts and estimates, so the tree ends there and the prices stay the same.
