@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, ctw_text, embeddings, jaccard, packing, quality, substrings, toxicity, unigram, warc
+from vigil.llm import bpe, ctw_text, embeddings, jaccard, packing, phrases, quality, substrings, toxicity, unigram, warc
 from vigil.llm.session import table
 
 
@@ -107,6 +107,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_ctw": op2_ctw,
@@ -118,6 +122,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "op13_phrases": op13_phrases,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Phrases by brute force: every gram of every piece.
+PHRASES_SQL = """
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece
+  from documents where text is not null),
+words as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from pieces),
+starts as (select lang, w, unnest(range(1, len(w) + 1)) as i from words),
+grams as (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as f
+  from starts, range(1, 6) as t(k) where i + k - 1 <= len(w) group by all),
+totals as (select lang, cast(sum(f) as bigint) as n from grams where k = 1 group by lang),
+often as (select * from grams where f >= 100),
+longer as (
+  select distinct lang, array_to_string(string_split(phrase, ' ')[i:i + m - 1], ' ') as phrase, f
+  from often, range(2, 5) as a(m), range(1, 5) as b(i) where m < k and i + m - 1 <= k),
+candidates as (
+  select lang, phrase, k, f from often o where k > 1 and not exists (
+    select 1 from longer x where x.lang = o.lang and x.phrase = o.phrase and 100 * x.f >= 100 * o.f)),
+cuts as (
+  select c.lang, c.phrase, c.f as a, l.f as l, r.f as r, n, cut,
+    cast((1000::hugeint * c.f * n) // (l.f::hugeint * r.f) as bigint) as score
+  from candidates c, range(1, 5) as t(cut), often l, often r, totals
+  where cut < c.k and l.lang = c.lang and r.lang = c.lang and totals.lang = c.lang
+    and l.phrase = array_to_string(string_split(c.phrase, ' ')[1:cut], ' ')
+    and r.phrase = array_to_string(string_split(c.phrase, ' ')[cut + 1:c.k], ' ')),
+lowest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from lowest)
+select lang, rank, phrase, a, l, r, n, score from ranked where rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_phrases": PHRASES_SQL}
