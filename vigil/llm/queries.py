@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, ctw_text, embeddings, jaccard, packing, phrases, quality, substrings, toxicity, unigram, warc
+from vigil.llm import bpe, ctw_text, embeddings, jaccard, lexical, packing, phrases, pii, quality, substrings, toxicity, unigram, warc
 from vigil.llm.session import table
 
 
@@ -107,6 +107,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"), pii.fit(pii.labelled_table(spark)))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -122,6 +130,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "op11_pii": op11_pii,
+    "op12_lexical": op12_lexical,
     "op13_phrases": op13_phrases,
 }
 
@@ -156,4 +166,27 @@ ranked as (select *, row_number() over (partition by lang order by score desc, a
 select lang, rank, phrase, a, l, r, n, score from ranked where rank <= 2000
 """
 
-ORACLE_SQL: dict[str, str] = {"op13_phrases": PHRASES_SQL}
+#: The search by brute force: every document against every item.
+LEXICAL_SQL = """
+with terms as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w
+  from documents where text is not null),
+held as (select doc_id, w, cast(len(w) as bigint) as n from terms where len(w) > 0),
+totals as (select count(*) as nd, cast(sum(n) as bigint) as total from held),
+tfs as (select doc_id, n, term, count(*) as tf from (select doc_id, n, unnest(w) as term from held) group by all),
+asked as (
+  select item_id, term, count(*) as q from (
+    select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from benchmark where text is not null) group by all),
+weights as (
+  select term, cast(floor(1000 * ln((2 * any_value(nd) + 2) / (2 * count(*) + 1))) as bigint) as weight
+  from tfs, totals group by term),
+scores as (
+  select item_id, doc_id, cast(sum(q * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // total)))) as bigint) as score
+  from asked join tfs using (term) join weights using (term), totals group by item_id, doc_id)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+from scores where score > 0 qualify rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_lexical": LEXICAL_SQL, "op13_phrases": PHRASES_SQL}
