@@ -137,13 +137,14 @@ def escalation_limits(counts: DataFrame, limits: Limits = Limits()) -> DataFrame
     mean = F.col("_x") / F.col("_n")
     # sum n (p_i - mean)^2 of the peers, against what binomial draws alone would give
     between = F.col("_xx") - F.col("_n") * F.col("mean") * F.col("mean")
-    spread = (between - (F.col("_k") - 1) * F.col("mean") * (1 - F.col("mean"))) / (F.col("_n") - F.col("_nn") / F.col("_n") - (F.col("_k") - 1))
+    scale = F.col("_n") - F.col("_nn") / F.col("_n") - (F.col("_k") - 1)
+    spread = F.try_divide(between - (F.col("_k") - 1) * F.col("mean") * (1 - F.col("mean")), scale)
     rows = rows.filter("_n > 0").withColumn("mean", mean)
     rows = rows.withColumn("spread", F.when((F.col("_k") >= 2) & (spread > 0) & (spread < F.col("mean") * (1 - F.col("mean"))), spread))
     size = F.col("mean") * (1 - F.col("mean")) / F.col("spread") - 1
     rows = rows.withColumns({"_a": F.col("mean") * size, "_b": (1 - F.col("mean")) * size, "_no": F.col("n") - F.col("escalated"), "_q": 1 - F.col("mean")})
     rows = rows.withColumn("chance", F.coalesce(tails.beta_binomial_lower_of("escalated", "n", "_a", "_b"), tails.binomial_upper_of("_no", "n", "_q")))
-    short = F.when(F.col("chance") <= limits.chance, 1 - F.col("escalated") / F.col("n") / F.col("mean")).otherwise(0.0)
+    short = F.when(F.col("chance") <= limits.chance, 1 - F.try_divide(F.col("escalated") / F.col("n"), F.col("mean"))).otherwise(0.0)
     return rows.select("entity_id", "cohort", short.alias("value"), "n", (F.col("escalated") / F.col("n")).alias("rate"), "mean", "spread", "chance")
 
 

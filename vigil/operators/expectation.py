@@ -82,9 +82,9 @@ def rate_laws(totals: DataFrame, klass: str = "asset_class") -> DataFrame:
     do not. Classes with fewer than two other assets have no rate."""
     t, d, m = F.col("total").cast("double"), F.col("days").cast("double"), F.col("rate")
     rows = less_own(totals, [klass], _k=F.lit(1.0), _t=t, _d=d, _tt=t * t, _td=t * d, _dd=d * d)
-    rows = rows.withColumn("rate", F.when(F.col("_k") >= 2, F.col("_t") / F.col("_d")))
+    rows = rows.withColumn("rate", F.when(F.col("_k") >= 2, F.try_divide("_t", "_d")))
     # sum (total - rate * days)^2 has the mean rate * days + variance * days^2 for each asset
-    variance = (F.col("_tt") - 2 * m * F.col("_td") + m * m * F.col("_dd") - m * F.col("_d")) / F.col("_dd")
+    variance = F.try_divide(F.col("_tt") - 2 * m * F.col("_td") + m * m * F.col("_dd") - m * F.col("_d"), F.col("_dd"))
     rows = rows.withColumn("_v", variance).withColumn("size", F.when(F.col("_v") > 0, m * m / F.col("_v")))
     return rows.drop("_k", "_t", "_d", "_tt", "_td", "_dd", "_v")
 
@@ -106,7 +106,7 @@ def silent_assets(daily: DataFrame, klass: str = "asset_class", q: float = 0.05)
     per = per.withColumn("silent_since", since).withColumn("run", F.coalesce(F.datediff("_end", "silent_since") + 1, F.lit(0)))
     rows = rate_laws(per.drop("_first", "_end", "_last"), klass)
     before = F.col("days") - F.col("run")
-    b = F.col("size") / F.col("rate")
+    b = F.try_divide("size", "rate")
     gamma = F.pow((b + before) / (b + before + F.col("run")), F.col("size") + F.col("total"))
     poisson = F.exp(-F.col("rate") * F.col("run"))
     chance = F.when(F.col("run") > 0, F.when(F.col("rate") > 0, F.coalesce(gamma, poisson)))
@@ -137,7 +137,7 @@ def silent_categories(counts: DataFrame, chance: float = 0.05, months: int = 2)
     share = F.when(F.col("_e") > 0, F.col("_x") / F.col("_e"))
     rows = rows.withColumn("_s", share).withColumn("expected", F.col("_s") * F.col("_all"))
     s = F.col("_s")
-    variance = (F.col("_xx") - 2 * s * F.col("_xe") + s * s * F.col("_ee") - s * F.col("_e")) / (s * s * F.col("_ee"))
+    variance = F.try_divide(F.col("_xx") - 2 * s * F.col("_xe") + s * s * F.col("_ee") - s * F.col("_e"), s * s * F.col("_ee"))
     rows = rows.withColumn("_v", variance).withColumn("size", F.when(F.col("_v") > 0, 1 / F.col("_v")).otherwise(F.lit(float("inf"))))
     rows = rows.withColumn("chance", F.when(F.col("expected") > 0, tails.negative_binomial_lower_of("activity", "expected", "size")))
     low = F.coalesce(F.col("chance") <= chance, F.lit(False))

@@ -262,11 +262,11 @@ def customer_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH v AS (SELECT c_custkey AS entity_id, c_mktsegment AS cohort, value, c_acctbal AS x FROM customer LEFT JOIN (SELECT o_custkey, avg(o_totalprice) AS value FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey),
  p AS (SELECT a.entity_id, any_value(a.x) AS x, count(*) AS n_peers, regr_slope(b.value, b.x) AS slope, regr_intercept(b.value, b.x) AS base
   FROM v a JOIN v b ON a.cohort = b.cohort AND a.entity_id <> b.entity_id AND b.value IS NOT NULL AND b.x IS NOT NULL WHERE a.value IS NOT NULL AND a.x IS NOT NULL GROUP BY a.entity_id)
- SELECT entity_id, cohort, round(value, 3) AS value, n_peers, round(base + slope * p.x, 3) AS expected, round(value - base - slope * p.x, 3) AS residual FROM v LEFT JOIN p USING (entity_id)""")
+ SELECT entity_id, cohort, round(value, 6) AS value, n_peers, round(base + slope * p.x, 2) AS expected, round(value - base - slope * p.x, 2) AS residual FROM v LEFT JOIN p USING (entity_id)""")
 def covariate_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected value of each entity by its peers' regression on a covariate, and what is left."""
     out = x.covariate_model(customer_values(spark, sf_dir), ["balance"], ["cohort"])
-    return out.select("entity_id", "cohort", "n_peers", *(F.round(c, 3).alias(c) for c in ("value", "expected", "residual")))
+    return out.select("entity_id", "cohort", "n_peers", F.round("value", 6).alias("value"), *(F.round(c, 2).alias(c) for c in ("expected", "residual")))
 
 
 _DUE = "NOT (user_id % 9 = 4 AND day >= DATE '2024-01-21')"
