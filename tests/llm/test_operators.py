@@ -333,10 +333,12 @@ def plain_verdict(docs, rules):
     """kept of each row by the rules as they are stated: histograms in dictionaries, divergence by its formula."""
     kind = lambda c: c if c in "#*$%&|<>" else "letter" if c.isascii() and c.isalpha() else "digit" if c in "0123456789" else "line" if c == "\n" else "blank" if c in " \t\x0b\x0c\r" else c if c in ".," else "mark" if c in ";:!?'\"()-" else "other" if c.isascii() else "wide"
     words_of = lambda t: re.findall("[a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
-    chars, words = defaultdict(Counter), defaultdict(Counter)
+    letters_of = lambda t: [c for b in t.encode() for c in [chr(b).lower() if b < 128 else b] if b > 127 or c in "abcdefghijklmnopqrstuvwxyz"]
+    chars, words, letters = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter)
     for r in docs:
         if r.lang:
             chars[r.lang].update(map(kind, r.text or ""))
+            letters[r.lang].update(letters_of(r.text or ""))
             words[r.lang].update(words_of(r.text or ""))
     have = [k for k in chars if sum(words[k].values()) >= rules.reference_words]
     tie = lambda w: int(quality._letter_words(*wd.text_bytes(pa.array([w])))[0][0])
@@ -364,11 +366,12 @@ def plain_verdict(docs, rules):
         base = plain_base(text)[-1]
         c, w = Counter(map(kind, text)), Counter(x if x in common else None for x in words_of(text))
         n_c, n_w = sum(c.values()), sum(w.values())
-        near = [min((divergence(h, ref[i]) for ref in refs.values()), default=0) for i, h in enumerate((c, w))]
+        own = Counter(letters_of(text))
+        spelt = [k for k in refs if divergence(own, letters[k]) <= rules.letter_distance + rules.slack * math.sqrt(quality.N_LETTERS / 4 / max(own.total(), 1))]
+        near = [min((divergence(c, ref[0]) for ref in refs.values()), default=0), min((divergence(w, refs[k][1]) for k in spelt), default=0)]
         odd = n_c >= rules.class_min_chars and near[0] > rules.class_distance + rules.slack * math.sqrt(quality.N_CLASSES / 2 / n_c)
         odd = odd or n_w >= rules.word_min_words and near[1] > rules.word_distance + rules.slack * math.sqrt(rules.common_words / 4 / n_w)
-        rare = r.lang in chars and r.lang not in refs
-        out.append((r.doc_id, not base and (rare or not odd), near))
+        out.append((r.doc_id, not base and not odd, near))
     return out
 
 
@@ -382,15 +385,21 @@ def test_verdict_equals_plain(docs, odd_docs):
             assert any(r.kept == k and r.char_distance == pytest.approx(d[0], abs=1e-6) and r.word_distance == pytest.approx(d[1], abs=1e-6) for k, d in wanted[r.doc_id]), r
 
 
-def test_rare_languages_are_not_judged_by_foreign_references(spark):
-    english = " ".join("the cat sat on a mat and looked at the old dog near the house".split() * 1) + ". "
-    rows = [(i, f"{i} " + english.replace("cat", f"cat{chr(97 + i % 26)}") * 6, "en") for i in range(60)]
+def test_a_verdict_does_not_depend_on_tag_or_corpus(spark):
+    """One clean text, with each tag and beside few or many texts of its language; a list of words is rejected in all."""
+    rng = random.Random(5)
+    made = lambda: "".join(rng.choice("lo ra mi ten dor sal ver pon ket nis ga bri the and of".split()) for _ in range(3))
+    rows = [(i, ". ".join(f"the {made()} of {made()} and {made()} in the {made()}" for _ in range(12)), "en") for i in range(60)]
     german = "Der Hund lief über die Straße und bellte laut den Nachbarn an weil dieser gerade sein Haus neu strich und dabei pfiff während oben zwei Katzen auf dem warmen Dach lagen ohne sich zu rühren obwohl unten viele Kinder mit großem Lärm spielten riefen lachten und sangen bis endlich am späten Abend alle müde nach Hause gingen wo schon das Essen auf den Tischen stand"
-    df = spark.createDataFrame([*rows, (900, german, "de"), (901, german, None)], "doc_id long, text string, lang string")
-    got = {r.doc_id: r for r in quality.measured(df, quality.references(df)).collect()}
-    assert got[900].kept and got[900].word_distance > 0.9
-    assert not got[901].kept  # without a tag the closest reference decides
-    assert {r.doc_id for r in quality.kept(df, quality.references(df)).collect()} == {i for i, r in got.items() if r.kept}
+    more = [(100 + i, f"Es war {i} Mal. " + german.replace("Hund", f"Hund{chr(97 + i % 26)}"), "de") for i in range(30)]
+    listed = " ".join(made() for _ in range(90))
+    for beside in ([], more[:2], more):
+        own = [(900, german, "de"), (901, german, None), (902, german, "en"), (903, listed, "en"), (904, listed, None), (905, listed, "de")]
+        df = spark.createDataFrame([*rows, *beside, *own], "doc_id long, text string, lang string")
+        got = {r.doc_id: r for r in quality.measured(df, quality.references(df)).collect()}
+        assert got[900].kept and got[901].kept and got[902].kept and not got[903].base_failed
+        assert not got[903].kept and not got[904].kept and not got[905].kept
+        assert {r.doc_id for r in quality.kept(df, quality.references(df)).collect()} == {i for i, r in got.items() if r.kept}
 
 
 # --- op6 ---
@@ -448,6 +457,17 @@ def test_embeddings_of_several_lengths_and_repeated_ids(spark, kind):
         assert got == plain_links(rows)
 
 
+def test_embeddings_of_extreme_lengths_link(spark):
+    """Vectors whose squares over- or underflow are finite: they link by their direction."""
+    rows = [(1, [1e-200, 0.0]), (2, [2e-200, 0.0]), (3, [1e200, 1e200]), (4, [2e200, 2e200]), (5, [1.0, 0.0]), (6, [5e-324, 5e-324]), (7, [1.7e308, 1e300]), (8, [0.0, -1e-320])]
+    rows += [(100 + i, [math.cos(i) * 10.0 ** (i * 13 - 300), math.sin(i) * 10.0 ** (i * 13 - 300)]) for i in range(45)]
+    scaled = [(i, [x / max(map(abs, v)) for x in v]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for settings in (embeddings.Settings(), embeddings.Settings(per_pivot=3, fan=2, block=4)):
+        got = sorted((tuple(r) for r in embeddings.near_duplicates(df, settings).collect()), key=repr)
+        assert got == plain_links(scaled) and dict((g[0], g[1]) for g in got)[1] >= 2
+
+
 def test_no_embeddings(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embeddings.near_duplicates(df).count() == 0
@@ -708,6 +728,42 @@ def test_warc_files_keep_the_sources_own_ids_and_digests(spark, tmp_path, packed
     assert list(warc.parse(data[:-30])) == list(warc.parse(data))[:-1]
 
 
+def _warc_record(i, length=None, body=None):
+    body = body or b"HTTP/1.1 200 OK\r\n\r\nbody %d" % i
+    size = b"" if length == "none" else b"Content-Length: %s\r\n" % (str(len(body) if length is None else length).encode())
+    return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <r%d>\r\n" % i + size + b"\r\n" + body + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("piece", [1 << 23, 7, 64])
+def test_warc_goes_on_after_bad_records(piece, monkeypatch):
+    monkeypatch.setattr(warc, "_PIECE", piece)
+    ids = lambda data: ([r["record_id"] for r in warc.parse(data, tally)], tally["skipped"])
+    good = [_warc_record(i) for i in range(6)]
+    for bad in ("none", "x7", 3, 10**6, 10**40, 40):
+        tally = Counter()
+        assert ids(b"".join([good[0], _warc_record(9, bad), *good[1:3], _warc_record(8, bad), good[3]])) == (["<r0>", "<r1>", "<r2>", "<r3>"], 2), bad
+    tally = Counter()
+    assert ids(b"junk\r\n" + good[0] + b"WARC/1.1\r\nno end of header") == (["<r0>"], 1)
+    tally = Counter()
+    inside = _warc_record(7, body=b"HTTP/1.1 200 OK\r\n\r\nx\r\n\r\nWARC/1.1 is a format\r\n\r\n")
+    assert ids(inside + good[1] + _warc_record(5, body=b"z" * 1000)[:-400]) == (["<r7>", "<r1>"], 1)
+    tally = Counter()
+    members = [gzip.compress(g) for g in good]
+    broken = bytearray(members[2])
+    broken[len(broken) // 2] ^= 255
+    assert ids(b"".join([*members[:2], bytes(broken), *members[3:]]))[0] == ["<r0>", "<r1>", "<r3>", "<r4>", "<r5>"] and tally["skipped"] >= 1
+    tally = Counter()
+    assert ids(gzip.compress(b"".join(good))) == ([f"<r{i}>" for i in range(6)], 0) and ids(b"") == ([], 0)
+    assert ids(members[0] + members[1][:-9])[0] in (["<r0>"], ["<r0>", "<r1>"]) and tally["skipped"] >= 1
+
+
+def test_warc_report_counts_what_was_skipped(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(_warc_record(1, "none") + _warc_record(2) + _warc_record(3))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(_warc_record(4)))
+    got = {r.path.rsplit("/", 1)[1]: (r.n_records, r.n_skipped) for r in warc.reading_report(spark, str(tmp_path)).collect()}
+    assert got == {"a.warc": (2, 1), "b.warc.gz": (1, 0)} and warc.read_responses(spark, str(tmp_path)).count() == 3
+
+
 def test_warc_text_and_odd(spark):
     assert warc.plain_text("<p>a<b>b</b> &amp; c</p><script>var x='</p>'</script><!-- no -->d") == "ab & c\nd"
     assert warc.plain_text("<" * 5000) == "<" * 5000

@@ -48,11 +48,16 @@ class Cut:
     radius: np.ndarray
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    x = np.asarray(column.flatten().cast(pa.float64())).reshape(len(column), -1)
+def _normed(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; the largest component goes first, so no square over- or underflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _unit(column: pa.Array) -> np.ndarray:
+    return _normed(np.asarray(column.flatten().cast(pa.float64())).reshape(len(column), -1))
+
+
 def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (x @ y.T), 0))
 
@@ -113,8 +118,7 @@ def _cut_cells(rows: DataFrame, big: dict[int, int], first_cell: int, r: float,
     cuts, start = {}, {}
     for c, v in vectors.items():
         if len(v) > 1:
-            x = np.array(v, float)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            x = _normed(np.array(v, float))
             cuts[c], start[c] = Cut(x, _distance(x, x), np.full(len(x), np.inf)), first_cell
             first_cell += len(x)
     sent = spark.sparkContext.broadcast(cuts)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm import words as wd
 from vigil.llm.session import written
+from vigil.operators.sequences import Ordered
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
@@ -228,5 +229,5 @@ def collocations(docs: DataFrame, settings: Settings = Settings(), text: str = "
     order = [F.desc("score"), F.desc("a"), "phrase"]
     first = F.row_number().over(W.partitionBy("lang", F.pmod(F.hash("phrase"), F.lit(64))).orderBy(*order))
     few = scored.withColumn("rank", first).filter(F.col("rank") <= s.best)
-    out = few.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= s.best)
+    out = Ordered(few.drop("rank"), ["lang"], order).numbered("rank").filter(F.col("rank") <= s.best)
     return out.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -6,14 +6,14 @@ all documents, by Jensen-Shannon distance; the closest language counts, so a wro
 Short texts scatter widely around their language. So a distance counts only from a least length on, and the
 threshold is raised by what chance adds at the text's length.
 
-A language with too little text in the corpus has no reference. Documents tagged with such a language are judged by
-the base rules only, as foreign references would say nothing about them; documents of all other languages, and those
-without a tag, are judged by the closest reference. With no reference at all the base rules alone decide.
+Tags name the references and nothing else: a verdict depends on the text alone. Common words are compared only with
+languages whose letters the text has, by the same distance over letters. A text in a language without a reference
+(too little of it in the corpus) is far from all by its letters; its characters are judged, its words are not, as foreign
+references would say nothing about them. With no reference at all the base rules alone decide.
 
 Null and empty texts: no words; they fail the length rule. Null languages are left out of the references. Of equally
 common words the one of smaller hash is taken. Repeated rows are judged alike. Very long texts are judged whole, one
-at a time. Columns of the input are passed on or dropped, never renamed; a table without a language column is judged
-as one without tags.
+at a time. Columns of the input are passed on or dropped, never renamed; judging needs no language column.
 """
 
 from __future__ import annotations
@@ -45,6 +45,8 @@ class Rules:
     class_distance: float = 0.185
     word_min_words: int = 60
     word_distance: float = 0.45
+    #: Words are judged against languages whose letters are as near as this.
+    letter_distance: float = 0.16
     #: What chance adds to a distance: this times the square root of (bins in use / sample size).
     slack: float = 0.2
 
@@ -70,14 +72,24 @@ def _no_letter() -> np.ndarray:
     return table
 
 
+#: Letters: a to z without case, and the bytes of wide characters.
+N_LETTERS = 26 + 128
+_LETTER = np.full(256, N_LETTERS, np.int64)
+_LETTER[97:123] = _LETTER[65:91] = np.arange(26)
+_LETTER[128:] = 26 + np.arange(128)
+
 _CLASS, _NO_LETTER, _SPACE = _class_of_byte(), _no_letter(), wd.is_space()
 
 
-def _classes(data, at) -> np.ndarray:
+def _histograms(data, at, bin_of: np.ndarray, bins: int) -> np.ndarray:
+    """Counts by text and bin of its bytes; the bin after the last is left out."""
     n = len(at) - 1
     doc = np.repeat(np.arange(n), np.diff(at))
-    wide = N_CLASSES + 1
-    return np.bincount(doc * wide + _CLASS[data], minlength=n * wide).reshape(n, wide)[:, :N_CLASSES]
+    return np.bincount(doc * (bins + 1) + bin_of[data], minlength=n * (bins + 1)).reshape(n, bins + 1)[:, :bins]
+
+
+def _classes(data, at) -> np.ndarray:
+    return _histograms(data, at, _CLASS, N_CLASSES)
 
 
 def _letter_words(data, at) -> tuple[np.ndarray, np.ndarray]:
@@ -86,20 +98,22 @@ def _letter_words(data, at) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_rows(batches):
-    """Per slice and language: classes (kind 0) and words (kind 1) with their counts."""
+    """Per slice and language: classes (kind 0), words (kind 1) and letters (kind 2) with their counts."""
     for batch in batches:
         for part in wd.slices(batch, "text", 1 << 20):
             data, at = wd.text_bytes(part.column("text"))
             lang, code = np.unique(np.asarray(part.column("lang").fill_null("")), return_inverse=True)
-            classes = np.zeros((len(lang), N_CLASSES), np.int64)
+            classes, letters = np.zeros((len(lang), N_CLASSES), np.int64), np.zeros((len(lang), N_LETTERS), np.int64)
             np.add.at(classes, code, _classes(data, at))
+            np.add.at(letters, code, _histograms(data, at, _LETTER, N_LETTERS))
             word, doc = _letter_words(data, at)
             for i, name in enumerate(lang):
                 if name == "":
                     continue
                 key, n = np.unique(word[code[doc] == i], return_counts=True)
-                kind = np.repeat(np.array([0, 1], np.int32), [N_CLASSES, len(key)])
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(kind), pa.string()), pa.array(kind), pa.array(np.concatenate([np.arange(N_CLASSES), key])), pa.array(np.concatenate([classes[i], n]))], ["lang", "kind", "key", "n"])
+                kind = np.repeat(np.array([0, 1, 2], np.int32), [N_CLASSES, len(key), N_LETTERS])
+                keys, counts = np.concatenate([np.arange(N_CLASSES), key, np.arange(N_LETTERS)]), np.concatenate([classes[i], n, letters[i]])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(kind), pa.string()), pa.array(kind), pa.array(keys), pa.array(counts)], ["lang", "kind", "key", "n"])
 
 
 @dataclass(frozen=True)
@@ -109,8 +123,7 @@ class References:
     vocabulary: np.ndarray
     chars: np.ndarray
     words: np.ndarray
-    #: Languages of the corpus that have too little text for a reference.
-    rare: tuple[str, ...] = ()
+    letters: np.ndarray
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> References:
@@ -122,26 +135,25 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", rules: R
     )
     counts = written(counts, "word-counts")  # one row per language and distinct word; ranked and added up below
     rank = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
-    top = counts.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= rules.common_words)
+    top = counts.withColumn("rank", F.row_number().over(rank)).filter((F.col("kind") != 1) | (F.col("rank") <= rules.common_words))
     rows = top.collect()
     totals = {}
     for r in counts.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("n")).collect():
         totals[r.lang] = r.n
     names = sorted(k for k, n in totals.items() if n >= rules.reference_words)
     vocabulary = np.array(sorted({r.key for r in rows if r.kind == 1 and r.lang in names}), np.int64)
-    chars, words = np.zeros((len(names), N_CLASSES)), np.zeros((len(names), len(vocabulary) + 1))
+    chars, words, letters = np.zeros((len(names), N_CLASSES)), np.zeros((len(names), len(vocabulary) + 1)), np.zeros((len(names), N_LETTERS))
     for r in rows:
         if r.lang in names:
             i = names.index(r.lang)
-            if r.kind == 0:
-                chars[i, r.key] = r.n
+            if r.kind != 1:
+                (letters if r.kind else chars)[i, r.key] = r.n
             else:
                 words[i, np.searchsorted(vocabulary, r.key)] = r.n
     for i, name in enumerate(names):
         words[i, -1] = totals[name] - words[i].sum()
     scale = lambda m: m / np.maximum(m.sum(axis=1, keepdims=True), 1)
-    seen = {r.lang for r in rows}
-    return References(vocabulary, scale(chars), scale(words), tuple(sorted(seen - set(names))))
+    return References(vocabulary, scale(chars), scale(words), scale(letters))
 
 
 def _entropy(p: np.ndarray) -> np.ndarray:
@@ -159,7 +171,7 @@ def distances(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
 
 
 def _measures(part: pa.RecordBatch, refs: References, rules: Rules) -> dict[str, np.ndarray]:
-    """Measures of the rows of part (text, lang)."""
+    """Measures of the rows of part (text)."""
     data, at = wd.text_bytes(part.column("text"))
     n = len(at) - 1
     seg = wd.segments(data, at, _SPACE)
@@ -188,13 +200,15 @@ def _measures(part: pa.RecordBatch, refs: References, rules: Rules) -> dict[str,
     base = (n_words < rules.min_words) | (100 * n_repeat > rules.max_repeat_percent * n_words)
     n_chars, n_letter_words = classes.sum(axis=1), common.sum(axis=1)
     by_chars, by_words = np.zeros(n), np.zeros(n)
+    chance = lambda bins, size: rules.slack * np.sqrt(bins / np.maximum(size, 1))
     if len(refs.chars):
         by_chars = distances(classes, refs.chars).min(axis=1)
-        by_words = distances(common, refs.words).min(axis=1)
-    chance = lambda bins, size: rules.slack * np.sqrt(bins / np.maximum(size, 1))
-    judged = np.array([x not in refs.rare for x in part.column("lang").to_pylist()], bool) if refs.rare else np.ones(n, bool)
-    odd_chars = judged & (n_chars >= rules.class_min_chars) & (by_chars > rules.class_distance + chance(N_CLASSES / 2, n_chars))
-    odd_words = judged & (n_letter_words >= rules.word_min_words) & (by_words > rules.word_distance + chance(rules.common_words / 4, n_letter_words))
+        letters = _histograms(data, at, _LETTER, N_LETTERS)
+        near = distances(letters, refs.letters) <= (rules.letter_distance + chance(N_LETTERS / 4, letters.sum(axis=1)))[:, None]
+        by_words = np.where(near, distances(common, refs.words), 2.0).min(axis=1)
+        by_words = np.where(near.any(axis=1), by_words, 0.0)
+    odd_chars = (n_chars >= rules.class_min_chars) & (by_chars > rules.class_distance + chance(N_CLASSES / 2, n_chars))
+    odd_words = (n_letter_words >= rules.word_min_words) & (by_words > rules.word_distance + chance(rules.common_words / 4, n_letter_words))
     return {
         "n_words": n_words, "word_chars": wd.sums_per_doc(inside, at),
         "n_symbols": classes[:, 9:].sum(axis=1), "n_dup_lines": np.bincount(line_doc, minlength=n) - np.bincount(line_doc[kept_line], minlength=n),
@@ -205,11 +219,7 @@ def _measures(part: pa.RecordBatch, refs: References, rules: Rules) -> dict[str,
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
 
 
-def _tag(docs: DataFrame, lang: str):
-    return (F.col(lang) if lang in docs.columns else F.lit(None)).cast("string").alias("lang")
-
-
-def measured(docs: DataFrame, refs: References, text: str = "text", doc_id: str = "doc_id", rules: Rules = Rules(), lang: str = "lang") -> DataFrame:
+def measured(docs: DataFrame, refs: References, text: str = "text", doc_id: str = "doc_id", rules: Rules = Rules()) -> DataFrame:
     """One row per row of docs: its id and the measures."""
 
     def rows(batches):
@@ -219,17 +229,16 @@ def measured(docs: DataFrame, refs: References, text: str = "text", doc_id: str
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, m.values())], ["doc_id", *m])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), _tag(docs, lang)).mapInArrow(rows, f"doc_id {kind}, {MEASURES}")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(rows, f"doc_id {kind}, {MEASURES}")
 
 
-def kept(docs: DataFrame, refs: References, text: str = "text", rules: Rules = Rules(), lang: str = "lang") -> DataFrame:
+def kept(docs: DataFrame, refs: References, text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """The rows of docs that pass, with all their columns; no join, so any column may be null or repeat."""
-    places = [docs.columns.index(text), docs.columns.index(lang) if lang in docs.columns else None]
+    place = docs.columns.index(text)
 
     def rows(batches):
         for batch in batches:
-            tag = pa.nulls(batch.num_rows, pa.string()) if places[1] is None else batch.column(places[1]).cast(pa.string())
-            view, done = pa.RecordBatch.from_arrays([batch.column(places[0]).cast(pa.string()), tag], ["text", "lang"]), 0
+            view, done = pa.RecordBatch.from_arrays([batch.column(place).cast(pa.string())], ["text"]), 0
             for part in wd.slices(view, "text", 1 << 20):
                 yield batch.slice(done, part.num_rows).filter(pa.array(_measures(part, refs, rules)["kept"]))
                 done += part.num_rows

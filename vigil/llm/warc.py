@@ -15,11 +15,12 @@ clash. An empty table gives no records. One page is held at a time; no shuffle i
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html as entities
 import re
 import uuid
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -168,29 +169,98 @@ def response_bytes(source: dict[str, object]) -> bytes:
     return ("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> Iterator[dict[str, object]]:
-    """Response records of the bytes of a WARC file, gzipped or not. A record that is cut off ends the reading."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = data.find(b"WARC/1.")
-    while at >= 0:
-        stop = data.find(b"\r\n\r\n", at)
-        if stop < 0:
-            return
-        head = {}
-        for line in data[at:stop].decode("utf-8", "replace").split("\r\n")[1:]:
+_START = re.compile(rb"(?:^|(?<=\n))WARC/1\.")
+_PIECE = 8 << 20
+#: A gzip member of up to so many bytes is held until its checksum is seen to be right.
+_CHECKED = 256 << 20
+
+
+def _unpacked(data: bytes, tally: Counter) -> Iterator[bytes]:
+    """The bytes of a WARC file in pieces; gzip members are unpacked one after another, and a broken one is passed over."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[i : i + _PIECE] for i in range(0, len(data), _PIECE))
+        return
+    at = 0
+    while 0 <= at < len(data):
+        member, rest, read, parts, size = zlib.decompressobj(31), b"", at, [], 0
+        try:
+            while not member.eof and (rest or read < len(data)):
+                if not rest:
+                    rest, read = data[read : read + _PIECE], read + _PIECE
+                parts.append(member.decompress(rest, _PIECE))
+                rest, size = member.unconsumed_tail, size + len(parts[-1])
+                if size > _CHECKED:  # a whole crawl in one member passes before its checksum
+                    yield from parts
+                    parts.clear()
+            if member.eof:
+                yield from parts
+            else:
+                tally["skipped"] += 1
+            at = min(read, len(data)) - len(member.unused_data)
+            at = at if data[at : at + 2] == b"\x1f\x8b" else data.find(b"\x1f\x8b\x08", at)
+        except zlib.error:
+            tally["skipped"] += 1
+            yield b"\r\n\r\n"
+            at = data.find(b"\x1f\x8b\x08", at + 3)
+
+
+def parse(data: bytes, tally: Counter | None = None) -> Iterator[dict[str, object]]:
+    """Response records of the bytes of a WARC file, gzipped or not; no more is unpacked than a record and a piece.
+
+    A record without a valid length, or whose length does not lead to the next record or the end, is passed over and
+    counted in tally["skipped"], as is a broken gzip member; reading goes on at the next line that begins a record. Other
+    records count in tally["records"].
+    """
+    tally = Counter() if tally is None else tally
+    pieces, held, at = _unpacked(data, tally), bytearray(), 0
+
+    def more(size: int) -> bool:
+        """Reads until that many bytes are held; says whether they are."""
+        while len(held) < size:
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while True:
+        found = _START.search(held, at)
+        if not found:
+            last = max(at, len(held) - 8)  # a mark may be cut by the end of a piece
+            del held[: max(last - 1, 0)]
+            at = min(last, 1)
+            if not more(len(held) + 1):
+                return
+            continue
+        start = found.start()
+        stop, seen = held.find(b"\r\n\r\n", start), len(held)
+        while stop < 0 and more(seen + 1):
+            stop, seen = held.find(b"\r\n\r\n", max(start, seen - 3)), len(held)
+        head: dict[str, str] = {}
+        for line in bytes(held[start : max(stop, start)]).decode("utf-8", "replace").split("\r\n")[1:]:
             name, colon, value = line.partition(":")
             if colon:
                 head.setdefault(name.strip().lower(), value.strip())
         size = head.get("content-length", "")
-        if not size.isdigit() or stop + 4 + int(size) > len(data):
-            return
-        block = data[stop + 4 : stop + 4 + int(size)]
+        end = stop + 4 + int(size) if size.isascii() and size.isdigit() and len(size) < 16 else -1
+        if stop < 0 or end < 0 or not more(end) or (more(end + 11) or True) and not _follows(held[end : end + 11]):
+            tally["skipped"] += 1
+            at = start + 7
+            continue
+        tally["records"] += 1
         if head.get("warc-type", "").lower() == "response" and "warc-record-id" in head:
+            block = bytes(held[stop + 4 : end])
             cut = block.find(b"\r\n\r\n")
             header, body = (block[: cut + 4], block[cut + 4 :]) if cut >= 0 else (b"", block)
             yield {"record_id": head["warc-record-id"], "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "http_header": header, "body": body, "payload_digest": head.get("warc-payload-digest")}
-        at = data.find(b"WARC/1.", stop + 4 + int(size))
+        del held[:end]
+        at = 0
+
+
+def _follows(after: bytes | bytearray) -> bool:
+    """Whether these bytes may stand behind a record: blank lines, then the next record or the end."""
+    rest = bytes(after).lstrip(b"\r\n")
+    return b"WARC/1."[: len(rest)] == rest[:7]
 
 
 _SOURCE = {"record_id": pa.string(), "target_uri": pa.string(), "date": pa.string(), "http_header": pa.binary(), "body": pa.binary(), "payload_digest": pa.string()}
@@ -235,6 +305,20 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(rows, f"page_id long, {SOURCE}")
 
 
+def reading_report(spark: SparkSession, path: str) -> DataFrame:
+    """(path, n_records, n_skipped) of the WARC files below a path: what parse() could not read is counted, not silent."""
+
+    def rows(batches):
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                tally: Counter = Counter()
+                for _ in parse(content.as_py(), tally):
+                    pass
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([tally["records"]], pa.int64()), pa.array([tally["skipped"]], pa.int64())], ["path", "n_records", "n_skipped"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, "path string, n_records long, n_skipped long")
+
+
 def derivatives(sources: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Two records per row of responses() or read_responses(): page_id, the record's headers, its block, and the whole
     record as bytes. date stands for dates that the source does not give."""
