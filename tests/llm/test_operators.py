@@ -785,28 +785,29 @@ def test_hostile_markup_takes_linear_time(piece):
 
 
 def test_toxicity_held_out_accuracy(spark):
-    d = "/root/testdata/sf0.1"
-    labels = spark.read.parquet(f"{d}/labels.parquet").toPandas().set_index("doc_id").toxic
-    got = queries.op10_toxicity(spark, d).filter("held_out").toPandas().set_index("doc_id").join(labels, how="inner")
-    clean, toxic = got[got.toxic == 0], got[got.toxic == 1]
-    assert (clean.predicted == 0).mean() > 0.99 and (toxic.predicted == 1).mean() > 0.8
+    """Over the whole table at two sizes; a fit that has collapsed predicts nothing and fails here."""
+    for size, least in (("sf0.1", 0.9), ("sf0.01", 0.6)):
+        d = f"/root/testdata/{size}"
+        labels = spark.read.parquet(f"{d}/labels.parquet").toPandas().set_index("doc_id").toxic
+        got = queries.op10_toxicity(spark, d).filter("held_out").toPandas().set_index("doc_id").join(labels, how="inner")
+        clean, toxic = got[got.toxic == 0], got[got.toxic == 1]
+        assert (clean.predicted == 0).mean() > 0.997 and (toxic.predicted == 1).mean() >= least, size
 
 
 def test_toxicity_marks_change_the_kind():
     lexicon = {"idiot": (50, 50)}
     grammar = toxicity.Grammar(lexicon, 0.1, toxicity.Settings())
-    kind = lambda text: toxicity.KINDS[int(grammar.vector(text).argmax())]
+    kind = lambda text: toxicity.KINDS[int(grammar.sums(text)[0].argmax())]
     assert kind("an idiot there") == "insult" and kind("you are an idiot") == "insult at a target"
     assert kind("this is not an idiot") == "insult negated" and kind("people said idiot") == "insult reported"
-    assert grammar.vector("nothing here") is None and grammar.vector("idiot", 1)[0] < grammar.vector("idiot")[0]
+    assert not grammar.sums("nothing here")[0].any() and grammar.sums("idiot", 1)[0][0] < grammar.sums("idiot")[0][0]
 
 
-def plain_vector(grammar, text):
+def plain_sums(grammar, text):
     """The grammar by looking around each match: no automata, no memo."""
-    s, out = grammar.settings, [[] for _ in toxicity.KINDS]
+    s, out = grammar.settings, [0.0] * len(toxicity.KINDS)
     for clause in re.split(r"[.!?;|\n]", text.lower()):
-        tokens = [t for t in re.findall(r"[^\W\d_]+|[\"“”«»]", clause)]
-        best = [0.0] * len(out)
+        tokens = re.findall(r"[^\W\d_]+|[\"“”«»]", clause)
         for i, t in enumerate(tokens):
             entries = [grammar.lexicon[f] for f in [t, *(t[:k] + "*" for k in s.prefixes if len(t) > k)] if f in grammar.lexicon]
             target = any(x in toxicity.TARGETS for x in tokens[max(0, i - 4) : i]) or any(x in toxicity.TARGETS for x in tokens[i + 1 : i + 4])
@@ -817,17 +818,14 @@ def plain_vector(grammar, text):
                     odds.append((math.log(p / (1 - p)) if 0.5 < p < 1 else 0.0, (pos, n)))
                 kind, weight = 0, max(odds)[0]
             elif t in toxicity.THREATS:
-                kind, weight = 4, 0.4 + 0.3 * any(x in toxicity.INTENTS for x in tokens[max(0, i - 4) : i]) + 0.3 * target
+                intent = any(x in toxicity.INTENTS for x in tokens[max(0, i - 4) : i])
+                kind, weight = 4, 3.0 if intent and target else 1.5 if intent or target else 0.5
             else:
                 continue
             reported = any(x in toxicity.REPORTS for x in tokens[:i]) or sum(x in "\"“”«»" for x in tokens[:i]) % 2
             negated = any(x in toxicity.NEGATIONS for x in tokens[max(0, i - 3) : i])
-            kind += 3 if reported else 2 if negated else 1 if target else 0
-            best[kind] = max(best[kind], weight)
-        for kind, weight in enumerate(best):
-            if weight:
-                out[kind].append(weight)
-    return [sum(sorted(x)[-s.clauses :]) for x in out]
+            out[kind + (3 if reported else 2 if negated else 1 if target else 0)] += weight
+    return out
 
 
 def test_toxicity_equals_plain():
@@ -837,16 +835,47 @@ def test_toxicity_equals_plain():
     words = ["idiot", "stupidity", "awful", "awfulness", "dull", *toxicity.TARGETS[:4], *toxicity.NEGATIONS[:3], *toxicity.REPORTS[:3], *toxicity.THREATS[:4], *toxicity.INTENTS[:4], "the", "house", "was", '"', ".", "!", "\n", "7", "Idiot"]
     for _ in range(3000):
         text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))
-        got = grammar.vector(text)
-        wanted = plain_vector(grammar, text)
-        assert (got is None and not any(wanted)) or got == pytest.approx(wanted)
+        sums, n = grammar.sums(text)
+        assert sums == pytest.approx(plain_sums(grammar, text)) and n == len(re.findall("[A-Za-z]+", text))
 
 
-def test_a_threat_is_more_than_a_word():
-    grammar = toxicity.Grammar({}, 0.1, toxicity.Settings())
-    total = lambda text: grammar.vector(text).sum()
-    assert total("they burn wood") == pytest.approx(0.7) and total("a fire can burn wood") == pytest.approx(0.4)
-    assert total("we will burn wood") == pytest.approx(0.7) and total("we will burn your house") == pytest.approx(1.0)
+def test_toxicity_fit_equals_plain(spark, docs):
+    """Lexicon, left-out labels and regression by dictionaries and small gradient steps."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model, s = toxicity.fit(docs, labels), toxicity.Settings()
+    known = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            known[r.doc_id] = max(known.get(r.doc_id, 0), r.toxic)
+    rows = [(r.text or "", known[r.doc_id]) for r in docs.collect() if r.doc_id in known]
+    pos, n = Counter(), Counter()
+    for text, toxic in rows:
+        found = {f for w in re.findall(r"[^\W\d_]+", text.lower()) for f in [w, *(w[:k] + "*" for k in s.prefixes if len(w) > k)]}
+        n.update(found)
+        pos.update(found if toxic else [])
+    assert model.grammar.lexicon == {f: (pos[f], n[f]) for f in n if pos[f] >= s.min_toxic and 2 * pos[f] > n[f]}
+    x = np.array([[1.0, *model.grammar.vector(text, toxic)] for text, toxic in rows])
+    y, w = np.array([t for _, t in rows], float), toxicity.PRIOR.copy()
+    for _ in range(200_000):
+        slope = x.T @ (y - 1 / (1 + np.exp(-x @ w))) - s.ridge * (w - toxicity.PRIOR)
+        w += 0.0005 * slope
+        if np.abs(slope).max() < 1e-9:
+            break
+    w[1:-1], w[-1] = np.maximum(w[1:-1], 0), min(w[-1], 0)
+    assert model.weights == pytest.approx(w, abs=1e-4)
+
+
+def test_patterns_decide():
+    """Without any lexicon: intent, verb and target together are a threat, the verb alone is not; negation and reports
+    take it back. With one entry, marks move the score."""
+    bare = toxicity.Model(toxicity.Grammar({}, 0.1, toxicity.Settings()), toxicity.PRIOR)
+    assert bare.score("I will kill you") >= 0.7 and bare.score("we will burn your house") >= 0.7
+    for text in ("a fire can burn wood", "we will burn wood", "I will not kill you", "he said I will kill you", "", "you and me"):
+        assert bare.score(text) < 0.7, text
+    known = toxicity.Model(toxicity.Grammar({"idiot": (6, 8)}, 0.1, toxicity.Settings()), toxicity.PRIOR)
+    plain, aimed, negated, reported = (known.score(t) for t in ("the idiot on the hill", "you idiot on the hill", "not an idiot on hills", "they said idiot on hills"))
+    assert aimed > plain > negated and plain > reported
+    assert known.score("idiot, idiot and idiot") > known.score("idiot and more words")
 
 
 def test_toxicity_on_odd_and_empty(spark, odd_docs, no_docs):

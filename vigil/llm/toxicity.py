@@ -1,16 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Small transducers read the words of a clause: insults, threats, targets, negation and reported speech. Their
-composition is built lazily and runs as a pair of deterministic automata, one from the left (negation in scope,
-reported speech, a stated intent or a target just before) and one from the right (a target just behind). A threat is
-a pattern of several words: intent, then a verb of harm, then a target; the verb alone weighs 0.4, intent and target
-0.3 each. A matched insult or threat is emitted with its marks; a clause scores its strongest match, not its words one
-by one, and a document the strongest few clauses of each kind.
+Each part of the grammar is a transducer over the words of a clause: negation (in scope for three words), reported speech
+(from a verb of saying on, or inside quotes), a target just before, a stated intent, and, read from the right, a target
+just behind. They are composed lazily: a state of the composition is a tuple of their states, made and numbered when a
+clause first reaches it, and says what holds at the next word. Insults and threats are emitted with these marks. An
+insult's arc weighs the log odds of its lexicon entry; a threat is a pattern: its verb alone weighs 0.5, a stated intent and a
+target 1 each, both together 3. A clause's weight is the sum along its path, so several weak matches in one clause speak
+together, and all clauses count.
 
 Weights come from labelled documents: the insult lexicon holds words and word beginnings by their share in toxic
-documents, shrunk towards the base rate; what the marks do to a match is a ridge logistic regression that is
-pulled towards given values. For a labelled document its own label is taken out of the lexicon's counts first. The
-lexicon has no limit of its own; the bound on labelled rows bounds it.
+documents, shrunk towards the base rate. What a kind of match (its marks) is worth, and what a text's length takes away, as
+chance matches grow with it, is a ridge logistic regression over the logarithms of the kinds' sums, pulled towards given
+values. For a labelled document its own label is taken out of the lexicon's counts first. The lexicon has no limit of
+its own; the bound on labelled rows bounds it.
 
 Null and empty texts score as texts without a match. Null ids never train and are not held out. Null labels are
 left out; where a document has several, the highest counts. Repeated rows score alike. Very long texts are read
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable, Hashable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,7 +46,9 @@ _TOKEN = re.compile(r"[^\W\d_]+|[.!?;|\n]|[\"“”«»]")
 BREAK, OTHER, TARGET, NEGATE, REPORT, QUOTE, INTENT = range(7)
 _CLASS = {**dict.fromkeys(".!?;|\n", BREAK), **dict.fromkeys("\"“”«»", QUOTE), **dict.fromkeys(INTENTS, INTENT), **dict.fromkeys(TARGETS, TARGET), **dict.fromkeys(NEGATIONS, NEGATE), **dict.fromkeys(REPORTS, REPORT)}
 KINDS = ("insult", "insult at a target", "insult negated", "insult reported", "threat", "threat at a target", "threat negated", "threat reported")
-PRIOR = np.array([-3.0, 1.2, 1.4, 0.8, 0.8, 0.3, 0.8, 0.1, 0.1])
+#: Intercept, kinds, and the logarithm of the text's words.
+PRIOR = np.array([-1.5, 3.0, 3.2, 2.4, 2.4, 2.0, 2.6, 0.5, 0.5, -0.7])
+THREAT = {(False, False): 0.5, (True, False): 1.5, (False, True): 1.5, (True, True): 3.0}
 
 
 @dataclass(frozen=True)
@@ -52,42 +57,60 @@ class Settings:
     labelled_rows: int = 40_000
     min_toxic: int = 3
     prefixes: tuple[int, ...] = (4, 5, 6, 7, 8)
-    #: Clauses of each kind that add up, the strongest first: part of the score, so that a long text does not gather
-    #: chance matches (one in some hundred clauses of clean text holds a weak entry).
-    clauses: int = 4
     shrink: float = 2.0
     ridge: float = 0.5
     reject: float = 0.7
 
 
-class Automaton:
-    """A transducer's states by class of word; transitions are worked out when first needed."""
+@dataclass(frozen=True)
+class Transducer:
+    """A state and how a class of word moves it; what the state says of the next word."""
 
-    def __init__(self, start, step):
-        self.start, self.step, self.arcs = start, step, {}
+    start: Hashable
+    step: Callable[[Hashable, int], Hashable]
+    says: Callable[[Hashable], bool]
 
-    def run(self, classes):
-        state, out = self.start, []
-        for c in classes:
-            out.append(state)
-            nxt = self.arcs.get((state, c))
-            if nxt is None:
-                nxt = self.arcs[state, c] = self.step(state, c)
-            state = nxt
-        return out
 
+def _within(kind: int, words: int) -> Transducer:
+    """Says whether a word of that class was among the last so many."""
+    return Transducer(0, lambda left, c: words if c == kind else max(0, left - 1), lambda left: left > 0)
 
-def _left(state, c):
-    """(words for which a negation still holds, reported, in quotes, words since a target, words since an intent)."""
-    negated, reported, quoted, near, intent = state
-    return (3 if c == NEGATE else max(0, negated - 1), reported or c == REPORT, quoted != (c == QUOTE), 4 if c == TARGET else max(0, near - 1), 4 if c == INTENT else max(0, intent - 1))
 
+NEGATION = _within(NEGATE, 3)
+TARGET_BEFORE = _within(TARGET, 4)
+TARGET_BEHIND = _within(TARGET, 3)
+INTENTION = _within(INTENT, 4)
+SAYING = Transducer(False, lambda on, c: on or c == REPORT, bool)
+QUOTATION = Transducer(False, lambda on, c: on != (c == QUOTE), bool)
 
-def _right(near, c):
-    return 3 if c == TARGET else max(0, near - 1)
 
+class Composition:
+    """Transducers run side by side, determinised as clauses come: states are numbered tuples of theirs."""
 
-_LEFT, _RIGHT = Automaton((0, False, False, 0, 0), _left), Automaton(0, _right)
+    def __init__(self, *parts: Transducer):
+        self.parts, self.number, self.states, self.arcs, self.said = parts, {}, [], {}, []
+        self._state(tuple(p.start for p in parts))
+
+    def _state(self, state: tuple) -> int:
+        if state not in self.number:
+            self.number[state] = len(self.states)
+            self.states.append(state)
+            self.said.append(tuple(p.says(s) for p, s in zip(self.parts, state)))
+        return self.number[state]
+
+    def run(self, classes: Iterable[int]) -> list[tuple[bool, ...]]:
+        """What each transducer says at each word."""
+        state, out = 0, []
+        for c in classes:
+            out.append(self.said[state])
+            to = self.arcs.get((state, c))
+            if to is None:
+                to = self.arcs[state, c] = self._state(tuple(p.step(s, c) for p, s in zip(self.parts, self.states[state])))
+            state = to
+        return out
+
+
+_LEFT, _RIGHT = Composition(NEGATION, SAYING, QUOTATION, TARGET_BEFORE, INTENTION), Composition(TARGET_BEHIND)
 
 
 def features_of(word: str, prefixes: tuple[int, ...]) -> list[str]:
@@ -127,46 +150,44 @@ class Grammar:
                 out[w] = found
         return out
 
-    def vector(self, text: str, toxic: int | None = None) -> np.ndarray | None:
-        """For each of KINDS, the strongest clauses that match it, added up; None if nothing matches."""
-        text = text.lower()
-        words = set(_WORD.findall(text))
-        hits, threats = self.hits(words), words & _THREATS
-        if not hits and not threats:
-            return None
-        out, clause = [[] for _ in KINDS], []
-        for token in _TOKEN.findall(text):
-            if token in ".!?;|\n":
+    def sums(self, text: str, toxic: int | None = None) -> tuple[np.ndarray, int]:
+        """For each of KINDS, the weights along the paths of all clauses, added up; and the words of the text."""
+        text, out = text.lower(), np.zeros(len(KINDS))
+        words = _WORD.findall(text)
+        known = set(words)
+        hits = self.hits(known)
+        if hits or known & _THREATS:
+            clause: list[str] = []
+            for token in [*_TOKEN.findall(text), "."]:
+                if token not in _BREAKS:
+                    clause.append(token)
+                    continue
                 self._clause(clause, hits, toxic, out)
                 clause = []
-            else:
-                clause.append(token)
-        self._clause(clause, hits, toxic, out)
-        sums = np.array([sum(sorted(x)[-self.settings.clauses :]) for x in out])
-        return sums if sums.any() else None
+        return out, len(words)
+
+    def vector(self, text: str, toxic: int | None = None) -> np.ndarray:
+        """What the regression reads: logarithms of the sums and of the length."""
+        sums, words = self.sums(text, toxic)
+        return np.log1p(np.append(sums, words))
 
-    def _clause(self, clause, hits, toxic, out) -> None:
+    def _clause(self, clause: list[str], hits: dict, toxic: int | None, out: np.ndarray) -> None:
         if not any(t in hits or t in _THREATS for t in clause):
             return
         classes = [_CLASS.get(t, OTHER) for t in clause]
-        best = [0.0] * len(KINDS)
         behind = _RIGHT.run(reversed(classes))[::-1]
-        for token, before, after in zip(clause, _LEFT.run(classes), behind):
-            negated, reported, quoted, near, intent = before
+        for token, (negated, said, quoted, before, intent), (after,) in zip(clause, _LEFT.run(classes), behind):
+            target = before or after
             if token in hits:
                 kind, weight = 0, self.weight(hits[token], toxic)
             elif token in _THREATS:
-                kind, weight = 4, 0.4 + 0.3 * (intent > 0) + 0.3 * (near > 0 or after > 0)
+                kind, weight = 4, THREAT[intent, target]
             else:
                 continue
-            kind += 3 if reported or quoted else 2 if negated else 1 if near or after else 0
-            best[kind] = max(best[kind], weight)
-        for kind, weight in enumerate(best):
-            if weight:
-                out[kind].append(weight)
+            out[kind + (3 if said or quoted else 2 if negated else 1 if target else 0)] += weight
 
 
-_THREATS = set(THREATS)
+_THREATS, _BREAKS = set(THREATS), set(".!?;|\n")
 
 
 @dataclass(frozen=True)
@@ -175,8 +196,7 @@ class Model:
     weights: np.ndarray
 
     def score(self, text: str) -> float:
-        x = self.grammar.vector(text)
-        z = self.weights[0] + (0.0 if x is None else float(x @ self.weights[1:]))
+        z = self.weights[0] + float(self.grammar.vector(text) @ self.weights[1:])
         return float(1 / (1 + np.exp(-z)))
 
 
@@ -220,16 +240,17 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 1, settings: Settings =
         parts = (part for batch in batches for part in wd.slices(batch, "text", 1 << 20))
         for batch in parts:
             found = [(grammar.vector(t or "", y), y) for t, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array([None if x is None else x.tolist() for x, _ in found], pa.list_(pa.float64())), pa.array([y for _, y in found], pa.int32())], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x, _ in found], pa.list_(pa.float64())), pa.array([y for _, y in found], pa.int32())], ["x", "y"])
 
-    seen = rows.mapInArrow(vectors, "x array<double>, y int").groupBy("x", "y").agg(F.count("*").alias("n")).collect()
-    x = np.array([[1.0, *(r.x or [0.0] * len(KINDS))] for r in seen]).reshape(-1, len(KINDS) + 1)
+    # one row for each labelled row, so at most settings.labelled_rows; in an order that partitions do not change
+    seen = sorted(rows.mapInArrow(vectors, "x array<double>, y int").groupBy("x", "y").agg(F.count("*").alias("n")).collect(), key=lambda r: (r.x, r.y))
+    x = np.array([[1.0, *r.x] for r in seen]).reshape(-1, len(PRIOR))
     return Model(grammar, _logistic(x, np.array([r.y for r in seen], float), np.array([r.n for r in seen], float), settings.ridge))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float) -> np.ndarray:
     """Newton steps, halved until they improve the fit; weights of marks that the labels say little about stay near PRIOR.
-    Marks never lower a score."""
+    No kind of match lowers a score, and no length raises it."""
 
     def fit(w):
         z = x @ w
@@ -246,7 +267,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float) -> np.n
         w = w + move
         if np.abs(move).max() < 1e-8:
             break
-    w[1:] = np.maximum(w[1:], 0)
+    w[1:-1], w[-1] = np.maximum(w[1:-1], 0), min(w[-1], 0)
     return w
 
 
