@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from vigil.functions import scalars
 
 
-def normalised(raw: DataFrame, zone: str = "UTC") -> DataFrame:
-    """Every submitted cell as a typed value beside the reasons for which cells failed; one pass, no UDF."""
+def normalised(raw: DataFrame, zone: str = "UTC", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every submitted cell as a typed value beside the reasons for which cells failed; one pass, no UDF. Columns of keep are
+    passed on."""
     c = F.col
     out = raw.select(
-        "source_row", scalars.clean(c("case_ref")).alias("case_id"), scalars.severity(c("severity_raw")).alias("severity"), scalars.timestamp_utc(c("opened_raw"), zone).alias("opened"),
+        *keep, "source_row", scalars.clean(c("case_ref")).alias("case_id"), scalars.severity(c("severity_raw")).alias("severity"), scalars.timestamp_utc(c("opened_raw"), zone).alias("opened"),
         scalars.safe_text(c("note_raw")).alias("note"), scalars.boolean(c("flag_raw")).alias("flag"), scalars.integer(c("amount_raw")).alias("amount"), scalars.real(c("amount_raw")).alias("amount_real"), c("analyst_raw").alias("analyst"),
         F.array_compact(F.array(
             F.when(scalars.clean(c("case_ref")).isNull(), "missing case_id"),
@@ -51,8 +52,11 @@ def duplicate_keys(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def dangling(rows: DataFrame, ref: str, targets: DataFrame, key: str) -> DataFrame:
-    """Rows whose reference is not null and has no target."""
-    return rows.filter(F.col(ref).isNotNull()).join(targets.select(F.col(key).alias(ref)).distinct(), ref, "left_anti")
+    """Rows whose reference is not null and has no target. Where the target table is empty nothing is judged: it was not
+    submitted, which says nothing about the references."""
+    known = targets.select(F.col(key).alias(ref)).filter(F.col(ref).isNotNull())
+    some = known.limit(1).select(F.lit(True).alias("_judged"))  # one row, or none
+    return rows.filter(F.col(ref).isNotNull()).join(known.distinct(), ref, "left_anti").crossJoin(F.broadcast(some)).drop("_judged")
 
 
 def cell_tallies(raw: DataFrame, columns: dict[str, tuple]) -> DataFrame:

@@ -55,8 +55,11 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def indicator_values(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
-    """Execution-gap indicators (all, or those named). Where several are asked for, the year's cases are written once
-    and read by each, so evidence is joined and scanned once."""
+    """Execution-gap indicators (all, or those named; a name that is none of them is an error). Where several are asked for,
+    the year's cases are written once and read by each, so evidence is joined and scanned once."""
+    unknown = [n for n in names if n not in VALUES]
+    if unknown:
+        raise ValueError(f"unknown indicators: {', '.join(unknown)}; known: {', '.join(VALUES)}")
     c = year_cases(spark, sf_dir)
     if len(names) != 1:
         c = shared.kept(c)
@@ -535,12 +538,21 @@ def ndjson_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(files.good(files.read_ndjson(spark, path, _TEXT_COLUMNS)))
 
 
-@query("SELECT user_id % 100 AS entity_id, count(*) AS n_alerts, count(*) FILTER (event_type = 'error') AS n_errors, round(sum(value), 2) AS total FROM events GROUP BY 1")
+_KIND = "CASE WHEN event_type = 'signup' THEN 'case' ELSE 'alert' END"
+_BAND = "CASE event_id % 5 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'LOW' END"
+
+
+@query(f"""WITH e AS (SELECT user_id % 100 AS entity_id, event_type, value, {_KIND} AS kind, {_BAND} AS severity FROM events)
+ SELECT entity_id, count(*) FILTER (kind = 'alert') AS n_alerts, count(*) FILTER (event_type = 'error') AS n_errors, count(*) FILTER (kind = 'case') AS n_cases,
+  count(*) FILTER (kind = 'alert' AND severity = 'CRITICAL') AS n_critical, count(*) FILTER (kind = 'alert' AND severity = 'HIGH') AS n_high,
+  count(*) FILTER (kind = 'alert' AND severity = 'MEDIUM') AS n_medium, count(*) FILTER (kind = 'alert' AND severity = 'LOW') AS n_low,
+  count(*) FILTER (kind = 'alert' AND severity IS NULL) AS n_unknown, round(sum(value) FILTER (kind = 'alert'), 2) AS total FROM e GROUP BY 1""")
 def streamed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-entity activity kept up by a stream over the events, in four files."""
+    """Per-entity counts, severities and activity kept up by a stream over the events, in four files and four batches."""
     path = shared.folder(spark)
     a.table(spark, sf_dir, "events").repartition(4, "event_id").write.parquet(path)
-    return incremental.maintained(spark, path, shared.folder(spark)).withColumn("total", F.round("total", 2))
+    prepare = lambda rows: rows.select((F.col("user_id") % 100).alias("entity_id"), F.expr(_KIND).alias("kind"), F.col("event_type").alias("category"), F.expr(_BAND).alias("severity"), "value")
+    return incremental.maintained(spark, path, shared.folder(spark), prepare).withColumn("total", F.round("total", 2))
 
 
 _SHINGLED = f"WITH w AS (SELECT source, doc_id, {_WORDS} AS w FROM documents), sh AS (SELECT source, doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) AS sh FROM w WHERE len(w) >= 3), mh AS (SELECT source, doc_id, k, min(substr(sha256(k || ':' || s), 1, 16)) AS m FROM (SELECT source, doc_id, unnest(sh) AS s FROM sh) CROSS JOIN (SELECT unnest(range(0, 32)) AS k) GROUP BY ALL), bd AS (SELECT source, doc_id, k // 4 AS band, string_agg(m, '|' ORDER BY k) AS signature FROM mh GROUP BY ALL)"

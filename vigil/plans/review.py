@@ -150,7 +150,7 @@ def pack_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _items(spark, sf_dir).select("place", "entity_id", "case_id", reason.alias("reason"))
 
 
-@query(f"{_ITEMS} SELECT count(*) AS n_items, sha256(string_agg(entity_id || '|' || case_id || '|' || indicators, ',' ORDER BY place)) AS content_hash FROM it")
+@query(f"{_ITEMS} SELECT count(*) AS n_items, sha256(coalesce(string_agg(entity_id || '|' || case_id || '|' || indicators, ',' ORDER BY place), '')) AS content_hash FROM it")
 def pack_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hash of a pack's items in their order."""
     rows = F.transform(F.sort_array(F.collect_list(F.struct("place", F.concat_ws("|", "entity_id", "case_id", "indicators").alias("t")))), lambda x: x["t"])

@@ -236,26 +236,43 @@ def wrapped_json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {a.RAW} SELECT severity_raw, count(*) FILTER (source_row % 10 <> 3) AS n, count(*) FILTER (source_row % 10 = 3) AS n_corrupt FROM raw GROUP BY severity_raw")
 def sql_dump_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """INSERT statements read as rows; one in ten has a value too many and goes to quarantine."""
+    """INSERT statements read as rows: two tuples each, over lines, with separators and line breaks in quotes, beside other SQL;
+    one tuple in ten has a value too many and goes to quarantine."""
     path, raw = shared.folder(spark), a.raw_submission(spark, sf_dir)
     quote = lambda c: F.concat(F.lit("'"), F.replace(F.col(c), F.lit("'"), F.lit("''")), F.lit("'"))
+    note = F.concat(F.lit("'a; (b),\n"), F.replace(F.col("note_raw"), F.lit("'"), F.lit("''")), F.lit("'"))
     extra = F.when(F.col("source_row") % 10 == 3, F.concat(F.lit(", "), quote("severity_raw"))).otherwise("")
-    raw.select(F.concat(F.lit("INSERT INTO cases (case_ref, severity_raw, note_raw) VALUES ("), quote("case_ref"), F.lit(", "), quote("severity_raw"), F.lit(", "), quote("note_raw"), extra, F.lit(");"))).write.text(path)
+    cells = F.concat(F.lit("("), quote("case_ref"), F.lit(", "), quote("severity_raw"), F.lit(",\n "), note, extra, F.lit(")"))
+    pairs = raw.groupBy(F.floor(F.col("source_row") / 2).alias("g")).agg(F.array_join(F.collect_list(cells), ",\n").alias("tuples"))
+    head = F.lit("INSERT INTO `cases` (case_ref, severity_raw, note_raw)\nVALUES ")
+    pairs.select(F.concat(F.lit("-- a row; or two\nSET x = 1;\n"), head, F.col("tuples"), F.lit(";"))).write.text(path)
     rows = files.read_sql_dump(spark, path, "cases", ["case_ref", "severity_raw", "note_raw"])
-    known = F.coalesce("severity_raw", F.regexp_extract(files.CORRUPT, r"VALUES \('\d+', '([^']*)'", 1))
+    known = F.coalesce("severity_raw", F.regexp_extract(files.CORRUPT, r"^\('\d+', '([^']*)'", 1))
     return rows.groupBy(known.alias("severity_raw")).agg(F.count(F.when(F.col(files.CORRUPT).isNull(), 1)).alias("n"), F.count(files.CORRUPT).alias("n_corrupt"))
 
 
 @query("SELECT 4 AS n_files, count(*) AS n_rows, CASE WHEN count(*) FILTER (o_orderkey % 4 = 0) > 200 THEN 1 ELSE 0 END + CASE WHEN count(*) FILTER (o_orderkey % 4 = 1) > 200 THEN 1 ELSE 0 END + CASE WHEN count(*) FILTER (o_orderkey % 4 = 2) > 200 THEN 1 ELSE 0 END + CASE WHEN count(*) FILTER (o_orderkey % 4 = 3) > 200 THEN 1 ELSE 0 END AS n_over FROM orders")
 def file_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files with more rows or columns than allowed."""
+    """Files with more rows or columns than allowed; a cell with separators and a line break is one cell of one row."""
     path = shared.folder(spark)
-    a.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 4).alias("part")).repartition("part").write.partitionBy("part").csv(path, header=True)
+    cell = F.concat(F.lit("a,b,c,d,e,f\n"), F.col("o_custkey")).alias("cell")
+    a.table(spark, sf_dir, "orders").select("o_orderkey", cell, (F.col("o_orderkey") % 4).alias("part")).repartition("part").write.partitionBy("part").csv(path, header=True)
     found = files.over_limits(spark, path, 200, 5).withColumn("part", F.regexp_extract("file", r"part=(\d+)", 1))
     per = found.groupBy("part").agg(F.sum("n_rows").alias("n_rows"), F.max(F.col("over").cast("int")).alias("over"))
     return per.agg(F.count("*").alias("n_files"), F.sum("n_rows").alias("n_rows"), F.sum("over").alias("n_over"))
 
 
+@query("""WITH f AS (SELECT 'part=' || (o_orderkey % 3) AS name, sha256(string_agg(o_orderkey || ',' || o_custkey, chr(10) ORDER BY o_orderkey) || chr(10)) AS h FROM orders GROUP BY o_orderkey % 3)
+ SELECT sha256(sha256(string_agg(name || ':' || h, chr(10) ORDER BY name || ':' || h))) AS manifest, count(*) AS n_files FROM f""")
+def manifest_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hash over the files of a submission, from the hashes of their bytes; the writer's random file names are left out."""
+    path, rows = shared.folder(spark), a.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 3).alias("part"))
+    for part in range(3):
+        rows.filter(f"part = {part}").drop("part").orderBy("o_orderkey").coalesce(1).write.csv(f"{path}/part={part}")
+    hashes = files.file_hashes(spark, path).filter("name like '%.csv'").withColumn("name", F.substring_index("name", "/", 1))
+    return files.manifest(hashes, buckets=1)
+
+
 @query("SELECT o_custkey % 10 AS entity_id, 2 * count(*) AS n, round(2 * sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
 def appended_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches appended to one evidence table, compressed and partitioned by entity."""
@@ -279,9 +296,11 @@ def flat_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {a.RAW} SELECT severity, count(*) AS n FROM (SELECT {catalogue._SEVERITY} AS severity FROM raw) WHERE severity IS NOT NULL GROUP BY severity")
 def streamed_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Submissions that land as files are normalised and appended by a stream; one that lands twice counts once."""
+    """Submissions that land as files are normalised and appended by a stream; each of three is cut into many files that come
+    over several batches, and one lands twice: every row counts once."""
     landing, raw = shared.folder(spark), a.raw_submission(spark, sf_dir).withColumn("submission_id", F.concat(F.lit("s"), F.col("source_row") % 3))
-    raw.repartition(3, "submission_id").write.parquet(landing)
+    raw.repartition(5, "source_row").write.parquet(landing)
     raw.filter("submission_id = 's1'").write.mode("append").parquet(landing)
-    rows = incremental.intake_stream(spark, landing, shared.folder(spark), lambda batch: intake.accepted(intake.normalised(batch)).select("source_row", "severity"))
+    prepare = lambda rows: intake.accepted(intake.normalised(rows, keep=("submission_id",))).select("submission_id", "source_row", "severity")
+    rows = incremental.intake_stream(spark, landing, shared.folder(spark), prepare)
     return rows.groupBy("severity").agg(F.count("*").alias("n"))
