@@ -94,14 +94,14 @@ def test_proportional_sampling(spark):
     risk = {f"k{i}": (i * 37) % 23 for i in range(40)}
     df = spark.createDataFrame([("e", k, f"a{int(k[1:]) % 4}", r) for k, r in risk.items()], "entity_id string, case_id string, analyst string, risk long")
     order, whole = sorted((k for k in risk if risk[k]), key=lambda k: (-risk[k], k)), sum(risk.values())
-    for n in (3, 9):
-        wanted, at = set(), 0
+    for n, seed in ((3, "a"), (9, "b"), (9, "c")):
+        wanted, at, start = set(), 0, sampling.seeded_start(seed)
         for k in order:
-            if any(at <= (j + 0.5) * whole / n < at + risk[k] for j in range(n)):
+            if any(at <= (j + start) * whole / n < at + risk[k] for j in range(n)):
                 wanted.add(k)
             at += risk[k]
         for parts in (1, 7):
-            rows = sampling.proportional(df.repartition(parts), n).collect()
+            rows = sampling.proportional(df.repartition(parts), n, seed).collect()
             assert {r.case_id for r in rows} == wanted and all(abs(r.pi - min(1, n * r.risk / whole)) < 1e-12 for r in rows)
     assert sampling.capped(df, 2).count() == 8
 

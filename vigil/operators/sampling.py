@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.operators.sequences import Ordered
+
 
 def uniform(seed: str, *key: str):
     """A number in [0, 1) that depends on seed and key only, not on partitioning."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), *key), 256), 1, 12), 16, 10).cast("double") / float(16**12)
 
 
-def proportional(cases: DataFrame, n: int, start: float = 0.5, slices: int = 64) -> DataFrame:
-    """Ordered systematic sample with probability proportional to risk; cases without risk are never drawn.
+def seeded_start(seed: str) -> float:
+    """Where in the first step a systematic sample begins: the number that uniform(seed) gives."""
+    return int(hashlib.sha256(seed.encode()).hexdigest()[:12], 16) / 16**12
 
-    Cumulative risk in two levels: cases fall into slices by risk, slice totals give offsets, and only within a
-    slice is there an ordered window. risk is an integer, so sums do not depend on their order.
-    """
+
+def proportional(cases: DataFrame, n: int, seed: str = "sample") -> DataFrame:
+    """Ordered systematic sample with probability proportional to risk, begun at random by the seed; cases without risk are
+    never drawn. The cumulative risk is a running sum over range partitions, so neither the whole nor cases of one risk
+    stand in one task; risk is an integer, so sums do not depend on their order."""
     rows = cases.filter("risk > 0")
-    most = rows.agg(F.max("risk").alias("most"))
-    rows = rows.crossJoin(F.broadcast(most)).withColumn("slice", F.floor((F.col("most") - F.col("risk")) * slices / (F.col("most") + 1)))
-    totals = rows.groupBy("slice").agg(F.sum("risk").alias("t"))
-    before = totals.withColumn("offset", F.coalesce(F.sum("t").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("whole", F.sum("t").over(Window.partitionBy(F.lit(0)))).drop("t")
-    inner = Window.partitionBy("slice").orderBy(F.desc("risk"), "entity_id", "case_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.join(F.broadcast(before), "slice").withColumn("high", F.col("offset") + F.sum("risk").over(inner)).withColumn("low", F.col("high") - F.col("risk"))
-    step = F.col("whole") / n
+    whole = rows.agg(F.sum("risk").alias("whole"))
+    placed = Ordered(rows, [], [F.desc("risk"), "entity_id", "case_id"]).running(high=("risk", "sum"))
+    placed = placed.crossJoin(F.broadcast(whole)).withColumn("low", F.col("high") - F.col("risk"))  # one row
+    step, start = F.col("whole") / n, seeded_start(seed)
     hits = F.ceil((F.col("high") - start * step) / step) - F.ceil((F.col("low") - start * step) / step)
     return placed.filter(hits > 0).select("entity_id", "case_id", "analyst", "risk", F.least(F.lit(1.0), n * F.col("risk") / F.col("whole")).alias("pi"))
 
@@ -45,9 +49,11 @@ def allocation(strata: DataFrame, n: int) -> DataFrame:
 
 
 def controls(frame: DataFrame, take: DataFrame, seed: str) -> DataFrame:
-    """Simple random samples within strata, by hash order; pi = n / N."""
-    w = Window.partitionBy("stratum").orderBy(F.sha2(F.concat_ws("|", F.lit(seed), "entity_id", "case_id"), 256), "case_id")
-    rows = frame.join(F.broadcast(take.withColumnRenamed("size", "n_stratum")), "stratum").withColumn("_r", F.row_number().over(w)).filter("_r <= take")
+    """Simple random samples within strata, by hash order; pi = n / N. Places are numbered over range partitions, so a stratum
+    with most of the cases is no single task."""
+    ticket = F.sha2(F.concat_ws("|", F.lit(seed), "entity_id", "case_id"), 256)
+    rows = frame.join(F.broadcast(take.withColumnRenamed("size", "n_stratum")), "stratum").withColumn("_t", ticket)
+    rows = Ordered(rows, ["stratum"], ["_t", "case_id"]).numbered("_r").filter("_r <= take").drop("_t")
     return rows.withColumn("pi", F.col("take") / F.col("n_stratum")).drop("_r")
 
 

@@ -18,10 +18,12 @@ from vigil.plans.shared import kept
 class Ordered:
     """rows in order within keys. The order must tell rows apart: equal rows stay together in one partition.
 
-    Null keys are a key of their own. Names that begin with _ are for the work in between.
+    Without keys the whole table is one order. Null keys are a key of their own. Names that begin with _ are for the work in between.
     """
 
     def __init__(self, rows: DataFrame, keys: list[str], order: list[str | Column], parts: int | None = None):
+        if not keys:  # the whole table is one key
+            rows, keys = rows.withColumn("_whole", F.lit(0)), ["_whole"]
         n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.keys, self.order = keys, order
         self.placed = kept(rows.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
@@ -46,13 +48,13 @@ class Ordered:
         before = {f"_b_{name}": how[f][0](f"_s_{name}") for name, (_, f) in columns.items()}
         rows = self._with_before(rows, summary, before)
         rows = rows.withColumns({name: how[f][1](F.col(f"_r_{name}"), F.col(f"_b_{name}")) for name, (_, f) in columns.items()})
-        return rows.drop("_part", *before, *(f"_r_{name}" for name in columns))
+        return rows.drop("_part", "_whole", *before, *(f"_r_{name}" for name in columns))
 
     def numbered(self, name: str = "seq") -> DataFrame:
         """Adds each row's place within its key, from 1."""
         rows = self.placed.withColumn(name, F.row_number().over(self.inner).cast("long"))
         rows = self._with_before(rows, [F.count("*").alias("_n")], {"_b": F.sum("_n")})
-        return rows.withColumn(name, F.col(name) + F.coalesce("_b", F.lit(0))).drop("_part", "_b")
+        return rows.withColumn(name, F.col(name) + F.coalesce("_b", F.lit(0))).drop("_part", "_whole", "_b")
 
     def previous(self, **columns: str) -> DataFrame:
         """name=column: the value of the key's row before; null in its first."""
@@ -62,7 +64,7 @@ class Ordered:
         rows = self._with_before(rows, [ends], {"_b": F.last("_end")})
         first = F.col("_place") == 1
         rows = rows.withColumns({name: F.when(first, F.col(f"_b.{name}")).otherwise(F.col(f"_r_{name}")) for name in columns})
-        return rows.drop("_part", "_place", "_b", *(f"_r_{name}" for name in columns))
+        return rows.drop("_part", "_whole", "_place", "_b", *(f"_r_{name}" for name in columns))
 
 
 def less_own(rows: DataFrame, keys: list[str], **values: Column) -> DataFrame:

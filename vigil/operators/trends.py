@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from statistics import median
 
 import numpy as np
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.operators.sequences import Ordered
+
 
 def segments(series: DataFrame, least: int = 3, shift: float = 0.10, gain: float = 0.20) -> DataFrame:
     """(series, period, value) -> splits into regimes: both sides hold so many periods, their medians differ by shift, and
@@ -63,32 +66,51 @@ def recommendation(changes: DataFrame) -> DataFrame:
     return out.select("n_added", "n_removed", "n_changed", "n_worse", F.when((F.col("n_added") > 0) | (F.col("n_worse") > 0), "hold").otherwise("promote").alias("verdict"), F.coalesce("_a", "_w").alias("worst"))
 
 
-def minhash_bands(notes: DataFrame, entity: str, note: str, text: str, n: int = 3, seeds: int = 32, per_band: int = 4) -> DataFrame:
-    """(entity, note, band, signature): MinHash of the n-word shingles by the smallest SHA-256 under each seed, hashed in
-    Arrow batches. Notes without a shingle have no bands."""
-    import re
+def minhash_bands(notes: DataFrame, entity: str, note: str, text: str, n: int = 3, seeds: int = 32, per_band: int = 4, held: int = 100_000) -> DataFrame:
+    """(entity, note, band, signature): MinHash of the n-word shingles by the smallest SHA-256 under each seed. Notes without a
+    shingle have no bands.
 
+    Equal texts go to one task and are hashed once, and so is a shingle that many notes share, as long as a task remembers it:
+    two generations of at most held shingles, of which the frequent ones move on. The least of a note's hashes is
+    taken over all its shingles at once.
+    """
     word = re.compile("[a-z0-9]+")
+    prefixes = [b"%d:" % k for k in range(seeds)]
+
+    def hashes(shingle: bytes) -> bytes:
+        return b"".join([hashlib.sha256(p + shingle).digest()[:8] for p in prefixes])
 
     def rows(batches):
+        new: dict[bytes, bytes] = {}
+        old: dict[bytes, bytes] = {}
+        last, bands = None, None
         for batch in batches:
             out = {"entity": [], "note": [], "band": [], "signature": []}
             for e, i, t in zip(*(batch.column(c).to_pylist() for c in ("entity", "note", "text"))):
-                w = word.findall((t or "").lower())
-                shingles = {" ".join(w[j : j + n]).encode() for j in range(len(w) - n + 1)}
-                if not shingles:
+                if t is None:
                     continue
-                least = []
-                for k in range(seeds):
-                    prefix = b"%d:" % k
-                    least.append(min(hashlib.sha256(prefix + s).digest() for s in shingles)[:8].hex())
-                for b in range(seeds // per_band):
-                    for c, v in zip(out, (e, i, b, "|".join(least[b * per_band : (b + 1) * per_band]))):
+                if t != last:
+                    w = word.findall(t.lower())
+                    rows = []
+                    for s in {" ".join(w[j : j + n]).encode() for j in range(len(w) - n + 1)}:
+                        h = new.get(s)
+                        if h is None:
+                            h = new[s] = old.pop(s, None) or hashes(s)
+                            if len(new) >= held:
+                                new, old = {}, new
+                        rows.append(h)
+                    least = np.frombuffer(b"".join(rows), ">u8").reshape(-1, seeds).min(axis=0) if rows else []
+                    parts = [f"{int(x):016x}" for x in least]
+                    last, bands = t, ["|".join(parts[b : b + per_band]) for b in range(0, len(parts), per_band)]
+                for b, signature in enumerate(bands):
+                    for c, v in zip(out, (e, i, b, signature)):
                         out[c].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["entity"], pa.string()), pa.array(out["note"], pa.int64()), pa.array(out["band"], pa.int32()), pa.array(out["signature"], pa.string())], list(out))
 
     view = notes.select(F.col(entity).cast("string").alias("entity"), F.col(note).cast("long").alias("note"), F.col(text).alias("text"))
-    return view.mapInArrow(rows, "entity string, note long, band int, signature string")
+    tasks = max(notes.sparkSession.sparkContext.defaultParallelism, int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    together = view.repartition(tasks, F.xxhash64("text")).sortWithinPartitions(F.xxhash64("text"), "text")
+    return together.mapInArrow(rows, "entity string, note long, band int, signature string")
 
 
 def near_anchor(bands: DataFrame, notes: DataFrame, entity: str, note: str, text: str, least: float = 0.82) -> DataFrame:
@@ -134,16 +156,10 @@ def normal_p(z: str):
     return p(F.col(z))
 
 
-def ranked_at(scores: DataFrame, k: int, ranges: int = 32) -> DataFrame:
-    """(entity, score, hit) -> precision, recall, F1 at k and normalised gain. Ranks come in two levels, so no task holds
-    all rows: ranges by score, then places within a range plus the ranges before."""
-    top, low = scores.agg(F.max("score"), F.min("score")).first()
-    width = max((float(top or 0) - float(low or 0)) / ranges, 1e-12)
-    cut = scores.withColumn("_s", F.least(F.floor((F.lit(float(top or 0)) - F.col("score")) / width), F.lit(ranges - 1)))
-    sizes = cut.groupBy("_s").agg(F.count("*").alias("_n"), F.sum("hit").alias("_h"))
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_s", "_b")  # a row for each range
-    place = F.col("_b") + F.row_number().over(Window.partitionBy("_s").orderBy(F.desc("score"), "entity"))
-    r = cut.join(F.broadcast(before), "_s").withColumn("i", place)
+def ranked_at(scores: DataFrame, k: int) -> DataFrame:
+    """(entity, score, hit) -> precision, recall, F1 at k and normalised gain. Ranks come from range partitions, so no task holds
+    all rows, however the scores lie."""
+    r = Ordered(scores, [], [F.desc("score"), "entity"]).numbered("i")
     positives = scores.agg(F.sum("hit").alias("p"))
     r = r.crossJoin(F.broadcast(positives))  # one row
     discount = 1 / F.log2(F.col("i") + 1)

@@ -11,55 +11,75 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as supervised entities, their region as cohort."""
+    """Suppliers as supervised entities in two sectors, their cohorts; there are peers at every size of the tables."""
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
-    return s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("name"), F.col("n_name").alias("nation"), F.col("r_name").alias("cohort"))
+    return s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("name"), F.col("n_name").alias("nation"), F.when(F.col("s_suppkey") % 2 == 0, "BANK").otherwise("ENERGY").alias("cohort"))
 
 
-ENTITIES = "entities AS (SELECT s_suppkey AS entity_id, s_name AS name, n_name AS nation, r_name AS cohort FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+ENTITIES = "entities AS (SELECT s_suppkey AS entity_id, s_name AS name, n_name AS nation, CASE WHEN s_suppkey % 2 = 0 THEN 'BANK' ELSE 'ENERGY' END AS cohort FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+
+
+#: From some year on, every fifth entity dismisses half of its cases: a regime shift.
+LATE_DISMISSALS = "l_suppkey % 10 IN (2, 8) AND year(o_orderdate) >= 1998 AND l_linenumber % 2 = 0"
 
 
 def _duration() -> Column:
-    fast = F.when(F.col("l_suppkey") % 37 == 0, 5).otherwise(75 + 5 * (F.col("l_suppkey") % 11))
+    fast = F.when(F.col("l_suppkey") % 10 == 3, 5).otherwise(75 + 5 * (F.col("l_suppkey") % 11))
     return F.floor(((F.col("l_partkey") * 7919 + F.col("l_orderkey") * 131) % 50000) * fast / 100).cast("long")
 
 
 def cases(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """Order lines as investigation cases. The key is not unique, as in real submissions. start and end are days of a
-    half-open period; the filter stands on the stored column, so that files and row groups outside it are not read."""
+    half-open period; the filter stands on the stored column, so that files and row groups outside it are not read.
+
+    Weaknesses are planted by entity: every tenth closes fast and escalates nothing, another escalates nothing, a third
+    keeps no notes; so indicators have what to find at every size."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     if start and end:
         kind = o.schema["o_orderdate"].dataType.simpleString()
         o = o.filter((F.col("o_orderdate") >= F.lit(start).cast(kind)) & (F.col("o_orderdate") < F.date_add(F.lit(end), 1).cast(kind)))
     priority = F.substring("o_orderpriority", 1, 1)
     out = li.join(o, li.l_orderkey == o.o_orderkey).withColumn("d", _duration())
-    created = F.col("o_orderdate").cast("timestamp")
+    created, supplier = F.col("o_orderdate").cast("timestamp"), F.col("l_suppkey") % 10
+    escalates, keeps_notes = ~supplier.isin(3, 4), supplier != 6
     closed = F.when((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N"), F.lit(None)).when((F.col("l_shipdate") < F.col("o_orderdate")) & (F.col("l_linenumber") == 1), F.unix_timestamp(created) - 3600).otherwise(F.unix_timestamp(created) + F.col("d"))
     return out.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("case_id"), F.col("l_suppkey").alias("entity_id"), F.unix_timestamp(created).alias("created_s"), closed.alias("closed_s"),
         F.when(F.col("l_linenumber") % 2 == 1, F.col("d")).alias("declared_s"),
         F.when(priority == "1", "CRITICAL").when(priority == "2", "HIGH").when(priority == "3", "MEDIUM").otherwise("LOW").alias("severity"),
-        F.when(F.col("l_returnflag") == "A", "TRUE_POSITIVE").when(F.col("l_returnflag") == "R", "FALSE_POSITIVE").otherwise("SUPPRESSED").alias("disposition"),
-        (F.col("o_custkey") % 50).alias("analyst"), F.when(F.col("l_quantity") > 45, 2).alias("escalation_level"), F.year("o_orderdate").alias("year"), (F.col("l_discount") >= 0.08).alias("escalated"), ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 1000).alias("note_ref"),
+        F.when(F.expr(LATE_DISMISSALS), "FALSE_POSITIVE").when(F.col("l_returnflag") == "A", "TRUE_POSITIVE").when(F.col("l_returnflag") == "R", "FALSE_POSITIVE").otherwise("SUPPRESSED").alias("disposition"),
+        (F.col("o_custkey") % 50).alias("analyst"), F.when((F.col("l_quantity") > 45) & escalates, 2).alias("escalation_level"), F.year("o_orderdate").alias("year"),
+        ((F.col("l_discount") >= 0.08) & escalates).alias("escalated"), F.when(keeps_notes, (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 1000).otherwise(-1).alias("note_ref"),
     )
 
 
-CASES = """cases AS (SELECT l_orderkey || '-' || l_linenumber AS case_id, l_suppkey AS entity_id, CAST(epoch(o_orderdate) AS BIGINT) AS created_s,
+CASES = f"""cases AS (SELECT l_orderkey || '-' || l_linenumber AS case_id, l_suppkey AS entity_id, CAST(epoch(o_orderdate) AS BIGINT) AS created_s,
  CASE WHEN l_linestatus = 'O' AND l_returnflag = 'N' THEN NULL WHEN l_shipdate < o_orderdate AND l_linenumber = 1 THEN CAST(epoch(o_orderdate) AS BIGINT) - 3600 ELSE CAST(epoch(o_orderdate) AS BIGINT) + d END AS closed_s,
  CASE WHEN l_linenumber % 2 = 1 THEN d END AS declared_s,
  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'CRITICAL' WHEN '2' THEN 'HIGH' WHEN '3' THEN 'MEDIUM' ELSE 'LOW' END AS severity,
- CASE l_returnflag WHEN 'A' THEN 'TRUE_POSITIVE' WHEN 'R' THEN 'FALSE_POSITIVE' ELSE 'SUPPRESSED' END AS disposition,
- o_custkey % 50 AS analyst, CASE WHEN l_quantity > 45 THEN 2 END AS escalation_level, year(o_orderdate) AS year, l_discount >= 0.08 AS escalated, (l_orderkey * 7 + l_linenumber) % 1000 AS note_ref
- FROM (SELECT *, CAST(floor(((l_partkey * 7919 + l_orderkey * 131) % 50000) * (CASE WHEN l_suppkey % 37 = 0 THEN 5 ELSE 75 + 5 * (l_suppkey % 11) END) / 100) AS BIGINT) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey))"""
+ CASE WHEN {LATE_DISMISSALS} THEN 'FALSE_POSITIVE' WHEN l_returnflag = 'A' THEN 'TRUE_POSITIVE' WHEN l_returnflag = 'R' THEN 'FALSE_POSITIVE' ELSE 'SUPPRESSED' END AS disposition,
+ o_custkey % 50 AS analyst, CASE WHEN l_quantity > 45 AND l_suppkey % 10 NOT IN (3, 4) THEN 2 END AS escalation_level, year(o_orderdate) AS year,
+ l_discount >= 0.08 AND l_suppkey % 10 NOT IN (3, 4) AS escalated, CASE WHEN l_suppkey % 10 <> 6 THEN (l_orderkey * 7 + l_linenumber) % 1000 ELSE -1 END AS note_ref
+ FROM (SELECT *, CAST(floor(((l_partkey * 7919 + l_orderkey * 131) % 50000) * (CASE WHEN l_suppkey % 10 = 3 THEN 5 ELSE 75 + 5 * (l_suppkey % 11) END) / 100) AS BIGINT) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey))"""
+
+
+# What is planted: a sixth of the assets, all severe, fall silent; peers surge on one day while a third of the assets stays quiet.
+_HEARD = "NOT (user_id % 4 >= 2 AND user_id % 3 = 0 AND day(ts) >= 13) AND NOT (user_id % 3 = 1 AND day(ts) BETWEEN 25 AND 28)"
+_DAY = "CASE WHEN day(ts) BETWEEN 26 AND 28 THEN CAST('2024-01-25' AS DATE) ELSE CAST(ts AS DATE) END"
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as alerts; their case ids dangle for every seventh event."""
-    e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_id").alias("alert_id"), (F.col("user_id") % 100).alias("entity_id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("event_s"), F.to_date("ts").alias("day"), F.col("event_type").alias("category"), F.col("user_id").alias("asset_id"), (1 + F.col("user_id") % 4).alias("criticality"), F.when(F.col("event_id") % 7 == 0, F.lit(-1)).otherwise(F.col("event_id") % 1000).alias("case_no"), F.col("value"))
+    e = table(spark, sf_dir, "events").filter(_HEARD)
+    return e.select(
+        F.col("event_id").alias("alert_id"), (F.col("user_id") % 100).alias("entity_id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("event_s"), F.expr(_DAY).alias("day"),
+        F.col("event_type").alias("category"), F.col("user_id").alias("asset_id"), (1 + F.col("user_id") % 4).alias("criticality"),
+        F.when(F.col("event_id") % 7 == 0, F.lit(-1)).otherwise(F.col("event_id") % 1000).alias("case_no"), F.col("value"),
+    )
 
 
-ALERTS = "alerts AS (SELECT event_id AS alert_id, user_id % 100 AS entity_id, CAST(floor(epoch(ts)) AS BIGINT) AS event_s, CAST(ts AS DATE) AS day, event_type AS category, user_id AS asset_id, 1 + user_id % 4 AS criticality, CASE WHEN event_id % 7 = 0 THEN -1 ELSE event_id % 1000 END AS case_no, value FROM events)"
+ALERTS = f"""alerts AS (SELECT event_id AS alert_id, user_id % 100 AS entity_id, CAST(floor(epoch(ts)) AS BIGINT) AS event_s, {_DAY} AS day, event_type AS category, user_id AS asset_id,
+ 1 + user_id % 4 AS criticality, CASE WHEN event_id % 7 = 0 THEN -1 ELSE event_id % 1000 END AS case_no, value FROM events WHERE {_HEARD})"""
 
 
 def raw_submission(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vigil.functions import scalars, stats
 from vigil.operators import indicators as ind
 from vigil.operators import anomaly, intake, privacy, sampling, scoring, text, trends
+from vigil.operators.sequences import Ordered
 from vigil.plans import adapters as a
 from vigil.plans import shared
 from vigil.policy import DEFAULT
@@ -193,7 +194,7 @@ def grid(spark: SparkSession, sf_dir: str, *keys: str, category: str | None = No
 
 
 def grid_sql(keys: str, category: str | None = None) -> str:
-    chosen = f" WHERE event_type = '{category}')" if category else ")"
+    chosen = f" AND event_type = '{category}')" if category else ")"
     return f"{a.ALERTS[:-1]}{chosen}, days AS (SELECT unnest(generate_series((SELECT min(day) FROM alerts), (SELECT max(day) FROM alerts), INTERVAL 1 DAY))::DATE AS day), g AS (SELECT {keys}, day, coalesce(n, 0) AS activity FROM (SELECT DISTINCT {keys} FROM alerts) CROSS JOIN days LEFT JOIN (SELECT {keys}, day, count(*) AS n FROM alerts GROUP BY ALL) USING ({keys}, day))"
 
 
@@ -309,7 +310,7 @@ def data_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tallies(spark, sf_dir).agg(F.round(complete, 6).alias("completeness"), F.round(valid, 6).alias("validity"), F.round(w["completeness"] * complete + w["validity"] * valid, 6).alias("part_score"))
 
 
-@query(f"WITH {a.RAW}, r AS (SELECT source_row, regexp_replace(note_raw, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}', '[EMAIL]', 'g') AS t, CASE WHEN note_raw LIKE '%@%.example.com%' THEN 1 ELSE 0 END AS e, CASE WHEN note_raw LIKE '%10.0.0.%' THEN 1 ELSE 0 END AS i FROM raw) SELECT source_row, regexp_replace(t, '\\b([0-9]{{1,3}}\\.){{3}}[0-9]{{1,3}}\\b', '[IPV4]', 'g') AS redacted, e + i AS n_redacted, CASE WHEN e + i = 2 THEN 'EMAIL,IPV4' ELSE '' END AS categories FROM r")
+@query(f"WITH {a.RAW}, r AS (SELECT source_row, regexp_replace(note_raw, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}\\b', '[EMAIL]', 'g') AS t, CASE WHEN note_raw LIKE '%@%.example.com%' THEN 1 ELSE 0 END AS e, CASE WHEN note_raw LIKE '%10.0.0.%' THEN 1 ELSE 0 END AS i FROM raw) SELECT source_row, regexp_replace(t, '\\b([0-9]{{1,3}}\\.){{3}}[0-9]{{1,3}}\\b', '[IPV4]', 'g') AS redacted, e + i AS n_redacted, CASE WHEN e + i = 2 THEN 'EMAIL,IPV4' ELSE '' END AS categories FROM r")
 def redacted_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.redact(a.raw_submission(spark, sf_dir), "note_raw").select("source_row", "redacted", "n_redacted", "categories")
 
@@ -324,19 +325,26 @@ def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
 
-@query(f"WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) ELSE [array_to_string(w, ' ')] END AS s FROM w) SELECT doc_id, substr(sha256(array_to_string(list_sort(list_distinct(s)), '|')), 1, 32) AS signature FROM s")
+_SIGNED = f"""w AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[^ \\t\\n\\x0b\\f\\r]+') AS w FROM documents),
+ s AS (SELECT doc_id, source, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) ELSE [array_to_string(w, ' ')] END AS s FROM w),
+ signed AS (SELECT doc_id, source, substr(sha256(array_to_string(list_sort(s), '|')), 1, 32) AS signature FROM s)"""
+
+
+@query(f"WITH {_SIGNED} SELECT doc_id, signature FROM signed")
 def note_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.table(spark, sf_dir, "documents").select("doc_id", privacy.shingle_signature(F.col("text")).alias("signature"))
+    """Signatures of whole notes: equal for notes of the same words, whatever the blanks between them."""
+    docs = shared.spread(a.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", privacy.shingle_signature(F.col("text")).alias("signature"))
 
 
-@query(f"WITH w AS (SELECT source, doc_id, {_WORDS} AS w FROM documents), s AS (SELECT source, substr(sha256(array_to_string(list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) ELSE [array_to_string(w, ' ')] END)), '|')), 1, 32) AS signature FROM w) SELECT source AS entity, signature, count(*) AS n_notes FROM s GROUP BY ALL HAVING count(*) > 1")
+@query(f"WITH {_SIGNED} SELECT source AS entity, signature, count(*) AS n_notes FROM signed GROUP BY ALL HAVING count(*) > 1")
 def template_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes with equal signatures within an entity."""
     rows = a.table(spark, sf_dir, "documents").select(F.col("source").alias("entity"), privacy.shingle_signature(F.col("text")).alias("signature"))
     return rows.groupBy("entity", "signature").agg(F.count("*").alias("n_notes")).filter("n_notes > 1")
 
 
-@query(f"WITH {YEAR}, r AS (SELECT entity_id, case_id, analyst, CASE severity WHEN 'CRITICAL' THEN 40 WHEN 'HIGH' THEN 20 ELSE 0 END + CASE WHEN escalated THEN 5 ELSE 0 END AS risk, created_s FROM c), u AS (SELECT entity_id, case_id, any_value(analyst ORDER BY created_s) AS analyst, max(risk) AS risk FROM r GROUP BY ALL), p AS (SELECT *, sum(risk) OVER (ORDER BY risk DESC, entity_id, case_id ROWS UNBOUNDED PRECEDING) AS high, sum(risk) OVER () AS whole FROM u WHERE risk > 0) SELECT entity_id, case_id, risk, round(least(1.0, 100 * risk / whole), 8) AS pi FROM p WHERE ceil((high - 0.5 * whole / 100) / (whole / 100)) - ceil((high - risk - 0.5 * whole / 100) / (whole / 100)) > 0")
+@query(f"WITH {YEAR}, r AS (SELECT entity_id, case_id, analyst, CASE severity WHEN 'CRITICAL' THEN 40 WHEN 'HIGH' THEN 20 ELSE 0 END + CASE WHEN escalated THEN 5 ELSE 0 END AS risk, created_s FROM c), u AS (SELECT entity_id, case_id, any_value(analyst ORDER BY created_s) AS analyst, max(risk) AS risk FROM r GROUP BY ALL), p AS (SELECT *, sum(risk) OVER (ORDER BY risk DESC, entity_id, case_id ROWS UNBOUNDED PRECEDING) AS high, sum(risk) OVER () AS whole FROM u WHERE risk > 0) SELECT entity_id, case_id, risk, round(least(1.0, 100 * risk / whole), 8) AS pi FROM p WHERE ceil((high - {sampling.seeded_start('sample')!r} * (whole / 100)) / (whole / 100)) - ceil((high - risk - {sampling.seeded_start('sample')!r} * (whole / 100)) / (whole / 100)) > 0")
 def targeted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """100 cases with probability proportional to risk."""
     return sampling.proportional(risks(spark, sf_dir), 100).select("entity_id", "case_id", "risk", F.round("pi", 8).alias("pi"))
@@ -436,8 +444,9 @@ def self_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{YEARLY} SELECT year, entity_id, score, rank() OVER (PARTITION BY year ORDER BY score DESC) AS rank FROM y")
 def yearly_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Competition ranks per period."""
-    w = Window.partitionBy("year").orderBy(F.desc("score"))
-    return yearly(spark, sf_dir).select("year", "entity_id", "score", F.rank().over(w).cast("long").alias("rank"))
+    placed = Ordered(yearly(spark, sf_dir), ["year"], [F.desc("score"), "entity_id"]).numbered("i")
+    first = placed.groupBy("year", "score").agg(F.min("i").alias("rank"))  # equal scores have the place of the first
+    return placed.join(first, ["year", "score"]).select("year", "entity_id", "score", "rank")
 
 
 @query(f"{YEARLY}, p AS (SELECT *, count(*) OVER w AS nl, sum(score) OVER w AS sl, sum(score * score) OVER w AS ql, count(*) OVER t AS nt, sum(score) OVER t AS st, sum(score * score) OVER t AS qt FROM y WINDOW w AS (PARTITION BY entity_id ORDER BY year ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY entity_id)), c AS (SELECT *, round((qt - st * st / nt) - (ql - sl * sl / nl) - ((qt - ql) - (st - sl) * (st - sl) / (nt - nl)), 6) AS gain FROM p WHERE nl >= 3 AND nt - nl >= 3) SELECT entity_id, year + 1 AS change_year, gain FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY gain DESC, year) AS r FROM c) WHERE r = 1")
@@ -459,7 +468,7 @@ def ranking_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision and recall at 50 and discounted gain of a ranking against labels."""
     o = a.table(spark, sf_dir, "orders")
     s = o.groupBy(F.col("o_custkey").alias("entity")).agg(F.max("o_totalprice").alias("score"), F.max(F.col("o_orderpriority").startswith("1").cast("int")).alias("hit"))
-    r = s.withColumn("i", F.row_number().over(Window.orderBy(F.desc("score"), "entity")))
+    r = Ordered(s, [], [F.desc("score"), "entity"]).numbered("i")
     top = F.sum(F.when(F.col("i") <= 50, F.col("hit")))
     return r.agg(F.round(top / 50, 6).alias("precision"), F.round(top / F.sum("hit"), 6).alias("recall"), F.round(F.sum(F.col("hit") / F.log2(F.col("i") + 1)), 4).alias("dcg"))
 

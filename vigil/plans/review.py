@@ -36,7 +36,7 @@ def monthly_regime_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, o = (a.table(spark, sf_dir, t) for t in ("lineitem", "orders"))
     month = (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("int")
     rows = li.join(o, li.l_orderkey == o.o_orderkey).groupBy(F.col("l_suppkey").cast("string").alias("series"), month.alias("period"))
-    return trends.segments(rows.agg(F.avg((F.col("l_returnflag") == "R").cast("double")).alias("value")))
+    return trends.segments(rows.agg(F.avg(((F.col("l_returnflag") == "R") | F.expr(a.LATE_DISMISSALS)).cast("double")).alias("value")))
 
 
 def _two_policies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,3 +23,11 @@ def kept(df: DataFrame) -> DataFrame:
     path = folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over as many tasks as there are cores, where the table is so small that its files give fewer: for work that takes
+    long for each row. Tables of a usual file for each core or more stay as they are, and are not shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # as planned from the files, nothing is read
+    return rows.repartition(cores) if size < cores * (128 << 20) else rows
