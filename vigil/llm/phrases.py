@@ -46,6 +46,7 @@ class Settings:
     most_slots: int = 1 << 27
     #: Rows of a part that many candidates share are spread over so many keys.
     salts: int = 8
+    deals: int = 64
 
 
 def _marks(chars: bytes) -> np.ndarray:
@@ -213,21 +214,22 @@ def collocations(docs: DataFrame, settings: Settings = Settings(), text: str = "
     s = settings
     graph = written(edges(docs, s, text, lang), "edges")
     phrases = written(flows(graph, s.min_count), "phrases")
-    totals = graph.groupBy("lang").agg(F.sum("n").alias("n"))
+    # joined by language and phrase's deal: by language alone each would be one task, here and in what is grouped next
+    totals = graph.groupBy("lang").agg(F.sum("n").alias("n")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(s.deals - 1))))
     cuts = compacted(phrases).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
     cuts = cuts.withColumn("left", F.expr("substring_index(phrase, ' ', k)")).withColumn("right", F.expr("substring(phrase, length(left) + 2)"))
-    cuts = cuts.withColumn("salt", F.pmod(F.hash("phrase"), F.lit(s.salts)))
+    cuts = cuts.withColumn("salt", F.pmod(F.hash("phrase"), F.lit(s.salts))).withColumn("deal", F.pmod(F.xxhash64("phrase"), F.lit(s.deals)))
     parts = phrases.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(s.salts - 1))))
     left = parts.select("lang", "salt", F.col("phrase").alias("left"), F.col("f").alias("l"))
     right = parts.select("lang", "salt", F.col("phrase").alias("right"), F.col("f").alias("r"))
-    found = cuts.join(left, ["lang", "salt", "left"]).join(right, ["lang", "salt", "right"]).join(totals, "lang")
+    found = cuts.join(left, ["lang", "salt", "left"]).join(right, ["lang", "salt", "right"]).join(totals, ["lang", "deal"])
     whole = lambda c: F.col(c).cast("decimal(38,0)")
     found = found.withColumn("up", F.lit(1000).cast("decimal(4,0)") * whole("f") * whole("n")).withColumn("down", whole("l") * whole("r"))
     lowest = F.min(F.struct(F.expr("up div down").alias("score"), "k", "l", "r")).alias("cut")
     scored = found.groupBy("lang", "phrase").agg(lowest, F.first("f").alias("a"), F.first("n").alias("n"))
     scored = scored.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
     order = [F.desc("score"), F.desc("a"), "phrase"]
-    first = F.row_number().over(W.partitionBy("lang", F.pmod(F.hash("phrase"), F.lit(64))).orderBy(*order))
+    first = F.row_number().over(W.partitionBy("lang", F.pmod(F.hash("phrase"), F.lit(s.deals))).orderBy(*order))
     few = scored.withColumn("rank", first).filter(F.col("rank") <= s.best)
     out = Ordered(few.drop("rank"), ["lang"], order).numbered("rank").filter(F.col("rank") <= s.best)
     return out.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
