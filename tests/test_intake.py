@@ -123,3 +123,18 @@ def test_manifests_see_names_and_bytes_only(spark, tmp_path):
 def test_unknown_indicators_are_an_error(spark):
     with pytest.raises(ValueError, match="nope"):
         catalogue.indicator_values(spark, "/root/testdata/sf0.001", "eg01", "nope")
+
+
+def test_quality_scores_by_hand(spark):
+    from vigil.operators import submission_quality as sq
+
+    made = lambda rows, schema: spark.createDataFrame(rows, schema)
+    counts = made([("s", "case", "a", 10, 2, 1, 0, 0), ("s", "case", "b", 10, 0, 0, 3, 1), ("t", "case", "a", 0, 0, 0, 0, 0)], "submission_id string, table_name string, column_name string, seen long, missing long, malformed long, unmapped long, sanitised long")
+    loaded = made([("s", "case", 8, 2), ("s", "alert", 2, 0), ("t", "case", 0, 3), ("u", "other", 5, 0)], "submission_id string, table_name string, n_rows long, n_quarantined long")
+    required = made([("case", "a"), ("case", "b"), ("case", "never")], "table_name string, column_name string")
+    by = lambda df, c: {r.submission_id: r[c] for r in df.collect()}
+    assert by(sq.completeness(counts, loaded, required), "completeness") == pytest.approx({"s": (0.8 + 1 + 0) / 3, "t": 0.0, "u": 1.0})
+    assert by(sq.validity(counts, loaded), "validity") == pytest.approx({"s": 1 - (2 / 12 + 4 / 20) / 2, "t": 0.0, "u": 1.0})
+    lost = made([("s", 1), ("s", 2)], "submission_id string, id long")
+    assert by(sq.consistency(lost, loaded, ["case"]), "consistency") == pytest.approx({"s": 0.8, "t": 1.0, "u": 1.0})
+    assert by(sq.mapping_confidence(made([("s", "x", True), ("s", "y", False)], "submission_id string, header string, approved boolean")), "mapping") == {"s": 0.5}

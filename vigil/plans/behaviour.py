@@ -7,13 +7,19 @@ views are text that Spark and SQL read alike.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.functions import scalars
 from vigil.operators import behaviour as b
 from vigil.operators import expectation as x
 from vigil.operators import indicators as ind
+from vigil.operators import intake
+from vigil.operators import submission_quality as sq
 from vigil.plans import adapters as a
+from vigil.plans import catalogue, shared
 from vigil.plans.catalogue import query
 
 LIMITS = b.Limits()
@@ -334,3 +340,68 @@ def ns02_expected_absence(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = x.silent_categories(category_periods(spark, sf_dir))
     rounded = [F.round("latest_expected", 4).alias("latest_expected"), F.round("latest_chance", 6).alias("latest_chance")]
     return out.select("entity_id", "cohort", "category", "n", "n_low", "run", *rounded, "raised")
+
+
+# --- quality of submissions from counts ---
+
+REQUIRED = [("case", "severity"), ("case", "opened"), ("case", "note"), ("case", "owner"), ("alert", "case_no"), ("escalation", "target")]
+MAPPING = {"case_id": "case_ref", "severity": "severity_raw", "opened": "opened_raw", "note": "note_raw", "owner": "owner_field"}
+_SUBMITTED = f"""{a.RAW}, {a.ALERTS}, s AS (SELECT *, source_row % 7 AS submission_id, {catalogue._SEVERITY} AS severity FROM raw), al AS (SELECT *, alert_id % 7 AS submission_id FROM alerts),
+ t AS (SELECT submission_id, 'case' AS tbl, 'severity' AS col, count(*) AS seen, 0 AS missing, 0 AS malformed, count(*) FILTER (severity IS NULL) AS unmapped, 0 AS sanitised FROM s GROUP BY ALL
+  UNION ALL SELECT submission_id, 'case', 'opened', count(*), 0, count(*) FILTER (opened_raw = 'not a date'), 0, 0 FROM s GROUP BY ALL
+  UNION ALL SELECT submission_id, 'case', 'flag', count(*), 0, count(*) FILTER (flag_raw = 'maybe'), 0, 0 FROM s GROUP BY ALL
+  UNION ALL SELECT submission_id, 'case', 'note', count(*), count(*) FILTER (note_raw IN ('N/A', '-')), 0, 0, count(*) FILTER (note_raw LIKE '=%') FROM s GROUP BY ALL
+  UNION ALL SELECT submission_id, 'alert', 'case_no', count(*), count(*) FILTER (case_no = -1), 0, 0, 0 FROM al GROUP BY ALL)"""
+
+
+def submitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cases as submitted text and alerts that refer to them, each in seven submissions."""
+    cases = a.raw_submission(spark, sf_dir).withColumn("submission_id", F.col("source_row") % 7)
+    alerts = a.alerts(spark, sf_dir).withColumn("submission_id", F.col("alert_id") % 7).withColumn("case_raw", F.when(F.col("case_no") >= 0, F.col("case_no").cast("string")))
+    return cases, alerts
+
+
+def submission_tallies(cases: DataFrame, alerts: DataFrame) -> DataFrame:
+    c = F.col
+    cells = {
+        "severity": sq.Cell(c("severity_raw"), scalars.severity(c("severity_raw")), "unmapped"), "opened": sq.Cell(c("opened_raw"), scalars.timestamp_utc(c("opened_raw"))),
+        "flag": sq.Cell(c("flag_raw"), scalars.boolean(c("flag_raw"))), "note": sq.Cell(c("note_raw"), scalars.safe_text(c("note_raw")), sanitised=c("note_raw").startswith("=")),
+    }
+    return sq.tallies(cases, ["submission_id"], "case", cells).unionByName(sq.tallies(alerts, ["submission_id"], "alert", {"case_no": sq.Cell(c("case_raw"), scalars.integer(c("case_raw")))}))
+
+
+@query(f"WITH {_SUBMITTED} SELECT submission_id, tbl AS table_name, col AS column_name, seen, CAST(missing AS BIGINT) AS missing, CAST(malformed AS BIGINT) AS malformed, CAST(unmapped AS BIGINT) AS unmapped, CAST(sanitised AS BIGINT) AS sanitised FROM t")
+def tallies_by_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each submission's columns held: cells seen, missing, malformed, unmapped and sanitised, apart."""
+    return submission_tallies(*submitted(spark, sf_dir))
+
+
+_REQUIRED_SQL = " UNION ALL ".join(f"SELECT '{t}' AS tbl, '{k}' AS col" for t, k in REQUIRED)
+
+
+@query(f"""WITH {_SUBMITTED}, due AS ({_REQUIRED_SQL}),
+ l AS (SELECT submission_id, 'case' AS tbl, count(severity) AS n, count(*) - count(severity) AS q FROM s GROUP BY ALL UNION ALL SELECT submission_id, 'alert', count(*), 0 FROM al GROUP BY ALL),
+ f1 AS (SELECT l.submission_id, avg(coalesce(1 - missing / seen, 0)) AS completeness FROM l JOIN due USING (tbl) LEFT JOIN t ON t.submission_id = l.submission_id AND t.tbl = l.tbl AND t.col = due.col GROUP BY ALL),
+ f2 AS (SELECT submission_id, sum(n) AS n, sum(q) AS q FROM l GROUP BY ALL), f2b AS (SELECT submission_id, sum(malformed) + sum(unmapped) AS failed, sum(seen) AS cells FROM t GROUP BY ALL),
+ f4 AS (SELECT submission_id, count(*) AS d FROM al WHERE case_no >= 0 AND NOT EXISTS (SELECT 1 FROM s WHERE s.submission_id = al.submission_id AND s.case_ref = CAST(al.case_no AS VARCHAR)) GROUP BY ALL)
+ SELECT submission_id, round(completeness, 6) AS completeness, round(1 - (q / (n + q) + failed / cells) / 2, 6) AS validity, round(1 - coalesce(d, 0) / (coalesce(d, 0) + n), 6) AS consistency, round(4 / 9, 6) AS mapping
+ FROM f1 JOIN f2 USING (submission_id) JOIN f2b USING (submission_id) LEFT JOIN f4 USING (submission_id)""")
+def quality_from_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1, F2, F4 and F6 of each submission from its own tallies, quarantine, dangling references and mapping."""
+    cases, alerts = submitted(spark, sf_dir)
+    counts = shared.kept(submission_tallies(cases, alerts))
+    known = scalars.severity(F.col("severity_raw")).isNotNull()
+    n = lambda c: F.count(F.when(c, 1))
+    loaded = cases.groupBy("submission_id").agg(n(known).alias("n_rows"), n(~known).alias("n_quarantined")).withColumn("table_name", F.lit("case"))
+    loaded = loaded.unionByName(alerts.groupBy("submission_id").agg(F.count("*").alias("n_rows"), F.lit(0).cast("long").alias("n_quarantined")).withColumn("table_name", F.lit("alert")))
+    required = spark.createDataFrame(REQUIRED, "table_name string, column_name string")
+    reference = F.when(F.col("case_raw").isNotNull(), F.concat_ws("/", "submission_id", "case_raw"))
+    targets = cases.select(F.concat_ws("/", "submission_id", "case_ref").alias("k"))
+    lost = intake.dangling(alerts.withColumn("ref", reference), "ref", targets, "k")
+    _, warnings = intake.apply_mapping(cases, MAPPING, list(MAPPING), ["case_id"])
+    approved = [v for k, v in MAPPING.items() if not any(w.startswith(f"{k}:") for w in warnings)]
+    headers = spark.createDataFrame([(c, c in approved) for c in cases.columns], "header string, approved boolean")
+    columns = cases.select("submission_id").distinct().crossJoin(F.broadcast(headers))  # the submitted columns
+    parts = [sq.completeness(counts, loaded, required), sq.validity(counts, loaded), sq.consistency(lost, loaded, ["case", "alert"]), sq.mapping_confidence(columns)]
+    out = reduce(lambda x, y: x.join(y, "submission_id", "left"), parts)
+    return out.select("submission_id", *(F.round(c, 6).alias(c) for c in ("completeness", "validity", "consistency", "mapping")))
