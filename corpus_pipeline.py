@@ -1,4 +1,10 @@
-"""Corpus cleaning in stages; each is written as Parquet and read again as the next one's documents."""
+"""Corpus cleaning in stages; each is written as Parquet and read again as the next one's documents.
+
+Each stage keeps all columns of its documents, null ones too, and judges whole texts. Null and empty texts fail the quality rules,
+as texts of too few words do; rows without an id pass the two stages that compare documents, which key their work by id. Of
+equal or nearly equal documents the smallest id stays, repeated rows of one id count as one document. Without labels
+nothing is toxic; an empty table gives no rows. Columns beside those of documents may have any names and pass until packing.
+"""
 
 from __future__ import annotations
 

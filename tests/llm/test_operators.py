@@ -912,3 +912,23 @@ def test_pipeline_stages(spark, docs):
         assert rows.columns == columns and 0 < rows.count() <= before.count(), name
     check_pieces(corpus_pipeline.STAGES[-1][1](spark, rows, "/root/testdata/sf0.001").collect(), hf_ids(rows))
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_pipeline_on_odd_and_empty(spark, odd_docs, no_docs, tmp_path):
+    """Nulls in every column, very long and empty texts, repeated rows and ids, clashing columns; and tables without rows."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 1, 0), (7, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for name, docs, known in (("odd", odd_docs, labels), ("none", no_docs, labels), ("bare", odd_docs, labels.limit(0))):
+        at = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{at}/documents.parquet")
+        known.write.parquet(f"{at}/labels.parquet")
+        rows = spark.read.parquet(f"{at}/documents.parquet")
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            before = rows.count()
+            rows = corpus_pipeline.written(function(spark, rows, at), "odd")
+            assert rows.columns == docs.columns and rows.count() <= before, (name, stage)
+        pieces = corpus_pipeline.run(spark, at).collect()
+        assert len(pieces) == 0 if name == "none" else {p.doc_id for p in pieces} == {r.doc_id for r in rows.collect()}
+        kept = [r.doc_id for r in rows.collect()]
+        assert all(i not in kept for i in (4, 5, 6, 7, 8)) and kept.count(1) <= 1

@@ -8,6 +8,10 @@ determinises this: a state is the set of open readings without their common firs
 Its lookahead is bounded by the longest token. States and arcs are made when a text first needs them.
 
 The pieces that the pattern finds are encoded separately, so results are kept by piece, up to a bound.
+
+Null and empty texts have no tokens. Ids are passed on, null ones too, and never keyed by, so repeated rows and ids are encoded each.
+Very long texts are encoded whole, one at a time. Empty tables give no rows. Other columns may have any names: encoded() passes
+them on beside its own, digests() drops them.
 """
 
 from __future__ import annotations

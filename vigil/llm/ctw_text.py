@@ -7,6 +7,10 @@ they are written once, a row for each part, and each part builds its trees from
 their grams. The three upper levels pass through the driver; their number of contexts does not grow with the corpus.
 Word counts travel the same way, by 64-bit hash. Below a context that all its occurrences reach by the same bytes, all
 nodes have the same counts and estimates, so the tree ends there and the prices stay the same.
+
+Null and empty texts are the one end token. Null ids are never held out and their texts train. Repeated rows train and are
+scored each. Very long texts are scored whole, each held by one task. Empty tables give no rows; a table without training
+rows scores by the estimates without counts. Other columns may have any names and are dropped.
 """
 
 from __future__ import annotations

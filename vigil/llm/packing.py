@@ -6,6 +6,10 @@ has given by the end of window w is then the whole part of share * w * window, s
 after the other: a document's place follows from its place in its queue, on any partition. When a queue runs
 dry, the shares of the others grow from the next window on. Documents are cut where a window's share or a
 sequence ends. Only the last sequence has padding.
+
+Null and empty texts are the end token alone. Null sources count as the empty name. Repeated rows and ids are packed each, null ids too; among
+equal rows the order is that of their files. Very long texts are cut over as many sequences as they need; their tokens are
+held by one task. Empty tables give no rows; other columns may have any names and are dropped.
 """
 
 from __future__ import annotations

@@ -7,6 +7,10 @@ as unknown, 10 below the worst score, and counts one piece for each of its bytes
 
 Where no piece of the vocabulary has a space mark after another character, the best path passes every such
 boundary; the text falls into independent stretches there, and counts are kept by stretch.
+
+Null and empty texts have no pieces. Ids are passed on, null ones too; repeated rows are counted each, ties always go the
+same way. Very long texts are counted whole, one at a time. Empty tables give no rows; other columns may have any names and are
+dropped.
 """
 
 from __future__ import annotations
