@@ -31,11 +31,16 @@ def duck():
     return con
 
 
+#: Queries that may be empty on the smallest tables, where an entity has too few cases for two strong effects.
+MAY_BE_EMPTY = {"corroboration"}
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, duck, name):
     df = catalogue.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
+    assert got or name in MAY_BE_EMPTY
     if name in catalogue.ORACLE_SQL:
         cursor = duck.execute(catalogue.ORACLE_SQL[name])
         names = [d[0] for d in cursor.description]
