@@ -200,7 +200,7 @@ def results(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) ->
     based = stats.peer_baseline(shared.kept(long.join(entities.select("entity_id", "cohort"), "entity_id")), by=["indicator"])
     changed = c.versions(spark, sf_dir).groupBy("entity_id", "record_key").agg(F.countDistinct("record_hash").alias("h")).filter("h > 1").select(F.lit("eg11").alias("indicator"), "entity_id")
     n_evidence = c.evidence(spark, sf_dir).select("indicator", "entity_id").unionByName(changed).groupBy("entity_id", "indicator").agg(F.count("*").alias("n_evidence"))
-    measured = based.select("entity_id", "indicator", "value", "n", F.round("effect", 4).alias("effect")).join(n_evidence, ["entity_id", "indicator"], "left")
+    measured = based.select("entity_id", "indicator", "value", "n", c.four_digits("effect").alias("effect")).join(n_evidence, ["entity_id", "indicator"], "left")
     trust = entities.select("entity_id", F.when(F.col("entity_id") % 13 != 0, F.round((5 + F.col("entity_id") % 95) / 100, 2)).alias("dq_score"))
     specs = spark.createDataFrame(SPECS, "indicator string, family string, dimension string, min_tier string")
     return shared.kept(assess.assembled(entities, measured, gates(spark, found), assess.achieved_tier(found), trust, specs))

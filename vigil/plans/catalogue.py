@@ -102,24 +102,34 @@ def peer_sql(values: str, sign: int) -> str:
  e AS (SELECT *, round({sign} * ((n * value + 10.0 * mean) / (n + 10.0) - med) / scale, 6) AS effect FROM s)"""
 
 
-@query(f"WITH {a.ENTITIES}, {YEAR}, {peer_sql(VALUES['eg01'], -1)} SELECT entity_id, cohort, round(value, 4) AS value, n, round(med, 4) AS peer_median, round(mad, 4) AS peer_mad, round(100 * below / n_peers, 4) AS percentile, n_peers, round(effect, 4) AS effect FROM e")
+@query(f"WITH {a.ENTITIES}, {YEAR}, {peer_sql(VALUES['eg01'], -1)} SELECT entity_id, cohort, round(value, 4) AS value, n, round(med, 4) AS peer_median, round(mad, 4) AS peer_mad, round(100 * below / n_peers, 4) AS percentile, n_peers, floor(effect * 10000 + 0.5) / 10000 AS effect FROM e")
 def eg01_rapid_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities by how far their median closure time lies below that of their peers."""
     e = baselined(spark, sf_dir, "eg01", -1).filter("n_peers is not null")
-    return e.select("entity_id", "cohort", F.round("value", 4).alias("value"), "n", F.round("median", 4).alias("peer_median"), F.round("mad", 4).alias("peer_mad"), F.round("percentile", 4).alias("percentile"), "n_peers", F.round("effect", 4).alias("effect"))
+    return e.select("entity_id", "cohort", F.round("value", 4).alias("value"), "n", F.round("median", 4).alias("peer_median"), F.round("mad", 4).alias("peer_mad"), F.round("percentile", 4).alias("percentile"), "n_peers", four_digits("effect").alias("effect"))
 
 
 SIGNS = {"eg01": -1, "eg02": 1, "eg06": 1, "eg08": 1, "eg09": 1}
 FAMILIES = {"eg01": "closure_quality", "eg02": "closure_quality", "eg06": "escalation", "eg08": "timing", "eg09": "timing"}
 
 
-def effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All indicators in long form, with confidence."""
+def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All indicators in long form against their peers: value, n, median, mad, percentile, n_peers and effect."""
     values = indicator_values(spark, sf_dir)
     named = [values[k].select("entity_id", "value", "n", F.lit(k).alias("indicator"), F.lit(FAMILIES[k]).alias("family"), F.lit(sign).alias("sign")) for k, sign in SIGNS.items()]
     rows = reduce(DataFrame.unionByName, named).join(a.entities(spark, sf_dir), "entity_id")
-    out = stats.peer_baseline(shared.kept(rows), by=["indicator"]).filter("effect is not null")
-    out = out.select("entity_id", "indicator", "family", F.round("effect", 4).alias("effect"), F.least(F.lit(1.0), F.col("n") / DEFAULT.full_confidence_n).alias("confidence"))
+    return stats.peer_baseline(shared.kept(rows), by=["indicator"]).filter("effect is not null")
+
+
+def four_digits(column: str):
+    """Rounded by arithmetic: engines round halves of doubles differently, and effects are rounded once before."""
+    return F.floor(F.col(column) * 10000 + 0.5) / 10000
+
+
+def effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All effects with their confidence."""
+    out = baselines(spark, sf_dir)
+    out = out.select("entity_id", "indicator", "family", four_digits("effect").alias("effect"), F.least(F.lit(1.0), F.col("n") / DEFAULT.full_confidence_n).alias("confidence"))
     return out
 
 
@@ -132,7 +142,7 @@ def _effects_sql() -> str:
         for pattern, table in (("FROM v a JOIN v b", f"FROM v_{name} a JOIN v_{name} b"), ("FROM p GROUP", f"FROM p_{name} GROUP"), ("FROM p JOIN m", f"FROM p_{name} JOIN m_{name}"), ("FROM m JOIN d", f"FROM m_{name} JOIN d_{name}"), ("FROM s)", f"FROM s_{name})")):
             sql = sql.replace(pattern, table)
         parts.append(sql)
-        unions.append(f"SELECT entity_id, '{name}' AS indicator, '{FAMILIES[name]}' AS family, round(effect, 4) AS effect, least(1.0, n / 30.0) AS confidence FROM e_{name} WHERE effect IS NOT NULL")
+        unions.append(f"SELECT entity_id, '{name}' AS indicator, '{FAMILIES[name]}' AS family, floor(effect * 10000 + 0.5) / 10000 AS effect, least(1.0, n / 30.0) AS confidence FROM e_{name} WHERE effect IS NOT NULL")
     return f"WITH {a.ENTITIES}, {YEAR}, {', '.join(parts)}, l AS ({' UNION ALL '.join(unions)})"
 
 

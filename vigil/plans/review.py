@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vigil.functions import scalars
 from vigil.operators import indicators as ind
 from vigil.operators import scoring, trends
+from vigil.operators.sequences import Ordered
 from vigil.plans import adapters as a
 from vigil.plans import assembly
 from vigil.plans import catalogue as c
@@ -111,6 +112,55 @@ def finding_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.select("entity_id", "indicator", F.round(F.least(F.lit(1.0), F.col("n") / 30), 4).alias("n_term"), full.alias("assessability_term"), F.coalesce("dq_score", F.lit(0.5)).alias("trust_term"), summary.alias("summary"))
 
 
+@query(f"WITH {assembly.RESULTS[assembly.RESULTS.index('entities AS'):]}, s AS (SELECT DISTINCT indicator, entity_id, row_id FROM er WHERE indicator <> 'eg11') SELECT indicator, entity_id, row_id, row_number() OVER (PARTITION BY indicator, entity_id ORDER BY row_id) AS ordinal FROM s")
+def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows behind each value, with their place; an entity with most of the rows is no single task."""
+    return Ordered(c.evidence(spark, sf_dir).distinct(), ["indicator", "entity_id"], ["row_id"]).numbered("ordinal")
+
+
+# What an examiner does first about a finding of each family.
+ACTIONS = {"closure_quality": "read the notes of the fastest closures", "escalation": "ask for the escalation records", "timing": "compare closure times with the log"}
+_EVERY = " UNION ALL ".join(f"SELECT '{k}' AS indicator, entity_id, value, n, med, mad, n_peers, below, effect FROM e_{k}" for k in c.SIGNS)
+_ACTIONS_SQL = "CASE family " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ACTIONS.items()) + " END"
+_EVIDENCE_SQL = c.ORACLE_SQL["evidence_hashes"]
+_ROWS_SQL = _EVIDENCE_SQL[_EVIDENCE_SQL.index("e AS (SELECT DISTINCT") : _EVIDENCE_SQL.rindex("SELECT indicator, entity_id, count(*)")].strip()
+_ROWS_SQL = _ROWS_SQL.replace("e AS (SELECT DISTINCT", "esc AS (SELECT DISTINCT", 1).replace("ANTI JOIN e USING", "ANTI JOIN esc USING").replace(" r AS (", " er AS (", 1)
+
+
+@query(f"""{c.FDR}, {_ROWS_SQL}, b AS ({_EVERY}), fi AS (SELECT * FROM f WHERE survives AND effect > 2),
+ er2 AS (SELECT indicator, entity_id, count(DISTINCT row_id) AS n_rows FROM er GROUP BY ALL),
+ t AS (SELECT fi.entity_id, fi.indicator, fi.family, b.value, b.n, b.med, b.mad, b.n_peers, 100 * b.below / b.n_peers AS percentile, fi.effect, fi.confidence, least(1.0, b.n / 30) AS n_term, least(1.0, b.n_peers / 8) AS peer_term, coalesce(n_rows, 0) AS n_rows,
+   (SELECT count(*) FROM fi o WHERE o.entity_id = fi.entity_id AND o.family <> fi.family) AS n_independent, (SELECT count(*) FROM fi o WHERE o.entity_id = fi.entity_id AND o.family = fi.family AND o.indicator <> fi.indicator) AS n_same_family
+  FROM fi JOIN b USING (entity_id, indicator) LEFT JOIN er2 USING (entity_id, indicator))
+ SELECT entity_id, indicator, round(value, 5) AS value, n, round(med, 5) AS peer_median, round(mad, 5) AS peer_mad, round(percentile, 4) AS percentile, n_peers, effect, round(confidence, 4) AS confidence,
+  CASE WHEN n_term >= 1 AND peer_term >= 1 THEN 'none' WHEN n_term <= peer_term THEN 'observations' ELSE 'peers' END AS limiting_term,
+  array_to_string(list_filter([CASE WHEN n < 30 THEN 'few observations' END, CASE WHEN n_peers < 8 THEN 'thin cohort' END, CASE WHEN mad = 0 THEN 'peers do not vary' END], lambda x: x IS NOT NULL), '; ') AS caveats,
+  n_rows AS n_evidence, n_independent, n_same_family, {_ACTIONS_SQL} AS action, sha256('run1|' || entity_id || '|' || indicator || '|q=0.05;z0=2.0;z1=5.0') AS lineage FROM t""")
+def full_finding_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each finding with its baseline, the term that limits its confidence, caveats, evidence, what corroborates it, the first action
+    and its lineage."""
+    base = shared.kept(c.baselines(spark, sf_dir))
+    effects = base.select("entity_id", "indicator", "family", c.four_digits("effect").alias("effect"), F.least(F.lit(1.0), F.col("n") / c.DEFAULT.full_confidence_n).alias("confidence"))
+    found = scoring.false_discovery(effects).filter(F.col("survives") & (scoring.ramp(F.col("effect")) > 0)).select("entity_id", "indicator", "effect", "confidence")
+    card = found.join(base.drop("effect"), ["entity_id", "indicator"])
+    rows = c.evidence(spark, sf_dir).distinct().groupBy("indicator", "entity_id").agg(F.count("*").alias("n_rows"))
+    other = card.groupBy("entity_id", F.col("family").alias("f")).agg(F.count("*").alias("k"))
+    sums = card.select("entity_id", "indicator", "family").join(other, "entity_id").groupBy("entity_id", "indicator").agg(
+        F.coalesce(F.sum(F.when(F.col("f") != F.col("family"), F.col("k"))), F.lit(0)).alias("n_independent"), (F.sum(F.when(F.col("f") == F.col("family"), F.col("k"))) - 1).alias("n_same_family")
+    )
+    n_term, peer_term = F.least(F.lit(1.0), F.col("n") / c.DEFAULT.full_confidence_n), F.least(F.lit(1.0), F.col("n_peers") / c.DEFAULT.min_peers)
+    limit = F.when((n_term >= 1) & (peer_term >= 1), "none").when(n_term <= peer_term, "observations").otherwise("peers")
+    caveats = F.array_compact(F.array(F.when(F.col("n") < c.DEFAULT.full_confidence_n, "few observations"), F.when(F.col("n_peers") < c.DEFAULT.min_peers, "thin cohort"), F.when(F.col("mad") == 0, "peers do not vary")))
+    action = F.create_map(*(F.lit(v) for kv in ACTIONS.items() for v in kv))[F.col("family")]
+    p = c.DEFAULT
+    lineage = F.sha2(F.concat_ws("|", F.lit("run1"), "entity_id", "indicator", F.lit(f"q={p.fdr_q};z0={p.ramp_z0};z1={p.ramp_z1}")), 256)
+    out = card.join(rows, ["indicator", "entity_id"], "left").join(sums, ["entity_id", "indicator"])
+    return out.select(
+        "entity_id", "indicator", F.round("value", 5).alias("value"), "n", F.round("median", 5).alias("peer_median"), F.round("mad", 5).alias("peer_mad"), F.round("percentile", 4).alias("percentile"), "n_peers", "effect",
+        F.round("confidence", 4).alias("confidence"), limit.alias("limiting_term"), F.array_join(caveats, "; ").alias("caveats"), F.coalesce("n_rows", F.lit(0)).alias("n_evidence"), "n_independent", "n_same_family", action.alias("action"), lineage.alias("lineage"),
+    )
+
+
 @query("WITH r AS (SELECT o_custkey % 100 AS entity_id, o_orderkey AS run_id, o_orderdate AS created FROM orders WHERE o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1998-01-01'), n AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY created DESC, run_id DESC) AS p FROM r) SELECT entity_id, run_id, count(l_orderkey) AS n_findings FROM n LEFT JOIN lineitem ON l_orderkey = run_id AND l_linenumber > 1 WHERE p = 1 GROUP BY ALL")
 def newest_run_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of each entity's newest completed run in the window, without leads."""
