@@ -134,9 +134,9 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", rules: R
         .groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     )
     counts = written(counts, "word-counts")  # one row per language and distinct word; ranked and added up below
-    rank = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
-    top = counts.withColumn("rank", F.row_number().over(rank)).filter((F.col("kind") != 1) | (F.col("rank") <= rules.common_words))
-    rows = top.collect()
+    rank = Window.partitionBy("lang").orderBy(F.desc("n"), "key")  # each task ranks its own and sends so many a language
+    top = counts.filter("kind = 1").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= rules.common_words).drop("rank")
+    rows = top.unionByName(counts.filter("kind <> 1")).collect()
     totals = {}
     for r in counts.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("n")).collect():
         totals[r.lang] = r.n
