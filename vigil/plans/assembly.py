@@ -173,7 +173,7 @@ def _results_sql() -> str:
         for old, new in (("FROM v a JOIN v b", f"FROM v_{name} a JOIN v_{name} b"), ("FROM p GROUP", f"FROM p_{name} GROUP"), ("FROM p JOIN m", f"FROM p_{name} JOIN m_{name}"), ("FROM m JOIN d", f"FROM m_{name} JOIN d_{name}"), ("FROM s)", f"FROM s_{name})")):
             sql = sql.replace(old, new)
         parts.append(sql)
-        rows.append(f"SELECT v.entity_id, '{name}' AS indicator, v.value, v.n, round(x.effect, 4) AS effect FROM v_{name} v LEFT JOIN e_{name} x USING (entity_id)")
+        rows.append(f"SELECT v.entity_id, '{name}' AS indicator, v.value, v.n, floor(x.effect * 10000 + 0.5) / 10000 AS effect FROM v_{name} v LEFT JOIN e_{name} x USING (entity_id)")
     specs = "sp AS (SELECT * FROM (VALUES " + ", ".join(map(str, SPECS)) + ") AS t(indicator, family, dimension, min_tier))"
     needs = "nd AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{t}', '{col}', {str(d).upper()})" for i, t, col, d in INDICATOR_NEEDS) + ") AS t(indicator, tbl, col, bad))"
     gates = "ga AS (SELECT entity_id, indicator, CASE WHEN count(*) FILTER (state <> 'present') = 0 THEN 'ASSESSABLE' WHEN count(*) FILTER (state <> 'present') = count(*) OR bool_or(bad AND state <> 'present') THEN 'NOT_ASSESSABLE' ELSE 'PARTIAL' END AS presence, array_to_string(list_sort(list(CASE WHEN state <> 'present' THEN tbl || '.' || col END) FILTER (state <> 'present')), ',') AS missing FROM fs JOIN nd USING (tbl, col) GROUP BY ALL)"
