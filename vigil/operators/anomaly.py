@@ -2,54 +2,84 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _paths(train: np.ndarray, x: np.ndarray, rng: np.random.Generator, depth: int) -> float:
-    """Depth at which random cuts of the peers isolate x, with the usual correction for what is left."""
-    for level in range(depth):
-        if len(train) <= 1:
-            return float(level)
-        low, high = train.min(axis=0), train.max(axis=0)
+def _depths(train: np.ndarray, x: np.ndarray, rng: np.random.Generator, limit: int, whole: bool) -> np.ndarray:
+    """Depth at which random cuts of the peers isolate each row of x, with the usual correction for what is left. whole draws
+    the cuts of the whole tree, so that they do not depend on x; else only those on the way of x."""
+    out, todo = np.zeros(len(x)), [(train, np.arange(len(x)), 0)]
+    while todo:
+        peers, inside, depth = todo.pop()
+        if not (whole or len(inside)):
+            continue
+        low, high = (peers.min(axis=0), peers.max(axis=0)) if len(peers) else (0, 0)
         wide = np.flatnonzero(high > low)
-        if not len(wide):
-            break
+        if depth == limit or not len(wide):  # one peer is never wide
+            out[inside] = depth + _rest(len(peers))
+            continue
         k = rng.choice(wide)
         cut = rng.uniform(low[k], high[k])
-        train = train[train[:, k] < cut] if x[k] < cut else train[train[:, k] >= cut]
-    return level + 1 + _rest(len(train))
+        left, below = peers[:, k] < cut, x[inside, k] < cut
+        todo += [(peers[left], inside[below], depth + 1), (peers[~left], inside[~below], depth + 1)]
+    return out
 
 
 def _rest(n: int) -> float:
-    return 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 1 else 0.0
+    return 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(max(n - 1, 0))
 
 
-def isolation(rows: DataFrame, features: list[str], trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
+def isolation(rows: DataFrame, features: list[str], trees: int = 100, sample: int = 256, seed: int = 42, block: int = 1024) -> DataFrame:
     """(cohort, entity_id, features) -> score of each target against its peers without itself, and confidence.
 
-    Each target is one group with its cohort, so targets spread over the cluster. Fewer than two peers or missing
-    features give score 0 with confidence 0. Randomness depends on seed and target only.
+    A tree's peers are the rows of the cohort with the smallest hashes; for a target among them the next one moves up, which
+    is a draw without repeats from the target's peers. So sample + 1 rows by cohort and tree serve all targets: no target
+    meets its whole cohort, and targets outside a tree's rows share its cuts. Targets are scored in blocks, to each of which
+    the cohort's drawn rows are sent. Fewer than two peers, no cohort or missing or non-finite features give score 0 with confidence 0.
+    Of rows with the same id the smallest counts. Randomness depends on seed, cohort and target only, not on blocks.
     """
-    peers = rows.select("cohort", F.col("entity_id").alias("peer_id"), *(F.col(f).alias(f"p_{f}") for f in features))
-    pairs = rows.join(peers, "cohort")
+    fine = F.col("cohort").isNotNull() & F.col("entity_id").isNotNull()
+    for f in features:
+        fine = fine & F.col(f).isNotNull() & (F.abs(F.col(f).cast("double")) < float("inf"))
+    once = rows.groupBy("entity_id").agg(F.min(F.struct("cohort", *features)).alias("_f")).select("entity_id", "_f.*").withColumn("_fine", fine)
+    sizes = once.filter("_fine").groupBy("cohort").agg((F.count("*") - 1).alias("_peers"))
+    once = once.join(sizes, "cohort", "left")
+    scored = F.col("_fine") & (F.col("_peers") >= 2)
+    x = F.array(*(F.col(f).cast("double") for f in features)).alias("x")
+    targets = once.filter(scored).select("cohort", F.col("entity_id").cast("long").alias("entity_id"), x, "_peers")
+    targets = targets.withColumn("block", F.pmod(F.xxhash64("entity_id"), F.ceil((F.col("_peers") + 1) / block)))
+    draws = targets.select("cohort", "entity_id", "x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    draws = draws.withColumn("_h", F.xxhash64(F.lit(seed), "tree", "entity_id"))
+    first = Window.partitionBy("cohort", "tree").orderBy("_h", "entity_id")  # the limit is applied in each task before the shuffle
+    drawn = draws.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= sample + 1).drop("_h")
+    sent = drawn.join(targets.select("cohort", "block").distinct(), "cohort")
+    sent = sent.select(*(F.col(c).alias(f"of_{c}") for c in ("cohort", "block")), "tree", "place", F.col("entity_id").alias("peer_id"), F.col("x").alias("peer"))
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        target = int(pdf["entity_id"].iloc[0])
-        x = pdf[features].iloc[0].to_numpy(float)
-        others = pdf[pdf["peer_id"] != target].sort_values("peer_id")[[f"p_{f}" for f in features]].to_numpy(float)
-        others = others[~np.isnan(others).any(axis=1)]
-        if len(others) < 2 or np.isnan(x).any():
-            return pd.DataFrame({"entity_id": [target], "score": [0.0], "confidence": [0.0]})
-        rng = np.random.default_rng([seed, target])
-        n = min(sample, len(others))
-        depth = int(np.ceil(np.log2(n))) + 1
-        mean = np.mean([_paths(others[rng.choice(len(others), n, replace=False)], x, rng, depth) for _ in range(trees)])
-        return pd.DataFrame({"entity_id": [target], "score": [round(float(2 ** (-mean / max(_rest(n), 1e-9))), 6)], "confidence": [min(1.0, len(others) / 10)]})
+    def score(key: tuple, ours: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        ids, at = ours["entity_id"].to_numpy(), np.stack(ours["x"].to_numpy())
+        name, total = zlib.crc32(str(key[0]).encode()), np.zeros(len(ids))
+        n = int(min(sample, ours["_peers"].iloc[0]))
+        limit = int(np.ceil(np.log2(n))) + 1
+        for tree, part in drawn.sort_values(["tree", "place"]).groupby("tree"):
+            peer_ids, peers = part["peer_id"].to_numpy(), np.stack(part["peer"].to_numpy())
+            own = np.isin(ids, peer_ids)
+            if not own.all():
+                total[~own] += _depths(peers[:n], at[~own], np.random.default_rng([seed, name, tree]), limit, whole=True)
+            for i in np.flatnonzero(own):
+                others = peers[peer_ids != ids[i]][:n]
+                total[i] += _depths(others, at[i : i + 1], np.random.default_rng([seed, name, tree, ids[i] & (2**63 - 1)]), limit, whole=False)[0]
+        found = 2 ** (-total / trees / max(_rest(n), 1e-9))
+        return pd.DataFrame({"entity_id": ids, "score": found.round(6), "confidence": np.minimum(1.0, ours["_peers"].to_numpy() / 10)})
 
-    return pairs.groupBy("entity_id").applyInPandas(score, "entity_id long, score double, confidence double")
+    out = "entity_id long, score double, confidence double"
+    known = targets.groupBy("cohort", "block").cogroup(sent.groupBy("of_cohort", "of_block")).applyInPandas(score, out)
+    rest = once.filter(~F.coalesce(scored, F.lit(False))).select(F.col("entity_id").cast("long").alias("entity_id"), F.lit(0.0).alias("score"), F.lit(0.0).alias("confidence"))
+    return known.unionByName(rest)
 
 
 def rank_intervals(scores: DataFrame, draws: int = 400, spread: float = 0.15, seed: str = "r") -> DataFrame:
