@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from vigil.plans import assembly, behaviour, catalogue, review, submissions  # noqa: F401
+from vigil.plans import assembly, behaviour, catalogue, declared, review, submissions  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
