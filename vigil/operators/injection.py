@@ -26,7 +26,7 @@ def missingness(daily: DataFrame, truth: DataFrame, keys: list[str | Column], le
 
     daily: (entity_id, asset_id, criticality, activity) by day; truth: entity_id of those with a planted silence. A masked day is
     no silent day. An entity with fewer than least known days is not assessable: neither right nor wrong. It is detected if an
-    asset of criticality 3 or more that is active at times is silent on half of its known days and on three at least. precision is
+    asset of criticality 3 or more (its highest on a known day) that is active at times is silent on half of its known days and on three at least. precision is
     null where nothing is detected, recall where no planted entity is assessable.
     """
     known = F.col("activity").isNotNull()
