@@ -68,18 +68,24 @@ _HEARD = "NOT (user_id % 4 >= 2 AND user_id % 3 = 0 AND day(ts) >= 13) AND NOT (
 _DAY = "CASE WHEN day(ts) BETWEEN 26 AND 28 THEN CAST('2024-01-25' AS DATE) ELSE CAST(ts AS DATE) END"
 
 
-def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as alerts; their case ids dangle for every seventh event."""
-    e = table(spark, sf_dir, "events").filter(_HEARD)
+def all_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as an alert; their case ids dangle for every seventh event."""
+    e = table(spark, sf_dir, "events")
     return e.select(
         F.col("event_id").alias("alert_id"), (F.col("user_id") % 100).alias("entity_id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("event_s"), F.expr(_DAY).alias("day"),
         F.col("event_type").alias("category"), F.col("user_id").alias("asset_id"), (1 + F.col("user_id") % 4).alias("criticality"),
-        F.when(F.col("event_id") % 7 == 0, F.lit(-1)).otherwise(F.col("event_id") % 1000).alias("case_no"), F.col("value"),
+        F.when(F.col("event_id") % 7 == 0, F.lit(-1)).otherwise(F.col("event_id") % 1000).alias("case_no"), F.col("value"), F.expr(_HEARD).alias("heard"),
     )
 
 
-ALERTS = f"""alerts AS (SELECT event_id AS alert_id, user_id % 100 AS entity_id, CAST(floor(epoch(ts)) AS BIGINT) AS event_s, {_DAY} AS day, event_type AS category, user_id AS asset_id,
- 1 + user_id % 4 AS criticality, CASE WHEN event_id % 7 = 0 THEN -1 ELSE event_id % 1000 END AS case_no, value FROM events WHERE {_HEARD})"""
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alerts without those of the planted silences."""
+    return all_alerts(spark, sf_dir).filter("heard").drop("heard")
+
+
+ALL_ALERTS = f"""alerts AS (SELECT event_id AS alert_id, user_id % 100 AS entity_id, CAST(floor(epoch(ts)) AS BIGINT) AS event_s, {_DAY} AS day, event_type AS category, user_id AS asset_id,
+ 1 + user_id % 4 AS criticality, CASE WHEN event_id % 7 = 0 THEN -1 ELSE event_id % 1000 END AS case_no, value FROM events)"""
+ALERTS = f"{ALL_ALERTS[:-1]} WHERE {_HEARD})"
 
 
 def raw_submission(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -401,10 +401,10 @@ def policy_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return old.join(new, ["entity_id", "indicator"], "full_outer").select("entity_id", "indicator", change.alias("change"))
 
 
-@query(f"WITH {a.ALERTS} SELECT entity_id, count(*) AS n_alerts, count(*) FILTER (category = 'error') AS n_errors, round(sum(value), 2) AS total FROM alerts GROUP BY entity_id")
+@query(f"WITH {a.ALL_ALERTS} SELECT entity_id, count(*) AS n_alerts, count(*) FILTER (category = 'error') AS n_errors, round(sum(value), 2) AS total FROM alerts GROUP BY entity_id")
 def chunked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-entity activity; the streaming form of the same aggregate is in vigil.streaming."""
-    al = a.alerts(spark, sf_dir)
+    """Per-entity activity over all events, planted silences or not; the streaming form of the same aggregate is in vigil.streaming."""
+    al = a.all_alerts(spark, sf_dir)
     return al.groupBy("entity_id").agg(F.count("*").alias("n_alerts"), F.count(F.when(F.col("category") == "error", 1)).alias("n_errors"), F.round(F.sum("value"), 2).alias("total"))
 
 
