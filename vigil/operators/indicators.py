@@ -63,8 +63,9 @@ def eg09(cases: DataFrame, boundaries: DataFrame, policy: Policy = DEFAULT) -> D
 
 def eg11(versions: DataFrame) -> DataFrame:
     """Share of record keys whose content differs between submissions; needs two."""
-    per_key = versions.groupBy("entity_id", "record_key").agg(F.countDistinct("record_hash").alias("n_hash"), F.countDistinct("submission").alias("n_sub"))
-    return _measured(per_key, F.avg((F.col("n_hash") > 1).cast("int")), F.max("n_sub").alias("n_submissions")).filter("n_submissions >= 2")
+    changed = F.coalesce(F.min("record_hash") != F.max("record_hash"), F.lit(False))  # two hashes or more, in one shuffle
+    per_key = versions.groupBy("entity_id", "record_key").agg(changed.alias("changed"), F.size(F.collect_set("submission")).cast("long").alias("n_sub"))
+    return _measured(per_key, F.avg(F.col("changed").cast("int")), F.max("n_sub").alias("n_submissions"), F.count(F.when(F.col("changed"), 1)).alias("n_changed")).filter("n_submissions >= 2")
 
 
 def daily_grid(alerts: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,8 +95,10 @@ def ns02(daily: DataFrame) -> DataFrame:
 
 def ns04(alerts: DataFrame, case_numbers: DataFrame) -> DataFrame:
     """Share of records whose case is not there."""
-    rows = alerts.filter("case_no is not null").join(case_numbers.select("case_no").distinct().withColumn("hit", F.lit(True)), "case_no", "left")
-    return _measured(rows, F.avg(F.col("hit").isNull().cast("int")))
+    counts = alerts.filter("case_no is not null").groupBy("entity_id", "case_no").agg(F.count("*").alias("k"))  # alerts meet their case once
+    rows = counts.join(case_numbers.select("case_no").distinct().withColumn("hit", F.lit(True)), "case_no", "left")
+    lost = F.sum(F.when(F.col("hit").isNull(), F.col("k")).otherwise(0))
+    return rows.groupBy("entity_id").agg((lost / F.sum("k")).alias("value"), F.sum("k").alias("n"))
 
 
 def ns05(daily: DataFrame, share: float = 0.25) -> DataFrame:

@@ -74,10 +74,12 @@ def _fields_sql() -> str:
 FIELDS = _fields_sql()
 
 
-def evidence_tables(spark: SparkSession, sf_dir: str) -> dict[str, tuple]:
-    cases, al, e = c.year_cases(spark, sf_dir), a.alerts(spark, sf_dir), F.col("entity_id")
+def evidence_tables(spark: SparkSession, sf_dir: str, cases: DataFrame) -> dict[str, tuple]:
+    al, e = a.alerts(spark, sf_dir), F.col("entity_id")
     unless = lambda bad, x: F.when(~bad, x)
     li = a.table(spark, sf_dir, "lineitem").filter("l_linenumber = 2").select(F.col("l_suppkey").alias("entity_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("case_id"))
+    length = F.char_length("text")  # a note is there where it has a length; its text stays where it lies
+    stored = a.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_ref"), length.alias("length"), length.alias("redacted_text"))
     rows = {
         "case_record": cases.filter(e % 10 != 3).select("entity_id", F.col("created_s").alias("created_at"), unless(e % 10 == 4, F.col("closed_s")).alias("closed_at"), F.col("severity").alias("severity_norm"), unless(e % 10 == 5, F.col("disposition")).alias("disposition"), F.when((e % 2 == 0) & (F.col("disposition") == "TRUE_POSITIVE"), "fixed").alias("root_cause_action"), unless(e % 10 == 4, F.col("declared_s")).alias("investigation_duration_sec")),
         "escalation": cases.filter(F.col("escalated") & ~(e % 10).isin(3, 6)).select("entity_id", "case_id", unless(e % 4 == 1, F.col("closed_s")).alias("acknowledged_ts")),
@@ -85,7 +87,7 @@ def evidence_tables(spark: SparkSession, sf_dir: str) -> dict[str, tuple]:
         "alert_record": al.select("entity_id", F.col("event_s").alias("event_ts"), unless(e % 7 == 2, F.col("category")).alias("mitre_tactic"), unless(e % 7 == 3, F.col("category")).alias("mitre_technique_id"), F.col("asset_id").alias("destination_asset_id")),
         "telemetry_daily": al.filter((F.col("category") == "view") & (e % 8 != 1)).select("entity_id"),
         "asset": al.filter(e % 12 != 5).select("entity_id"),
-        "note_store": cases.filter(e % 11 != 2).join(a.table(spark, sf_dir, "documents"), F.col("note_ref") == F.col("doc_id")).select("entity_id", F.char_length("text").alias("length"), F.col("text").alias("redacted_text")),
+        "note_store": cases.filter(e % 11 != 2).select("entity_id", "note_ref").join(stored, "note_ref").drop("note_ref"),
         "submission": cases.select("entity_id", F.when(e % 6 != 0, 1).alias("declared_kpis"), F.when(e % 15 != 7, 1).alias("second")),
         "record_version": a.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("entity_id")),
         "alert_case": li.join(cases.select("entity_id", "case_id"), ["entity_id", "case_id"], "left_semi").select("entity_id"),
@@ -95,8 +97,9 @@ def evidence_tables(spark: SparkSession, sf_dir: str) -> dict[str, tuple]:
     return {t: (r, COLUMNS[t], declared.get(t, F.lit(True))) for t, r in rows.items()}
 
 
-def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared.kept(assess.presence(a.entities(spark, sf_dir), evidence_tables(spark, sf_dir)))
+def fields(spark: SparkSession, sf_dir: str, cases: DataFrame | None = None) -> DataFrame:
+    cases = cases if cases is not None else c.kept_cases(spark, sf_dir)
+    return shared.kept(assess.presence(a.entities(spark, sf_dir), evidence_tables(spark, sf_dir, cases)))
 
 
 @query(f"WITH {FIELDS} SELECT entity_id, tbl, col, n_rows, n_present, state FROM fs")
@@ -190,17 +193,19 @@ def gates(spark: SparkSession, found: DataFrame) -> DataFrame:
     return assess.gated(found, spark.createDataFrame(INDICATOR_NEEDS, "indicator string, tbl string, col string, disqualifies boolean"))
 
 
-def results(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
-    found = found if found is not None else fields(spark, sf_dir)
-    values = c.indicator_values(spark, sf_dir)
+def results(spark: SparkSession, sf_dir: str, found: DataFrame | None = None, cases: DataFrame | None = None) -> DataFrame:
+    """Results from the fields and the year's cases, where these are at hand; cases are joined once for all parts."""
+    cases = cases if cases is not None else c.kept_cases(spark, sf_dir)
+    found = found if found is not None else fields(spark, sf_dir, cases)
+    values = c.indicator_values(spark, sf_dir, cases=cases)
     known = a.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_no"))
     values |= {"eg11": ind.eg11(c.versions(spark, sf_dir)), "ns04": ind.ns04(a.alerts(spark, sf_dir), known)}
-    long = reduce(DataFrame.unionByName, (values[k].select("entity_id", "value", "n", F.lit(k).alias("indicator"), F.lit(s).alias("sign")) for k, s in SIGNS.items()))
+    long = reduce(DataFrame.unionByName, (values[k].select("entity_id", "value", "n", F.lit(k).alias("indicator"), F.lit(s).alias("sign"), (F.col("n_changed") if k == "eg11" else F.lit(None).cast("long")).alias("n_changed")) for k, s in SIGNS.items()))
     entities = a.entities(spark, sf_dir)
     based = stats.peer_baseline(shared.kept(long.join(entities.select("entity_id", "cohort"), "entity_id")), by=["indicator"])
-    changed = c.versions(spark, sf_dir).groupBy("entity_id", "record_key").agg(F.countDistinct("record_hash").alias("h")).filter("h > 1").select(F.lit("eg11").alias("indicator"), "entity_id")
-    n_evidence = c.evidence(spark, sf_dir).select("indicator", "entity_id").unionByName(changed).groupBy("entity_id", "indicator").agg(F.count("*").alias("n_evidence"))
-    measured = based.select("entity_id", "indicator", "value", "n", c.four_digits("effect").alias("effect")).join(n_evidence, ["entity_id", "indicator"], "left")
+    behind = c.evidence(spark, sf_dir, cases).groupBy("entity_id", "indicator").agg(F.count("*").alias("n_rows"))  # EG-11 has counted its changed records
+    measured = based.select("entity_id", "indicator", "value", "n", "n_changed", c.four_digits("effect").alias("effect")).join(behind, ["entity_id", "indicator"], "left")
+    measured = measured.withColumn("n_evidence", F.coalesce("n_changed", "n_rows")).drop("n_changed", "n_rows")
     trust = entities.select("entity_id", F.when(F.col("entity_id") % 13 != 0, F.round((5 + F.col("entity_id") % 95) / 100, 2)).alias("dq_score"))
     specs = spark.createDataFrame(SPECS, "indicator string, family string, dimension string, min_tier string")
     return shared.kept(assess.assembled(entities, measured, gates(spark, found), assess.achieved_tier(found), trust, specs))
@@ -254,10 +259,17 @@ SCORES = f"""{TRUST}, qq AS ({_bh_quantiles(7)}), r1 AS (SELECT *, row_number()
  cd AS (SELECT entity_id, sap, measurable, egi, nsi, dts, CASE WHEN nm = 0 THEN 'NOT_ASSESSABLE' WHEN nm = na AND nf = na THEN 'ASSESSABLE' ELSE 'PARTIAL' END AS overall, CASE WHEN sap IS NULL OR measurable < 0.5 THEN 'not_assessable' WHEN sap >= 0.75 THEN 'T1' WHEN sap >= 0.5 THEN 'T2' WHEN sap >= 0.25 THEN 'T3' ELSE 'T4' END AS tier, array_to_string(list_filter([CASE WHEN dts IS NULL THEN 'no data quality on record' END, CASE WHEN dts < 0.2 THEN 'data trust below the floor' END, CASE WHEN unscored <> '' THEN 'not scored: ' || unscored END], lambda x: x IS NOT NULL), '; ') AS caveats FROM wh LEFT JOIN ix USING (entity_id) LEFT JOIN dt USING (entity_id))"""
 
 
+def assessed(spark: SparkSession, sf_dir: str, cases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(fields, results) of the year's cases, joined once."""
+    cases = cases if cases is not None else c.kept_cases(spark, sf_dir)
+    found = fields(spark, sf_dir, cases)
+    return found, results(spark, sf_dir, found, cases)
+
+
 def scored(spark: SparkSession, sf_dir: str, found: DataFrame | None = None, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signals, dimension scores, scorecards), from fields and results where these are at hand."""
-    found = found if found is not None else fields(spark, sf_dir)
-    rows = rows if rows is not None else results(spark, sf_dir, found)
+    """(signals, dimension scores, scorecards), from fields and results where both are at hand."""
+    if found is None or rows is None:
+        found, rows = assessed(spark, sf_dir)
     signals = shared.kept(scoring.false_discovery(admitted(rows)))
     families = spark.createDataFrame(FAMILIES, "family string, w double, part string")
     weights = spark.createDataFrame(list(WEIGHTS.items()), "dimension string, w double")
@@ -268,7 +280,11 @@ def scored(spark: SparkSession, sf_dir: str, found: DataFrame | None = None, row
 @query(f"WITH {SCORES} SELECT entity_id, dimension, state, round(score, 5) AS score, round(low, 4) AS low, round(high, 4) AS high FROM ds")
 def dimension_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dimension scores with their spread; what cannot be assessed has none."""
-    return scored(spark, sf_dir)[1].select("entity_id", "dimension", "state", F.round("score", 5).alias("score"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+    return spread_scores(spark, sf_dir)
+
+
+def spread_scores(spark: SparkSession, sf_dir: str, cases: DataFrame | None = None) -> DataFrame:
+    return scored(spark, sf_dir, *assessed(spark, sf_dir, cases))[1].select("entity_id", "dimension", "state", F.round("score", 5).alias("score"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
 def ranked(cards: DataFrame) -> DataFrame:
@@ -288,8 +304,9 @@ def scorecards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SCORES}, u AS (SELECT DISTINCT entity_id FROM c WHERE entity_id % 5 <> 0) SELECT entity_id, CASE WHEN sap IS NOT NULL THEN rank() OVER (ORDER BY sap DESC NULLS LAST) END AS rank, tier FROM cd SEMI JOIN u USING (entity_id) QUALIFY entity_id % 4 = 1")
 def ranked_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities whose submissions overlap the period are ranked together; the answer is filtered after ranking."""
-    universe = c.year_cases(spark, sf_dir).filter("entity_id % 5 <> 0").select("entity_id").distinct()
-    return ranked(scored(spark, sf_dir)[2].join(universe, "entity_id", "left_semi")).filter("entity_id % 4 = 1").select("entity_id", "rank", "tier")
+    cases = c.kept_cases(spark, sf_dir)
+    universe = cases.filter("entity_id % 5 <> 0").select("entity_id").distinct()
+    return ranked(scored(spark, sf_dir, *assessed(spark, sf_dir, cases))[2].join(universe, "entity_id", "left_semi")).filter("entity_id % 4 = 1").select("entity_id", "rank", "tier")
 
 
 def statuses(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
@@ -325,8 +342,7 @@ def why_not_flagged_by_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {STATUS} SELECT entity_id, indicator, effect, round(confidence, 5) AS confidence, row_number() OVER (ORDER BY effect DESC NULLS LAST, entity_id, indicator) AS place, round(sap, 5) AS sap FROM st LEFT JOIN cd USING (entity_id) WHERE raised AND NOT lead")
 def findings_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings that are no mere leads, strongest first, with the entity's priority."""
-    found = fields(spark, sf_dir)
-    base = results(spark, sf_dir, found)
+    found, base = assessed(spark, sf_dir)
     cards = scored(spark, sf_dir, found, base)[2].select("entity_id", F.round("sap", 5).alias("sap"))
     rows = statuses(spark, sf_dir, base).filter("raised and not lead").select("entity_id", "indicator", "effect", F.round("confidence", 5).alias("confidence")).join(cards, "entity_id", "left")
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("effect"), "entity_id", "indicator")))  # findings only
@@ -335,8 +351,7 @@ def findings_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {STATUS} SELECT cd.entity_id, tier, round(sap, 5) AS sap, count(st.indicator) FILTER (raised) AS n_findings, count(st.indicator) FILTER (status = 'not computable') AS n_unmeasured, (SELECT count(*) FROM ds WHERE ds.entity_id = cd.entity_id AND score IS NOT NULL) AS n_dimensions FROM cd JOIN st USING (entity_id) GROUP BY ALL")
 def entity_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores, dimensions and finding counts of each entity in one row."""
-    found = fields(spark, sf_dir)
-    base = results(spark, sf_dir, found)
+    found, base = assessed(spark, sf_dir)
     _, dims, cards = scored(spark, sf_dir, found, base)
     counts = statuses(spark, sf_dir, base).groupBy("entity_id").agg(F.count(F.when(F.col("raised"), 1)).alias("n_findings"), F.count(F.when(F.col("status") == "not computable", 1)).alias("n_unmeasured"))
     per = dims.groupBy("entity_id").agg(F.count("score").alias("n_dimensions"))

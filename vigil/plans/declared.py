@@ -141,7 +141,8 @@ def _exported(name: str, sql: str, value: str) -> str:
 def assessment_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings, evidence rows and dimension scores as flat files of each kind, read again: what could not be assessed is absent
     from the files, not zero."""
-    tables = {"findings": (catalogue.findings(spark, sf_dir), "effect"), "evidence": (review.evidence_rows(spark, sf_dir), "ordinal"), "dimension_scores": (assembly.dimension_results(spark, sf_dir), "score")}
+    cases = catalogue.kept_cases(spark, sf_dir)
+    tables = {"findings": (catalogue.raised(spark, sf_dir, cases), "effect"), "evidence": (review.numbered_evidence(spark, sf_dir, cases), "ordinal"), "dimension_scores": (assembly.spread_scores(spark, sf_dir, cases), "score")}
     out = []
     for name, (rows, value) in tables.items():
         safe = shared.kept(privacy.export_safe(rows))
