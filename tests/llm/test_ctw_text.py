@@ -85,3 +85,14 @@ def test_registered_query_depends_on_word_order(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     score = {r.doc_id: r.score for r in queries.op2_ctw(spark, str(tmp_path)).collect()}
     assert score[100] > score[101] + 1
+
+
+def test_sets_are_joined_as_they_come():
+    """The distinct keys of many pieces, without holding each piece's keys until the end."""
+    rng, sets, whole = np.random.default_rng(7), [], []
+    for _ in range(64):
+        keys = np.unique(rng.integers(0, 1000, 900).astype(np.uint64))
+        whole.append(keys)
+        ctw_text._add(sets, keys)
+        assert sum(map(len, sets)) <= 3000
+    assert np.array_equal(ctw_text._union(sets), np.unique(np.concatenate(whole)))

@@ -70,12 +70,15 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
-def _summed(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray, list]:
-    """Sorted keys and sums of some runs of distinct sorted keys; and each run's places in them."""
+def _summed(keys: list, counts: list, placed: bool = True) -> tuple[np.ndarray, np.ndarray, list]:
+    """Sorted keys and sums of some runs of distinct sorted keys; and, if asked for, each run's places in them."""
     every = _distinct(np.concatenate(keys))[0]
-    places, total = [np.searchsorted(every, k) for k in keys], np.zeros(len(every), np.int64)
-    for at, n in zip(places, counts):
+    places, total = [], np.zeros(len(every), np.int64)
+    for k, n in zip(keys, counts):
+        at = np.searchsorted(every, k)
         total[at] += n
+        if placed:
+            places.append(at)
     return every, total, places
 
 
@@ -237,6 +240,18 @@ def _log2_of(gram: np.ndarray, upper: list, trees: list[Layer], tables: list, to
     return out
 
 
+def _union(sets: list) -> np.ndarray:
+    return sets[0] if len(sets) == 1 else _distinct(np.concatenate(sets))[0]
+
+
+def _add(sets: list, more: np.ndarray) -> None:
+    """Adds a set of keys to a list of such sets, of which those that are no larger than what comes are joined first: what many
+    pieces share is held once or a few times, not by each piece."""
+    while sets and len(sets[-1]) <= 2 * len(more):
+        more = _union([sets.pop(), more])
+    sets.append(more)
+
+
 def _upper(rows) -> list:
     """(nodes, weight of the own estimate, probability of a one) of levels 0 to 2, from the sums under level 2."""
     context, node = (np.array([getattr(r, c) for r in rows], np.int64) for c in ("context", "node"))
@@ -274,8 +289,9 @@ def scored(docs: DataFrame, settings: Settings = Settings(depth=7, bucket_bytes=
 
     def dealt(key, by):
         """Order of sorted keys by part, and where each part begins."""
-        part = deal(by)
-        return np.argsort(part, kind="stable"), np.searchsorted(np.sort(part), np.arange(parts + 1))
+        part = deal(by).astype(np.int32)
+        ends = np.cumsum(np.bincount(part, minlength=parts))
+        return np.argsort(part, kind="stable").astype(np.uint32 if len(part) < 1 << 32 else np.int64), np.concatenate([[0], ends])
 
     def counted(key, table):
         code, n, word, m = [], [], [], []
@@ -286,7 +302,7 @@ def scored(docs: DataFrame, settings: Settings = Settings(depth=7, bucket_bytes=
                 (seen, times), (others, never) = _distinct(keys[learns]), _distinct(keys[~learns])
                 to += seen, others
                 sums += times, 0 * never
-        (code, n, _), (word, m, _) = _summed(code, n), _summed(word, m)
+        (code, n, _), (word, m, _) = _summed(code, n, placed=False), _summed(word, m, placed=False)
         (go, ga), (wo, wa) = dealt(code, code >> U64(64 - 8 * CUT)), dealt(word, word)
         out = {"part": [], "grams": [], "n": [], "words": [], "m": []}
         for p in range(parts):
@@ -348,12 +364,12 @@ def scored(docs: DataFrame, settings: Settings = Settings(depth=7, bucket_bytes=
     def document_scores(key, texts, prices_):
         code, word = [], []
         for _, gram, _, hashes, _ in pieces(texts):
-            code.append(_distinct(gram)[0])
-            word.append(_distinct(hashes)[0])
-        code, word = (_distinct(np.concatenate(x))[0] for x in (code, word))
+            _add(code, _distinct(gram)[0])
+            _add(word, _distinct(hashes)[0])
+        code, word = _union(code), _union(word)
         (go, ga), (wo, wa) = dealt(code, code >> U64(64 - 8 * CUT)), dealt(word, word)
-        log2, known = np.zeros(len(code)), np.zeros(len(word), np.int64)
-        for p, x, m in zip(*(prices_[c].to_pylist() for c in ("part", "log2", "m"))):
+        log2, known = np.zeros(len(code), np.float32), np.zeros(len(word), np.int64)  # prices come as such floats
+        for p, x, m in ((prices_[c][i].as_py() for c in ("part", "log2", "m")) for i in range(prices_.num_rows)):
             log2[go[ga[p] : ga[p + 1]]] = unpack(x, np.float32)
             known[wo[wa[p] : wa[p + 1]]] = unpack(m, U64)
         out = []
