@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigil.operators import indicators as ind
-from vigil.plans import adapters, assembly, behaviour, catalogue, declared, review, submissions  # noqa: F401
+from vigil.plans import adapters, assembly, behaviour, catalogue, declared, review, shared, submissions  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +47,31 @@ def test_orphans_weigh_by_alert(spark):
     alerts = spark.createDataFrame([(1, 5), (1, 5), (1, 7), (1, None), (2, 7)], "entity_id int, case_no int")
     got = ind.ns04(alerts, spark.createDataFrame([(7,), (7,)], "case_no int")).orderBy("entity_id").collect()
     assert [(r.entity_id, round(r.value, 6), r.n) for r in got] == [(1, 0.666667, 3), (2, 0.0, 1)]
+
+
+def test_keys_among_are_exact(spark):
+    """Bits of 64 neighbours keep just the wanted keys: far apart, negative and null ones too, and all rows past the limit."""
+    keys = [0, 1, 63, 64, 65, -1, -64, -65, 2**40, 2**62, None]
+    rows = spark.createDataFrame([(k, i) for k in [*keys, 2, 66, -2, 2**40 + 1] for i in range(2)], "k long, i int")
+    wanted = spark.createDataFrame([(k,) for k in [*keys, 0, 64]], "w long")
+    got = shared.among(rows, "k", wanted, "w", small=-1)
+    assert sorted((r.k, r.i) for r in got.collect()) == sorted((k, i) for k in keys if k is not None for i in range(2))
+    assert shared.among(rows, "k", wanted, "w", small=-1, most=2).count() == rows.count()
+    assert shared.among(rows, "k", adapters.table(spark, SF, "orders"), "o_orderkey") is rows  # few bytes: joined without a shuffle
+
+
+def test_lines_of_other_years_are_not_shuffled(spark, monkeypatch):
+    """Lines meet the year's orders before the join; the cases stay the same."""
+    plain = catalogue.year_cases(spark, SF)
+    seen, among = [], shared.among
+
+    def counted(rows, key, wanted, wanted_key):
+        out = among(rows, key, wanted, wanted_key, small=-1)
+        seen.append((rows.count(), out.count(), rows.join(wanted, rows[key] == wanted[wanted_key]).count()))
+        return out
+
+    monkeypatch.setattr(shared, "among", counted)
+    cases = catalogue.year_cases(spark, SF)
+    before, after, joined = seen[0]
+    assert after == joined < before
+    assert cases.exceptAll(plain).count() == plain.exceptAll(cases).count() == 0

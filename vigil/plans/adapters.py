@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.plans import shared
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,6 +30,13 @@ def _duration() -> Column:
     return F.floor(((F.col("l_partkey") * 7919 + F.col("l_orderkey") * 131) % 50000) * fast / 100).cast("long")
 
 
+def orders_of(spark: SparkSession, sf_dir: str, start: str, end: str) -> DataFrame:
+    """The orders of a half-open period of days."""
+    o = table(spark, sf_dir, "orders")
+    kind = o.schema["o_orderdate"].dataType.simpleString()
+    return o.filter((F.col("o_orderdate") >= F.lit(start).cast(kind)) & (F.col("o_orderdate") < F.date_add(F.lit(end), 1).cast(kind)))
+
+
 def cases(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """Order lines as investigation cases. The key is not unique, as in real submissions. start and end are days of a
     half-open period; the filter stands on the stored column, so that files and row groups outside it are not read.
@@ -36,8 +45,8 @@ def cases(spark: SparkSession, sf_dir: str, start: str | None = None, end: str |
     keeps no notes; so indicators have what to find at every size."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     if start and end:
-        kind = o.schema["o_orderdate"].dataType.simpleString()
-        o = o.filter((F.col("o_orderdate") >= F.lit(start).cast(kind)) & (F.col("o_orderdate") < F.date_add(F.lit(end), 1).cast(kind)))
+        o = orders_of(spark, sf_dir, start, end)
+        li = shared.among(li, "l_orderkey", o, "o_orderkey")
     priority = F.substring("o_orderpriority", 1, 1)
     # what a line says by itself is worked out before the join, so that the shuffle carries flags in place of wide columns
     li = li.select(

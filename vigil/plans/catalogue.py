@@ -32,8 +32,11 @@ def query(sql: str | None = None):
     return add
 
 
-def year_cases(spark: SparkSession, sf_dir: str, year: int = 1996) -> DataFrame:
-    return a.cases(spark, sf_dir, f"{year}-01-01", f"{year}-12-31")
+YEAR_DAYS = ("1996-01-01", "1996-12-31")
+
+
+def year_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return a.cases(spark, sf_dir, *YEAR_DAYS)
 
 
 def kept_cases(spark: SparkSession, sf_dir: str) -> DataFrame:

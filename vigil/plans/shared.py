@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -25,9 +26,28 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def planned(rows: DataFrame) -> int:
+    """Bytes of rows as planned from their files; nothing is read."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def among(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, small: int = 10 << 20, most: int = 1 << 22) -> DataFrame:
+    """The rows whose key, a whole number, is one of wanted's, found before any shuffle. The keys go to all tasks as bits, 64
+    neighbours to a row. A wanted table of at most small bytes is joined without a shuffle anyway; where the keys lie so far apart
+    that they take more than most rows of bits, all rows go on to the join as well. Neither changes what a join with wanted gives."""
+    if planned(wanted.select(wanted_key)) <= small:
+        return rows
+    word = lambda c: F.shiftright(F.col(c).cast("long"), 6)
+    bit = lambda c: F.col(c).cast("long").bitwiseAND(63).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit(wanted_key))
+    words = kept(wanted.groupBy(word(wanted_key).alias("_word")).agg(F.bit_or(one).alias("_bits")))
+    if words.count() > most:
+        return rows
+    return rows.join(F.broadcast(words), (word(key) == F.col("_word")) & (F.getbit("_bits", bit(key)) == 1), "left_semi")
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """rows over as many tasks as there are cores, where the table is so small that its files give fewer: for work that takes
     long for each row. Tables of a usual file for each core or more stay as they are, and are not shuffled."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # as planned from the files, nothing is read
-    return rows.repartition(cores) if size < cores * (128 << 20) else rows
+    return rows.repartition(cores) if planned(rows) < cores * (128 << 20) else rows
