@@ -75,3 +75,13 @@ def test_lines_of_other_years_are_not_shuffled(spark, monkeypatch):
     before, after, joined = seen[0]
     assert after == joined < before
     assert cases.exceptAll(plain).count() == plain.exceptAll(cases).count() == 0
+
+
+def test_versions_need_one_narrow_shuffle(spark):
+    """Both submissions of an order come from one scan, and only numbers are shuffled and grouped: no sort of hashes as text."""
+    v = catalogue.versions(spark, SF)
+    plan = ind.eg11(v)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    rows = v.groupBy("submission").count().collect()
+    n = adapters.table(spark, SF, "orders").count()
+    assert {(r.submission, r["count"]) for r in rows} == {(1, n), (2, n)}

@@ -77,7 +77,8 @@ FIELDS = _fields_sql()
 def evidence_tables(spark: SparkSession, sf_dir: str, cases: DataFrame) -> dict[str, tuple]:
     al, e = a.alerts(spark, sf_dir), F.col("entity_id")
     unless = lambda bad, x: F.when(~bad, x)
-    li = a.table(spark, sf_dir, "lineitem").filter("l_linenumber = 2").select(F.col("l_suppkey").alias("entity_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("case_id"))
+    li = shared.among(a.table(spark, sf_dir, "lineitem"), "l_orderkey", a.orders_of(spark, sf_dir, *c.YEAR_DAYS), "o_orderkey")  # other links lead to no case of the year
+    li = li.filter("l_linenumber = 2").select(F.col("l_suppkey").alias("entity_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("case_id"))
     length = F.char_length("text")  # a note is there where it has a length; its text stays where it lies
     stored = a.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_ref"), length.alias("length"), length.alias("redacted_text"))
     rows = {
@@ -90,7 +91,7 @@ def evidence_tables(spark: SparkSession, sf_dir: str, cases: DataFrame) -> dict[
         "note_store": cases.filter(e % 11 != 2).select("entity_id", "note_ref").join(stored, "note_ref").drop("note_ref"),
         "submission": cases.select("entity_id", F.when(e % 6 != 0, 1).alias("declared_kpis"), F.when(e % 15 != 7, 1).alias("second")),
         "record_version": a.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("entity_id")),
-        "alert_case": li.join(cases.select("entity_id", "case_id"), ["entity_id", "case_id"], "left_semi").select("entity_id"),
+        "alert_case": li.join(cases.filter(F.col("case_id").endswith("-2")).select("entity_id", "case_id"), ["entity_id", "case_id"], "left_semi").select("entity_id"),
         "entity": a.entities(spark, sf_dir).select("entity_id", F.when(e % 3 != 0, 1).alias("roster_ref")),
     }
     declared = {"case_record": e % 10 != 3, "escalation": e % 10 != 3, "case_event": e % 9 != 4, "telemetry_daily": e % 8 != 1}

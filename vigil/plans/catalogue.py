@@ -738,9 +738,10 @@ def evidence_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = a.table(spark, sf_dir, "orders")
-    hashed = lambda p, s: o.select((F.col("o_custkey") % 100).alias("entity_id"), F.col("o_orderkey").alias("record_key"), F.lit(s).alias("submission"), F.sha2(F.concat_ws("|", p, "o_orderstatus"), 256).alias("record_hash"))
     changed = F.when(F.col("o_orderkey") % 10 == 0, "X").otherwise(F.col("o_orderpriority"))
-    return hashed(F.col("o_orderpriority"), 1).unionByName(hashed(changed, 2))
+    content = lambda p, s: F.struct(F.lit(s).alias("submission"), F.sha2(F.concat_ws("|", p, "o_orderstatus"), 256).alias("record_hash"))
+    both = F.array(content(F.col("o_orderpriority"), 1), content(changed, 2))  # side by side, so that they meet before the shuffle
+    return o.select((F.col("o_custkey") % 100).alias("entity_id"), F.col("o_orderkey").alias("record_key"), F.inline(both))
 
 
 def finding_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
