@@ -1,9 +1,11 @@
 """Queries that read all of their rows, and evidence that is joined and shuffled once."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vigil.operators import indicators as ind
+from vigil.operators import trends
 from vigil.plans import adapters, assembly, behaviour, catalogue, declared, review, shared, submissions  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -85,3 +87,15 @@ def test_versions_need_one_narrow_shuffle(spark):
     rows = v.groupBy("submission").count().collect()
     n = adapters.table(spark, SF, "orders").count()
     assert {(r.submission, r["count"]) for r in rows} == {(1, n), (2, n)}
+
+
+def test_shared_bands_are_those_of_all_seeds(spark):
+    """Every bucket of two notes or more is there with all its notes: equal and near texts, one entity or several, none, short ones."""
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join(base), " ".join(base[:-1]), " ".join(base[5:]), " ".join(base[:30] + ["x"] + base[30:]), "a b", "", None, "one two three", "One, two; three!", " ".join(reversed(base))]
+    notes = spark.createDataFrame([(e, 100 * k + i, t) for k, e in enumerate(["p", "q", None]) for i, t in enumerate(texts)], "entity string, id long, text string").union(spark.createDataFrame([("solo", 1000, texts[0])], "entity string, id long, text string"))
+    several = lambda b: sorted((str(r.entity), r.note, r.band, r.signature) for r in b.withColumn("n", F.count("*").over(Window.partitionBy("entity", "band", "signature"))).filter("n > 1").collect())
+    every = trends.minhash_bands(notes, "entity", "id", "text")
+    got = trends.shared_bands(notes, "entity", "id", "text", held=16)
+    assert several(got) == several(every) != []
+    assert got.count() < every.count()

@@ -285,7 +285,7 @@ _COSINE = f"""{c._SHINGLED}, bk AS (SELECT source, band, signature, min(doc_id)
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = a.table(spark, sf_dir, "documents")
-    bands = shared.kept(trends.minhash_bands(docs, "source", "doc_id", "text"))
+    bands = shared.kept(trends.shared_bands(docs, "source", "doc_id", "text"))
     return trends.near_anchor(bands, docs, "source", "doc_id", "text", c.DEFAULT.similarity)
 
 
