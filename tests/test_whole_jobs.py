@@ -89,6 +89,61 @@ def test_versions_need_one_narrow_shuffle(spark):
     assert {(r.submission, r["count"]) for r in rows} == {(1, n), (2, n)}
 
 
+def test_lines_carry_few_columns_and_keep_what_is_unknown(spark, tmp_path):
+    """Lines are shuffled with six columns; lines with gaps give the cases that the plain definition gives."""
+    day = lambda d: F.to_timestamp(F.lit(f"1996-{d}"))
+    lines = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string, ship int"
+    some = [(k, 7 * i, i % 11, n, q, d, r, s, g) for i, (k, n, q, d, r, s, g) in enumerate((k, n, q, d, r, s, g) for k in (1, 2, None) for n in (1, 2, None) for q in (None, 50.0) for d in (None, 0.08, 0.01) for r in (None, "A", "R", "N") for s in (None, "O") for g in (None, 1, 20))]
+    li = spark.createDataFrame(some, lines).withColumn("l_shipdate", F.date_add(day("03-05"), F.col("ship")).cast("timestamp")).drop("ship")
+    o = spark.createDataFrame([(1, 60, "1-URGENT"), (2, None, None), (2, 3, "3-MEDIUM")], "o_orderkey long, o_custkey long, o_orderpriority string").withColumn("o_orderdate", day("03-12"))
+    for name, rows in (("lineitem", li), ("orders", o)):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = adapters.cases(spark, str(tmp_path), "1996-01-01", "1996-12-31")
+    j = li.join(o, li.l_orderkey == o.o_orderkey).withColumn("at", F.unix_timestamp("o_orderdate"))
+    early = (F.col("l_shipdate") < F.col("o_orderdate")) & (F.col("l_linenumber") == 1)
+    plain = j.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("case_id"), F.col("l_suppkey").alias("entity_id"),
+        F.when((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N"), None).when(early, F.col("at") - 3600).otherwise(F.col("at") + adapters._duration()).alias("closed_s"),
+        (F.col("o_custkey") % 50).alias("analyst"), F.when((F.col("l_quantity") > 45) & ~(F.col("l_suppkey") % 10).isin(3, 4), 2).alias("escalation_level"),
+        F.when(F.expr(adapters.LATE_DISMISSALS), "FALSE_POSITIVE").when(F.col("l_returnflag") == "A", "TRUE_POSITIVE").when(F.col("l_returnflag") == "R", "FALSE_POSITIVE").otherwise("SUPPRESSED").alias("disposition"),
+        ((F.col("l_discount") >= 0.08) & ~(F.col("l_suppkey") % 10).isin(3, 4)).alias("escalated"),
+    )
+    got_same = got.select(*plain.columns)
+    assert got_same.count() == plain.count() > 0
+    assert got_same.exceptAll(plain).count() == plain.exceptAll(got_same).count() == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = adapters.cases(spark, SF, "1996-01-01", "1996-12-31")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    carried = [line for line in plan.split("Join Inner")[1].splitlines() if "Project" in line and "l_orderkey" in line]
+    assert carried and len(carried[0].split("[", 1)[1].split(", ")) <= 12 and "l_returnflag" not in carried[0].split("AS flags")[-1]
+
+
+def test_small_tables_are_planned_by_their_own_size(spark):
+    """Periods and lengths of notes are written, so that Spark sees how small they are and cases are not shuffled to meet them."""
+    assert shared.planned(catalogue.boundaries(spark, SF)) < 1 << 20
+    lengths = catalogue.notes(spark, SF)
+    assert not any("documents" in f for f in lengths.inputFiles())
+    assert lengths.count() == adapters.table(spark, SF, "documents").count()
+
+
+def test_only_orders_that_alerts_name_are_made_distinct(spark, monkeypatch):
+    seen, plain = [], ind.ns04
+
+    def counted(alerts, known):
+        seen.append((known.count(), alerts.select("case_no").distinct().count()))
+        return plain(alerts, known)
+
+    monkeypatch.setattr(ind, "ns04", counted)
+    got = assembly.results(spark, SF).filter("indicator = 'ns04'").select("entity_id", "value")
+    monkeypatch.undo()
+    (known, named), orders = seen[0], adapters.table(spark, SF, "orders")
+    assert known <= named < orders.count()
+    want = plain(adapters.alerts(spark, SF), orders.select(F.col("o_orderkey").alias("case_no"))).select("entity_id", F.col("value").alias("w"))
+    assert got.filter("value is not null").join(want, "entity_id").filter("value <> w").count() == 0
+
+
 def test_shared_bands_are_those_of_all_seeds(spark):
     """Every bucket of two notes or more is there with all its notes: equal and near texts, one entity or several, none, short ones."""
     base = [f"w{i}" for i in range(60)]

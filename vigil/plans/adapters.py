@@ -48,12 +48,17 @@ def cases(spark: SparkSession, sf_dir: str, start: str | None = None, end: str |
         o = orders_of(spark, sf_dir, start, end)
         li = shared.among(li, "l_orderkey", o, "o_orderkey")
     priority = F.substring("o_orderpriority", 1, 1)
-    # what a line says by itself is worked out before the join, so that the shuffle carries flags in place of wide columns
-    li = li.select(
-        "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", _duration().alias("d"), ((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N")).alias("unfinished"),
-        F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", 2).otherwise(0).alias("flag"), (F.col("l_quantity") > 45).alias("many"), (F.col("l_discount") >= 0.08).alias("deep"),
-    )
-    out = li.join(o.select("o_orderkey", "o_orderdate", "o_custkey", priority.alias("priority")), li.l_orderkey == F.col("o_orderkey"))
+    # what a line says by itself is worked out before the join, so that the shuffle carries one column of flags in place of wide
+    # ones, and a ship date only for the lines that are judged by it; an unknown discount stays unknown
+    deep = F.coalesce((F.col("l_discount") >= 0.08).cast("int"), F.lit(2))
+    yes = lambda cond: F.when(cond, 1).otherwise(0)
+    returned = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", 2).otherwise(0)
+    flags = yes((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N")) + 2 * yes(F.col("l_quantity") > 45) + 4 * returned + 16 * deep
+    li = li.select("l_orderkey", "l_linenumber", "l_suppkey", F.when(F.col("l_linenumber") == 1, F.col("l_shipdate")).alias("l_shipdate"), _duration().alias("d"), flags.alias("flags"))
+    out = li.join(o.select("o_orderkey", "o_orderdate", (F.col("o_custkey") % 50).alias("analyst"), priority.alias("priority")), li.l_orderkey == F.col("o_orderkey"))
+    bits = lambda at, mask: F.shiftright("flags", at).bitwiseAND(mask)
+    deep = F.when(bits(4, 3) < 2, bits(4, 3) == 1)
+    out = out.select("*", (bits(0, 1) == 1).alias("unfinished"), (bits(1, 1) == 1).alias("many"), bits(2, 3).alias("flag"), deep.alias("deep"))
     priority = F.col("priority")
     created, supplier = F.col("o_orderdate").cast("timestamp"), F.col("l_suppkey") % 10
     escalates, keeps_notes = ~supplier.isin(3, 4), supplier != 6
@@ -63,7 +68,7 @@ def cases(spark: SparkSession, sf_dir: str, start: str | None = None, end: str |
         F.when(F.col("l_linenumber") % 2 == 1, F.col("d")).alias("declared_s"),
         F.when(priority == "1", "CRITICAL").when(priority == "2", "HIGH").when(priority == "3", "MEDIUM").otherwise("LOW").alias("severity"),
         F.when(F.expr(LATE_DISMISSALS), "FALSE_POSITIVE").when(F.col("flag") == 1, "TRUE_POSITIVE").when(F.col("flag") == 2, "FALSE_POSITIVE").otherwise("SUPPRESSED").alias("disposition"),
-        (F.col("o_custkey") % 50).alias("analyst"), F.when(F.col("many") & escalates, 2).alias("escalation_level"), F.year("o_orderdate").alias("year"),
+        "analyst", F.when(F.col("many") & escalates, 2).alias("escalation_level"), F.year("o_orderdate").alias("year"),
         (F.col("deep") & escalates).alias("escalated"), F.when(keeps_notes, (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 1000).otherwise(-1).alias("note_ref"),
     )
 

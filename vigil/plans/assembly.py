@@ -79,8 +79,8 @@ def evidence_tables(spark: SparkSession, sf_dir: str, cases: DataFrame) -> dict[
     unless = lambda bad, x: F.when(~bad, x)
     li = shared.among(a.table(spark, sf_dir, "lineitem"), "l_orderkey", a.orders_of(spark, sf_dir, *c.YEAR_DAYS), "o_orderkey")  # other links lead to no case of the year
     li = li.filter("l_linenumber = 2").select(F.col("l_suppkey").alias("entity_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("case_id"))
-    length = F.char_length("text")  # a note is there where it has a length; its text stays where it lies
-    stored = a.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_ref"), length.alias("length"), length.alias("redacted_text"))
+    length = F.col("note_chars")  # a note is there where it has a length; its text stays where it lies
+    stored = c.notes(spark, sf_dir).select("note_ref", length.alias("length"), length.alias("redacted_text"))
     rows = {
         "case_record": cases.filter(e % 10 != 3).select("entity_id", F.col("created_s").alias("created_at"), unless(e % 10 == 4, F.col("closed_s")).alias("closed_at"), F.col("severity").alias("severity_norm"), unless(e % 10 == 5, F.col("disposition")).alias("disposition"), F.when((e % 2 == 0) & (F.col("disposition") == "TRUE_POSITIVE"), "fixed").alias("root_cause_action"), unless(e % 10 == 4, F.col("declared_s")).alias("investigation_duration_sec")),
         "escalation": cases.filter(F.col("escalated") & ~(e % 10).isin(3, 6)).select("entity_id", "case_id", unless(e % 4 == 1, F.col("closed_s")).alias("acknowledged_ts")),
@@ -198,13 +198,15 @@ def results(spark: SparkSession, sf_dir: str, found: DataFrame | None = None, ca
     """Results from the fields and the year's cases, where these are at hand; cases are joined once for all parts."""
     cases = cases if cases is not None else c.kept_cases(spark, sf_dir)
     found = found if found is not None else fields(spark, sf_dir, cases)
-    values = c.indicator_values(spark, sf_dir, cases=cases)
-    known = a.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_no"))
-    values |= {"eg11": ind.eg11(c.versions(spark, sf_dir)), "ns04": ind.ns04(a.alerts(spark, sf_dir), known)}
+    small = {"lengths": c.notes(spark, sf_dir), "periods": c.boundaries(spark, sf_dir)}
+    values = c.indicator_values(spark, sf_dir, cases=cases, **small)
+    al = a.alerts(spark, sf_dir)
+    known = shared.among(a.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_no")), "case_no", al, "case_no", small=0)  # orders that some alert names
+    values |= {"eg11": ind.eg11(c.versions(spark, sf_dir)), "ns04": ind.ns04(al, known)}
     long = reduce(DataFrame.unionByName, (values[k].select("entity_id", "value", "n", F.lit(k).alias("indicator"), F.lit(s).alias("sign"), (F.col("n_changed") if k == "eg11" else F.lit(None).cast("long")).alias("n_changed")) for k, s in SIGNS.items()))
     entities = a.entities(spark, sf_dir)
     based = stats.peer_baseline(shared.kept(long.join(entities.select("entity_id", "cohort"), "entity_id")), by=["indicator"])
-    behind = c.evidence(spark, sf_dir, cases).groupBy("entity_id", "indicator").agg(F.count("*").alias("n_rows"))  # EG-11 has counted its changed records
+    behind = c.evidence(spark, sf_dir, cases, **small).groupBy("entity_id", "indicator").agg(F.count("*").alias("n_rows"))  # EG-11 has counted its changed records
     measured = based.select("entity_id", "indicator", "value", "n", "n_changed", c.four_digits("effect").alias("effect")).join(behind, ["entity_id", "indicator"], "left")
     measured = measured.withColumn("n_evidence", F.coalesce("n_changed", "n_rows")).drop("n_changed", "n_rows")
     trust = entities.select("entity_id", F.when(F.col("entity_id") % 13 != 0, F.round((5 + F.col("entity_id") % 95) / 100, 2)).alias("dq_score"))

@@ -55,15 +55,17 @@ VALUES = {
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_ref"), F.char_length("text").alias("note_chars"))
+    """Lengths of notes, written: joins then plan by the size of the lengths, not of the texts, and no text is read again."""
+    return shared.kept(a.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_ref"), F.char_length("text").alias("note_chars")))
 
 
 def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each entity's period, written: a join of tables is planned as their product, so that cases would be shuffled to meet it."""
     stamp = lambda t: F.unix_timestamp(F.lit(t))
-    return a.entities(spark, sf_dir).select("entity_id", stamp("1996-01-01 00:00:00").alias("start_s"), stamp("1997-01-01 00:00:00").alias("boundary_s"))
+    return shared.kept(a.entities(spark, sf_dir).select("entity_id", stamp("1996-01-01 00:00:00").alias("start_s"), stamp("1997-01-01 00:00:00").alias("boundary_s")))
 
 
-def indicator_values(spark: SparkSession, sf_dir: str, *names: str, cases: DataFrame | None = None) -> dict[str, DataFrame]:
+def indicator_values(spark: SparkSession, sf_dir: str, *names: str, cases: DataFrame | None = None, lengths: DataFrame | None = None, periods: DataFrame | None = None) -> dict[str, DataFrame]:
     """Execution-gap indicators (all, or those named; a name that is none of them is an error). Where several are asked for,
     the year's cases are written once and read by each, so evidence is joined and scanned once."""
     unknown = [n for n in names if n not in VALUES]
@@ -71,8 +73,8 @@ def indicator_values(spark: SparkSession, sf_dir: str, *names: str, cases: DataF
         raise ValueError(f"unknown indicators: {', '.join(unknown)}; known: {', '.join(VALUES)}")
     c = cases if cases is not None else year_cases(spark, sf_dir) if len(names) == 1 else kept_cases(spark, sf_dir)
     made = {
-        "eg01": lambda: ind.eg01(c), "eg02": lambda: ind.eg02(c, notes(spark, sf_dir)), "eg06": lambda: ind.eg06(c, c.filter("escalated")),
-        "eg08": lambda: ind.eg08(c), "eg09": lambda: ind.eg09(c, boundaries(spark, sf_dir)),
+        "eg01": lambda: ind.eg01(c), "eg02": lambda: ind.eg02(c, lengths if lengths is not None else notes(spark, sf_dir)), "eg06": lambda: ind.eg06(c, c.filter("escalated")),
+        "eg08": lambda: ind.eg08(c), "eg09": lambda: ind.eg09(c, periods if periods is not None else boundaries(spark, sf_dir)),
     }
     return {k: f() for k, f in made.items() if not names or k in names}
 
@@ -704,19 +706,21 @@ def all_feature_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("r", F.row_number().over(w)).filter("r <= 5").select("entity_id", "feature", "effect")
 
 
-def evidence(spark: SparkSession, sf_dir: str, cases: DataFrame | None = None) -> DataFrame:
+def evidence(spark: SparkSession, sf_dir: str, cases: DataFrame | None = None, lengths: DataFrame | None = None, periods: DataFrame | None = None) -> DataFrame:
     """(indicator, entity_id, row_id): the rows behind each value; for EG-02 those whose note is thin."""
     c = cases if cases is not None else kept_cases(spark, sf_dir)
+    lengths = lengths if lengths is not None else notes(spark, sf_dir)
+    periods = periods if periods is not None else boundaries(spark, sf_dir)
     severe, closed, d = F.col("severity").isin(*ind.SEVERE), F.col("closed_s").isNotNull(), ind.duration()
     sla = F.create_map(*(F.lit(x) for kv in DEFAULT.sla_s.items() for x in kv))[F.col("severity")]
-    dismissed = c.filter(severe & F.col("disposition").isin("FALSE_POSITIVE", "SUPPRESSED")).join(notes(spark, sf_dir), "note_ref", "left")
+    dismissed = c.filter(severe & F.col("disposition").isin("FALSE_POSITIVE", "SUPPRESSED")).join(lengths, "note_ref", "left")
     near = (F.col("closed_s") > F.col("boundary_s") - DEFAULT.boundary_hours * 3600) & (F.col("closed_s") <= F.col("boundary_s"))
     rows = {
         "eg01": c.filter(severe & closed & d.isNotNull()),
         "eg02": dismissed.filter(F.coalesce(F.col("note_chars"), F.lit(0)) < DEFAULT.thin_note_chars),
         "eg06": c.filter((F.col("severity") == "CRITICAL") & closed & F.col("escalation_level").isNull()).join(c.filter("escalated").select("entity_id", "case_id").distinct(), ["entity_id", "case_id"], "left_anti"),
         "eg08": c.filter(closed & d.between(DEFAULT.sla_band * sla, sla)),
-        "eg09": c.filter(closed).join(boundaries(spark, sf_dir), "entity_id").filter(near),
+        "eg09": c.filter(closed).join(periods, "entity_id").filter(near),
     }
     return reduce(DataFrame.unionByName, (x.select(F.lit(k).alias("indicator"), "entity_id", F.col("case_id").alias("row_id")) for k, x in rows.items()))
 
