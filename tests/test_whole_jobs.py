@@ -144,6 +144,30 @@ def test_only_orders_that_alerts_name_are_made_distinct(spark, monkeypatch):
     assert got.filter("value is not null").join(want, "entity_id").filter("value <> w").count() == 0
 
 
+@pytest.mark.parametrize("name", ["why_not_flagged_by_finding", "admitted_signals", "assembled_results", "data_trust", "indicator_statuses", "scorecards", "entity_summaries"])
+def test_evidence_is_counted_with_its_value(spark, monkeypatch, name):
+    """Results take the number of rows behind a value from the value's own aggregate: cases are not read, joined and shuffled again for it."""
+
+    def refused(*args, **kwargs):
+        raise AssertionError("evidence rows were built again")
+
+    monkeypatch.setattr(catalogue, "evidence", refused)
+    assert catalogue.QUERIES[name](spark, SF).columns
+
+
+def test_counted_evidence_is_that_of_the_rows(spark):
+    """Each value's n_evidence is the number of its evidence rows: gaps, repeated keys, unknown notes and severities too."""
+    some = [(f"{i % 37}-1" if i % 29 else None, i % 4 if i % 41 else None, 100, None if i % 5 == 0 else 100 + 300 * (i % 13), None if i % 3 else 60 * (i % 17) - 60, ["CRITICAL", "HIGH", "LOW", "OTHER", None][i % 5 if i % 2 else 0], ["FALSE_POSITIVE", "TRUE_POSITIVE", "SUPPRESSED", None][i % 4 if i % 3 else 0], 2 if i % 6 == 0 else None, None if i % 31 == 0 else i % 7 == 0, i % 9 - 1) for i in range(600)]
+    cases = spark.createDataFrame(some, "case_id string, entity_id int, created_s long, closed_s long, declared_s long, severity string, disposition string, escalation_level int, escalated boolean, note_ref int")
+    lengths = spark.createDataFrame([(0, None), (1, 3), (2, 19), (3, 20), (4, 500)], "note_ref int, note_chars int")
+    periods = spark.createDataFrame([(e, 0, 2000 + 172800 * (e % 2)) for e in range(3)], "entity_id int, start_s long, boundary_s long")
+    given = {"cases": cases, "lengths": lengths, "periods": periods}
+    want = {(r.indicator, r.entity_id): r["count"] for r in catalogue.evidence(spark, SF, **given).groupBy("indicator", "entity_id").count().collect()}
+    got = {(k, r.entity_id): r.n_evidence for k, v in catalogue.indicator_values(spark, SF, **given).items() for r in v.collect()}
+    assert set(want) <= set(got) and {k for k, _ in want} == set(catalogue.VALUES)
+    assert all(n == want.get(k, 0) for k, n in got.items())
+
+
 def test_shared_bands_are_those_of_all_seeds(spark):
     """Every bucket of two notes or more is there with all its notes: equal and near texts, one entity or several, none, short ones."""
     base = [f"w{i}" for i in range(60)]

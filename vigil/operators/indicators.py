@@ -30,29 +30,31 @@ def _measured(rows: DataFrame, value: Column, *more: Column) -> DataFrame:
 
 
 def eg01(cases: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """Median closure seconds of severe closed cases; low is adverse."""
+    """Median closure seconds of severe closed cases; low is adverse. n_evidence, here and below: the rows behind the value."""
     rows = cases.filter(F.col("severity").isin(*SEVERE) & F.col("closed_s").isNotNull()).withColumn("d", duration()).filter("d is not null")
-    return _measured(rows, F.expr("median(d)"), F.count(F.when(F.col("d") < policy.rapid_closure_s, 1)).alias("n_rapid"))
+    return _measured(rows, F.expr("median(d)"), F.count(F.when(F.col("d") < policy.rapid_closure_s, 1)).alias("n_rapid"), F.count("*").alias("n_evidence"))
 
 
 def eg02(cases: DataFrame, notes: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """Share of dismissed severe cases whose note is thin or absent."""
     rows = cases.filter(F.col("severity").isin(*SEVERE) & F.col("disposition").isin("FALSE_POSITIVE", "SUPPRESSED")).join(notes, "note_ref", "left")
     thin = F.coalesce(F.col("note_chars"), F.lit(0)) < policy.thin_note_chars
-    return _measured(rows, F.avg(thin.cast("int")), F.count(F.when(thin, 1)).alias("n_thin"))
+    return _measured(rows, F.avg(thin.cast("int")), F.count(F.when(thin, 1)).alias("n_thin"), F.count(F.when(thin, 1)).alias("n_evidence"))
 
 
 def eg06(cases: DataFrame, escalations: DataFrame) -> DataFrame:
     """Share of closed critical cases with neither an escalation nor a level."""
     rows = cases.filter((F.col("severity") == "CRITICAL") & F.col("closed_s").isNotNull()).join(escalations.select("entity_id", "case_id").distinct().withColumn("hit", F.lit(True)), ["entity_id", "case_id"], "left")
-    return _measured(rows, F.avg((F.col("hit").isNull() & F.col("escalation_level").isNull()).cast("int")))
+    silent = F.col("hit").isNull() & F.col("escalation_level").isNull()
+    return _measured(rows, F.avg(silent.cast("int")), F.count(F.when(silent, 1)).alias("n_evidence"))
 
 
 def eg08(cases: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """Share of closures just within the agreed time of their severity."""
     sla = F.create_map(*(F.lit(x) for kv in policy.sla_s.items() for x in kv))[F.col("severity")]
     rows = cases.filter("closed_s is not null").withColumn("d", duration()).filter("d is not null")
-    return _measured(rows, F.avg(F.col("d").between(policy.sla_band * sla, sla).cast("int")))
+    within = F.col("d").between(policy.sla_band * sla, sla)
+    return _measured(rows, F.avg(within.cast("int")), F.count(F.when(within, 1)).alias("n_evidence"))
 
 
 def eg09(cases: DataFrame, boundaries: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
@@ -61,7 +63,7 @@ def eg09(cases: DataFrame, boundaries: DataFrame, policy: Policy = DEFAULT) -> D
     hours = policy.boundary_hours * 3600
     near = (F.col("closed_s") > F.col("boundary_s") - hours) & (F.col("closed_s") <= F.col("boundary_s"))
     expected = F.least(F.lit(1.0), hours / F.first(F.col("boundary_s") - F.col("start_s")))
-    return _measured(rows, F.avg(near.cast("int")) / expected, F.count(F.when(F.col("closed_s") > F.col("boundary_s"), 1)).alias("n_late"))
+    return _measured(rows, F.avg(near.cast("int")) / expected, F.count(F.when(F.col("closed_s") > F.col("boundary_s"), 1)).alias("n_late"), F.count(F.when(near, 1)).alias("n_evidence"))
 
 
 def eg11(versions: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def eg11(versions: DataFrame) -> DataFrame:
     each = rows.groupBy("entity_id", "record_key", "submission").agg(*(f(m).alias(f"{n}{m}") for m in marks for n, f in (("l", F.min), ("h", F.max))))
     differ = lambda m: F.coalesce(F.min(f"l{m}") != F.max(f"h{m}"), F.lit(False))
     per_key = each.groupBy("entity_id", "record_key").agg(reduce(or_, map(differ, marks)).alias("changed"), F.count("submission").alias("n_sub"))
-    return _measured(per_key, F.avg(F.col("changed").cast("int")), F.max("n_sub").alias("n_submissions"), F.count(F.when(F.col("changed"), 1)).alias("n_changed")).filter("n_submissions >= 2")
+    return _measured(per_key, F.avg(F.col("changed").cast("int")), F.max("n_sub").alias("n_submissions"), F.count(F.when(F.col("changed"), 1)).alias("n_changed"), F.count(F.when(F.col("changed"), 1)).alias("n_evidence")).filter("n_submissions >= 2")
 
 
 def daily_grid(alerts: DataFrame, keys: list[str]) -> DataFrame:

@@ -203,12 +203,10 @@ def results(spark: SparkSession, sf_dir: str, found: DataFrame | None = None, ca
     al = a.alerts(spark, sf_dir)
     known = shared.among(a.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_no")), "case_no", al, "case_no", small=0)  # orders that some alert names
     values |= {"eg11": ind.eg11(c.versions(spark, sf_dir)), "ns04": ind.ns04(al, known)}
-    long = reduce(DataFrame.unionByName, (values[k].select("entity_id", "value", "n", F.lit(k).alias("indicator"), F.lit(s).alias("sign"), (F.col("n_changed") if k == "eg11" else F.lit(None).cast("long")).alias("n_changed")) for k, s in SIGNS.items()))
+    long = reduce(DataFrame.unionByName, (values[k].select("entity_id", "value", "n", F.lit(k).alias("indicator"), F.lit(s).alias("sign"), F.col("n_evidence") if "n_evidence" in values[k].columns else F.lit(None).cast("long").alias("n_evidence")) for k, s in SIGNS.items()))
     entities = a.entities(spark, sf_dir)
     based = stats.peer_baseline(shared.kept(long.join(entities.select("entity_id", "cohort"), "entity_id")), by=["indicator"])
-    behind = c.evidence(spark, sf_dir, cases, **small).groupBy("entity_id", "indicator").agg(F.count("*").alias("n_rows"))  # EG-11 has counted its changed records
-    measured = based.select("entity_id", "indicator", "value", "n", "n_changed", c.four_digits("effect").alias("effect")).join(behind, ["entity_id", "indicator"], "left")
-    measured = measured.withColumn("n_evidence", F.coalesce("n_changed", "n_rows")).drop("n_changed", "n_rows")
+    measured = based.select("entity_id", "indicator", "value", "n", "n_evidence", c.four_digits("effect").alias("effect"))  # each value has counted the rows behind it
     trust = entities.select("entity_id", F.when(F.col("entity_id") % 13 != 0, F.round((5 + F.col("entity_id") % 95) / 100, 2)).alias("dq_score"))
     specs = spark.createDataFrame(SPECS, "indicator string, family string, dimension string, min_tier string")
     return shared.kept(assess.assembled(entities, measured, gates(spark, found), assess.achieved_tier(found), trust, specs))
