@@ -1,11 +1,16 @@
 """Queries that read all of their rows, and evidence that is joined and shuffled once."""
 
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vigil.operators import indicators as ind
-from vigil.operators import trends
+from vigil.operators import shingles, trends
 from vigil.plans import adapters, assembly, behaviour, catalogue, declared, review, shared, submissions  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -178,3 +183,48 @@ def test_shared_bands_are_those_of_all_seeds(spark):
     got = trends.shared_bands(notes, "entity", "id", "text", held=16)
     assert several(got) == several(every) != []
     assert got.count() < every.count()
+
+
+def near_copies():
+    """(entity, id, text): random notes, copies with a word changed, and one text many times."""
+    draw = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    out = []
+    for i in range(60):
+        t = [draw.choice(words) for _ in range(draw.randint(1, 80))]
+        out += [(draw.choice("pq"), " ".join(t)) for _ in range(draw.choice([1, 1, 2]))]
+        if i % 3 == 0:
+            t[draw.randrange(len(t))] = "X"
+            out.append((draw.choice("pq"), ", ".join(t)))
+    out += [(e, "one text, found many times over") for e in "pqr" for _ in range(40)]
+    return [(e, i, t) for i, (e, t) in enumerate(out)]
+
+
+@pytest.mark.parametrize("given", [{}, {"seeds": 7, "n": 2, "tasks": 9}, {"piece": 300}, {"mask": 0xE0E0 << 48}, {"mask": 0xFFF0 << 48}])
+def test_bands_from_shared_shingles_are_whole(spark, monkeypatch, given):
+    """In small pieces, with a last band of fewer seeds, and where the cheap codes of most shingles agree with others."""
+    monkeypatch.setattr(shingles, "_PIECE", given.pop("piece", shingles._PIECE))
+    mixed, mask = shingles._mixed, given.pop("mask", None)
+    if mask:
+        monkeypatch.setattr(shingles, "_mixed", lambda x: mixed(x) & np.uint64(mask))
+    notes = spark.createDataFrame(near_copies(), "entity string, id long, text string")
+    several = lambda b: sorted((r.entity, r.note, r.band, r.signature) for r in b.withColumn("c", F.count("*").over(Window.partitionBy("entity", "band", "signature"))).filter("c > 1").collect())
+    want = several(trends.minhash_bands(notes, "entity", "id", "text", **{k: v for k, v in given.items() if k != "tasks"}))
+    assert several(trends.shared_bands(notes, "entity", "id", "text", **given)) == want != []
+
+
+def test_only_shared_shingles_are_asked():
+    """SHA-256 is for what two notes of an entity hold; another entity's note does not count."""
+    rows = sorted((t, e) for e, _, t in near_copies())
+    batch = lambda r: pa.RecordBatch.from_pylist(r, pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("mark", pa.int64()), ("entity", pa.string()), ("text", pa.string()), ("part", pa.int32()), ("codes", pa.binary()), ("content", pa.binary())]))
+    texts = [{"block": 0, "kind": 1, "key": 0, "mark": 0, "entity": e, "text": t} for t, e in rows]
+    sent = sorted((r for b in shingles._fingerprints(3, 4)(iter([batch(texts)])) for r in b.to_pylist()), key=lambda r: r["part"])
+    lists = [r | {"kind": 0} for b in shingles._several([pa.RecordBatch.from_pylist(sent)]) for r in b.to_pylist()]
+    asked = {x for b in shingles._asked(3, 4)(iter([batch(lists + texts)])) for r in b.to_pylist() for x in r["content"].split(b"\n")}
+    held = {}
+    for t, e in rows:
+        w = re.findall("[a-z0-9]+", t.lower())
+        for s in {" ".join(w[i : i + 3]) for i in range(len(w) - 2)}:
+            held[e, s] = held.get((e, s), 0) + 1
+    assert asked == {s.encode() for (_, s), k in held.items() if k > 1}
+    assert len(asked) < len({s for _, s in held})

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.operators import shingles
 from vigil.operators.sequences import Ordered
 
 
@@ -113,76 +114,18 @@ def minhash_bands(notes: DataFrame, entity: str, note: str, text: str, n: int =
     return together.mapInArrow(rows, "entity string, note long, band int, signature string")
 
 
-def shared_bands(notes: DataFrame, entity: str, note: str, text: str, n: int = 3, seeds: int = 32, per_band: int = 4, held: int = 100_000) -> DataFrame:
+def shared_bands(notes: DataFrame, entity: str, note: str, text: str, n: int = 3, seeds: int = 32, per_band: int = 4, held: int = 100_000, tasks: int | None = None) -> DataFrame:
     """The rows of minhash_bands, but of those whose bucket holds one note it need not give any.
 
-    Notes of one bucket agree under the first seed of its band already. So all notes are hashed under the first seeds only, and a
-    band's other seeds are taken up for texts that agree there with another note of the entity: few do. Nothing is left out.
+    Notes of one bucket agree in their smallest shingles, so another note of the entity holds these too. Each shingle that several
+    notes of an entity hold is hashed once for all of them. A note's other shingles are hashed only in bands where its smallest
+    hashes are those of another note of the entity, until one is smaller, which ends the band. Nothing is left out. Notes lie in
+    tasks blocks, or more; held is no longer used.
     """
-    word = re.compile("[a-z0-9]+")
-    prefixes = [[b"%d:" % k for k in range(b, b + per_band)] for b in range(0, seeds, per_band)]
-
-    def shingles(t: str) -> set[bytes]:
-        w = word.findall(t.lower())
-        return {" ".join(w[j : j + n]).encode() for j in range(len(w) - n + 1)}
-
-    def remembered(used: list[bytes], most: int):
-        """shingles -> their least hashes under each prefix of used; what many notes share is hashed once while remembered."""
-        new: dict[bytes, bytes] = {}
-        old: dict[bytes, bytes] = {}
-        sha = hashlib.sha256
-
-        def least(found: set[bytes]) -> np.ndarray:
-            nonlocal new, old
-            rows = []
-            for s in found:
-                h = new.get(s)
-                if h is None:
-                    h = new[s] = old.pop(s, None) or b"".join([sha(p + s).digest()[:8] for p in used])
-                    if len(new) >= most:
-                        new, old = {}, new
-                rows.append(h)
-            return np.frombuffer(b"".join(rows), ">u8").reshape(-1, len(used)).min(axis=0)
-
-        return least
-
-    def firsts(batches):
-        least, last, found = remembered([p[0] for p in prefixes], held), None, None
-        for batch in batches:
-            at, first = [], []
-            for i, t in enumerate(batch.column("text").to_pylist()):
-                if t != last:
-                    last, sh = t, shingles(t)
-                    found = least(sh).astype("<u8").view("<i8") if sh else None
-                if found is not None:
-                    at.append(i)
-                    first.append(found)
-            here = batch.select(["entity", "key"]).take(pa.array(at, pa.int64()))
-            lists = pa.ListArray.from_arrays(pa.array(range(0, len(prefixes) * len(at) + 1, len(prefixes)), pa.int32()), pa.array(np.concatenate(first) if first else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*here.columns, lists], ["entity", "key", "firsts"])
-
-    def rest(batches):
-        least = [remembered(p, max(1, held // len(prefixes))) for p in prefixes]
-        last, made = None, []
-        for batch in batches:
-            out = {"entity": [], "note": [], "band": [], "signature": []}
-            for e, i, t, bands in zip(*(batch.column(c).to_pylist() for c in ("entity", "note", "text", "bands"))):
-                if t != last:
-                    last, sh = t, shingles(t)
-                    made = [(b, "|".join(f"{int(x):016x}" for x in least[b](sh))) for b in bands] if sh else []
-                for b, signature in made:
-                    for c, v in zip(out, (e, i, b, signature)):
-                        out[c].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["entity"], pa.string()), pa.array(out["note"], pa.int64()), pa.array(out["band"], pa.int32()), pa.array(out["signature"], pa.string())], list(out))
-
-    view = notes.select(F.col(entity).cast("string").alias("entity"), F.col(note).cast("long").alias("note"), F.col(text).alias("text"), F.xxhash64(text).alias("key")).filter("text is not null")
-    tasks = max(notes.sparkSession.sparkContext.defaultParallelism, int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    together = view.repartition(tasks, "key")
-    first = together.sortWithinPartitions("key", "text").mapInArrow(firsts, "entity string, key long, firsts array<long>")
-    first = first.select("entity", "key", F.posexplode("firsts").alias("band", "first"))
-    agree = first.withColumn("n", F.count("*").over(Window.partitionBy("entity", "band", "first"))).filter("n > 1")
-    wanted = agree.groupBy("key").agg(F.sort_array(F.collect_set("band")).alias("bands"))
-    return together.join(wanted, "key").sortWithinPartitions("key", "text").select("entity", "note", "text", "bands").mapInArrow(rest, "entity string, note long, band int, signature string")
+    view = notes.select(F.col(entity).cast("string").alias("entity"), F.col(note).cast("long").alias("note"), F.col(text).alias("text"))
+    spark = notes.sparkSession
+    most = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), tasks or 1)
+    return shingles.shared_bands(view, n, seeds, per_band, most)
 
 
 def near_anchor(bands: DataFrame, notes: DataFrame, entity: str, note: str, text: str, least: float = 0.82) -> DataFrame:

@@ -592,7 +592,8 @@ _SHINGLED = f"WITH w AS (SELECT source, doc_id, {_WORDS} AS w FROM documents), s
 @query(f"{_SHINGLED}, b AS (SELECT source AS entity, band, signature, count(*) AS n_notes, min(doc_id) AS anchor FROM bd GROUP BY ALL HAVING count(*) > 1) SELECT entity, anchor, count(*) AS n_bands, max(n_notes) AS n_notes FROM b GROUP BY ALL")
 def note_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buckets of similar notes within an entity, by anchor note."""
-    found = text.templates(trends.shared_bands(a.table(spark, sf_dir, "documents"), "source", "doc_id", "text"), "entity", "note")
+    docs = a.table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    found = text.templates(trends.shared_bands(docs, "source", "doc_id", "text", tasks=shared.blocks(docs)), "entity", "note")
     return found.groupBy("entity", "anchor").agg(F.count("*").alias("n_bands"), F.max("n_notes").alias("n_notes"))
 
 

@@ -51,3 +51,8 @@ def spread(rows: DataFrame) -> DataFrame:
     long for each row. Tables of a usual file for each core or more stay as they are, and are not shuffled."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if planned(rows) < cores * (128 << 20) else rows
+
+
+def blocks(rows: DataFrame, size: int = 32 << 20) -> int:
+    """In how many blocks of about size bytes of files rows are, for work that holds a block at a time."""
+    return 1 + planned(rows) // size
