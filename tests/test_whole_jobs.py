@@ -228,3 +228,24 @@ def test_only_shared_shingles_are_asked():
             held[e, s] = held.get((e, s), 0) + 1
     assert asked == {s.encode() for (_, s), k in held.items() if k > 1}
     assert len(asked) < len({s for _, s in held})
+
+
+def test_terms_are_those_of_shared_buckets(spark):
+    """Cosines as worked out by hand; only notes of a bucket have their terms taken up, and once."""
+    texts = {1: "alpha beta gamma delta", 2: "alpha beta gamma gamma", 3: "Alpha, beta epsilon", 4: "zeta " * 50, 5: "a ? b"}
+    notes = spark.createDataFrame([("e", i, t) for i, t in texts.items()], "entity string, id long, text string")
+    bands = spark.createDataFrame([("e", n, b, s) for b, s, ns in [(0, "x", [1, 2, 3]), (1, "y", [2, 1]), (2, "z", [3, 2, 1]), (3, "u", [4]), (4, "v", [5, 3])] for n in ns], "entity string, note long, band int, signature string")
+    near = trends.near_anchor(bands, notes, "entity", "id", "text", 0.1)
+
+    def cosine(bucket, note):
+        terms = {i: re.findall("[a-z0-9_]{2,}", texts[i].lower()) for i in bucket}
+        df = {w: sum(w in t for t in terms.values()) for t in terms.values() for w in t}
+        w = {i: {x: t.count(x) * (np.log((1 + len(bucket)) / (1 + df[x])) + 1) for x in t} for i, t in terms.items()}
+        norm = lambda i: np.sqrt(sum(x * x for x in w[i].values()))
+        return sum(x * w[min(bucket)].get(k, 0) for k, x in w[note].items()) / norm(note) / norm(min(bucket))
+
+    want = {(1, n): max(cosine(b, n) for b in ([1, 2, 3], [1, 2]) if n in b) for n in (1, 2, 3)} | {(3, 3): 1.0}
+    got = {(r.anchor, r.note): r.cosine for r in near.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "LeftSemi" in plan.split("Generate explode")[1]

@@ -116,6 +116,11 @@ def _by_part(sorted_numbers: np.ndarray, parts: int) -> Iterator[tuple[int, np.n
         yield p, (sorted_numbers[at[p] : at[p + 1]] & np.uint64((1 << _VALUE) - 1)).astype(np.uint32)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 class Among:
     """Which numbers are in a table of distinct sorted ones, and where; a bit for each spares most others the search."""
 
@@ -227,7 +232,7 @@ def _fingerprints(n: int, parts: int):
         again = numbers[1:] == numbers[:-1]
         for p, codes in _by_part(numbers[np.concatenate([[True], ~again])], parts):
             yield block, p, codes.tobytes()
-        twice = np.unique(numbers[1:][again & (both[1:] != both[:-1])])  # in two notes here: they count as two wherever they meet
+        twice = _distinct(numbers[1:][again & (both[1:] != both[:-1])])  # in two notes here: they count as two wherever they meet
         for p, codes in _by_part(twice, parts):
             yield None, p, codes.tobytes()
 
@@ -257,7 +262,7 @@ def _several(batches):
 
     def ended(part, lists):
         every = np.sort(np.concatenate([np.frombuffer(c, np.uint32) for _, c in lists]))
-        twice = Among(np.unique(every[1:][every[1:] == every[:-1]]))
+        twice = Among(_distinct(every[1:][every[1:] == every[:-1]]))
         for block, c in lists:
             codes = np.frombuffer(c, np.uint32)
             if block is not None and len(keep := codes[twice.found(codes)[0]]):
@@ -280,7 +285,7 @@ def _several(batches):
 
 def _numbers(lists: list[dict]) -> Among:
     """The fingerprints that were sent to a block."""
-    return Among(np.unique(np.concatenate([np.zeros(0, np.uint64), *((np.uint64(x["part"]) << np.uint64(_VALUE)) | np.frombuffer(x["codes"], np.uint32).astype(np.uint64) for x in lists)])))
+    return Among(_distinct(np.concatenate([np.zeros(0, np.uint64), *((np.uint64(x["part"]) << np.uint64(_VALUE)) | np.frombuffer(x["codes"], np.uint32).astype(np.uint64) for x in lists)])))
 
 
 def _asked(n: int, parts: int, most: int = 500_000):
@@ -324,8 +329,15 @@ def _rough(hashes: np.ndarray) -> np.ndarray:
 
 
 def hashes_of(found: list[bytes], prefixes: list[bytes]) -> np.ndarray:
-    sha = hashlib.sha256
-    return np.frombuffer(b"".join([sha(p + s).digest()[:8] for s in found for p in prefixes]), ">u8").astype(np.uint64).reshape(-1, len(prefixes))
+    """The first 64 bits of SHA-256 of each found under each prefix."""
+    out = []
+    for p in prefixes:
+        begun = hashlib.sha256(p).copy  # cheaper than to begin anew
+        for s in found:
+            h = begun()
+            h.update(s)
+            out.append(h.digest())
+    return np.frombuffer(b"".join(out), ">u8")[::4].astype(np.uint64).reshape(len(prefixes), len(found)).T
 
 
 def _answered(prefixes: list[bytes]):
@@ -369,13 +381,14 @@ def _smallest(n: int, prefixes: list[bytes]):
     """(entity, key and mark of the text, its rows, the smallest hash under each prefix) over the shingles that were answered: all
     that another note of the entity holds, and perhaps more of the text's own."""
     schema = pa.schema([("entity", pa.string()), ("key", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("least", pa.list_(pa.int64()))])
-    sha, seeds = hashlib.sha256, len(prefixes)
+    seeds = len(prefixes)
 
     def least(s, at, rough, starts):
         """For each text, whose shingles begin at starts among at: the smallest hash under each prefix."""
         lengths = np.diff([*starts, len(at)])
-        some, k = np.nonzero(rough == np.repeat(np.maximum.reduceat(rough, starts), lengths, axis=0))
-        h = np.frombuffer(b"".join([sha(prefixes[j] + x).digest()[:8] for j, x in zip(k.tolist(), s.bytes_at(at[some]))]), ">u8").astype(np.uint64)
+        k, some = np.nonzero((rough == np.repeat(np.maximum.reduceat(rough, starts), lengths, axis=0)).T)
+        ends, found = np.searchsorted(k, np.arange(seeds + 1)).tolist(), s.bytes_at(at[some])
+        h = np.concatenate([hashes_of(found[ends[j] : ends[j + 1]], [p])[:, 0] for j, p in enumerate(prefixes)])
         text = np.repeat(np.arange(len(starts)), lengths)[some]
         out = np.full((len(starts), seeds), np.uint64((1 << 64) - 1))
         np.minimum.at(out.reshape(-1), text * seeds + k, h)
@@ -409,13 +422,15 @@ def _signed(n: int, prefixes: list[list[bytes]], parts: int):
     """The signatures of the bands that a text may share. Its smallest hashes over what several notes hold are known; a band ends
     where one of the others is smaller, so that most end soon."""
     schema = pa.schema([("entity", pa.string()), ("note", pa.int64()), ("band", pa.int32()), ("signature", pa.string())])
-    sha = hashlib.sha256
 
     def signature(own, band, least):
         least = [(x + (1 << 63)).to_bytes(8, "big") for x in least]
         for p, floor in zip(prefixes[band], least):
+            begun = hashlib.sha256(p).copy
             for x in own:
-                if sha(p + x).digest()[:8] < floor:
+                h = begun()
+                h.update(x)
+                if h.digest() < floor:  # equal ones are longer, so not below
                     return None
         return "|".join([x.hex() for x in least])
 

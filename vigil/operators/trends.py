@@ -136,18 +136,19 @@ def near_anchor(bands: DataFrame, notes: DataFrame, entity: str, note: str, text
     buckets = bands.groupBy(*keys).agg(F.min("note").alias("anchor"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("note")).alias("mark")).filter("n > 1")
     once = buckets.groupBy("entity", "anchor", "n", "mark").agg(F.min(F.struct("band", "signature")).alias("b")).select("entity", "anchor", "n", F.col("b.band").alias("band"), F.col("b.signature").alias("signature"))
     members = bands.join(once, keys).select("entity", "anchor", "n", "band", "note")
-    terms = notes.select(F.col(entity).cast("string").alias("entity"), F.col(note).cast("long").alias("note"), F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), F.lit(0))).alias("term"))
+    named = members.select("entity", "note").distinct()  # few notes share a bucket: the terms of the others are not taken up
+    texts = notes.select(F.col(entity).cast("string").alias("entity"), F.col(note).cast("long").alias("note"), F.col(text).alias("text")).join(named, ["entity", "note"], "left_semi")
+    terms = texts.select("entity", "note", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{2,}"), F.lit(0))).alias("term"))
     tf = terms.groupBy("entity", "note", "term").agg(F.count("*").alias("tf"))
-    here = members.join(tf, ["entity", "note"])
     bucket = ["entity", "anchor", "band"]
-    df = here.groupBy(*bucket, "term").agg(F.count("*").alias("df"))
-    weight = F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    weighted = here.join(df, [*bucket, "term"]).withColumn("w", weight)
-    first = weighted.filter("note = anchor").select(*bucket, "term", F.col("w").alias("w0"))
-    both = weighted.join(first, [*bucket, "term"], "left").groupBy(*bucket, "note").agg(F.sum(F.col("w") * F.col("w0")).alias("dot"), F.sum(F.col("w") * F.col("w")).alias("q"))
-    own = first.groupBy(*bucket).agg(F.sum(F.col("w0") * F.col("w0")).alias("q0"))
+    of_anchor = lambda c: F.max(F.when(F.col("note") == F.col("anchor"), F.col(c)))
+    by_term = Window.partitionBy(*bucket, "term")
+    here = members.join(tf, ["entity", "note"]).withColumn("df", F.count("*").over(by_term))
+    weighted = here.withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).withColumn("w0", of_anchor("w").over(by_term))
+    both = weighted.groupBy(*bucket, "note").agg(F.sum(F.col("w") * F.col("w0")).alias("dot"), F.sum(F.col("w") * F.col("w")).alias("q"))
+    both = both.withColumn("q0", of_anchor("q").over(Window.partitionBy(*bucket)))
     cosine = F.round(F.col("dot") / F.sqrt(F.col("q") * F.col("q0")), 6)
-    return both.join(own, bucket).withColumn("cosine", cosine).filter(F.col("cosine") >= least).groupBy("entity", "anchor", "note").agg(F.max("cosine").alias("cosine"))
+    return both.withColumn("cosine", cosine).filter(F.col("cosine") >= least).groupBy("entity", "anchor", "note").agg(F.max("cosine").alias("cosine"))
 
 
 def clusters(near: DataFrame, notes: DataFrame, share: float = 0.5) -> DataFrame:

@@ -53,6 +53,6 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if planned(rows) < cores * (128 << 20) else rows
 
 
-def blocks(rows: DataFrame, size: int = 32 << 20) -> int:
+def blocks(rows: DataFrame, size: int = 16 << 20) -> int:
     """In how many blocks of about size bytes of files rows are, for work that holds a block at a time."""
     return 1 + planned(rows) // size
