@@ -200,7 +200,7 @@ def near_copies():
     return [(e, i, t) for i, (e, t) in enumerate(out)]
 
 
-@pytest.mark.parametrize("given", [{}, {"seeds": 7, "n": 2, "tasks": 9}, {"piece": 300}, {"mask": 0xE0E0 << 48}, {"mask": 0xFFF0 << 48}])
+@pytest.mark.parametrize("given", [{}, {"kept": shared.kept}, {"seeds": 7, "n": 2, "tasks": 9}, {"piece": 300}, {"mask": 0xE0E0 << 48}, {"mask": 0xFFF0 << 48}])
 def test_bands_from_shared_shingles_are_whole(spark, monkeypatch, given):
     """In small pieces, with a last band of fewer seeds, and where the cheap codes of most shingles agree with others."""
     monkeypatch.setattr(shingles, "_PIECE", given.pop("piece", shingles._PIECE))
@@ -209,7 +209,7 @@ def test_bands_from_shared_shingles_are_whole(spark, monkeypatch, given):
         monkeypatch.setattr(shingles, "_mixed", lambda x: mixed(x) & np.uint64(mask))
     notes = spark.createDataFrame(near_copies(), "entity string, id long, text string")
     several = lambda b: sorted((r.entity, r.note, r.band, r.signature) for r in b.withColumn("c", F.count("*").over(Window.partitionBy("entity", "band", "signature"))).filter("c > 1").collect())
-    want = several(trends.minhash_bands(notes, "entity", "id", "text", **{k: v for k, v in given.items() if k != "tasks"}))
+    want = several(trends.minhash_bands(notes, "entity", "id", "text", **{k: v for k, v in given.items() if k not in ("tasks", "kept")}))
     assert several(trends.shared_bands(notes, "entity", "id", "text", **given)) == want != []
 
 
@@ -236,6 +236,8 @@ def test_terms_are_those_of_shared_buckets(spark):
     notes = spark.createDataFrame([("e", i, t) for i, t in texts.items()], "entity string, id long, text string")
     bands = spark.createDataFrame([("e", n, b, s) for b, s, ns in [(0, "x", [1, 2, 3]), (1, "y", [2, 1]), (2, "z", [3, 2, 1]), (3, "u", [4]), (4, "v", [5, 3])] for n in ns], "entity string, note long, band int, signature string")
     near = trends.near_anchor(bands, notes, "entity", "id", "text", 0.1)
+    written = trends.near_anchor(bands, notes, "entity", "id", "text", 0.1, shared.kept)
+    assert sorted(near.collect()) == sorted(written.collect())
 
     def cosine(bucket, note):
         terms = {i: re.findall("[a-z0-9_]{2,}", texts[i].lower()) for i in bucket}

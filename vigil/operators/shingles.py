@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -458,8 +458,19 @@ def _signed(n: int, prefixes: list[list[bytes]], parts: int):
     return lambda batches: _batches(schema, rows(batches))
 
 
-def shared_bands(notes: DataFrame, n: int, seeds: int, per_band: int, tasks: int) -> DataFrame:
-    """(entity, note, text) -> (entity, note, band, signature), see trends.shared_bands."""
+def those_of(rows: DataFrame, wanted: DataFrame, keys: list[str], kept: Callable | None, most: int = 1 << 20) -> DataFrame:
+    """The rows whose keys are among those of wanted, no row twice. Where wanted can be written first and has at most so many rows, it
+    goes to all tasks, so that the other rows are not shuffled; the result is the same."""
+    wanted = wanted.select(keys).distinct()
+    if kept:
+        wanted = kept(wanted)
+        wanted = F.broadcast(wanted) if wanted.count() <= most else wanted
+    return rows.join(wanted, keys, "left_semi")
+
+
+def shared_bands(notes: DataFrame, n: int, seeds: int, per_band: int, tasks: int, kept: Callable | None = None) -> DataFrame:
+    """(entity, note, text) -> (entity, note, band, signature), see trends.shared_bands. kept writes a table and reads it again; with it
+    the fingerprints are counted once, and only the texts that may share a bucket are shuffled for the last step."""
     each = [b"%d:" % k for k in range(seeds + seeds % 2)]  # in pairs of four bits
     prefixes = [each[b : min(b + per_band, seeds)] for b in range(0, seeds, per_band)]
     parts = min(tasks, 1 << _PART)
@@ -477,6 +488,7 @@ def shared_bands(notes: DataFrame, n: int, seeds: int, per_band: int, tasks: int
 
     plain = texts.drop("note")
     several = by_part(by_block(plain).mapInArrow(_fingerprints(n, parts), _SENT)).mapInArrow(_several, _SENT)
+    several = kept(several) if kept else several
     asked = by_block(plain, several.withColumn("content", F.lit(None).cast("binary"))).mapInArrow(_asked(n, parts), f"{_SENT}, content binary")
     answered = by_part(asked).mapInArrow(_answered(each), f"{_SENT}, content binary")
     least = by_block(plain, answered).mapInArrow(_smallest(n, each), "entity string, key long, mark long, n long, least array<long>")
@@ -485,6 +497,8 @@ def shared_bands(notes: DataFrame, n: int, seeds: int, per_band: int, tasks: int
     some = least.select("entity", "key", "mark", "n", F.inline(bands))
     agree = some.withColumn("n", F.sum("n").over(Window.partitionBy("entity", "band", "least"))).filter("n > 1")
     wanted = agree.groupBy("entity", "key", "mark").agg(F.sort_array(F.collect_set(F.struct("band", "least"))).alias("bands"))
+    wanted = kept(wanted) if kept else wanted
+    texts = those_of(texts, wanted, ["key", "mark"], kept) if kept else texts
     wanted = wanted.withColumnsRenamed({"entity": "_e", "key": "_k", "mark": "_m"})
     candidates = texts.join(wanted, (F.col("key") == F.col("_k")) & (F.col("mark") == F.col("_m")) & F.col("entity").eqNullSafe(F.col("_e"))).drop("_e", "_k", "_m")
     return by_block(candidates, several).mapInArrow(_signed(n, prefixes, parts), "entity string, note long, band int, signature string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from statistics import median
 
 import numpy as np
@@ -114,21 +115,21 @@ def minhash_bands(notes: DataFrame, entity: str, note: str, text: str, n: int =
     return together.mapInArrow(rows, "entity string, note long, band int, signature string")
 
 
-def shared_bands(notes: DataFrame, entity: str, note: str, text: str, n: int = 3, seeds: int = 32, per_band: int = 4, held: int = 100_000, tasks: int | None = None) -> DataFrame:
+def shared_bands(notes: DataFrame, entity: str, note: str, text: str, n: int = 3, seeds: int = 32, per_band: int = 4, held: int = 100_000, tasks: int | None = None, kept: Callable | None = None) -> DataFrame:
     """The rows of minhash_bands, but of those whose bucket holds one note it need not give any.
 
     Notes of one bucket agree in their smallest shingles, so another note of the entity holds these too. Each shingle that several
     notes of an entity hold is hashed once for all of them. A note's other shingles are hashed only in bands where its smallest
     hashes are those of another note of the entity, until one is smaller, which ends the band. Nothing is left out. Notes lie in
-    tasks blocks, or more; held is no longer used.
+    tasks blocks, or more; kept, where given, writes a table between steps and reads it again; held is no longer used.
     """
     view = notes.select(F.col(entity).cast("string").alias("entity"), F.col(note).cast("long").alias("note"), F.col(text).alias("text"))
     spark = notes.sparkSession
     most = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), tasks or 1)
-    return shingles.shared_bands(view, n, seeds, per_band, most)
+    return shingles.shared_bands(view, n, seeds, per_band, most, kept)
 
 
-def near_anchor(bands: DataFrame, notes: DataFrame, entity: str, note: str, text: str, least: float = 0.82) -> DataFrame:
+def near_anchor(bands: DataFrame, notes: DataFrame, entity: str, note: str, text: str, least: float = 0.82, kept: Callable | None = None) -> DataFrame:
     """(entity, anchor, note, cosine): the notes of each bucket whose term-weighted cosine to the bucket's first note
     reaches least. Weights are fitted in each bucket: tf * (ln((1 + n) / (1 + df)) + 1). Cosines are to the anchor only,
     so a bucket costs in proportion to its size; equal buckets of several bands are taken once."""
@@ -136,8 +137,8 @@ def near_anchor(bands: DataFrame, notes: DataFrame, entity: str, note: str, text
     buckets = bands.groupBy(*keys).agg(F.min("note").alias("anchor"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("note")).alias("mark")).filter("n > 1")
     once = buckets.groupBy("entity", "anchor", "n", "mark").agg(F.min(F.struct("band", "signature")).alias("b")).select("entity", "anchor", "n", F.col("b.band").alias("band"), F.col("b.signature").alias("signature"))
     members = bands.join(once, keys).select("entity", "anchor", "n", "band", "note")
-    named = members.select("entity", "note").distinct()  # few notes share a bucket: the terms of the others are not taken up
-    texts = notes.select(F.col(entity).cast("string").alias("entity"), F.col(note).cast("long").alias("note"), F.col(text).alias("text")).join(named, ["entity", "note"], "left_semi")
+    texts = notes.select(F.col(entity).cast("string").alias("entity"), F.col(note).cast("long").alias("note"), F.col(text).alias("text"))
+    texts = shingles.those_of(texts, members, ["entity", "note"], kept)  # few notes share a bucket: the terms of the others are not taken up
     terms = texts.select("entity", "note", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{2,}"), F.lit(0))).alias("term"))
     tf = terms.groupBy("entity", "note", "term").agg(F.count("*").alias("tf"))
     bucket = ["entity", "anchor", "band"]

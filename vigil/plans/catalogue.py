@@ -593,7 +593,7 @@ _SHINGLED = f"WITH w AS (SELECT source, doc_id, {_WORDS} AS w FROM documents), s
 def note_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buckets of similar notes within an entity, by anchor note."""
     docs = a.table(spark, sf_dir, "documents").select("source", "doc_id", "text")
-    found = text.templates(trends.shared_bands(docs, "source", "doc_id", "text", tasks=shared.blocks(docs)), "entity", "note")
+    found = text.templates(trends.shared_bands(docs, "source", "doc_id", "text", tasks=shared.blocks(docs), kept=shared.kept), "entity", "note")
     return found.groupBy("entity", "anchor").agg(F.count("*").alias("n_bands"), F.max("n_notes").alias("n_notes"))
 
 

@@ -285,8 +285,8 @@ _COSINE = f"""{c._SHINGLED}, bk AS (SELECT source, band, signature, min(doc_id)
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = a.table(spark, sf_dir, "documents").select("source", "doc_id", "text")
-    bands = shared.kept(trends.shared_bands(docs, "source", "doc_id", "text", tasks=shared.blocks(docs)))
-    return trends.near_anchor(bands, docs, "source", "doc_id", "text", c.DEFAULT.similarity)
+    bands = shared.kept(trends.shared_bands(docs, "source", "doc_id", "text", tasks=shared.blocks(docs), kept=shared.kept))
+    return trends.near_anchor(bands, docs, "source", "doc_id", "text", c.DEFAULT.similarity, shared.kept)
 
 
 @query(f"{_COSINE} SELECT entity, anchor, note, round(cosine, 4) AS cosine FROM na")
